@@ -55,11 +55,15 @@ def forecast_id(model="model_version", issue="issue_time_utc", delivery="deliver
     return F.concat_ws("|", col(model).cast("string"), utc_text(issue), utc_text(delivery))
 
 
-def redacted(message, max_chars: int = 500) -> Column:
-    """Mask secrets, squeeze white space and cut an error text to report length."""
+def masked_secrets(message) -> Column:
+    """Hide access tokens in a text."""
     masked = F.regexp_replace(col(message), r"(?i)securityToken=[^&\s]+", "securityToken=***")
-    masked = F.regexp_replace(masked, r"(?i)(token)(\s*[:=]\s*)[^\s&]+", "$1$2***")
-    squeezed = F.trim(F.regexp_replace(masked, r"\s+", " "))
+    return F.regexp_replace(masked, r"(?i)(token)(\s*[:=]\s*)[^\s&]+", "$1$2***")
+
+
+def redacted(message, max_chars: int = 500) -> Column:
+    """Mask secrets in the whole text, squeeze white space, cut to report length."""
+    squeezed = F.trim(F.regexp_replace(masked_secrets(message), r"\s+", " "))
     return F.substring(squeezed, 1, max_chars)
 
 
