@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from settlespark.errors import GuardError
 from settlespark.functions import clock
@@ -179,24 +178,56 @@ def to_half_hourly(
 
 # --- battery state of charge ------------------------------------------------------------
 
-def _compose(shift: np.ndarray, low: np.ndarray, high: np.ndarray):
-    """Running composition of the maps ``x -> min(high, max(low, x + shift))``.
+def _compose_runs(runs: np.ndarray, shift: np.ndarray, low: np.ndarray, high: np.ndarray):
+    """Running composition, within each run, of maps ``x -> min(high, max(low, x + shift))``.
 
-    Such maps compose to maps of the same form, so a run of them is reduced by doubling
-    steps on whole arrays instead of a loop over rows.
+    Such maps compose to maps of the same form. Doubling steps on whole arrays replace a
+    loop over rows; ``runs`` numbers the runs in order.
     """
     a, lo, hi = shift.copy(), low.copy(), high.copy()
+    longest = int(np.bincount(runs).max()) if len(runs) else 0
     step = 1
-    while step < len(a):
-        pa, plo, phi = a[:-step].copy(), lo[:-step].copy(), hi[:-step].copy()
-        na, nlo, nhi = a[step:].copy(), lo[step:].copy(), hi[step:].copy()
-        a[step:] = pa + na
-        lo[step:] = np.minimum(nhi, np.maximum(nlo, plo + na))
-        hi[step:] = np.minimum(nhi, np.maximum(nlo, phi + na))
+    while step < longest:
+        at = np.flatnonzero(runs[step:] == runs[:-step]) + step
+        na, nlo, nhi = a[at], lo[at], hi[at]
+        pa, plo, phi = a[at - step], lo[at - step], hi[at - step]
+        a[at] = pa + na
+        lo[at] = np.minimum(nhi, np.maximum(nlo, plo + na))
+        hi[at] = np.minimum(nhi, np.maximum(nlo, phi + na))
         step *= 2
     return a, lo, hi
 
 
+def _running_maps(df: DataFrame, run: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Replace the maps ``_a, _lo, _hi`` by their running composition within each run.
+
+    Spark partitions by run and sorts; a task then streams over Arrow batches and carries
+    one map from batch to batch, so its memory is one batch whatever the run length.
+    """
+    maps = ["_a", "_lo", "_hi"]
+    placed = df.repartition(*run).sortWithinPartitions(*run, *order)
+
+    def scan(batches):
+        open_run, carry = None, None
+        for pdf in batches:
+            names = pdf[list(run)]
+            starts = (names != names.shift()).any(axis=1).to_numpy()
+            starts[0] = True
+            runs = np.cumsum(starts) - 1
+            cols = [pdf[m].to_numpy(float).copy() for m in maps]
+            if open_run is not None and tuple(names.iloc[0]) == open_run:
+                pa, plo, phi = carry
+                na, nlo, nhi = (c[0] for c in cols)
+                cols[0][0] = pa + na
+                cols[1][0] = min(nhi, max(nlo, plo + na))
+                cols[2][0] = min(nhi, max(nlo, phi + na))
+            done = _compose_runs(runs, *cols)
+            open_run, carry = tuple(names.iloc[-1]), tuple(c[-1] for c in done)
+            yield pdf.assign(**dict(zip(maps, done)))
+
+    return placed.mapInPandas(scan, placed.schema)
+
+
 def state_of_charge(
     df: DataFrame, keys: Sequence[str], ts: str, power: str, initial_mwh: float, capacity_mwh: float,
     charge_efficiency: float = 0.93, discharge_efficiency: float = 0.93,
@@ -204,48 +235,33 @@ def state_of_charge(
 ) -> DataFrame:
     """Half-hourly battery power integrated into a clamped state of charge.
 
-    Every step is a clamp map. Each block of a unit reduces to one such map; the maps of a
-    unit's blocks give the state at each block start; rows then finish on the JVM side. No
-    task sees more than a block, and the power must not be null.
+    Every step is a clamp map, and clamp maps compose. Each block of a unit is scanned on
+    its own; the last map of every block is scanned again per unit, which gives the state
+    at each block start; rows finish as a column expression. Power must not be null.
     """
     if capacity_mwh <= 0:
         raise ValueError("capacity must be positive")
-    keys, cap = list(keys), float(capacity_mwh)
-    width = block_s or fit_block(df, keys, ts, max_rows=500_000)
+    keys, cap, order = list(keys), float(capacity_mwh), [ts, *tie]
+    width = block_s or fit_block(df, keys, ts)
     p = F.col(power).cast("double")
     shift = F.when(p >= 0, -0.5 * p / discharge_efficiency).otherwise(-0.5 * p * charge_efficiency)
-    rows = df.withColumns({"_shift": shift, "_blk": block_of(ts, width)})
-
-    maps = T.StructType(rows.schema.fields + [T.StructField(n, T.DoubleType()) for n in ("_a", "_lo", "_hi")])
-    order = [ts, *tie]
-
-    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        n = len(pdf)
-        a, lo, hi = _compose(pdf["_shift"].to_numpy(float), np.zeros(n), np.full(n, cap))
-        return pdf.assign(_a=a, _lo=lo, _hi=hi)
-
-    scanned = rows.groupBy(*keys, "_blk").applyInPandas(inside, maps)
-
-    # The map of a whole block is the map of its last row: one row per unit and block.
-    ends = scanned.groupBy(*keys, "_blk").agg(
-        F.max_by(F.struct("_a", "_lo", "_hi"), F.struct(*[F.col(c) for c in order])).alias("m")
+    steps = df.withColumns({"_blk": block_of(ts, width), "_a": shift, "_lo": F.lit(0.0), "_hi": F.lit(cap)})
+    scanned = _running_maps(steps, [*keys, "_blk"], order)
+
+    # The map of a whole block is the map of its last row.
+    ends = _running_maps(
+        steps.select(*keys, "_blk", *order, "_a", "_lo", "_hi"), [*keys, "_blk"], order
+    ).groupBy(*keys, "_blk").agg(
+        F.max_by(F.struct("_a", "_lo", "_hi"), F.struct(*order)).alias("m")
     ).select(*keys, "_blk", "m.*")
-    start = float(min(max(initial_mwh, 0.0), cap))
-    begins = T.StructType([f for f in ends.schema.fields if f.name in (*keys, "_blk")] + [T.StructField("_x0", T.DoubleType())])
-
-    def across(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_blk")
-        a, lo, hi = _compose(*(pdf[c].to_numpy(float) for c in ("_a", "_lo", "_hi")))
-        state = np.minimum(hi, np.maximum(lo, start + a))
-        return pdf[[*keys, "_blk"]].assign(_x0=np.concatenate([[start], state[:-1]]))
-
-    opening = ends.groupBy(*keys).applyInPandas(across, begins)
-    soc = F.least(F.col("_hi"), F.greatest(F.col("_lo"), F.col("_x0") + F.col("_a")))
-    return (
-        scanned.join(opening, [*keys, "_blk"]).withColumn(out, soc)
-        .drop("_shift", "_blk", "_a", "_lo", "_hi", "_x0")
+    start = F.lit(float(min(max(initial_mwh, 0.0), cap)))
+    closing = F.least(F.col("_hi"), F.greatest(F.col("_lo"), start + F.col("_a")))
+    through = W.partitionBy(*keys).orderBy("_blk")
+    opening = _running_maps(ends, keys, ["_blk"]).select(
+        *keys, "_blk", F.coalesce(F.lag(closing).over(through), start).alias("_x0")
     )
+    soc = F.least(F.col("_hi"), F.greatest(F.col("_lo"), F.col("_x0") + F.col("_a")))
+    return scanned.join(opening, [*keys, "_blk"]).withColumn(out, soc).drop("_blk", "_a", "_lo", "_hi", "_x0")
 
 
 def day_period_numbers(df: DataFrame, ts: str, out: str = "settlement_period") -> DataFrame:

@@ -55,13 +55,14 @@ TIME_COLUMNS = ["timestamp", "datetime", "forecast_datetime", "settlement_date",
 
 def records(payloads: DataFrame, payload: str = "payload", keep: Sequence[str] = ()) -> DataFrame:
     """One row per record: ``keep`` columns and a ``rec`` map. No record list is an error."""
-    doc = F.parse_json(payload)
+    # Parsed once as a column of its own: every path below reads the same document.
+    parsed = payloads.select(*keep, F.parse_json(payload).alias("_doc"))
     found = F.coalesce(
-        *[F.try_variant_get(doc, p, RECORDS) for p in RECORD_PATHS],
+        *[F.try_variant_get("_doc", p, RECORDS) for p in RECORD_PATHS],
         F.raise_error(F.lit("payload holds no record list")).cast(RECORDS),
     )
     plain = lambda k, v: F.regexp_replace(F.lower(F.trim(k)), "[ -]", "_")
-    return payloads.select(*keep, F.explode(found).alias("rec")).withColumn("rec", F.transform_keys("rec", plain))
+    return parsed.select(*keep, F.explode(found).alias("rec")).withColumn("rec", F.transform_keys("rec", plain))
 
 
 def field(name: str) -> Column:

@@ -11,9 +11,9 @@ TAU = "2 * pi()"
 
 
 @query("calendar_features", f"""
-SELECT o_orderkey, round(sin({TAU} * slot / 48), 6) AS hh_sin, round(cos({TAU} * slot / 48), 6) AS hh_cos,
-  round(sin({TAU} * dow / 7), 6) AS dow_sin, round(cos({TAU} * dow / 7), 6) AS dow_cos,
-  round(sin({TAU} * doy / 365.25), 6) AS year_sin, round(cos({TAU} * doy / 365.25), 6) AS year_cos,
+SELECT o_orderkey, round(sin({TAU} * slot / 48), 6) + 0.0 AS hh_sin, round(cos({TAU} * slot / 48), 6) + 0.0 AS hh_cos,
+  round(sin({TAU} * dow / 7), 6) + 0.0 AS dow_sin, round(cos({TAU} * dow / 7), 6) + 0.0 AS dow_cos,
+  round(sin({TAU} * doy / 365.25), 6) + 0.0 AS year_sin, round(cos({TAU} * doy / 365.25), 6) + 0.0 AS year_cos,
   CAST(dow >= 5 AS BIGINT) AS is_weekend, month
 FROM (SELECT o_orderkey, hour(l) * 2 + minute(l) // 30 AS slot, isodow(l) - 1 AS dow, dayofyear(l) AS doy, month(l) AS month
   FROM (SELECT o_orderkey, {local(DELIVERY)} AS l FROM orders))""")
@@ -23,7 +23,7 @@ def calendar_features(t):
 
 
 @query("weather_features", """
-SELECT event_id, greatest(15.5 - (value - 50), 0) AS hdd, greatest(value - 50 - 22, 0) AS cdd,
+SELECT event_id, round(greatest(15.5 - (value - 50), 0), 6) AS hdd, round(greatest(value - 50 - 22, 0), 6) AS cdd,
   round(power(greatest(value / 10 - 1, 0), 3), 6) AS wind_speed_cubed FROM events""")
 def weather_features(t):
     d = t.events.select("event_id", (F.col("value") - 50).alias("temperature_c"), (F.col("value") / 10 - 1).alias("wind_speed_ms"))
@@ -163,7 +163,7 @@ def number_figures(t):
 
 @query("clipped_components", f"""
 WITH {COMPONENTS}
-SELECT timestamp, greatest(demand_mw - 400, 0) AS demand_mw, greatest(nuclear_mw - 30, 0) AS nuclear_mw, net_import_mw FROM components""")
+SELECT timestamp, round(greatest(demand_mw - 400, 0), 6) AS demand_mw, round(greatest(nuclear_mw - 30, 0), 6) AS nuclear_mw, round(net_import_mw, 6) + 0.0 AS net_import_mw FROM components""")
 def clipped_components(t):
     c = t.components.select("timestamp", (F.col("demand_mw") - 400).alias("demand_mw"), (F.col("nuclear_mw") - 30).alias("nuclear_mw"), "net_import_mw")
     return out(quality.physical_bounds(c, ["demand_mw", "nuclear_mw", "net_import_mw"]))
