@@ -85,8 +85,9 @@ def source_or_settlement_instant(start_text, day, period) -> Column:
 
 def parse_instant(text) -> Column:
     """Lenient text to instant; unreadable text is null. Seconds may be absent."""
-    whole = F.regexp_replace(col(text).cast("string"), r"([T ]\d{1,2}:\d{2})(?=Z|[+-]|\s*$)", "$1:00")
-    return whole.try_cast("timestamp")
+    t = col(text).cast("string")
+    whole = F.regexp_replace(t, r"([T ]\d{1,2}:\d{2})(?=Z|[+-]|\s*$)", "$1:00")
+    return F.coalesce(t.try_cast("timestamp"), whole.try_cast("timestamp"))
 
 
 def issue_instant(delivery, hour: int = 13, minute: int = 0, wall_clock: bool = False) -> Column:
@@ -133,7 +134,8 @@ def duration_minutes(text) -> Column:
     """Minutes of ``PT..H..M``; any other text is an error."""
     t = col(text)
     def part(unit):
-        return F.coalesce(F.regexp_extract(t, rf"(\d+){unit}", 1).try_cast("int"), F.lit(0))
+        # A leading zero makes an absent part read as zero, without a failed cast.
+        return F.concat(F.lit("0"), F.regexp_extract(t, rf"(\d+){unit}", 1)).cast("int")
     total = part("H") * 60 + part("M")
     readable = t.rlike(r"^PT(\d+H)?(\d+M)?$") & (total > 0)
     return (

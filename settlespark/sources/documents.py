@@ -63,29 +63,33 @@ def timeseries_points(
     if strict:
         refusal = F.raise_error(F.concat(F.lit("source refused: "), _reason(F.col("d")))).cast("boolean")
         d = d.where(F.when(_acknowledged(xml), refusal).otherwise(True))
-    series = d.select(*keep, F.col("d.createdDateTime").alias("_made"), F.explode("d.TimeSeries").alias("s"))
-    periods = series.select(*keep, "_made", "s", F.explode("s.Period").alias("p")).where(
-        "p.timeInterval.start is not null and p.resolution is not null"
-    )
-    points = periods.select(*keep, "_made", "s", "p", F.explode("p.Point").alias("pt"))
-    minutes = clock.duration_minutes("p.resolution")
-    value = F.col(f"pt.`{value_field}`")
-    shift = (F.col("pt.position").cast("int") - 1) * F.col("resolution_minutes") * 60
+    # An outer explode: the inner one would add a size filter that parses every text twice.
+    series = d.select(
+        *keep, F.col("d.createdDateTime").alias("_made"), F.explode_outer("d.TimeSeries").alias("s")
+    ).where("s is not null")
     named = {
         "series_id": "s.mRID", "business_type": "s.businessType", "in_domain": "s.`in_Domain.mRID`",
         "out_domain": "s.`out_Domain.mRID`", "contract_type": "s.`contract_MarketAgreement.type`",
         "curve_type": "s.curveType", "currency": "s.`currency_Unit.name`",
     }
+    labels = {n: F.col(c) for n, c in named.items()} | {
+        "psr_type": F.coalesce("s.psrType", "s.MktPSRType.psrType"),
+        "measure_unit": F.coalesce("s.`price_Measure_Unit.name`", "s.`quantity_Measure_Unit.name`"),
+    }
+    periods = series.select(*keep, "_made", *[c.alias(n) for n, c in labels.items()], F.explode_outer("s.Period").alias("p"))
+    # Start and step are read once per period, before its points multiply the rows.
+    timed = periods.where("p.timeInterval.start is not null and p.resolution is not null").select(
+        *keep, *labels, clock.parse_instant("_made").alias("published_at_utc"),
+        F.unix_micros(clock.parse_instant("p.timeInterval.start")).alias("_start"),
+        clock.duration_minutes("p.resolution").alias("resolution_minutes"), F.explode_outer("p.Point").alias("pt"),
+    )
+    value = F.col(f"pt.`{value_field}`")
+    step = F.col("resolution_minutes").cast("long") * 60_000_000
     return (
-        points.where(F.col("pt.position").isNotNull() & value.isNotNull())
-        .withColumn("resolution_minutes", minutes)
+        timed.where(F.col("pt.position").isNotNull() & value.isNotNull())
         .select(
-            *keep, clock.add_seconds(clock.parse_instant("p.timeInterval.start"), shift).alias("timestamp"),
-            values.number(value).alias(out), "resolution_minutes",
-            clock.parse_instant("_made").alias("published_at_utc"),
-            *[F.col(c).alias(n) for n, c in named.items()],
-            F.coalesce("s.psrType", "s.MktPSRType.psrType").alias("psr_type"),
-            F.coalesce("s.`price_Measure_Unit.name`", "s.`quantity_Measure_Unit.name`").alias("measure_unit"),
+            *keep, F.timestamp_micros(F.col("_start") + (F.col("pt.position").cast("int") - 1) * step).alias("timestamp"),
+            values.number(value).alias(out), "resolution_minutes", "published_at_utc", *labels,
         )
         .dropna(subset=["timestamp", out])
     )

@@ -61,8 +61,10 @@ def records(payloads: DataFrame, payload: str = "payload", keep: Sequence[str] =
         *[F.try_variant_get("_doc", p, RECORDS) for p in RECORD_PATHS],
         F.raise_error(F.lit("payload holds no record list")).cast(RECORDS),
     )
-    plain = lambda k, v: F.regexp_replace(F.lower(F.trim(k)), "[ -]", "_")
-    return parsed.select(*keep, F.explode(found).alias("rec")).withColumn("rec", F.transform_keys("rec", plain))
+    # Names are made plain inside the array, before rows multiply and filters copy the map.
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ -", "abcdefghijklmnopqrstuvwxyz__"
+    plain = F.transform(found, lambda r: F.transform_keys(r, lambda k, v: F.translate(F.trim(k), upper, lower)))
+    return parsed.select(*keep, F.explode(plain).alias("rec"))
 
 
 def field(name: str) -> Column:
@@ -87,35 +89,43 @@ def require_fields(recs: DataFrame, names: Sequence[str]) -> DataFrame:
     return recs
 
 
-def _period_instant(prefer_start: bool = True) -> Column:
-    day = field("date").try_cast("date")
-    by_period = clock.settlement_instant(day, values.number(field("period")))
-    return F.coalesce(clock.parse_instant(field("start")), by_period) if prefer_start else by_period
+def _texts(recs: DataFrame, keep: Sequence[str], *names: str) -> DataFrame:
+    """The named fields as plain columns, with delivery date and period already read.
 
-
-def _dated(prefer_start: bool = True) -> list[Column]:
-    return [
-        _period_instant(prefer_start).alias("timestamp"),
-        field("date").try_cast("date").alias("settlement_date"),
+    A projection of its own, so that later filters repeat column references and not the
+    look-ups behind them.
+    """
+    return recs.select(
+        *keep, field("date").try_cast("date").alias("settlement_date"),
         values.number(field("period")).cast("int").alias("settlement_period"),
-    ]
+        field("start").alias("_start"), *[field(n).alias(f"_{n}") for n in names],
+    )
+
+
+def _by_start() -> Column:
+    """Delivery instant: the source's start time, else date and period."""
+    return F.coalesce(clock.parse_instant("_start"), _by_period())
+
+
+def _by_period() -> Column:
+    return clock.settlement_instant("settlement_date", "settlement_period")
 
 
 def market_index(recs: DataFrame, keep: Sequence[str] = (), provider: str = PRICE_PROVIDER) -> DataFrame:
     """Half-hourly market-index prices of one provider."""
-    out = recs.where(field("provider") == provider).select(
-        *keep, *_dated(), field("provider").alias("data_provider"),
-        values.number(field("price")).alias("price_gbp_mwh"),
-        values.number(field("volume")).alias("market_index_volume_mwh"),
-    )
-    return out.dropna(subset=["timestamp", "price_gbp_mwh"])
+    texts = _texts(recs.where(field("provider") == provider), keep, "provider", "price", "volume")
+    return texts.select(
+        *keep, _by_start().alias("timestamp"), "settlement_date", "settlement_period",
+        F.col("_provider").alias("data_provider"), values.number("_price").alias("price_gbp_mwh"),
+        values.number("_volume").alias("market_index_volume_mwh"),
+    ).where("timestamp is not null and price_gbp_mwh is not null")
 
 
 def fuel_long(recs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    return recs.select(
-        *keep, _period_instant().alias("timestamp"), F.lower(field("fuel")).alias("fuel_type"),
-        values.number(field("fuel_mw")).alias("generation_mw"),
-    ).dropna(subset=["timestamp"])
+    return _texts(recs, keep, "fuel", "fuel_mw").select(
+        *keep, _by_start().alias("timestamp"), F.lower("_fuel").alias("fuel_type"),
+        values.number("_fuel_mw").alias("generation_mw"),
+    ).where("timestamp is not null")
 
 
 def fuel_mix(recs: DataFrame, fuels: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -125,16 +135,16 @@ def fuel_mix(recs: DataFrame, fuels: Sequence[str], keep: Sequence[str] = ()) ->
 
 
 def demand(recs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    return recs.select(
-        *keep, _period_instant().alias("timestamp"), values.number(field("demand")).alias("demand_mw")
-    ).dropna()
+    return _texts(recs, keep, "demand").select(
+        *keep, _by_start().alias("timestamp"), values.number("_demand").alias("demand_mw")
+    ).where("timestamp is not null and demand_mw is not null")
 
 
 def interconnector_long(recs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    return recs.select(
-        *keep, _period_instant().alias("timestamp"), F.lower(field("interconnector")).alias("interconnector"),
-        values.number(field("interconnector_mw")).alias("flow_mw"),
-    ).dropna(subset=["timestamp"])
+    return _texts(recs, keep, "interconnector", "interconnector_mw").select(
+        *keep, _by_start().alias("timestamp"), F.lower("_interconnector").alias("interconnector"),
+        values.number("_interconnector_mw").alias("flow_mw"),
+    ).where("timestamp is not null")
 
 
 def interconnectors(recs: DataFrame, names: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -147,11 +157,11 @@ def interconnectors(recs: DataFrame, names: Sequence[str], keep: Sequence[str] =
 
 def unit_generation(recs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Metered half-hour energy per unit and its mean power."""
-    energy = values.number(field("unit_mwh"))
-    return recs.select(
-        *keep, _period_instant().alias("timestamp"), field("unit").alias("bm_unit"),
+    energy = values.number("_unit_mwh")
+    return _texts(recs, keep, "unit", "unit_mwh").select(
+        *keep, _by_start().alias("timestamp"), F.col("_unit").alias("bm_unit"),
         energy.alias("generation_mwh"), (energy * 2.0).alias("generation_mw"),
-    ).dropna(subset=["timestamp", "generation_mw"])
+    ).where("timestamp is not null and generation_mw is not null")
 
 
 def unit_reference(recs: DataFrame, order: Sequence[str] = ()) -> DataFrame:
@@ -167,26 +177,23 @@ def unit_reference(recs: DataFrame, order: Sequence[str] = ()) -> DataFrame:
 
 def embedded_forecasts(recs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Every publication of the embedded wind and solar forecasts."""
-    out = recs.select(
-        *keep, *_dated(prefer_start=False),
-        values.number(field("embedded_wind")).alias("embedded_wind_mw"),
-        values.number(field("embedded_solar")).alias("embedded_solar_mw"),
-        clock.parse_instant(field("published")).alias("published_at_utc"),
-        values.number(field("embedded_wind_capacity")).alias("embedded_wind_capacity_mw"),
-        values.number(field("embedded_solar_capacity")).alias("embedded_solar_capacity_mw"),
-    )
-    return out.dropna(subset=["timestamp", "published_at_utc"])
+    measures = ["embedded_wind", "embedded_solar", "embedded_wind_capacity", "embedded_solar_capacity"]
+    return _texts(recs, keep, "published", *measures).select(
+        *keep, _by_period().alias("timestamp"), "settlement_date", "settlement_period",
+        clock.parse_instant("_published").alias("published_at_utc"),
+        *[values.number(f"_{m}").alias(f"{m}_mw") for m in measures],
+    ).where("timestamp is not null and published_at_utc is not null")
 
 
 def inertia(recs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Outturn and market inertia and the gap closed by intervention."""
-    out = recs.select(
-        *keep, *_dated(prefer_start=False),
-        values.number(field("inertia")).alias("outturn_inertia_gvas"),
-        values.number(field("market_inertia")).alias("market_provided_inertia_gvas"),
-    )
+    out = _texts(recs, keep, "inertia", "market_inertia").select(
+        *keep, _by_period().alias("timestamp"), "settlement_date", "settlement_period",
+        values.number("_inertia").alias("outturn_inertia_gvas"),
+        values.number("_market_inertia").alias("market_provided_inertia_gvas"),
+    ).where("timestamp is not null")
     gap = F.col("outturn_inertia_gvas") - F.col("market_provided_inertia_gvas")
-    return out.withColumn("inertia_intervention_gap_gvas", gap).dropna(subset=["timestamp"])
+    return out.withColumn("inertia_intervention_gap_gvas", gap)
 
 
 def generic_table(df: DataFrame) -> DataFrame:
