@@ -28,10 +28,11 @@ def read_table(spark: SparkSession, path: str | list[str], schema=None) -> DataF
     return reader.json(paths) if kind == "json" else reader.parquet(*paths)
 
 
-def read_if_present(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
-    """The table, or None when the path does not exist yet."""
+def read_if_present(spark: SparkSession, path: str, schema=None, merge: bool = False) -> DataFrame | None:
+    """The Parquet table, or None when the path does not exist yet."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
     try:
-        return read_table(spark, path, schema)
+        return reader.option("mergeSchema", merge).parquet(path)
     except AnalysisException as error:
         if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None

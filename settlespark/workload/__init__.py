@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["clock_queries", "feature_queries", "point_queries", "series_queries", "score_queries", "ingest_queries"]
+MODULES = ["clock_queries", "feature_queries", "point_queries", "series_queries", "score_queries", "ingest_queries", "plan_queries"]
 
 
 def load():
