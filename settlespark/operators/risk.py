@@ -122,17 +122,20 @@ def error_scenarios(
     pool = number_rows(complete.withColumn("_all", F.lit(0)), ["_all"], "_et", position="_idx").drop("_all", "_et", "_total")
     size = complete.select(F.count(F.lit(1))).scalar()
     pick = (draw or hashed_draw(seed))(F.col("scenario"), F.col(ts), F.col("_n"))
-    none = F.raise_error(F.lit("no complete error rows")).cast("bigint")
     long = (
         points.withColumn("scenario", F.explode(F.sequence(F.lit(0), F.lit(scenarios - 1))))
         .withColumn("_n", size)
-        .withColumn("_idx", F.when(F.col("_n") > 0, pick).otherwise(none))
+        .withColumn("_idx", F.when(F.col("_n") > 0, pick))
     )
-    moved = {
-        c: (F.col(c) + F.col(f"_e_{c}")) if c in signed else non_negative(F.col(c) + F.col(f"_e_{c}"))
-        for c in components
-    }
-    return long.join(pool, "_idx").withColumns(moved).drop("_idx", "_n", *[f"_e_{c}" for c in components])
+    # Every draw has an error row unless there is none at all, so the left join only serves
+    # to report that case.
+    none = F.raise_error(F.lit("no complete error rows")).cast("double")
+
+    def moved(c):
+        value = F.col(c) + F.coalesce(F.col(f"_e_{c}"), none)
+        return value if c in signed else non_negative(value)
+
+    return long.join(pool, "_idx", "left").withColumns({c: moved(c) for c in components}).drop("_idx", "_n", *[f"_e_{c}" for c in components])
 
 
 def energy_and_peaks(

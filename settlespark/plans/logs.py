@@ -49,9 +49,14 @@ class LogTable:
         return durable(rows.withColumns(times).withColumn(DAY, self.day))
 
     def _append(self, rows: DataFrame) -> DataFrame:
-        rows.write.mode("append").partitionBy(DAY).parquet(self.path)
+        self._by_day(rows).write.mode("append").partitionBy(DAY).parquet(self.path)
         return rows.drop(DAY)
 
+    @staticmethod
+    def _by_day(rows: DataFrame) -> DataFrame:
+        # Few files per date; a large date is still split over tasks by size.
+        return rows.hint("rebalance", F.col(DAY))
+
     @property
     def _join_key(self) -> list[str]:
         # The partition date follows from the key; joining on it too prunes partitions.
@@ -96,7 +101,7 @@ class LogTable:
             days = rows.select(DAY).distinct()
             kept = old.join(days, DAY, "left_semi").join(rows.select(*self._join_key), self._join_key, "left_anti")
             rows = durable(kept.unionByName(rows, allowMissingColumns=True))
-        (rows.repartition(DAY).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        (self._by_day(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(DAY).parquet(self.path))
 
     def upsert(self, rows: DataFrame, ignore: Sequence[str] = ("graded_at_utc",)) -> DataFrame:

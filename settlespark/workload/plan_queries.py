@@ -167,7 +167,7 @@ def history_index(t):
 
 def source_tables(t):
     c = t.components
-    hourly = t.events.groupBy(clock.floor_to("ts", 3600).alias("timestamp")).agg(F.round(F.avg("value"), 6).alias("temp"))
+    hourly = t.events.groupBy(clock.floor_to("ts", 3600).alias("timestamp")).agg(F.round(F.avg("value"), 4).alias("temp"))
     shifted = clock.add_seconds(clock.half_hour("ts"), 86400)
     return {
         "price": c.select("timestamp", F.col("inertia_gvas").alias("p")), "demand": c.select("timestamp", F.col("demand_mw").alias("d")),
@@ -189,7 +189,7 @@ MAPPING = {
 @query("modelling_table", f"""
 WITH {COMPONENTS}, e AS (SELECT time_bucket(INTERVAL '30 minutes', ts) + INTERVAL '24 hours' AS timestamp, ts AS pub, value AS w, value / 2 AS s FROM events),
 emb AS (SELECT * FROM e WHERE pub <= {day_start(day('timestamp'))} - INTERVAL '11 hours' QUALIFY row_number() OVER (PARTITION BY timestamp ORDER BY pub DESC) = 1),
-h AS (SELECT date_trunc('hour', ts) AS t, round(avg(value), 6) AS v FROM events GROUP BY 1),
+h AS (SELECT date_trunc('hour', ts) AS t, round(avg(value), 4) AS v FROM events GROUP BY 1),
 wx AS (SELECT c.timestamp, CASE WHEN b.t IS NULL OR b.t = a.t THEN a.v ELSE a.v + (b.v - a.v) * (epoch(c.timestamp) - epoch(a.t)) / (epoch(b.t) - epoch(a.t)) END AS temp
   FROM components c ASOF LEFT JOIN h a ON c.timestamp >= a.t ASOF LEFT JOIN h b ON c.timestamp <= b.t)
 SELECT c.timestamp, c.timestamp AS delivery_time_utc, c.inertia_gvas AS price_gbp_mwh, c.demand_mw, c.transmission_wind_mw, c.nuclear_mw, {day_start(day('c.timestamp'))} - INTERVAL '11 hours' AS issue_time_utc,
