@@ -193,12 +193,12 @@ h AS (SELECT date_trunc('hour', ts) AS t, round(avg(value), 4) AS v FROM events
 wx AS (SELECT c.timestamp, CASE WHEN b.t IS NULL OR b.t = a.t THEN a.v ELSE a.v + (b.v - a.v) * (epoch(c.timestamp) - epoch(a.t)) / (epoch(b.t) - epoch(a.t)) END AS temp
   FROM components c ASOF LEFT JOIN h a ON c.timestamp >= a.t ASOF LEFT JOIN h b ON c.timestamp <= b.t)
 SELECT c.timestamp, c.timestamp AS delivery_time_utc, c.inertia_gvas AS price_gbp_mwh, c.demand_mw, c.transmission_wind_mw, c.nuclear_mw, {day_start(day('c.timestamp'))} - INTERVAL '11 hours' AS issue_time_utc,
-  emb.w AS embedded_wind_mw, emb.s AS embedded_solar_mw, c.inertia_gvas, round(temp, 6) AS temp, round(temp, 6) AS wind, round(temp, 6) AS sun, round(c.net_import_mw, 6) + 0.0 AS net_import_mw, 'core_without_battery' AS model_profile
+  emb.w AS embedded_wind_mw, emb.s AS embedded_solar_mw, c.inertia_gvas, round(temp, 10) AS temp, round(temp, 10) AS wind, round(temp, 10) AS sun, round(c.net_import_mw, 6) + 0.0 AS net_import_mw, 'core_without_battery' AS model_profile
 FROM components c LEFT JOIN emb USING (timestamp) LEFT JOIN wx USING (timestamp)""")
 def modelling_table(t):
     # Afternoon periods have no publication before the issue time in this stand-in, so the
     # completeness guard is off and they keep null.
-    return out(dataset.modelling_table(source_tables(t), MAPPING, check=False))
+    return out(dataset.modelling_table(source_tables(t), MAPPING, check=False), 10)
 
 
 @query("merged_archives", f"""

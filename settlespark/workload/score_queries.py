@@ -245,7 +245,9 @@ def scenario_risk(t):
 @query("position_limits", f"""
 WITH {RISK} SELECT delivery_date, 10000.0 AS daily_risk_budget_gbp, round(100 * scenario_var / 10000, 8) AS var_budget_utilisation_percent,
   round(100 * expected_shortfall / 10000, 8) AS es_budget_utilisation_percent, round(1000000 / scenario_var, 8) AS maximum_volume_var_mwh,
-  round(1000000 / expected_shortfall, 8) AS maximum_volume_expected_shortfall_mwh, round(least(1000000 / scenario_var, 1000000 / expected_shortfall), 8) AS maximum_volume_binding_mwh FROM risk""", dates=["delivery_date"])
+  round(1000000 / expected_shortfall, 8) AS maximum_volume_expected_shortfall_mwh, round(least(1000000 / scenario_var, 1000000 / expected_shortfall), 8) AS maximum_volume_binding_mwh FROM risk WHERE scenario_var > 0 AND expected_shortfall > 0""", dates=["delivery_date"])
 def position_limits(t):
-    return out(scenario_risks(t).select("delivery_date", *[c.alias(n) for n, c in features.position_limits(
+    # Limits exist only for days that can lose money; others are an error by design.
+    losing = scenario_risks(t).where("scenario_var > 0 and expected_shortfall > 0")
+    return out(losing.select("delivery_date", *[c.alias(n) for n, c in features.position_limits(
         "scenario_var", "expected_shortfall", 500_000.0, 0.02, 100.0).items()]), 8)

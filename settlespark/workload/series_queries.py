@@ -29,9 +29,9 @@ def price_changes(t):
 
 
 @query("holdout_split", f"""
-WITH {HH} SELECT series, ts, row_number() OVER (PARTITION BY series ORDER BY ts DESC) <= 200 AS is_test FROM hh""")
+WITH {HH} SELECT series, ts, row_number() OVER (PARTITION BY series ORDER BY ts DESC) <= 100 AS is_test FROM hh""")
 def holdout_split(t):
-    return out(series.holdout_split(t.hh, ["series"], "ts", 200).select("series", "ts", "is_test"))
+    return out(series.holdout_split(t.hh, ["series"], "ts", 100).select("series", "ts", "is_test"))
 
 
 @query("expanding_folds", f"""
@@ -51,12 +51,12 @@ near AS (SELECT series, ts, last_value(CASE WHEN v IS NOT NULL THEN ts END IGNOR
   first_value(CASE WHEN v IS NOT NULL THEN ts END IGNORE NULLS) OVER f AS t1, first_value(v IGNORE NULLS) OVER f AS v1 FROM axis
   WINDOW b AS (PARTITION BY series ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
     f AS (PARTITION BY series ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-SELECT series, ts, round(CASE WHEN t1 IS NULL OR t0 = t1 THEN v0 ELSE v0 + (v1 - v0) * (epoch(ts) - epoch(t0)) / (epoch(t1) - epoch(t0)) END, 6) AS v FROM near""")
+SELECT series, ts, round(CASE WHEN t1 IS NULL OR t0 = t1 THEN v0 ELSE v0 + (v1 - v0) * (epoch(ts) - epoch(t0)) / (epoch(t1) - epoch(t0)) END, 10) AS v FROM near""")
 def interpolated_half_hours(t):
     hourly = t.events.groupBy(F.col("event_type").alias("series"), clock.floor_to("ts", 3600).alias("ts")).agg(F.avg("value").alias("v"))
     span = hourly.groupBy("series").agg(clock.seconds(F.min("ts")).alias("a"), clock.seconds(F.max("ts")).alias("z"))
     ask = span.select("series", F.explode(F.sequence(F.col("a") - 3600, F.col("z") + 3600, F.lit(1800).cast("long"))).alias("s"))
-    return out(series.interpolate_to(hourly, ask.select("series", F.timestamp_seconds("s").alias("ts")), ["series"], "ts", ["v"]))
+    return out(series.interpolate_to(hourly, ask.select("series", F.timestamp_seconds("s").alias("ts")), ["series"], "ts", ["v"]), 10)
 
 
 @query("carried_boundary", f"""
