@@ -57,3 +57,8 @@ GATE_MIN_LEAD_HOURS = 8.0
 # One-sided 95 % normal quantile and the default lookback.
 Z_95 = 1.6448536269514722
 LOOKBACK = 1440
+
+# Revision tags carried by archives and reports.
+ARCHIVE_REVISION = "historical-v4"
+MERGE_REVISION = "history-artifact-merge-v2"
+GATE_REVISION = "deployment-gate-v1"

@@ -60,7 +60,7 @@ def asof_join(
         right.where(F.col(right_time).isNotNull()).withColumn("_t", clock.instant(right_time)),
         [*by, "_t"], list(tie) or [right_time],
     )
-    a = left.select(
+    a = left.where(F.col(left_time).isNotNull()).select(
         *by, clock.instant(left_time).alias("_t"), F.lit(1).alias("_side"),
         F.struct(*[F.col(c) for c in left.columns]).alias("_left"),
         F.lit(None).alias("_right"),
@@ -72,12 +72,15 @@ def asof_join(
     axis = a.unionByName(b)
     width = block_s or fit_block(axis.select(*by, "_t"), by, "_t")
     matched = nearest_known(axis, by, "_t", {"r": F.col("_right")}, tie=["_side"], block_s=width)
-    # Rows with no issue time match nothing.
-    hit = F.when(F.col("_t").isNotNull(), F.col("prev_r"))
-    return (
-        matched.where("_side = 1").withColumn("prev_r", hit)
-        .select("_left.*", *[F.col(f"prev_r.{c}").alias(renamed[c]) for c in carried])
+    joined = matched.where("_side = 1").select(
+        "_left.*", *[F.col(f"prev_r.{c}").alias(renamed[c]) for c in carried]
     )
+    # Rows without a time match nothing and stay out of the time blocks.
+    kinds = dict(right.dtypes)
+    untimed = left.where(F.col(left_time).isNull()).select(
+        *left.columns, *[F.lit(None).cast(kinds[c]).alias(renamed[c]) for c in carried]
+    )
+    return joined.unionByName(untimed)
 
 
 def future_information(

@@ -157,7 +157,7 @@ def gate_report(gate: DataFrame) -> DataFrame:
              "pre_delivery_issue_time", "beats_persistence", "interval_coverage"]
     metrics = [c for c in gate.columns if c not in {*rules, "deployment_ready", "mode", "model_version"}]
     body = F.to_json(F.struct(
-        F.lit("deployment-gate-v1").alias("workflow_revision"), "deployment_ready", "mode",
+        F.lit(K.GATE_REVISION).alias("workflow_revision"), "deployment_ready", "mode",
         F.struct("model_version", *metrics).alias("metrics"),
         F.struct(*[F.struct(F.col(r).alias("passed")).alias(r) for r in rules]).alias("gates"),
     ), {"ignoreNullFields": "false"})

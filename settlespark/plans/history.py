@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from settlespark.constants import ARCHIVE_REVISION, MERGE_REVISION
 from settlespark.errors import GuardError
 from settlespark.functions import clock
 from settlespark.functions.values import prefixed
@@ -21,10 +22,6 @@ from settlespark.operators.timeline import clock_difference, require_seam_days_o
 from settlespark.session import durable
 from settlespark.sources.tables import write_table
 
-# Revision an archive must carry.
-ARCHIVE_REVISION = "historical-v4"
-
-
 def checked_windows(windows: DataFrame, first: str, end: str) -> DataFrame:
     """Archives that passed collection and together span ``[first, end)`` without gaps."""
     bad = windows.where(
@@ -106,7 +103,7 @@ def merge_archives(
     if "neighbour_prices" in tables:
         save("neighbour_prices", on_clock(tables["neighbour_prices"], training, "neighbour prices", exact=False))
     return spark.range(1).select(
-        F.lit("history-artifact-merge-v2").alias("workflow_revision"),
+        F.lit(MERGE_REVISION).alias("workflow_revision"),
         F.lit(first).alias("start_date_inclusive"), F.lit(end).alias("end_date_exclusive"),
         full.select(F.count(F.lit(1))).scalar().alias("full_calendar_half_hour_rows"),
         training.select(F.count(F.lit(1))).scalar().alias("training_half_hour_rows"),

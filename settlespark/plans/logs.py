@@ -279,6 +279,8 @@ def register_gradings(history: LogTable, summary: LogTable, scores: DataFrame, a
     models = gate.select(
         "model_version", "deployment_ready", F.col("mode").alias("deployment_mode"),
         F.col("graded_delivery_days").alias("graded_delivery_days_total"), F.col("improvement_percent").alias("deployment_improvement_percent"),
+        F.col("model_mae_gbp_mwh").alias("deployment_model_mae_gbp_mwh"), F.col("persistence_mae_gbp_mwh").alias("deployment_persistence_mae_gbp_mwh"),
+        F.col("p10_p90_coverage").alias("deployment_p10_p90_coverage"),
     )
     # One row per model, date and revision: models are versions of one forecaster.
     asked = counted.withColumn("_m", F.explode(models.select(F.collect_set("model_version")).scalar())).withColumnRenamed("_m", "model_version")

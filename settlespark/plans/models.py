@@ -6,7 +6,10 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
@@ -90,19 +93,40 @@ def fit_regressor(
     return Regressor(Pipeline(stages=[_assembled(features), trees]).fit(rows), list(features), target, transform, scale)
 
 
+def _ordered(df: DataFrame, features: Sequence[str], target: str, splits: int | None = None, holdout_rows: int | None = None) -> DataFrame:
+    """Rows complete in features and target, with fold, holdout flag and 24 h baseline.
+
+    Written once: every fit and score of the target reads this table.
+    """
+    clean = complete_rows(df, [*features, target], target).select(TS, *features, number(target).alias(target)).withColumn("_all", F.lit(0))
+    if splits is not None:
+        clean = expanding_folds(clean, ["_all"], TS, splits)
+    if holdout_rows is not None:
+        clean = timestamp_lags(holdout_split(clean, ["_all"], TS, holdout_rows), ["_all"], TS, target, {"_baseline": 86400})
+    return durable(clean)
+
+
+def _holdout(rows: DataFrame, features, target, transform, scale, params) -> dict:
+    model = fit_regressor(rows.where("not is_test"), features, target, transform, scale, params)
+    row = scoring.holdout_score(model.predict(rows.where("is_test"), "_model"), target, "_model", "_baseline").first()
+    if not row.comparison_rows:
+        raise GuardError(f"no comparable rows for {target}")
+    return row.asDict()
+
+
+def _out_of_fold(rows: DataFrame, features, target, splits, transform, scale, params) -> DataFrame:
+    parts = []
+    for k in range(splits):
+        model = fit_regressor(rows.where(F.col("fold").isNull() | (F.col("fold") < k)), features, target, transform, scale, params)
+        parts.append(model.predict(rows.where(F.col("fold") == k), f"oof_{target}").select(TS, f"oof_{target}"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def holdout(
     df: DataFrame, features: Sequence[str], target: str, rows: int, transform: str = "identity", scale: float = 50.0, params: dict | None = None,
 ) -> dict:
     """Score the last ``rows`` complete rows against the value exactly 24 hours earlier."""
-    clean = complete_rows(df, [*features, target], target).select(TS, *features, number(target).alias(target))
-    split = durable(holdout_split(clean.withColumn("_all", F.lit(0)), ["_all"], TS, rows))
-    lagged = timestamp_lags(split, ["_all"], TS, target, {"_baseline": 86400})
-    model = fit_regressor(split.where("not is_test"), features, target, transform, scale, params)
-    scored = model.predict(lagged.where("is_test"), "_model")
-    row = scoring.holdout_score(scored, target, "_model", "_baseline").first()
-    if not row.comparison_rows:
-        raise GuardError(f"no comparable rows for {target}")
-    return row.asDict()
+    return _holdout(_ordered(df, features, target, holdout_rows=rows), features, target, transform, scale, params)
 
 
 def out_of_fold(
@@ -112,23 +136,15 @@ def out_of_fold(
 
     The loop runs over the fold count, a parameter; each fold trains on all rows before it.
     """
-    clean = complete_rows(df, [*features, target], target).select(TS, *features, target)
-    folded = durable(expanding_folds(clean.withColumn("_all", F.lit(0)), ["_all"], TS, splits))
-    parts = []
-    for k in range(splits):
-        model = fit_regressor(folded.where(F.col("fold").isNull() | (F.col("fold") < k)), features, target, transform, scale, params)
-        parts.append(model.predict(folded.where(F.col("fold") == k), f"oof_{target}").select(TS, f"oof_{target}"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return _out_of_fold(_ordered(df, features, target, splits), features, target, splits, transform, scale, params)
 
 
 def train(
-    df: DataFrame, model_dir: str, holdout_rows: int = 4320, splits: int = 5, params: dict | None = None,
+    df: DataFrame, model_dir: str, holdout_rows: int = 4320, splits: int = 5, params: dict | None = None, parallelism: int = 4,
 ) -> dict:
     """Train component models, then the price model on their out-of-fold predictions.
 
+    Components do not depend on each other, so their Spark jobs are submitted side by side.
     Writes models, the component error table and metadata; returns the holdout metrics.
     """
     spark = df.sparkSession
@@ -137,14 +153,21 @@ def train(
     if not features:
         raise GuardError("no model features")
     df = durable(df)
-    metrics, stacked = {}, df.drop(*targets)
-    errors = df.select(TS, *targets)
-    for target in targets:
-        metrics[target] = holdout(df, features, target, holdout_rows, params=params)
-        oof = durable(out_of_fold(df, features, target, splits, params=params))
+
+    def component(target: str) -> tuple[dict, DataFrame]:
+        rows = _ordered(df, features, target, splits, holdout_rows)
+        score = _holdout(rows, features, target, "identity", 50.0, params)
+        oof = durable(_out_of_fold(rows, features, target, splits, "identity", 50.0, params))
+        fit_regressor(rows, features, target, params=params).save(f"{model_dir}/{target}")
+        return score, oof
+
+    with ThreadPool(parallelism) as pool:
+        trained = dict(zip(targets, pool.map(inheritable_thread_target(spark)(component), targets)))
+    metrics, stacked, errors = {}, df.drop(*targets), df.select(TS, *targets)
+    for target, (score, oof) in trained.items():
+        metrics[target] = score
         stacked = stacked.join(oof.withColumnRenamed(f"oof_{target}", target), TS, "left")
         errors = errors.join(oof, TS, "left").withColumn(target, F.col(target) - F.col(f"oof_{target}")).drop(f"oof_{target}")
-        fit_regressor(df, features, target, params=params).save(f"{model_dir}/{target}")
 
     pricing = durable(balance_layers(stacked))
     price_features = [*features, *targets, *K.BALANCE_LAYERS]

@@ -15,7 +15,7 @@ from settlespark.constants import PRICE_PROVIDER
 from settlespark.errors import MissingColumns
 from settlespark.functions import clock, values
 from settlespark.operators.point_in_time import last_by
-from settlespark.operators.relations import sum_by_category
+from settlespark.operators.relations import distinct_categories, sum_by_category
 
 # Places where a payload may hold its record list, most direct first.
 RECORD_PATHS = ["$", "$.data", "$.data.records", "$.records", "$.records.records", "$.result", "$.result.records"]
@@ -204,6 +204,15 @@ def generic_table(df: DataFrame) -> DataFrame:
     return renamed.withColumns(times) if times else renamed
 
 
+def as_table(recs: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
+    """Records as columns of text, with the usual time columns read.
+
+    Without ``names`` the field names are looked up first; their number is bounded.
+    """
+    names = names or distinct_categories(recs.select(F.explode(F.map_keys("rec")).alias("n")), "n")
+    return generic_table(recs.select(*[F.col("rec")[n].alias(n) for n in names]))
+
+
 def in_date_window(recs: DataFrame, first: str, end: str) -> DataFrame:
     """Records whose delivery date lies in ``[first, end)``."""
     day = F.coalesce(field("date"), F.col("rec")["date"]).try_cast("date")
@@ -216,7 +225,7 @@ def preset_reader(name: str):
         return embedded_forecasts
     if name.startswith("inertia_") and name != "inertia_cost":
         return inertia
-    return lambda recs: recs
+    return as_table
 
 
 def hourly_weather(payloads: DataFrame, variables: Sequence[str], site: str = "site", payload: str = "payload") -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from settlespark.errors import GuardError, need_columns
 from settlespark.functions import clock
@@ -28,6 +28,19 @@ def read_table(spark: SparkSession, path: str | list[str], schema=None) -> DataF
     return reader.json(paths) if kind == "json" else reader.parquet(*paths)
 
 
+def read_instants(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet whose zoneless times are UTC instants.
+
+    They are read as instants and not cast afterwards, so that time filters reach the file.
+    """
+    found = spark.read.parquet(path).schema
+    fields = [
+        T.StructField(f.name, T.TimestampType() if isinstance(f.dataType, T.TimestampNTZType) else f.dataType, f.nullable)
+        for f in found.fields
+    ]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
+
+
 def read_if_present(spark: SparkSession, path: str, schema=None, merge: bool = False) -> DataFrame | None:
     """The Parquet table, or None when the path does not exist yet."""
     reader = spark.read if schema is None else spark.read.schema(schema)

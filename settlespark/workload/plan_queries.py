@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from settlespark import constants as K
-from settlespark.functions import clock, values
+from settlespark.functions import clock
 from settlespark.operators import risk, scoring, timeline
 from settlespark.plans import day_ahead, dataset, history, logs, models
 from settlespark.session import shared_path
@@ -317,9 +317,7 @@ def hashed_scenarios(t):
 # --- streams ----------------------------------------------------------------------------
 
 def event_stream(t):
-    raw = t.spark.read.parquet(f"{t.dir}/events.parquet").schema
-    s = jobs.file_stream(t.spark, t.dir, raw, "events.parquet")
-    return s.withColumn("ts", clock.instant("ts"))
+    return jobs.file_stream(t.spark, t.dir, t.events.schema, "events.parquet")
 
 
 def finished(stream_query):

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from settlespark.functions import clock
 from settlespark.session import utc_session
+from settlespark.sources.tables import read_instants
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -25,8 +26,7 @@ class Tables:
         self.spark, self.dir = utc_session(spark), sf_dir.rstrip("/")
 
     def read(self, name: str) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
-        return df.withColumns({c: clock.instant(c) for c, t in df.dtypes if t == "timestamp_ntz"})
+        return read_instants(self.spark, f"{self.dir}/{name}.parquet")
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):

@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from settlespark.functions import clock
-from settlespark.operators import relations as rel, risk, series, timeline
-from settlespark.workload.registry import COMPONENTS, HH, day, day_start, local, out, period, query
+from settlespark.operators import relations as rel, risk, series
+from settlespark.workload.registry import COMPONENTS, HH, day, out, period, query
 
 
 @query("lag_features", f"""

@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from settlespark.errors import GuardError
-from settlespark.functions import clock
 from settlespark.operators import blocks, point_in_time as pit, series
 
 
@@ -70,6 +69,13 @@ def test_asof_join_is_the_same_under_any_partitioning(spark):
     assert {"v", "v_right"} <= set(runs[0].columns)
 
 
+def test_asof_join_keeps_rows_without_time_or_match(frame):
+    left = frame([("a", None, 1), ("a", "2026-01-01 00:00:00", 2), ("z", "2026-01-05 00:00:00", 3)], "k string, t string, id int", ["t"])
+    right = frame([("a", "2026-01-02 00:00:00", 5.0), ("a", None, 6.0)], "k string, pub string, v double", ["pub"])
+    got = pit.asof_join(left, right, "t", "pub", ["k"]).orderBy("id").collect()
+    assert [(r.id, r.v) for r in got] == [(1, None), (2, None), (3, None)]
+
+
 def test_fit_block_narrows_until_it_fits(spark):
     df = spark.createDataFrame(sample())
     assert blocks.fit_block(df, ["k"], "t") == blocks.WIDTHS[0]
@@ -178,4 +184,3 @@ def test_boundary_row_repeats_the_last(frame):
     df = frame([("a", "2026-01-01 00:00:00", 1.0), ("a", "2026-01-01 01:00:00", 2.0)], "k string, t string, v double", ["t"])
     got = series.carry_to_boundary(df, ["k"], "t", F.lit("2026-01-01 02:00:00").cast("timestamp")).orderBy("t").collect()
     assert [r.v for r in got] == [1.0, 2.0, 2.0] and got[-1].t.hour == 2
-    assert clock is not None

@@ -139,7 +139,8 @@ def test_tables_by_suffix_and_empty_refusal(spark, frame, tmp_path):
 
 def test_preset_window_needs_both_dates(frame):
     recs = src.records(frame([('[{"settlement_date": "2026-01-01", "x": 1}]',)], "payload string"))
-    assert collect.preset_source(recs, "inertia_cost", "2026-01-01", "2026-01-02").count() == 1
+    row = collect.preset_source(recs, "inertia_cost", "2026-01-01", "2026-01-02").first()
+    assert row.x == "1" and str(row.settlement_date) == "2026-01-01 00:00:00"
     with pytest.raises(ValueError):
         collect.preset_source(recs, "inertia_cost", "2026-01-01")
     with pytest.raises(GuardError):
