@@ -111,22 +111,24 @@ def timestamp_lags(
     lag. ``(keys, ts)`` must be unique; use ``require_unique`` where that is not given.
     """
     keys = list(keys)
-    row = F.struct(*[F.col(c) for c in df.columns if c not in keys])
+    rest = [c for c in df.columns if c not in keys]
+    row = F.struct(*[F.col(c) for c in rest])
     home = F.struct(
-        clock.instant(ts).alias("t"), row.alias("row"),
+        clock.instant(ts).alias("t"), F.lit(True).alias("home"), row.alias("row"),
         *[F.lit(None).cast("double").alias(n) for n in lags],
     )
     visits = [
         F.struct(
-            clock.add_seconds(ts, s).alias("t"), F.when(F.lit(False), row).alias("row"),
+            clock.add_seconds(ts, s).alias("t"), F.lit(False).alias("home"), F.when(F.lit(False), row).alias("row"),
             *[(F.col(value) if m == n else F.lit(None)).cast("double").alias(m) for m in lags],
         )
         for n, s in lags.items()
     ]
     spread = df.select(*keys, F.explode(F.array(home, *visits)).alias("_x"))
+    # Column by column, so that numeric rows are aggregated by hash and need no sort.
     folded = spread.groupBy(*keys, F.col("_x.t").alias("_t")).agg(
-        F.any_value(F.col("_x.row"), True).alias("_row"),
+        F.bool_or("_x.home").alias("_home"),
+        *[F.any_value(F.col(f"_x.row.{c}"), True).alias(c) for c in rest],
         *[F.max(F.col(f"_x.{n}")).alias(n) for n in lags],
     )
-    back = [c if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns]
-    return folded.where(F.col("_row").isNotNull()).select(*back, *lags)
+    return folded.where("_home").select(*df.columns, *lags)
