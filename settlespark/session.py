@@ -9,9 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def utc_session(spark: SparkSession) -> SparkSession:
-    """Pin the session to UTC: instants are stored and compared in UTC only."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """Pin the session to UTC: instants are stored and compared in UTC only.
+
+    HotSpot never compiles a method above 8,000 bytecodes. Wide parsing projections exceed
+    that as one generated stage and then run interpreted, several times slower; with the
+    limit Spark generates such stages operator by operator instead.
+    """
+    for name, value in (("spark.sql.session.timeZone", "UTC"), ("spark.sql.codegen.hugeMethodLimit", "8000")):
+        if spark.conf.get(name, None) != value:
+            spark.conf.set(name, value)
     return spark
 
 
