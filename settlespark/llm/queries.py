@@ -4,10 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from settlespark.llm import decontaminate, simhash
+from settlespark.llm import decontaminate, oracles, sharding, simhash, toxicity, warc
 from settlespark.llm.common import table
 
 
+SHARD_SEED = 20240229
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.withColumn("n_toxic_words", F.size("spans")).drop("spans")
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shards(table(spark, sf_dir, "documents"), seed=SHARD_SEED)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.withColumnRenamed("id", "doc_id").drop("digest")
@@ -18,5 +31,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op4_decontamination, op6_simhash)}
-ORACLES: dict[str, str] = {}
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archived(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_sharding, op4_decontamination, op6_simhash, op7_warc)}
+ORACLES = {"op3_sharding": oracles.sharding(SHARD_SEED), "op4_decontamination": oracles.DECONTAMINATION, "op7_warc": oracles.WARC}
