@@ -18,10 +18,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n\r\n"
 
 
-def sha1_base32(payload: Column) -> Column:
-    """SHA-1 of a text's UTF-8 in upper-case base32: five hex digits make four letters."""
-    digits = F.sha1(payload.cast("binary"))
-
+def base32(digits: Column) -> Column:
+    """Forty hex digits in upper-case base32: five digits make four letters."""
     def letter(i: Column) -> Column:
         five = F.conv(F.substring(digits, F.floor(i / 4).cast("int") * 5 + 1, F.lit(5)), 16, 10).cast("int")
         return F.substring(F.lit(ALPHABET), F.floor(five / F.pow(F.lit(2), 15 - i % 4 * 5)).cast("int") % 32 + 1, F.lit(1))
@@ -31,7 +29,7 @@ def sha1_base32(payload: Column) -> Column:
 
 
 def resolved(pages: DataFrame, id_col: str, url_col: str, payload_col: str, min_bytes: int = 0) -> DataFrame:
-    """``(page_id, url, payload, size, digest, first_id)``; ``first_id`` is the response that a revisit repeats, else null.
+    """``(page_id, url, payload, size, digest, first_id)``, the digest in hex; ``first_id`` is the response that a revisit repeats, else null.
 
     Headers alone are folded by digest, before and after the shuffle, to the least id of each
     payload; each record then meets the original of its digest. Rows that share the least id
@@ -39,7 +37,7 @@ def resolved(pages: DataFrame, id_col: str, url_col: str, payload_col: str, min_
     """
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"),
-                        F.octet_length(payload).cast("long").alias("size"), sha1_base32(payload).alias("digest"))
+                        F.octet_length(payload).cast("long").alias("size"), F.sha1(payload.cast("binary")).alias("digest"))
     originals = rows.groupBy("digest").agg(F.min("page_id").alias("original"))
     repeats = (F.col("size") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("original"))
     return rows.join(originals, "digest").select("page_id", "url", "payload", "size", "digest", F.when(repeats, F.col("original")).alias("first_id"))
@@ -63,7 +61,7 @@ def records(rows: DataFrame, date: str) -> DataFrame:
     head = F.concat_ws(
         "", F.lit("WARC/1.1\r\n"), line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
         line("WARC-Record-ID", _record_id(F.col("page_id"), digest)), line("WARC-Date", F.lit(date)),
-        line("WARC-Target-URI", F.regexp_replace("url", "[\\x00-\\x20\\x7F]", "%20")), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest)),
+        line("WARC-Target-URI", F.regexp_replace("url", "[\\x00-\\x20\\x7F]", "%20")), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(digest))),
         F.when(revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", _record_id(F.col("first_id"), digest)))),
         line("X-Page-ID", F.col("page_id").cast("string")), line("Content-Type", F.lit("application/http;msgtype=response")),
         line("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"))
