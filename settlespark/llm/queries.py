@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from settlespark.llm import decontaminate, oracles, sharding, simhash, toxicity, warc
+from settlespark.llm import content, decontaminate, nbsvm, oracles, sharding, simhash, toxicity, warc
 from settlespark.llm.common import table
 
 
@@ -36,5 +36,13 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_sharding, op4_decontamination, op6_simhash, op7_warc)}
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbsvm.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return content.extracted(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_sharding, op4_decontamination, op6_simhash, op7_warc, op8_quality_classifier, op9_html_extraction)}
 ORACLES = {"op3_sharding": oracles.sharding(SHARD_SEED), "op4_decontamination": oracles.DECONTAMINATION, "op7_warc": oracles.WARC}

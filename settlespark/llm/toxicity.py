@@ -9,9 +9,9 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from settlespark.llm.common import batches_of, broadcast_if_small, column_texts
+from settlespark.llm.common import batches_of, column_texts, held_out, labelled
 from settlespark.session import durable
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -180,18 +180,6 @@ class Tagger:
                 yield most, float(np.log1p(total)), total / len(p), hit
 
 
-def held_out(id_col: Column, folds: int, fold: int) -> Column:
-    """Whether the checksum of the id as text falls in the fold; a null id counts as an empty text."""
-    return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % folds == fold
-
-
-def labelled(docs: DataFrame, labels: DataFrame, label: str, keep: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(text, label)`` of rows that ``keep`` and that have a label; of repeated labels the largest counts."""
-    marks = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label).cast("int").alias("label"))
-    rows = docs.where(keep).select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return durable(rows.join(broadcast_if_small(marks, labels.count(), 500_000), "__id").select("text", "label"))
-
-
 def _counts(rows: DataFrame, only: dict | None = None) -> DataFrame:
     """``(feature, n)``: in how many texts a feature occurs, of those in ``only`` if given."""
     def run(batches):
