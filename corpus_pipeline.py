@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from settlespark.llm import decontaminate, simhash
+from settlespark.llm import decontaminate, mixing, sharding, simhash, toxicity
 from settlespark.llm.common import table
 from settlespark.session import durable
 
 
+def toxic_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go."""
+    return toxicity.clean(docs, table(spark, sf_dir, "labels"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
     return simhash.keep_one(docs)
@@ -19,8 +24,20 @@ def benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("near_duplicates", near_duplicates), ("benchmark_text", benchmark_text)]
-ORACLE_SQL = None
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are drawn so that sources, languages and topics have their target shares of tokens."""
+    return mixing.sampled(docs)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, with its size and checksum."""
+    return sharding.shards(docs).withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int")).select(
+        "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+STAGES = [("toxicity", toxic_text), ("near_duplicates", near_duplicates), ("decontamination", benchmark_text),
+          ("mixing", mixture), ("sharding", shards)]
+ORACLE_SQL = None  # the first stage fits a model
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,3 +64,62 @@ w AS (SELECT doc_id, size, text_crc32, total, a, b, {permuted('x')} AS place FRO
   UNION ALL SELECT doc_id, size, text_crc32, total, a, b, {permuted('place')} FROM w WHERE place >= total)
 SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(place % {count} AS INTEGER) AS shard, place // {count} AS slot, CAST(NULL AS INTEGER) AS grown_shard
 FROM w WHERE place < total"""
+
+
+def mixing(powers: dict[str, float], seed: int, rounds: int = 25) -> str:
+    dims = list(powers)
+    ws = r"[\x20\x09-\x0D]+"
+
+    def often(pattern: str, share: float) -> str:
+        return f"len(regexp_extract_all(t, '{pattern}')) > {share} * tokens"
+
+    chain, last = [], "c0"
+    for i in range(rounds):
+        for d in dims:
+            name = f"c{i}_{d}"
+            chain.append(f"{name} AS (SELECT * REPLACE (w * t_{d} * total / sum(w) OVER (PARTITION BY {d}) AS w) FROM {last})")
+            last = name
+    goals = ", ".join(f"g_{d} AS (SELECT {d}, p / sum(p) OVER () AS t_{d} FROM (SELECT {d}, pow(sum(tokens), {p}) AS p FROM cells GROUP BY {d}))" for d, p in powers.items())
+    joins = " ".join(f"JOIN g_{d} USING ({d})" for d in dims)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS t,
+  CAST(greatest(1, len(list_filter(string_split_regex(coalesce(text, ''), '{ws}'), lambda x: x <> ''))) AS BIGINT) AS tokens FROM documents),
+e AS (SELECT * EXCLUDE (t), CASE WHEN {often('[|]', 0.2)} THEN 'table' WHEN {often('[#*$%&<>]', 0.3)} THEN 'markup' WHEN {often('[A-Z]{2}', 0.5)} THEN 'loud'
+  WHEN tokens < 50 THEN 'note' ELSE 'prose' END AS topic FROM d),
+cells AS (SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) AS tokens FROM e GROUP BY ALL), {goals},
+c0 AS (SELECT cells.*, tokens AS w, sum(tokens) OVER () AS total, {', '.join(f't_{d}' for d in dims)} FROM cells {joins}),
+{', '.join(chain)},
+r AS (SELECT source, lang, topic, w / tokens / max(w / tokens) OVER () AS rate FROM {last})
+SELECT doc_id, source, lang, topic, e.tokens, round(rate, 6) AS rate,
+  CAST('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / 4503599627370496.0 < rate AS selected
+FROM e JOIN r USING (source, lang, topic)"""
+
+
+def quality_rules(rules: dict, max_false: float = 0.05, error: float = 0.05) -> str:
+    risk, ws = max_false / len(rules), r"[\x20\x09-\x0D]+"
+    grid = " UNION ALL ".join(f"SELECT '{name}' AS rule, unnest([{', '.join(map(str, cuts))}]) AS cut" for name, (_, cuts) in rules.items())
+    values = " UNION ALL ".join(
+        f"SELECT k, '{name}' AS rule, CASE WHEN {v.split(' / ')[1]} = 0 THEN 0 ELSE {v.split(' / ')[0]} / {v.split(' / ')[1]} END AS value FROM m" for name, (v, _) in rules.items())
+    return f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS k, coalesce(lang, '') AS stratum, coalesce(text, '') AS t,
+  list_filter(string_split_regex(coalesce(text, ''), '{ws}'), lambda x: x <> '') AS w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
+g AS (SELECT k, i, array_to_string(w[i : i + 4], ' ') AS gram FROM (SELECT k, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) > 4)),
+rep AS (SELECT k, count(DISTINCT p) AS n FROM (SELECT k, unnest(range(i, i + 5)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY k, gram) AS c FROM g) WHERE c > 1) GROUP BY k),
+m AS (SELECT doc_id, k, stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+  CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, len(l) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, len(regexp_extract_all(t, '[A-Z]')) AS n_capitals,
+  len(list_filter(w, lambda x, i: i > 1 AND x = w[i - 1])) AS n_stutter,
+  len(w) < 10 OR 100 * coalesce(rep.n, 0) > 20 * len(w) AS base_failed FROM d LEFT JOIN rep USING (k)),
+v AS ({values}), grid AS ({grid}),
+q AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+h AS (SELECT stratum, k, quality FROM m JOIN q USING (doc_id) WHERE NOT base_failed),
+good AS (SELECT stratum, sum((quality = 1)::INT) AS n FROM h GROUP BY stratum),
+tests AS (SELECT count(*) * {len(rules)} AS m FROM good),
+curve AS (SELECT stratum, rule, cut, sum((quality = 1)::INT) AS gr, sum((quality <> 1)::INT) AS br FROM h JOIN v USING (k) JOIN grid USING (rule) WHERE value > cut GROUP BY ALL),
+sure AS (SELECT curve.*, n, (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({risk}) + (n - i) * ln(1 - {risk}))) FROM unnest(range(0, CAST(gr AS BIGINT) + 1)) u(i)) AS p
+  FROM curve JOIN good USING (stratum)),
+best AS (SELECT stratum, rule, max_by(cut, (br - gr) * 1000 + cut) AS cut FROM sure, tests WHERE p <= {error} / m AND br > gr GROUP BY ALL),
+bad AS (SELECT k, string_agg(rule, ',' ORDER BY rule) AS failed FROM m JOIN v USING (k) JOIN best USING (stratum, rule) WHERE value > cut GROUP BY k)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed IS NULL AS kept, coalesce(failed, '') AS failed_rules
+FROM m LEFT JOIN bad USING (k)"""
