@@ -130,8 +130,8 @@ def date_text(c) -> Column:
     return F.date_format(col(c).cast("date"), "yyyy-MM-dd")
 
 
-def duration_minutes(text) -> Column:
-    """Minutes of ``PT..H..M``; any other text is an error."""
+def duration_minutes(text, strict: bool = True) -> Column:
+    """Minutes of ``PT..H..M``; any other text is an error, or null without ``strict``."""
     t = col(text)
     def part(unit):
         # A leading zero makes an absent part read as zero, without a failed cast.
@@ -141,7 +141,7 @@ def duration_minutes(text) -> Column:
     return (
         F.when(t.isNull(), F.lit(None).cast("int"))
         .when(readable, total)
-        .otherwise(F.raise_error(F.concat(F.lit("unsupported duration "), t)).cast("int"))
+        .otherwise((F.raise_error(F.concat(F.lit("unsupported duration "), t)) if strict else F.lit(None)).cast("int"))
     )
 
 

@@ -108,8 +108,10 @@ def timestamp_lags(
 
     Each row is sent to its own time and to each later time that needs it, and one
     aggregation brings them together: one scan and one shuffle instead of a self-join per
-    lag. ``(keys, ts)`` must be unique; use ``require_unique`` where that is not given.
+    lag. A repeated ``(keys, ts)`` is an error. Rows without a time are kept and have no lags.
     """
+    untimed = df.where(clock.instant(ts).isNull()).select("*", *[F.lit(None).cast("double").alias(n) for n in lags])
+    df = df.where(clock.instant(ts).isNotNull())
     keys = list(keys)
     rest = [c for c in df.columns if c not in keys]
     row = F.struct(*[F.col(c) for c in rest])
@@ -127,8 +129,10 @@ def timestamp_lags(
     spread = df.select(*keys, F.explode(F.array(home, *visits)).alias("_x"))
     # Column by column, so that numeric rows are aggregated by hash and need no sort.
     folded = spread.groupBy(*keys, F.col("_x.t").alias("_t")).agg(
-        F.bool_or("_x.home").alias("_home"),
+        F.count_if("_x.home").alias("_home"),
         *[F.any_value(F.col(f"_x.row.{c}"), True).alias(c) for c in rest],
         *[F.max(F.col(f"_x.{n}")).alias(n) for n in lags],
     )
-    return folded.where("_home").select(*df.columns, *lags)
+    repeated = F.raise_error(F.concat(F.lit(f"repeated {ts}: "), F.col("_t").cast("string"))).cast("boolean")
+    once = F.when(F.col("_home") > 1, repeated).otherwise(F.col("_home") == 1)
+    return folded.where(once).select(*df.columns, *lags).unionByName(untimed)

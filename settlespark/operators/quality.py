@@ -53,10 +53,10 @@ def require_no_nulls(df: DataFrame, columns: Sequence[str], label: str = "table"
 
 
 def physical_bounds(df: DataFrame, components: Sequence[str], signed=frozenset(K.SIGNED_COMPONENTS)) -> DataFrame:
-    """Clip components that cannot be negative; a null component is an error."""
+    """Clip components that cannot be negative; a null or NaN component is an error."""
     def bounded(c):
         gap = F.raise_error(F.lit(f"component forecast has nulls: {c}")).cast("double")
-        return F.coalesce(non_negative(c), gap)
+        return F.coalesce(non_negative(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))), gap)
     return df.withColumns({c: bounded(c) for c in components if c in df.columns and c not in signed})
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from settlespark.errors import GuardError, need_columns
 from settlespark.functions.values import row_sum
@@ -89,21 +89,28 @@ def sum_by_category(
 ) -> DataFrame:
     """One summed column per category, with the categories stated up front.
 
-    A stated list keeps the schema stable and spares the job that would look them up.
+    A stated list keeps the schema stable and spares the job that would look them up. A row
+    of a category that is not listed is an error that names it; rows without one are left out.
     """
     sums = [
-        F.sum(F.when(F.col(category) == c, F.col(value))).alias(name.format(c)) for c in categories
+        listed_only(category, categories, F.sum(F.when(F.col(category) == c, F.col(value)))).alias(name.format(c)) for c in categories
     ]
     wide = df.groupBy(*keys).agg(*sums)
     return wide if fill is None else wide.fillna(fill, [name.format(c) for c in categories])
 
 
-def distinct_categories(df: DataFrame, category: str, limit: int = 1000) -> list[str]:
-    """Category values for a pivot; refuses columns that are not categories."""
-    found = df.select(category).where(F.col(category).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(found) > limit:
-        raise GuardError(f"{category} has more than {limit} values")
-    return sorted(r[0] for r in found)
+def listed_only(category: str, categories: Sequence[str], aggregate: Column) -> Column:
+    """``aggregate``, or an error if the group holds a category that is not listed."""
+    known = F.col(category).isin(list(categories)) if categories else F.lit(False)
+    other = F.max(F.when(~known, F.col(category).cast("string")))
+    message = F.concat(F.lit(f"{category} not among the listed ones: "), other)
+    # Cast as the aggregate: null of its type where the error is, never reached otherwise.
+    return F.when(other.isNull(), aggregate).otherwise(F.when(F.raise_error(message).cast("boolean"), aggregate))
+
+
+def distinct_categories(df: DataFrame, category: str) -> list[str]:
+    """Category values for a pivot. Each becomes a column, so their number is the table's width."""
+    return sorted(r[0] for r in df.select(category).where(F.col(category).isNotNull()).distinct().toLocalIterator())
 
 
 def signed_by_technology(

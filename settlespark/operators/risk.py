@@ -88,7 +88,7 @@ def daily_distribution(
     centre = quantiles.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("period_count"),
         F.min("p50").alias("p50_daily_min_gbp_mwh"), F.max("p50").alias("p50_daily_max_gbp_mwh"),
-        F.avg("p50").alias("p50_daily_mean_gbp_mwh"),
+        F.avg(F.col("p50").cast("decimal(38,12)")).cast("double").alias("p50_daily_mean_gbp_mwh"),
         F.max("negative_probability").alias("maximum_period_negative_probability"),
     )
     named = {

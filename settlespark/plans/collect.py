@@ -12,14 +12,16 @@ from settlespark.functions import clock
 from settlespark.functions.values import row_sum
 from settlespark.operators.point_in_time import last_by
 from settlespark.operators.quality import require_no_nulls, trim_window
-from settlespark.operators.relations import sum_by_category
+from settlespark.operators.relations import listed_only
+from settlespark.session import durable
 from settlespark.sources import documents, records as src
 from settlespark.sources.tables import write_table
 
 
 def combined(df: DataFrame, key: Sequence[str], order: Sequence[str], first: str, end: str, label: str) -> DataFrame:
     """Last row per key over all chunks, inside the ``[first, end)`` settlement window."""
-    kept = last_by(df, key, order)
+    # Landed first: the window is counted and written from what was parsed once.
+    kept = durable(last_by(df, key, order))
     return trim_window(kept, "timestamp", clock.day_start(F.lit(first)), clock.day_start(F.lit(end)), label=label)
 
 
@@ -28,26 +30,20 @@ def core_sources(
 ) -> dict[str, str]:
     """Prices, demand, fuel mix and interconnectors from landed payloads to four tables.
 
-    ``landed`` has ``source``, ``landed_date`` and ``payload``; chunks that overlap are
-    resolved by landing date.
+    ``landed`` has ``source``, ``landed_date`` and ``payload``, and may have ``chunk``. Records
+    of one fuel or link are summed within a chunk; of chunks that hold the same time, the
+    last by landing date and then by ``chunk``, or a hash of the payload, gives all its columns.
     """
-    order = ["landed_date"]
+    order = ["landed_date", "chunk"]
+    if "chunk" not in landed.columns:
+        landed = landed.withColumn("chunk", F.xxhash64("payload"))
     def recs(name):
         return src.records(landed.where(F.col("source") == name), keep=order)
-    long_fuel = last_by(src.fuel_long(recs("fuel"), order), ["timestamp", "fuel_type"], order)
-    long_link = last_by(src.interconnector_long(recs("interconnectors"), order), ["timestamp", "interconnector"], order)
-
-    fuel = sum_by_category(long_fuel, ["timestamp"], "fuel_type", "generation_mw", [f.lower() for f in fuels], "fuel_{}_mw")
-    names = [n.lower() for n in links]
-    link = sum_by_category(long_link, ["timestamp"], "interconnector", "flow_mw", names, "interconnector_{}_mw")
-    link = link.withColumn("net_import_mw", row_sum([f"interconnector_{n}_mw" for n in names]))
-    a, z = clock.day_start(F.lit(first)), clock.day_start(F.lit(end))
-    tables = {
-        "price": combined(src.market_index(recs("price"), order), ["timestamp"], order, first, end, "price").drop(*order),
-        "demand": combined(src.demand(recs("demand"), order), ["timestamp"], order, first, end, "demand").drop(*order),
-        "fuel": trim_window(fuel, "timestamp", a, z, label="fuel"),
-        "interconnectors": trim_window(link, "timestamp", a, z, label="interconnectors"),
+    parsed = {
+        "price": src.market_index(recs("price"), order), "demand": src.demand(recs("demand"), order),
+        "fuel": src.fuel_mix(recs("fuel"), fuels, order), "interconnectors": src.interconnectors(recs("interconnectors"), links, order),
     }
+    tables = {name: combined(df, ["timestamp"], order, first, end, name).drop(*order) for name, df in parsed.items()}
     return {n: write_table(df, f"{output}/{n}", refuse_empty=False) for n, df in tables.items()}
 
 
@@ -74,7 +70,7 @@ def preset_source(recs: DataFrame, name: str, first: str | None = None, end: str
     if (first is None) != (end is None):
         raise ValueError("give both window dates or neither")
     kept = recs if first is None else src.in_date_window(recs, first, end)
-    out = src.preset_reader(name)(kept)
+    out = durable(src.preset_reader(name)(kept))
     if out.isEmpty():
         raise GuardError(f"no records for {name}")
     return out
@@ -83,17 +79,18 @@ def preset_source(recs: DataFrame, name: str, first: str | None = None, end: str
 def neighbour_prices(docs: DataFrame, borders: Sequence[str], border: str = "border") -> DataFrame:
     """Day-ahead price and publication time per border, one row per half-hour.
 
-    A document that refuses or fails yields no rows; see ``item_status``.
+    A document that refuses or fails yields no rows; see ``item_status``. A border that is not
+    listed is an error.
     """
     points = documents.timeseries_points(docs, "price.amount", "price_eur_mwh", keep=[border], strict=False)
     half = documents.to_half_hourly(points, "price_eur_mwh", domains=[border], order=["published_at_utc"])
     cells = [
         cell for b in borders for cell in (
-            F.max(F.when(F.col(border) == b, F.col("price_eur_mwh"))).alias(f"{b}_day_ahead_price_eur_mwh"),
-            F.max(F.when(F.col(border) == b, F.col("published_at_utc"))).alias(f"{b}_price_published_at_utc"),
+            listed_only(border, borders, F.max(F.when(F.col(border) == b, F.col("price_eur_mwh")))).alias(f"{b}_day_ahead_price_eur_mwh"),
+            listed_only(border, borders, F.max(F.when(F.col(border) == b, F.col("published_at_utc")))).alias(f"{b}_price_published_at_utc"),
         )
     ]
-    return half.where(F.col(border).isin(list(borders))).groupBy("timestamp").agg(*cells)
+    return half.groupBy("timestamp").agg(*cells)
 
 
 def border_flows(
@@ -108,9 +105,9 @@ def border_flows(
     points = documents.timeseries_points(docs, "quantity", "flow_mw", keep=[border, direction], strict=False)
     half = documents.to_half_hourly(points, "flow_mw", domains=[border, direction], order=["published_at_utc"])
     def cell(b, d):
-        return F.coalesce(F.max(F.when((F.col(border) == b) & (F.col(direction) == d), F.col("flow_mw"))), F.lit(0.0))
+        return F.coalesce(listed_only(border, borders, F.max(F.when((F.col(border) == b) & (F.col(direction) == d), F.col("flow_mw")))), F.lit(0.0))
     cells = [cell(b, d).alias(f"{b}{suffix}_{n}_mw") for b in borders for d, n in (("in", "import"), ("out", "export"))]
-    wide = half.where(F.col(border).isin(list(borders))).groupBy("timestamp").agg(*cells)
+    wide = half.groupBy("timestamp").agg(*cells)
     nets = {f"{b}{suffix}_net_import_mw": F.col(f"{b}{suffix}_import_mw") - F.col(f"{b}{suffix}_export_mw") for b in borders}
     return wide.withColumns(nets).withColumn(out, row_sum(list(nets), null_as_zero=True))
 

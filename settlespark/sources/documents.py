@@ -10,6 +10,7 @@ from settlespark.functions import clock, values
 from settlespark.operators.series import to_half_hourly
 
 VALUE_FIELDS = ["price.amount", "quantity"]
+STEPS = (15, 30, 60)  # minutes that become half-hours
 SCHEMA = """
 createdDateTime string,
 TimeSeries array<struct<
@@ -38,17 +39,27 @@ def _reason(doc: Column) -> Column:
     return F.concat_ws(": ", F.nullif(codes, F.lit("")), F.coalesce(F.nullif(texts, F.lit("")), F.lit("acknowledgement document")))
 
 
+def _fault(doc: Column) -> Column:
+    """Why the points of a document cannot be read: a step that is no half-hour's, or a position that is no number."""
+    periods = F.flatten(F.transform(doc["TimeSeries"], lambda s: s["Period"]))
+    read = F.filter(periods, lambda p: p["timeInterval"]["start"].isNotNull() & p["resolution"].isNotNull())
+    steps = F.filter(F.transform(read, lambda p: p["resolution"]), lambda r: ~F.coalesce(clock.duration_minutes(r, strict=False).isin(*STEPS), F.lit(False)))
+    places = F.filter(F.flatten(F.transform(read, lambda p: p["Point"])), lambda x: x["position"].isNotNull() & x["position"].try_cast("int").isNull())
+    return F.when(F.size(steps) > 0, F.concat(F.lit("unsupported step "), steps[0])).when(
+        F.size(places) > 0, F.concat(F.lit("unreadable position "), places[0]["position"]))
+
+
 def document_status(docs: DataFrame, xml: str = "xml") -> DataFrame:
     """Classify documents without failing: success, no_rows, unavailable or failed."""
-    d = docs.withColumn("_d", _doc(xml))
+    d = docs.withColumn("_d", _doc(xml)).withColumn("_f", _fault(F.col("_d")))
     series = F.coalesce(F.size(F.col("_d.TimeSeries")), F.lit(0))
     blank = F.col("_d.createdDateTime").isNull() & (series <= 0) & F.col("_d.Reason").isNull()
     status = (
-        F.when(_acknowledged(xml), "unavailable").when(blank, "failed")
+        F.when(_acknowledged(xml), "unavailable").when(blank | F.col("_f").isNotNull(), "failed")
         .when(series <= 0, "no_rows").otherwise("success")
     )
-    message = F.when(_acknowledged(xml), values.redacted(_reason(F.col("_d"))))
-    return d.withColumns({"status": status, "message": message}).drop("_d")
+    message = F.when(_acknowledged(xml), values.redacted(_reason(F.col("_d")))).otherwise(values.redacted("_f"))
+    return d.withColumns({"status": status, "message": message}).drop("_d", "_f")
 
 
 def timeseries_points(
@@ -57,12 +68,15 @@ def timeseries_points(
     """Points as ``start + (position - 1) * resolution``.
 
     Points without position or value are skipped. With ``strict`` an acknowledgement
-    document is an error that carries its reason; otherwise it yields no rows.
+    document is an error that carries its reason, and so is an odd step or position;
+    otherwise such a document yields no rows and hides no other one, see ``document_status``.
     """
     d = docs.select(*keep, F.col(xml), _doc(xml).alias("d"))
     if strict:
         refusal = F.raise_error(F.concat(F.lit("source refused: "), _reason(F.col("d")))).cast("boolean")
         d = d.where(F.when(_acknowledged(xml), refusal).otherwise(True))
+    else:
+        d = d.where(_fault(F.col("d")).isNull())
     # An outer explode: the inner one would add a size filter that parses every text twice.
     series = d.select(
         *keep, F.col("d.createdDateTime").alias("_made"), F.explode_outer("d.TimeSeries").alias("s")
@@ -81,14 +95,14 @@ def timeseries_points(
     timed = periods.where("p.timeInterval.start is not null and p.resolution is not null").select(
         *keep, *labels, clock.parse_instant("_made").alias("published_at_utc"),
         F.unix_micros(clock.parse_instant("p.timeInterval.start")).alias("_start"),
-        clock.duration_minutes("p.resolution").alias("resolution_minutes"), F.explode_outer("p.Point").alias("pt"),
+        clock.duration_minutes("p.resolution", strict).alias("resolution_minutes"), F.explode_outer("p.Point").alias("pt"),
     )
     value = F.col(f"pt.`{value_field}`")
     step = F.col("resolution_minutes").cast("long") * 60_000_000
     return (
         timed.where(F.col("pt.position").isNotNull() & value.isNotNull())
         .select(
-            *keep, F.timestamp_micros(F.col("_start") + (F.col("pt.position").cast("int") - 1) * step).alias("timestamp"),
+            *keep, F.timestamp_micros(F.col("_start") + ((F.col("pt.position").cast("int") if strict else F.col("pt.position").try_cast("int")) - 1) * step).alias("timestamp"),
             values.number(value).alias(out), "resolution_minutes", "published_at_utc", *labels,
         )
         .dropna(subset=["timestamp", out])

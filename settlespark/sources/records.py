@@ -15,7 +15,7 @@ from settlespark.constants import PRICE_PROVIDER
 from settlespark.errors import MissingColumns
 from settlespark.functions import clock, values
 from settlespark.operators.point_in_time import last_by
-from settlespark.operators.relations import distinct_categories, sum_by_category
+from settlespark.operators.relations import distinct_categories, listed_only, sum_by_category
 
 # Places where a payload may hold its record list, most direct first.
 RECORD_PATHS = ["$", "$.data", "$.data.records", "$.records", "$.records.records", "$.result", "$.result.records"]
@@ -53,20 +53,37 @@ FIELDS = {
 TIME_COLUMNS = ["timestamp", "datetime", "forecast_datetime", "settlement_date", "date"]
 
 
-def records(payloads: DataFrame, payload: str = "payload", keep: Sequence[str] = ()) -> DataFrame:
-    """One row per record: ``keep`` columns and a ``rec`` map. No record list is an error."""
+def records(payloads: DataFrame, payload: str = "payload", keep: Sequence[str] = (), strict: bool = True) -> DataFrame:
+    """One row per record: ``keep`` columns and a ``rec`` map.
+
+    With ``strict`` a payload that is no JSON or has no record list is an error; otherwise it
+    yields no rows, and ``payload_status`` tells why.
+    """
     # Parsed once as a column of its own: every path below reads the same document.
-    parsed = payloads.select(*keep, F.parse_json(payload).alias("_doc"))
-    found = F.coalesce(
-        *[F.try_variant_get("_doc", p, RECORDS) for p in RECORD_PATHS],
-        F.raise_error(F.lit("payload holds no record list")).cast(RECORDS),
-    )
+    parse = F.parse_json if strict else F.try_parse_json
+    parsed = payloads.select(*keep, parse(payload).alias("_doc"))
+    found = _record_list("_doc")
+    if strict:
+        found = F.coalesce(found, F.raise_error(F.lit("payload holds no record list")).cast(RECORDS))
     # Names are made plain inside the array, before rows multiply and filters copy the map.
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ -", "abcdefghijklmnopqrstuvwxyz__"
     plain = F.transform(found, lambda r: F.transform_keys(r, lambda k, v: F.translate(F.trim(k), upper, lower)))
     return parsed.select(*keep, F.explode(plain).alias("rec"))
 
 
+def _record_list(doc: str) -> Column:
+    return F.coalesce(*[F.try_variant_get(doc, p, RECORDS) for p in RECORD_PATHS])
+
+
+def payload_status(payloads: DataFrame, payload: str = "payload") -> DataFrame:
+    """Adds ``status`` (success, no_rows or failed), ``message`` and ``record_count`` to each payload, without failing."""
+    d = payloads.withColumn("_doc", F.try_parse_json(payload))
+    d = d.withColumn("record_count", F.coalesce(F.size(_record_list("_doc")), F.lit(-1)).cast("long"))
+    message = F.when(F.col("_doc").isNull(), "payload is no JSON").when(F.col("record_count") < 0, "payload holds no record list")
+    status = F.when(message.isNotNull(), "failed").when(F.col("record_count") == 0, "no_rows").otherwise("success")
+    return d.withColumns({"status": status, "message": message}).withColumn("record_count", F.greatest("record_count", F.lit(0).cast("long"))).drop("_doc")
+
+
 def field(name: str) -> Column:
     """Text of a source field under any of its spellings."""
     return F.coalesce(*[F.col("rec")[a.lower()] for a in FIELDS[name]])
@@ -129,7 +146,7 @@ def fuel_long(recs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
 
 def fuel_mix(recs: DataFrame, fuels: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """Generation per fuel, one column each. A missing cell stays null."""
+    """Generation per fuel, one column each. A missing cell stays null, a fuel that is not listed is an error."""
     return sum_by_category(fuel_long(recs, keep), [*keep, "timestamp"], "fuel_type", "generation_mw",
                            [f.lower() for f in fuels], "fuel_{}_mw")
 
@@ -148,7 +165,7 @@ def interconnector_long(recs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
 
 def interconnectors(recs: DataFrame, names: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """Flow per interconnector and their sum, which is null only if all are null."""
+    """Flow per interconnector and their sum, which is null only if all are null. A link that is not listed is an error."""
     names = [n.lower() for n in names]
     wide = sum_by_category(interconnector_long(recs, keep), [*keep, "timestamp"], "interconnector", "flow_mw",
                            names, "interconnector_{}_mw")
@@ -207,7 +224,7 @@ def generic_table(df: DataFrame) -> DataFrame:
 def as_table(recs: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     """Records as columns of text, with the usual time columns read.
 
-    Without ``names`` the field names are looked up first; their number is bounded.
+    Without ``names`` the field names are looked up first.
     """
     names = names or distinct_categories(recs.select(F.explode(F.map_keys("rec")).alias("n")), "n")
     return generic_table(recs.select(*[F.col("rec")[n].alias(n) for n in names]))
@@ -243,8 +260,11 @@ def hourly_weather(payloads: DataFrame, variables: Sequence[str], site: str = "s
 
 
 def weather_wide(hours: DataFrame, sites: Sequence[str], variables: Sequence[str], site: str = "site") -> DataFrame:
-    """One column per site and variable. A single aggregation replaces a chain of joins."""
+    """One column per site and variable. A single aggregation replaces a chain of joins.
+
+    A site that is not listed is an error.
+    """
     cells = [
-        F.max(F.when(F.col(site) == s, F.col(v))).alias(f"{s}_{v}") for s in sites for v in variables
+        listed_only(site, sites, F.max(F.when(F.col(site) == s, F.col(v)))).alias(f"{s}_{v}") for s in sites for v in variables
     ]
     return hours.groupBy("timestamp").agg(*cells)

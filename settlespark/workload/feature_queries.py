@@ -103,14 +103,13 @@ def coerced_values(t):
 
 
 @query("row_sums", f"""
-WITH w AS (SELECT time_bucket(INTERVAL '30 minutes', ts) AS timestamp, sum(value) FILTER (event_type = 'click') AS a,
-  sum(value) FILTER (event_type = 'view') AS b FROM events GROUP BY 1)
-SELECT timestamp, round(CASE WHEN a IS NULL AND b IS NULL THEN NULL ELSE coalesce(a, 0) + coalesce(b, 0) END, 6) AS sum_or_null,
-  round(coalesce(a, 0) + coalesce(b, 0), 6) AS sum_zero_filled FROM w""")
+SELECT time_bucket(INTERVAL '30 minutes', ts) AS timestamp, round(sum(value) FILTER (event_type IN ('click', 'view')), 6) AS sum_or_null,
+  round(coalesce(sum(value) FILTER (event_type IN ('click', 'view')), 0), 6) AS sum_zero_filled, round(sum(value), 6) AS sum_of_all FROM events GROUP BY 1""")
 def row_sums(t):
     from settlespark.operators.relations import sum_by_category
-    w = sum_by_category(t.events.withColumn("timestamp", clock.half_hour("ts")), ["timestamp"], "event_type", "value", ["click", "view"])
-    return out(w.select("timestamp", values.row_sum(["click", "view"]).alias("sum_or_null"),
+    kinds = ["click", "view", "purchase", "signup", "error"]
+    w = sum_by_category(t.events.withColumn("timestamp", clock.half_hour("ts")), ["timestamp"], "event_type", "value", kinds)
+    return out(w.select("timestamp", values.row_sum(["click", "view"]).alias("sum_or_null"), values.row_sum(kinds).alias("sum_of_all"),
                         values.row_sum(["click", "view"], null_as_zero=True).alias("sum_zero_filled")))
 
 

@@ -8,6 +8,7 @@ from settlespark.plans import collect
 from settlespark.sources import documents, records as src
 from settlespark.workload.registry import day_start, out, query
 
+KINDS = ["click", "view", "purchase", "signup", "error"]
 # Delivery of an event in the source's terms: its date and one of 46 periods.
 SLOT = f"""SELECT *, CAST(ts AS DATE) AS d, event_id % 46 + 1 AS p, {day_start('CAST(ts AS DATE)')} + (event_id % 46) * INTERVAL '30 minutes' AS timestamp FROM events"""
 
@@ -42,11 +43,12 @@ def market_index(t):
 
 @query("fuel_mix", f"""
 SELECT timestamp, round(sum(value) FILTER (event_type = 'click'), 6) AS fuel_click_mw, round(sum(value) FILTER (event_type = 'view'), 6) AS fuel_view_mw,
-  round(sum(value) FILTER (event_type = 'purchase'), 6) AS fuel_purchase_mw FROM ({SLOT}) GROUP BY 1""")
+  round(sum(value) FILTER (event_type = 'purchase'), 6) AS fuel_purchase_mw,
+  round(sum(value) FILTER (event_type = 'signup'), 6) AS fuel_signup_mw, round(sum(value) FILTER (event_type = 'error'), 6) AS fuel_error_mw FROM ({SLOT}) GROUP BY 1""")
 def fuel_mix(t):
     rec = dated(fuelType=F.upper("event_type"), generation=F.col("value"))
     recs = src.records(slots(t).select(payload(rec, "").alias("payload")))
-    return out(src.fuel_mix(recs, ["CLICK", "VIEW", "PURCHASE"]))
+    return out(src.fuel_mix(recs, [k.upper() for k in KINDS]))
 
 
 @query("demand_outturn", """
@@ -59,12 +61,11 @@ def demand_outturn(t):
 
 
 @query("interconnector_flows", f"""
-SELECT timestamp, round(sum(value) FILTER (event_type = 'click'), 6) AS interconnector_click_mw, round(sum(value) FILTER (event_type = 'signup'), 6) AS interconnector_signup_mw,
-  round(sum(value) FILTER (event_type IN ('click', 'signup')), 6) AS net_import_mw FROM ({SLOT}) GROUP BY 1""")
+SELECT timestamp, {', '.join(f"round(sum(value) FILTER (event_type = '{k}'), 6) AS interconnector_{k}_mw" for k in KINDS)}, round(sum(value), 6) AS net_import_mw FROM ({SLOT}) GROUP BY 1""")
 def interconnector_flows(t):
     rec = dated(interconnectorName=F.initcap("event_type"), generation=F.col("value"))
     recs = src.records(slots(t).select(payload(rec, "records").alias("payload")))
-    return out(src.interconnectors(recs, ["Click", "Signup"]))
+    return out(src.interconnectors(recs, [k.title() for k in KINDS]))
 
 
 @query("unit_generation", f"""
@@ -149,10 +150,10 @@ def hourly_weather(t):
 
 
 @query("weather_by_site", f"""
-WITH {HOURS} SELECT timestamp, {', '.join(f"max({v}) FILTER (site = '{s}') AS {s}_{v}" for s in ('click', 'view') for v in ('temperature_2m', 'cloud_cover'))} FROM h GROUP BY 1""")
+WITH {HOURS} SELECT timestamp, {', '.join(f"max({v}) FILTER (site = '{s}') AS {s}_{v}" for s in KINDS for v in ('temperature_2m', 'cloud_cover'))} FROM h GROUP BY 1""")
 def weather_by_site(t):
     hours = src.hourly_weather(weather_payloads(t), ["temperature_2m", "cloud_cover"])
-    return out(src.weather_wide(hours, ["click", "view"], ["temperature_2m", "cloud_cover"]))
+    return out(src.weather_wide(hours, KINDS, ["temperature_2m", "cloud_cover"]))
 
 
 # One XML document per event: two hourly points, or an acknowledgement for errors.
@@ -241,23 +242,96 @@ def border_status(t):
 
 @query("border_prices", """
 WITH p AS (SELECT event_type AS border, date_trunc('hour', ts) + h * INTERVAL '30 minutes' AS timestamp, CASE WHEN h < 2 THEN value ELSE -value END AS v, date_trunc('second', ts) AS pub
-  FROM events, (VALUES (0), (1), (4), (5)) AS x(h) WHERE event_type IN ('click', 'view')),
+  FROM events, (VALUES (0), (1), (4), (5)) AS x(h) WHERE event_type <> 'error'),
 k AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY border, timestamp ORDER BY pub DESC, v DESC) = 1)
-SELECT timestamp, max(v) FILTER (border = 'click') AS click_day_ahead_price_eur_mwh, max(pub) FILTER (border = 'click') AS click_price_published_at_utc,
-  max(v) FILTER (border = 'view') AS view_day_ahead_price_eur_mwh, max(pub) FILTER (border = 'view') AS view_price_published_at_utc FROM k GROUP BY 1""")
+SELECT timestamp, """ + ", ".join(f"max(v) FILTER (border = '{k}') AS {k}_day_ahead_price_eur_mwh, max(pub) FILTER (border = '{k}') AS {k}_price_published_at_utc" for k in KINDS) + """ FROM k GROUP BY 1""")
 def border_prices(t):
     docs = xml_documents(t).join(t.events.select("event_id", F.col("event_type").alias("border")), "event_id")
-    return out(collect.neighbour_prices(docs, ["click", "view"]))
+    return out(collect.neighbour_prices(docs, KINDS))
 
 
 @query("border_flows", """
 WITH p AS (SELECT event_type AS border, CASE user_id % 2 WHEN 0 THEN 'in' ELSE 'out' END AS direction, date_trunc('hour', ts) + h * INTERVAL '30 minutes' AS timestamp, value AS v, date_trunc('second', ts) AS pub
-  FROM events, (VALUES (0), (1), (4), (5)) AS x(h) WHERE event_type IN ('click', 'view')),
+  FROM events, (VALUES (0), (1), (4), (5)) AS x(h) WHERE event_type <> 'error'),
 k AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY border, direction, timestamp ORDER BY pub DESC, v DESC) = 1),
 n AS (SELECT timestamp, border, coalesce(max(v) FILTER (direction = 'in'), 0) - coalesce(max(v) FILTER (direction = 'out'), 0) AS net FROM k GROUP BY 1, 2)
-SELECT timestamp, round(coalesce(max(net) FILTER (border = 'click'), 0), 6) + 0.0 AS click_net_import_mw, round(coalesce(max(net) FILTER (border = 'view'), 0), 6) + 0.0 AS view_net_import_mw,
-  round(coalesce(max(net) FILTER (border = 'click'), 0) + coalesce(max(net) FILTER (border = 'view'), 0), 6) + 0.0 AS net_import_mw FROM n GROUP BY 1""")
+SELECT timestamp, """ + ", ".join(f"round(coalesce(max(net) FILTER (border = '{k}'), 0), 6) + 0.0 AS {k}_net_import_mw" for k in KINDS) + """,
+  round(""" + " + ".join(f"coalesce(max(net) FILTER (border = '{k}'), 0)" for k in KINDS) + """, 6) + 0.0 AS net_import_mw FROM n GROUP BY 1""")
 def border_flows(t):
     side = F.when(F.col("user_id") % 2 == 0, "in").otherwise("out")
     docs = xml_documents(t).join(t.events.select("event_id", F.col("event_type").alias("border"), side.alias("direction")), "event_id")
-    return out(collect.border_flows(docs, ["click", "view"]).select("timestamp", "click_net_import_mw", "view_net_import_mw", "net_import_mw"))
+    return out(collect.border_flows(docs, KINDS).select("timestamp", *[f"{k}_net_import_mw" for k in KINDS], "net_import_mw"))
+
+
+# Odd documents among good ones: half of the views have a step in days, half of the clicks a text position.
+ODD = "event_type = 'view' AND event_id % 2 = 0 OR event_type = 'click' AND event_id % 2 = 0"
+
+
+def odd_documents(t):
+    view, click = F.col("xml").contains("<in_Domain.mRID>view<"), F.col("xml").contains("<in_Domain.mRID>click<")
+    odd = F.col("event_id") % 2 == 0
+    xml = F.when(view & odd, F.replace("xml", F.lit("PT60M"), F.when(F.col("event_id") % 4 == 0, "P1D").otherwise("PT5M"))).when(
+        click & odd, F.replace("xml", F.lit("<position>3<"), F.lit("<position>third<"))).otherwise(F.col("xml"))
+    return xml_documents(t).withColumn("xml", xml).join(t.events.select("event_id", F.col("event_type").alias("border")), "event_id")
+
+
+@query("odd_document_points", f"""
+SELECT event_id, date_trunc('hour', ts) + h * INTERVAL '1 hour' AS timestamp, CASE h WHEN 0 THEN value ELSE -value END AS price_eur_mwh
+FROM events, (VALUES (0), (2)) AS p(h) WHERE event_type <> 'error' AND NOT ({ODD})""")
+def odd_document_points(t):
+    p = documents.timeseries_points(odd_documents(t), "price.amount", "price_eur_mwh", keep=["event_id"], strict=False)
+    return out(p.select("event_id", "timestamp", "price_eur_mwh"))
+
+
+@query("odd_document_status", f"""
+SELECT event_id, CASE WHEN event_type = 'error' THEN 'unavailable' WHEN {ODD} THEN 'failed' ELSE 'success' END AS status,
+  CASE WHEN event_type = 'error' THEN '999: No data, token: ***' WHEN event_type = 'view' AND event_id % 4 = 0 THEN 'unsupported step P1D' WHEN event_type = 'view' AND event_id % 2 = 0 THEN 'unsupported step PT5M'
+    WHEN event_type = 'click' AND event_id % 2 = 0 THEN 'unreadable position third' END AS message FROM events""")
+def odd_document_status(t):
+    return out(documents.document_status(odd_documents(t)).select("event_id", "status", "message"))
+
+
+@query("odd_border_status", f"""
+SELECT event_type AS border, CASE WHEN event_type = 'error' THEN 'unavailable' WHEN count(*) FILTER ({ODD}) > 0 THEN 'failed' ELSE 'success' END AS status, count(*) AS documents,
+  CASE event_type WHEN 'error' THEN 0 ELSE 2 * count(*) FILTER (NOT ({ODD})) END AS row_count FROM events GROUP BY 1""")
+def odd_border_status(t):
+    return out(collect.item_status(odd_documents(t), ["border"], "price.amount"))
+
+
+@query("payload_status", """
+SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'failed' WHEN 2 THEN 'no_rows' ELSE 'success' END AS status,
+  CASE event_id % 5 WHEN 0 THEN 'payload is no JSON' WHEN 1 THEN 'payload holds no record list' END AS message, CAST(event_id % 5 > 2 AS BIGINT) AS record_count, CASE WHEN event_id % 5 > 2 THEN value END AS value FROM events""")
+def payload_status(t):
+    good, kind = payload(dated(value=F.col("value")), "data"), F.col("event_id") % 5
+    body = F.when(kind == 0, F.substring(good, 1, 20)).when(kind == 1, '{"note": 1}').when(kind == 2, '{"data": []}').otherwise(good)
+    landed = slots(t).select("event_id", body.alias("payload"))
+    found = src.records(landed, keep=["event_id"], strict=False).select("event_id", F.col("rec")["value"].cast("double").alias("value"))
+    return out(src.payload_status(landed).select("event_id", "status", "message", "record_count").join(found, "event_id", "left"))
+
+
+# Chunks overlap in time and repeat a fuel or link: half a day's landing is summed, the later chunk wins.
+CHUNKED = f"""c AS (SELECT *, event_id % 7 AS chunk, DATE '2024-03-01' + CAST(event_id % 3 AS INTEGER) AS landed FROM ({SLOT})),
+sums AS (SELECT landed, chunk, timestamp, event_type, sum(value) AS v FROM c GROUP BY ALL),
+last AS (SELECT * FROM sums QUALIFY dense_rank() OVER (PARTITION BY timestamp ORDER BY landed DESC, chunk DESC) = 1),
+one AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY timestamp ORDER BY landed DESC, chunk DESC, value DESC) = 1)"""
+
+
+@query("collected_core", f"""
+WITH {CHUNKED}
+SELECT 'fuel' AS table_name, timestamp, {', '.join(f"round(max(v) FILTER (event_type = '{k}'), 6) AS {k}" for k in KINDS)}, CAST(NULL AS DOUBLE) AS total FROM last GROUP BY 2
+UNION ALL SELECT 'interconnectors', timestamp, {', '.join(f"round(max(v) FILTER (event_type = '{k}'), 6)" for k in KINDS)}, round(sum(v), 6) FROM last GROUP BY 2
+UNION ALL SELECT x, timestamp, {', '.join('NULL' for _ in KINDS)}, value FROM one, (VALUES ('price'), ('demand')) AS n(x)""")
+def collected_core(t):
+    """Four tables written by one job from landed chunks, and read back as one."""
+    from settlespark.session import shared_path
+    base = slots(t).withColumns({"chunk": F.col("event_id") % 7, "landed_date": F.date_add(F.lit("2024-03-01").cast("date"), (F.col("event_id") % 3).cast("int"))})
+    bodies = {"price": dated(dataProvider=F.lit("APXMIDP"), price=F.col("value"), volume=F.col("value")), "demand": dated(demand=F.col("value")),
+              "fuel": dated(fuelType=F.col("event_type"), generation=F.col("value")), "interconnectors": dated(interconnectorName=F.col("event_type"), generation=F.col("value"))}
+    sides = [base.select(F.lit(n).alias("source"), "landed_date", "chunk", payload(b, "data").alias("payload")) for n, b in bodies.items()]
+    landed = sides[0].unionByName(sides[1]).unionByName(sides[2]).unionByName(sides[3])
+    saved = collect.core_sources(landed, "2024-01-01", "2024-02-01", shared_path(t.spark, "core"), KINDS, KINDS)
+    none = F.lit(None).cast("double")
+    read = {n: t.spark.read.parquet(p) for n, p in saved.items()}
+    wide = {"fuel": ("fuel_{}_mw", none), "interconnectors": ("interconnector_{}_mw", F.col("net_import_mw")), "price": (None, F.col("price_gbp_mwh")), "demand": (None, F.col("demand_mw"))}
+    parts = [read[n].select(F.lit(n).alias("table_name"), "timestamp", *[(F.col(c.format(k)) if c else none).alias(k) for k in KINDS], total.alias("total")) for n, (c, total) in wide.items()]
+    return out(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]))

@@ -86,21 +86,26 @@ def persistence_lags(t):
 
 
 @query("one_to_one_join", f"""
-WITH {HH} SELECT a.ts, round(a.price, 6) AS click_price, round(b.price, 6) AS view_price, round(c.price, 6) AS error_price FROM
+WITH {HH} SELECT a.ts, round(a.price, 6) AS click_price, round(b.price, 6) AS view_price, round(c.price, 6) AS error_price,
+  round(d.price, 6) AS purchase_price, round(e.price, 6) AS signup_price FROM
   (SELECT * FROM hh WHERE series = 'click') a JOIN (SELECT * FROM hh WHERE series = 'view') b USING (ts)
-  LEFT JOIN (SELECT * FROM hh WHERE series = 'error') c USING (ts)""")
+  LEFT JOIN (SELECT * FROM hh WHERE series = 'error') c USING (ts) LEFT JOIN (SELECT * FROM hh WHERE series = 'purchase') d USING (ts)
+  LEFT JOIN (SELECT * FROM hh WHERE series = 'signup') e USING (ts)""")
 def one_to_one_join(t):
     def one(kind):
         return t.hh.where(F.col("series") == kind).select("ts", F.col("price").alias(f"{kind}_price"))
     base = rel.join_one_to_one(one("click"), one("view"), ["ts"])
-    return out(rel.join_many_to_one(base, one("error"), ["ts"]))
+    for kind in ("error", "purchase", "signup"):
+        base = rel.join_many_to_one(base, one(kind), ["ts"])
+    return out(base)
 
 
 @query("outer_merge", f"""
 WITH {HH} SELECT ts, round(max(price) FILTER (series = 'click'), 6) AS click_price, round(max(price) FILTER (series = 'view'), 6) AS view_price,
-  round(max(price) FILTER (series = 'signup'), 6) AS signup_price FROM hh WHERE series IN ('click', 'view', 'signup') GROUP BY ts""")
+  round(max(price) FILTER (series = 'signup'), 6) AS signup_price, round(max(price) FILTER (series = 'purchase'), 6) AS purchase_price,
+  round(max(price) FILTER (series = 'error'), 6) AS error_price FROM hh GROUP BY ts""")
 def outer_merge(t):
-    frames = [t.hh.where(F.col("series") == k).select("ts", F.col("price").alias(f"{k}_price")) for k in ("click", "view", "signup")]
+    frames = [t.hh.where(F.col("series") == k).select("ts", F.col("price").alias(f"{k}_price")) for k in ("click", "view", "signup", "purchase", "error")]
     return out(rel.outer_merge(frames, ["ts"]))
 
 

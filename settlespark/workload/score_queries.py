@@ -211,7 +211,7 @@ def price_quantiles(t):
 
 @query("daily_distribution", f"""
 WITH {ERRORS}, q AS (SELECT delivery_date, timestamp, quantile_cont(price, 0.5) AS p50, avg((price < 0)::INT) AS neg FROM priced GROUP BY 1, 2),
-c AS (SELECT delivery_date, count(*) AS period_count, min(p50) AS a, max(p50) AS b, avg(p50) AS m, max(neg) AS n FROM q GROUP BY 1),
+c AS (SELECT delivery_date, count(*) AS period_count, min(p50) AS a, max(p50) AS b, CAST(sum(CAST(p50 AS DECIMAL(38,12))) AS DOUBLE) / count(p50) AS m, max(neg) AS n FROM q GROUP BY 1),
 s AS (SELECT delivery_date, scenario, min(price) AS lo, max(price) AS hi FROM priced GROUP BY 1, 2),
 w AS (SELECT delivery_date, avg((lo < 0)::INT) AS anyneg, {', '.join(f"quantile_cont({c}, 0.{p}) AS {c}{p}0" for c in ('lo', 'hi') for p in (1, 5, 9))} FROM s GROUP BY 1)
 SELECT delivery_date, period_count, round(a, 6) AS p50_daily_min_gbp_mwh, round(b, 6) AS p50_daily_max_gbp_mwh, round(m, 6) AS p50_daily_mean_gbp_mwh,

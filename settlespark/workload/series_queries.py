@@ -111,12 +111,16 @@ def to_half_hourly(t):
     return out(series.to_half_hourly(one, "v"))
 
 
+KINDS = ["click", "view", "purchase", "signup", "error"]
+
+
 @query("category_sums", """
 SELECT time_bucket(INTERVAL '30 minutes', ts) AS timestamp, round(sum(value) FILTER (event_type = 'click'), 6) AS fuel_click_mw,
-  round(sum(value) FILTER (event_type = 'view'), 6) AS fuel_view_mw, round(sum(value) FILTER (event_type = 'error'), 6) AS fuel_error_mw FROM events GROUP BY 1""")
+  round(sum(value) FILTER (event_type = 'view'), 6) AS fuel_view_mw, round(sum(value) FILTER (event_type = 'error'), 6) AS fuel_error_mw,
+  round(sum(value) FILTER (event_type = 'purchase'), 6) AS fuel_purchase_mw, round(sum(value) FILTER (event_type = 'signup'), 6) AS fuel_signup_mw FROM events GROUP BY 1""")
 def category_sums(t):
     d = t.events.withColumn("timestamp", clock.half_hour("ts"))
-    return out(rel.sum_by_category(d, ["timestamp"], "event_type", "value", ["click", "view", "error"], "fuel_{}_mw"))
+    return out(rel.sum_by_category(d, ["timestamp"], "event_type", "value", KINDS, "fuel_{}_mw"))
 
 
 @query("found_category_sums", """
@@ -143,9 +147,10 @@ def generation(t):
 
 @query("storage_series", f"""
 WITH {UNITS} SELECT timestamp, round(coalesce(sum(generation_mw * sign) FILTER (technology = 'battery'), 0), 6) AS battery_net_mw,
-  round(coalesce(sum(generation_mw * sign) FILTER (technology = 'pumped_storage'), 0), 6) AS pumped_storage_net_mw FROM gen JOIN units USING (bm_unit) GROUP BY 1""")
+  round(coalesce(sum(generation_mw * sign) FILTER (technology = 'pumped_storage'), 0), 6) AS pumped_storage_net_mw,
+  round(coalesce(sum(generation_mw * sign) FILTER (technology = 'other'), 0), 6) AS other_net_mw FROM gen JOIN units USING (bm_unit) GROUP BY 1""")
 def storage_series(t):
-    return out(rel.signed_by_technology(generation(t), units(t), ["battery", "pumped_storage"]))
+    return out(rel.signed_by_technology(generation(t), units(t), ["battery", "pumped_storage", "other"]))
 
 
 @query("technology_output", f"""
@@ -171,11 +176,11 @@ def directional_flows(t):
 
 
 @query("total_net_import", f"""
-WITH {FLOWS} SELECT timestamp, round(sum(CASE direction WHEN 0 THEN flow_mw ELSE -flow_mw END), 6) AS net_import_mw FROM f WHERE border IN ('click', 'view', 'error') GROUP BY 1""")
+WITH {FLOWS} SELECT timestamp, round(sum(CASE direction WHEN 0 THEN flow_mw ELSE -flow_mw END), 6) AS net_import_mw FROM f GROUP BY 1""")
 def total_net_import(t):
     f = flows(t)
     borders = [rel.directional_flows(f.where((F.col("border") == b) & (F.col("direction") == 0)), f.where((F.col("border") == b) & (F.col("direction") == 1)), b)
-               for b in ("click", "view", "error")]
+               for b in KINDS]
     return out(rel.total_net_import(borders).select("timestamp", "net_import_mw"))
 
 
