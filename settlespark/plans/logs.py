@@ -2,21 +2,23 @@
 
 A log is partitioned by local delivery date. Every write first lands its rows as a durable
 table, so guards and the write read the same data, and a plan never overwrites a path it
-reads. Upserts replace only the date partitions they touch.
+reads. Guards read only the stored dates between the first and last of the batch, and upserts
+replace only the date partitions they touch.
 """
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from settlespark import constants as K
 from settlespark.errors import GuardError, need_columns
 from settlespark.functions import clock, values
 from settlespark.operators import scoring
 from settlespark.operators.point_in_time import last_by
-from settlespark.operators.relations import duplicate_keys
+from settlespark.operators.relations import duplicate_keys, require_unique
 from settlespark.operators.timeline import clock_difference, period_completeness, settlement_spine
 from settlespark.session import durable
 from settlespark.sources.tables import read_if_present
@@ -27,7 +29,8 @@ DAY = "log_date"
 class LogTable:
     """A keyed log. ``day`` gives each row's partition date from its own columns.
 
-    Later writes may add columns. A declared ``schema`` spares the merge of file schemas.
+    Later writes may add columns. File schemas are merged once; from then on the log knows its
+    own, and so it does from the start where a ``schema`` is declared.
     """
 
     def __init__(self, spark: SparkSession, path: str, key: Sequence[str], day: Column | None = None, schema=None):
@@ -35,7 +38,25 @@ class LogTable:
         self.day = day if day is not None else clock.delivery_date("delivery_time_utc")
 
     def stored(self) -> DataFrame | None:
-        return read_if_present(self.spark, self.path, self.schema, merge=self.schema is None)
+        rows = read_if_present(self.spark, self.path, self.schema, merge=self.schema is None)
+        if rows is not None and self.schema is None:
+            self.schema = rows.schema
+        return rows
+
+    def stored_between(self, first, last) -> DataFrame | None:
+        """Stored rows of the dates from ``first`` to ``last``; other partitions are not listed among the files to read."""
+        rows = self.stored()
+        return None if rows is None else rows.where(F.col(DAY).between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+
+    def _prior(self, batch: DataFrame) -> DataFrame | None:
+        """Stored rows of the dates that the batch spans."""
+        span = batch.agg(F.min(DAY).alias("a"), F.max(DAY).alias("z")).first()
+        return self.stored_between(span.a, span.z)
+
+    def _written(self, rows: DataFrame) -> None:
+        if self.schema is not None:
+            known = {f.name for f in self.schema.fields}
+            self.schema = T.StructType([*self.schema.fields, *[f for f in rows.schema.fields if f.name not in known]])
 
     def read(self) -> DataFrame:
         rows = self.stored()
@@ -48,8 +69,17 @@ class LogTable:
         times = {c: clock.instant(c) for c in rows.columns if c.endswith("_utc")}
         return durable(rows.withColumns(times).withColumn(DAY, self.day))
 
+    def _landed_once(self, rows: DataFrame) -> DataFrame:
+        """Landed rows; a key that repeats in the batch is an error."""
+        batch = self._landed(rows)
+        clash = duplicate_keys(batch, self.key).first()
+        if clash is not None:
+            raise GuardError(f"the batch repeats key {clash.asDict()}")
+        return batch
+
     def _append(self, rows: DataFrame) -> DataFrame:
         self._by_day(rows).write.mode("append").partitionBy(DAY).parquet(self.path)
+        self._written(rows)
         return rows.drop(DAY)
 
     @staticmethod
@@ -59,12 +89,13 @@ class LogTable:
 
     @property
     def _join_key(self) -> list[str]:
-        # The partition date follows from the key; joining on it too prunes partitions.
+        # The partition date follows from the key; the span of dates has pruned the partitions.
         return [*self.key, DAY]
 
     def append_unique(self, rows: DataFrame) -> DataFrame:
         """Append rows; any key already stored, or repeated in the batch, is an error."""
-        batch, old = self._landed(rows), self.stored()
+        batch = self._landed(rows)
+        old = self._prior(batch)
         repeated = duplicate_keys(batch, self.key).select(*self.key)
         if old is not None:
             repeated = repeated.unionByName(batch.join(old.select(*self._join_key), self._join_key, "left_semi").select(*self.key))
@@ -73,17 +104,19 @@ class LogTable:
             raise GuardError(f"refusing to overwrite immutable row {clash.asDict()}")
         return self._append(batch)
 
-    def append_new(self, rows: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    def append_new(self, rows: DataFrame, order: Sequence[str] = (), drop: Sequence[str] = ()) -> DataFrame:
         """Append rows with unseen keys; known keys are skipped.
 
-        A key repeated in the batch is stored once, its last row under ``order``.
+        A key repeated in the batch is stored once, its last row under ``order``. Columns to
+        ``drop`` are not stored.
         """
-        batch, old = self._landed(rows), self.stored()
+        batch = self._landed(rows)
+        old = self._prior(batch)
         rest = [c for c in rows.columns if c not in self.key]
         fresh = last_by(batch, self.key, list(order) or rest or self.key)
         if old is not None:
             fresh = fresh.join(old.select(*self._join_key), self._join_key, "left_anti")
-        return self._append(durable(fresh))
+        return self._append(durable(fresh.drop(*drop)))
 
     def _changed(self, batch: DataFrame, old: DataFrame, ignore: Sequence[str]) -> DataFrame:
         compared = [(c, t) for c, t in batch.dtypes if c not in {*self._join_key, *ignore}]
@@ -103,13 +136,15 @@ class LogTable:
             rows = durable(kept.unionByName(rows, allowMissingColumns=True))
         (self._by_day(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(DAY).parquet(self.path))
+        self._written(rows)
 
     def upsert(self, rows: DataFrame, ignore: Sequence[str] = ("graded_at_utc",)) -> DataFrame:
         """Store new and materially changed rows and return them.
 
         Doubles are compared with a tolerance; ``ignore`` columns do not count as a change.
         """
-        batch, old = self._landed(rows), self.stored()
+        batch = self._landed_once(rows)
+        old = self._prior(batch)
         changed = batch if old is None else durable(self._changed(batch, old, ignore).drop("_known"))
         if not changed.isEmpty():
             self._replace(changed, old)
@@ -117,7 +152,8 @@ class LogTable:
 
     def keep_history(self, rows: DataFrame, replace: bool = False) -> DataFrame:
         """Add history rows: an equal row is a no-op, a differing one an error or a replacement."""
-        batch, old = self._landed(rows), self.stored()
+        batch = self._landed_once(rows)
+        old = self._prior(batch)
         if old is None:
             self._replace(batch, None)
             return batch.drop(DAY)
@@ -133,7 +169,8 @@ class LogTable:
 
     def merge_columns(self, rows: DataFrame) -> DataFrame:
         """Column-wise merge: a given value wins, an absent one leaves the stored value."""
-        batch, old = self._landed(rows), self.stored()
+        batch = self._landed_once(rows)
+        old = self._prior(batch)
         if old is None:
             self._replace(batch, None)
             return batch.drop(DAY)
@@ -232,9 +269,18 @@ def complete_days(prices: DataFrame, keys: Sequence[str], ts: str = "timestamp")
     return dated.join(whole.select(*keys, "delivery_date"), [*keys, "delivery_date"], "left_semi")
 
 
-def grade_store(forecasts: LogTable, actuals: LogTable, scores: LogTable) -> DataFrame:
-    """Grade all stored forecasts; only new or changed score rows are written."""
-    f, a = forecasts.stored(), actuals.stored()
+def grade_store(forecasts: LogTable, actuals: LogTable, scores: LogTable, span: tuple | None = None) -> DataFrame:
+    """Grade stored forecasts; only new or changed score rows are written.
+
+    ``span``, the first and last date of new rows, grades those dates and the day after, whose
+    baseline they are; without it all history is graded.
+    """
+    if span is None:
+        f, a = forecasts.stored(), actuals.stored()
+    else:
+        first, last = (datetime.date.fromisoformat(str(d)) for d in span)
+        day = datetime.timedelta(days=1)
+        f, a = forecasts.stored_between(first, last + day), actuals.stored_between(first - day, last + day)
     if f is None or a is None:
         raise GuardError("forecasts and actuals must be stored before grading")
     return scores.upsert(scoring.grade(f.drop(DAY), a.drop(DAY)))
@@ -273,6 +319,8 @@ def register_gradings(history: LogTable, summary: LogTable, scores: DataFrame, a
     """Daily metrics with the gate's verdict into the grading history and the summary.
 
     A date whose actuals exist but whose forecasts do not still gets a row of zero periods.
+    The history keeps a row for each model and revision. The summary, keyed by date, gets one:
+    of the model with most graded periods, the last revision by name, then the last model.
     """
     day = clock.delivery_date("delivery_time_utc").alias("delivery_date")
     counted = actuals.groupBy("actual_revision", day).agg(F.count(F.lit(1)).alias("actual_periods"))
@@ -282,18 +330,23 @@ def register_gradings(history: LogTable, summary: LogTable, scores: DataFrame, a
         F.col("model_mae_gbp_mwh").alias("deployment_model_mae_gbp_mwh"), F.col("persistence_mae_gbp_mwh").alias("deployment_persistence_mae_gbp_mwh"),
         F.col("p10_p90_coverage").alias("deployment_p10_p90_coverage"),
     )
-    # One row per model, date and revision: models are versions of one forecaster.
-    asked = counted.withColumn("_m", F.explode(models.select(F.collect_set("model_version")).scalar())).withColumnRenamed("_m", "model_version")
+    # One row per model, date and revision; both sides are short: dates, and versions of one forecaster.
+    asked = counted.withColumn("_on", F.lit(1)).join(models.select("model_version", F.lit(1).alias("_on")), "_on").drop("_on")
     daily = scoring.daily_grading(scores)
     rows = asked.join(daily, ["model_version", "actual_revision", "delivery_date"], "left").join(models, "model_version").fillna(0, ["graded_periods"])
+    rows = durable(rows)
     changed = history.keep_history(rows, replace=True)
-    summary.merge_columns(rows)
+    summary.merge_columns(last_by(rows, ["delivery_date"], ["graded_periods", "actual_revision", "model_version"]))
     return changed
 
 
 def history_index(summary: DataFrame, archived: DataFrame, order: Sequence[str] = ()) -> DataFrame:
-    """One row per date with a report or a summary, latest first: grading state and figures."""
-    last = last_by(summary, ["delivery_date"], list(order) or ["graded_periods"])
+    """One row per date with a report or a summary, latest first: grading state and figures.
+
+    Of several summary rows for a date the last under ``order`` counts; without an order a
+    repeated date is an error.
+    """
+    last = last_by(summary, ["delivery_date"], list(order)) if order else require_unique(summary, ["delivery_date"], "summary")
     dates = archived.select("delivery_date").union(last.select("delivery_date")).distinct()
     joined = dates.join(archived.select("delivery_date", F.lit(True).alias("has_report")).distinct(), "delivery_date", "left").join(last, "delivery_date", "left")
     graded = F.coalesce(F.col("graded_periods").cast("long"), F.lit(0))

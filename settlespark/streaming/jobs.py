@@ -11,7 +11,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from settlespark.functions import clock
 from settlespark.plans.logs import LogTable, grade_store
+from settlespark.session import durable
 
 
 def file_stream(spark: SparkSession, directory: str, schema, glob: str = "*.parquet", files_per_trigger: int | None = None) -> DataFrame:
@@ -73,18 +75,27 @@ def write_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery
     )
 
 
-def ingest_actuals(stream: DataFrame, log: LogTable, checkpoint: str, delay: str = "2 days") -> StreamingQuery:
-    """Actual prices into their log; repeats in the stream and known keys are skipped.
+def ingest_actuals(stream: DataFrame, log: LogTable, checkpoint: str, order: Sequence[str] = ()) -> StreamingQuery:
+    """Actual prices into their log; known keys are skipped.
 
-    The watermark removes repeats early; the log's own key check makes replays harmless.
+    A key repeated in a micro-batch is stored once, its last row under ``order``, which is not
+    stored; the log's key check makes replays harmless.
     """
-    unique = stream.withWatermark("delivery_time_utc", delay).dropDuplicatesWithinWatermark(log.key)
-    return run_batches(unique, log.append_new, checkpoint)
+    def work(batch: DataFrame) -> None:
+        log.append_new(batch, order, drop=order)
+    return run_batches(stream, work, checkpoint)
 
 
 def grade_on_arrival(stream: DataFrame, forecasts: LogTable, actuals: LogTable, score_log: LogTable, checkpoint: str) -> StreamingQuery:
-    """Append each batch of actuals and regrade; only changed scores are rewritten."""
+    """Append each batch of actuals and grade the dates it touches; only changed scores are rewritten.
+
+    The span comes from the batch, not from what was new in it, so a replay grades again.
+    """
     def work(batch: DataFrame) -> None:
+        batch = durable(batch)
         actuals.append_new(batch)
-        grade_store(forecasts, actuals, score_log)
+        day = clock.delivery_date("delivery_time_utc")
+        span = batch.agg(F.min(day), F.max(day)).first()
+        if span[0] is not None:
+            grade_store(forecasts, actuals, score_log, span)
     return run_batches(stream, work, checkpoint)
