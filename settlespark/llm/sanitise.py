@@ -105,7 +105,8 @@ def disclosures(rows: DataFrame, docs: DataFrame, text_col: str, support: int, g
     pairs = durable(pairs)
     wanted = durable(pairs.select("t").distinct())
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), "[^\\p{L}]+"))).alias("t"))
-    counts = words.join(broadcast_if_small(wanted, wanted.count()), "t", "left_semi").groupBy("t").agg(F.count(F.lit(1)).alias("n_t"))
+    # Counted first: common words meet the wanted ones as one row each, not once a document.
+    counts = words.groupBy("t").agg(F.count(F.lit(1)).alias("n_t")).join(broadcast_if_small(wanted, wanted.count()), "t")
     ratio = F.try_divide(F.log(F.lit(float(total)) * F.col("n_ct") / (F.col("n_c") * F.col("n_t"))), F.log(F.lit(float(max(total, 1))) / F.col("n_c")))
     return pairs.join(single, "c").join(counts, "t").select("c", "t", ratio.alias("ratio")).where(F.col("ratio") >= generalise_at)
 
