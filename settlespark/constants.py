@@ -19,13 +19,13 @@ BALANCE_LAYERS = [
 PROFILE_FULL = "full"
 PROFILE_CORE = "core_without_battery"
 
-# Columns that are never model features: keys, targets and layers derived from targets.
+# Columns that are never model features: keys, targets and layers derived from targets.
 NON_FEATURES = {
     "timestamp", "timestamp_utc", "timestamp_local", "delivery_time_utc",
     "delivery_date", "issue_time_utc", "price_gbp_mwh", "marginal_technology",
     "model_profile", *FULL_COMPONENTS, *BALANCE_LAYERS,
 }
-# Realised outcomes that would leak into a day-ahead model when used as features.
+# Realised outcomes that would leak into a day-ahead model when used as features.
 REALISED_COLUMNS = {
     "curtailed_wind_mw", "curtailed_solar_mw", "nuclear_available_mw",
     "nuclear_outage_mw", "wind_potential_mw", "solar_potential_mw",

@@ -56,9 +56,8 @@ def forecast_id(model="model_version", issue="issue_time_utc", delivery="deliver
 
 
 def masked_secrets(message) -> Column:
-    """Hide access tokens in a text."""
-    masked = F.regexp_replace(col(message), r"(?i)securityToken=[^&\s]+", "securityToken=***")
-    return F.regexp_replace(masked, r"(?i)(token)(\s*[:=]\s*)[^\s&]+", "$1$2***")
+    """Hide what follows a name ending in token and a colon or equals sign, up to white space or the next parameter."""
+    return F.regexp_replace(col(message), r"(?i)(\w*token\s*[=:]\s*)[^&\s]+", "$1***")
 
 
 def redacted(message, max_chars: int = 500) -> Column:

@@ -151,17 +151,44 @@ def gate_missing_dates(scores: DataFrame) -> DataFrame:
     return missing_dates(scores.withColumn("delivery_date", clock.delivery_date("delivery_time_utc")), ["model_version"], "delivery_date")
 
 
-def gate_report(gate: DataFrame) -> DataFrame:
-    """One JSON report per model: metrics, rules and verdict."""
-    rules = ["minimum_shadow_days", "consecutive_delivery_days", "complete_periods",
-             "pre_delivery_issue_time", "beats_persistence", "interval_coverage"]
-    metrics = [c for c in gate.columns if c not in {*rules, "deployment_ready", "mode", "model_version"}]
+def gate_evidence(gate: DataFrame, min_days: int = K.GATE_MIN_DAYS, min_improvement: float = K.GATE_MIN_IMPROVEMENT,
+                  coverage: tuple[float, float] = K.GATE_COVERAGE, min_lead_hours: float = K.GATE_MIN_LEAD_HOURS) -> DataFrame:
+    """``model_version, rule, required, observed, passed``: a row for each rule, with what it asked for and what it saw."""
+    facts = {
+        "minimum_shadow_days": (f"at least {min_days} days", F.col("graded_delivery_days").cast("string")),
+        "consecutive_delivery_days": ("no missing date", F.concat(F.coalesce("missing_date_count", F.lit(0)).cast("string"), F.lit(" missing dates"))),
+        "complete_periods": ("no incomplete day", F.concat(F.coalesce("incomplete_days", F.lit(0)).cast("string"), F.lit(" incomplete days, "), F.coalesce("missing_periods", F.lit(0)).cast("string"), F.lit(" missing periods"))),
+        "pre_delivery_issue_time": (f"at least {min_lead_hours:g} h", F.round("minimum_lead_hours", 4).cast("string")),
+        "beats_persistence": (f"at least {min_improvement:g} %", F.round("improvement_percent", 4).cast("string")),
+        "interval_coverage": (f"{coverage[0]:g} to {coverage[1]:g}", F.round("p10_p90_coverage", 4).cast("string")),
+    }
+    rows = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(need).alias("required"), F.coalesce(seen, F.lit("none")).alias("observed"), F.col(r).alias("passed"))
+                     for r, (need, seen) in facts.items()])
+    return gate.select("model_version", F.explode(rows).alias("e")).select("model_version", "e.*")
+
+
+def gate_report(gate: DataFrame, missing: DataFrame | None = None, **thresholds) -> DataFrame:
+    """One JSON report per model: metrics, rules with their evidence, missing dates, verdict and warning.
+
+    ``missing`` is the table of ``gate_missing_dates``; its dates, as many as the calendar of the
+    scores has, are listed per model.
+    """
+    evidence = gate_evidence(gate, **thresholds)
+    rules = evidence.groupBy("model_version").agg(F.array_sort(F.collect_list(F.struct("rule", "required", "observed", "passed"))).alias("gates"))
+    names = {"minimum_shadow_days", "consecutive_delivery_days", "complete_periods", "pre_delivery_issue_time", "beats_persistence", "interval_coverage"}
+    metrics = [c for c in gate.columns if c not in {*names, "deployment_ready", "mode", "model_version"}]
+    joined = gate.join(rules, "model_version")
+    if missing is not None:
+        dates = missing.groupBy("model_version").agg(F.array_sort(F.collect_set(clock.date_text("delivery_date"))).alias("missing_dates"))
+        joined = joined.join(dates, "model_version", "left")
+    else:
+        joined = joined.withColumn("missing_dates", F.lit(None).cast("array<string>"))
+    warning = F.when(~F.col("deployment_ready"), "not ready for operational use; forecasts stay in shadow mode")
     body = F.to_json(F.struct(
-        F.lit(K.GATE_REVISION).alias("workflow_revision"), "deployment_ready", "mode",
-        F.struct("model_version", *metrics).alias("metrics"),
-        F.struct(*[F.struct(F.col(r).alias("passed")).alias(r) for r in rules]).alias("gates"),
+        F.lit(K.GATE_REVISION).alias("workflow_revision"), "deployment_ready", "mode", warning.alias("warning"),
+        F.struct("model_version", *metrics).alias("metrics"), "gates", F.coalesce("missing_dates", F.array().cast("array<string>")).alias("missing_dates"),
     ), {"ignoreNullFields": "false"})
-    return gate.select("model_version", body.alias("report"))
+    return joined.select("model_version", body.alias("report"))
 
 
 def fallback_choice(

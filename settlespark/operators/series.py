@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from settlespark.errors import GuardError
@@ -12,6 +15,10 @@ from settlespark.functions import clock
 from settlespark.operators.blocks import (
     GRID_BLOCK, block_of, fit_block, nearest_known, number_rows, row_lags,
 )
+from settlespark.session import durable
+
+# Scans run on Python workers, which need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def lag_features(
@@ -209,23 +216,28 @@ def _running_maps(df: DataFrame, run: Sequence[str], order: Sequence[str]) -> Da
 
     def scan(batches):
         open_run, carry = None, None
-        for pdf in batches:
-            names = pdf[list(run)]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # Only run names and maps leave Arrow; the payload passes through as it is.
+            names = batch.select(list(run)).to_pandas()
             starts = (names != names.shift()).any(axis=1).to_numpy()
             starts[0] = True
             runs = np.cumsum(starts) - 1
-            cols = [pdf[m].to_numpy(float).copy() for m in maps]
+            cols = [np.array(batch.column(m), dtype=float) for m in maps]
             if open_run is not None and tuple(names.iloc[0]) == open_run:
-                pa, plo, phi = carry
+                prior, plo, phi = carry
                 na, nlo, nhi = (c[0] for c in cols)
-                cols[0][0] = pa + na
+                cols[0][0] = prior + na
                 cols[1][0] = min(nhi, max(nlo, plo + na))
                 cols[2][0] = min(nhi, max(nlo, phi + na))
             done = _compose_runs(runs, *cols)
             open_run, carry = tuple(names.iloc[-1]), tuple(c[-1] for c in done)
-            yield pdf.assign(**dict(zip(maps, done)))
+            new = dict(zip(maps, done))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(new[n]) if n in new else batch.column(n) for n in batch.schema.names], names=batch.schema.names)
 
-    return placed.mapInPandas(scan, placed.schema)
+    return placed.mapInArrow(scan, placed.schema)
 
 
 def state_of_charge(
@@ -235,9 +247,10 @@ def state_of_charge(
 ) -> DataFrame:
     """Half-hourly battery power integrated into a clamped state of charge.
 
-    Every step is a clamp map, and clamp maps compose. Each block of a unit is scanned on
-    its own; the last map of every block is scanned again per unit, which gives the state
-    at each block start; rows finish as a column expression. Power must not be null.
+    Every step is a clamp map, and clamp maps compose. Each block of a unit is scanned once
+    and kept in the shared folder; the last map of every block is scanned again per unit,
+    which gives the state at each block start; rows finish as a column expression. Power must
+    not be null.
     """
     if capacity_mwh <= 0:
         raise ValueError("capacity must be positive")
@@ -246,12 +259,10 @@ def state_of_charge(
     p = F.col(power).cast("double")
     shift = F.when(p >= 0, -0.5 * p / discharge_efficiency).otherwise(-0.5 * p * charge_efficiency)
     steps = df.withColumns({"_blk": block_of(ts, width), "_a": shift, "_lo": F.lit(0.0), "_hi": F.lit(cap)})
-    scanned = _running_maps(steps, [*keys, "_blk"], order)
+    scanned = durable(_running_maps(steps, [*keys, "_blk"], order))
 
     # The map of a whole block is the map of its last row.
-    ends = _running_maps(
-        steps.select(*keys, "_blk", *order, "_a", "_lo", "_hi"), [*keys, "_blk"], order
-    ).groupBy(*keys, "_blk").agg(
+    ends = scanned.groupBy(*keys, "_blk").agg(
         F.max_by(F.struct("_a", "_lo", "_hi"), F.struct(*order)).alias("m")
     ).select(*keys, "_blk", "m.*")
     start = F.lit(float(min(max(initial_mwh, 0.0), cap)))
@@ -264,9 +275,19 @@ def state_of_charge(
     return scanned.join(opening, [*keys, "_blk"]).withColumn(out, soc).drop("_blk", "_a", "_lo", "_hi", "_x0")
 
 
-def day_period_numbers(df: DataFrame, ts: str, out: str = "settlement_period") -> DataFrame:
-    """Sequential number of each row within its local day; at most 50 rows per day and key.
+def day_period_numbers(df: DataFrame, ts: str, keys: Sequence[str] = (), out: str = "settlement_period") -> DataFrame:
+    """Sequential number of each half-hour that occurs in its local day, from 1, per ``keys``.
 
-    On a complete day this equals the elapsed period number, which needs no window.
+    On a complete day this equals the elapsed period number; on one with gaps it does not.
+    Half-hours are made distinct before they are numbered, at most 50 per day and key, and
+    joined back; rows without a time have no number.
     """
-    return df.withColumn(out, clock.settlement_period(ts))
+    t = clock.half_hour(ts)
+    slots = df.where(t.isNotNull()).select(*keys, t.alias("_slot")).distinct()
+    w = W.partitionBy(*keys, clock.delivery_date("_slot")).orderBy("_slot")
+    numbered = slots.withColumn(out, F.row_number().over(w)).select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_slot", out)
+    rows = df.withColumn("_at", t)
+    on = rows["_at"] == numbered["_slot"]
+    for k in keys:
+        on = on & rows[k].eqNullSafe(numbered[f"_k_{k}"])
+    return rows.join(numbered, on, "left").drop("_at", "_slot", *[f"_k_{k}" for k in keys])

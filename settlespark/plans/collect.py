@@ -70,8 +70,9 @@ def preset_source(recs: DataFrame, name: str, first: str | None = None, end: str
     if (first is None) != (end is None):
         raise ValueError("give both window dates or neither")
     kept = recs if first is None else src.in_date_window(recs, first, end)
-    out = durable(src.preset_reader(name)(kept))
-    if out.isEmpty():
+    out = src.preset_reader(name)(kept)
+    out = durable(out) if out.columns else None
+    if out is None or out.isEmpty():
         raise GuardError(f"no records for {name}")
     return out
 

@@ -9,20 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def utc_session(spark: SparkSession) -> SparkSession:
-    """Pin the session to UTC: instants are stored and compared in UTC only.
+    """Pin the session to UTC: instants are stored and compared in UTC only."""
+    if spark.conf.get("spark.sql.session.timeZone", None) != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return spark
+
+
+def local_session(cores: str | int = "*", app: str = "settlespark", memory: str = "12g") -> SparkSession:
+    """A session for tests and the benchmark. Clusters bring their own settings.
 
     HotSpot never compiles a method above 8,000 bytecodes. Wide parsing projections exceed
     that as one generated stage and then run interpreted, several times slower; with the
     limit Spark generates such stages operator by operator instead.
     """
-    for name, value in (("spark.sql.session.timeZone", "UTC"), ("spark.sql.codegen.hugeMethodLimit", "8000")):
-        if spark.conf.get(name, None) != value:
-            spark.conf.set(name, value)
-    return spark
-
-
-def local_session(cores: str | int = "*", app: str = "settlespark", memory: str = "12g") -> SparkSession:
-    """A session for tests and the benchmark. Clusters bring their own settings."""
     parallelism = "8" if cores == "*" else str(cores)
     spark = (
         SparkSession.builder.master(f"local[{cores}]").appName(app)
@@ -31,6 +30,7 @@ def local_session(cores: str | int = "*", app: str = "settlespark", memory: str
         .config("spark.sql.shuffle.partitions", parallelism)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )

@@ -89,10 +89,10 @@ def window_contiguity(t):
 
 
 @query("period_numbers", f"""
-SELECT event_id, {period("ts + INTERVAL '150 days'")} AS settlement_period FROM events""")
+SELECT event_id, dense_rank() OVER (PARTITION BY event_type, {day("ts + INTERVAL '150 days'")} ORDER BY time_bucket(INTERVAL '30 minutes', ts)) AS settlement_period FROM events""")
 def period_numbers(t):
-    d = t.events.select("event_id", clock.add_seconds("ts", 150 * 86400).alias("ts"))
-    return out(series.day_period_numbers(d, "ts").select("event_id", "settlement_period"))
+    d = t.events.select("event_id", "event_type", clock.add_seconds("ts", 150 * 86400).alias("ts"))
+    return out(series.day_period_numbers(d, "ts", ["event_type"]).select("event_id", "settlement_period"))
 
 
 @query("to_half_hourly", """

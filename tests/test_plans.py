@@ -297,3 +297,35 @@ def test_streamed_half_hours_close_behind_the_watermark(spark, tmp_path):
     jobs.write_table(jobs.half_hourly_means(stream, "ts", ["k"], "v"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).orderBy("ts").collect()
     assert [(r.v, r.n) for r in got] == [(2.0, 2), (5.0, 1)]
+
+
+def test_log_reads_only_the_dates_of_the_batch(spark, tmp_path):
+    log = logs.LogTable(spark, str(tmp_path / "log"), ["delivery_time_utc"])
+    rows = spark.range(40).select((F.lit("2026-03-01").cast("timestamp").cast("long") + F.col("id") * 86400).cast("timestamp").alias("delivery_time_utc"), F.col("id").alias("v"))
+    log.append_unique(rows)
+    few = rows.where("v between 10 and 12")
+    plan = log._prior(log._landed(few))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(log_date" in plan and ">=" in plan.split("PartitionFilters")[1].split("]")[0]
+    with pytest.raises(GuardError, match="immutable"):
+        log.append_unique(few)
+    with pytest.raises(GuardError, match="repeats key"):
+        log.upsert(few.unionByName(few))
+    assert log.append_new(rows.withColumn("v", F.lit(0).cast("long"))).count() == 0 and log.read().count() == 40
+
+
+def test_repeated_lag_times_are_refused_and_untimed_rows_kept(frame):
+    from settlespark.operators import point_in_time as pit
+    df = frame([("a", "2026-01-01 00:00:00", 1.0), ("a", "2026-01-01 00:00:00", 2.0)], "k string, t string, v double", times=["t"])
+    with pytest.raises(Exception, match="repeated t"):
+        pit.timestamp_lags(df, ["k"], "t", "v", {"x": 60}).collect()
+    gaps = frame([("a", None, 1.0), ("a", None, 2.0), ("a", "2026-01-01 00:00:00", 3.0)], "k string, t string, v double", times=["t"])
+    assert pit.timestamp_lags(gaps, ["k"], "t", "v", {"x": 60}).count() == 3
+
+
+def test_charge_keeps_long_payloads_exact_and_blocks_do_not_matter(frame):
+    from settlespark.operators import series
+    rows = [("u", f"2026-01-01 {h:02d}:{m:02d}:00", (-1.0) ** h * 3, 2 ** 53 + 1 if h % 2 else None) for h in range(12) for m in (0, 30)]
+    df = frame(rows, "k string, t string, p double, n long", times=["t"])
+    got = [sorted(map(tuple, series.state_of_charge(df, ["k"], "t", "p", 1.0, 5.0, block_s=b).select("t", "n", "battery_soc_mwh").collect())) for b in (1, 86400)]
+    assert [x[:2] for x in got[0]] == [x[:2] for x in got[1]] and all(abs(a[2] - b[2]) < 1e-9 for a, b in zip(*got))
+    assert {x[1] for x in got[0]} == {None, 2 ** 53 + 1}
