@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 from dataclasses import dataclass, field
@@ -201,10 +202,15 @@ def _counts(rows: DataFrame, only: dict | None = None) -> DataFrame:
     return rows.select("text").mapInArrow(run, "feature string, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
-def _one_of_copies(rows: DataFrame) -> DataFrame:
-    """``rows`` with one text for each least word hash: near copies share it in proportion to their common words."""
+def _one_of_copies(rows: DataFrame, size: int = 3) -> DataFrame:
+    """``rows`` with one text for each set of its ``size`` least word hashes, which near copies mostly share and others hardly."""
     def least(texts: pd.Series) -> pd.Series:
-        return pd.Series([min((zlib.crc32(w.lower().encode("utf-8", "surrogatepass")) for w in set(WORD.findall(t or ""))), default=0) for t in texts], dtype="int64")
+        out = []
+        for t in texts:
+            words = {w.lower() for w in set(WORD.findall(t or ""))}
+            few = heapq.nsmallest(size, (zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words))
+            out.append(zlib.crc32(np.array(few, np.int64).tobytes()))
+        return pd.Series(out, dtype="int64")
 
     least.__annotations__ = {"texts": pd.Series, "return": pd.Series}
     sketch = F.pandas_udf("bigint")(least)("text")
@@ -247,7 +253,7 @@ def fit(rows: DataFrame, support: float = 0.01, ratio: float = 20.0, fit_windows
         return Tagger({}, -30.0, np.zeros(3), np.array([np.log(share / (1 - share)), 0, 0, 0]))
     own = durable(_one_of_copies(rows.where("label = 1")))
     n1 = own.count()
-    least = max(min(4, n1), support * n1)
+    least = max(min(5, n1), support * n1)
     toxic = {r.feature: r.n for r in _counts(own).where(F.col("n") >= least).toLocalIterator()}
     clean = {r.feature: r.n for r in _counts(rows.where("label = 0"), toxic).toLocalIterator()}
     evidence = {f for f, n in toxic.items() if n / n1 >= ratio * (clean.get(f, 0) + 0.5) / n0}
