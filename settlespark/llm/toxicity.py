@@ -82,44 +82,27 @@ def marginals(sequences: list[np.ndarray], moves: np.ndarray, cells: int = 1_000
     return out
 
 
-def fit_chain(words: list[list[int]], tags: list[np.ndarray], n_features: int, steps: int = 60, ridge: float = 0.02, rate: float = 0.3):
+def fit_chain(ids: list[np.ndarray], tags: list[np.ndarray], n_features: int, steps: int = 60, ridge: float = 0.02, rate: float = 0.3,
+              block: int = 1024):
     """Weights, bias and moves that make the tags likely, by Adam on the exact gradient.
 
-    ``words`` holds for each sequence an array of shape (length, features of a word) of feature
-    numbers; number 0 stands for none.
+    ``ids`` holds for each sequence an array of shape (length, features of a word) of feature
+    numbers; number 0 stands for none. Sequences pass in blocks, so memory stays that of a block.
     """
-    order = sorted(range(len(words)), key=lambda i: -len(words[i]))
-    ids = [words[i] for i in order]
-    lengths = np.array([len(i) for i in ids])
-    width = int(lengths.max())
-    real = np.arange(width) < lengths[:, None]
-    truth = np.zeros(real.shape)
-    truth[real] = np.concatenate([tags[i] for i in order])
-    flat = np.concatenate(ids)
+    order = sorted(range(len(ids)), key=lambda i: -len(ids[i]))
+    blocks = []
+    for k in range(0, len(order), block):
+        part = order[k:k + block]
+        lengths = np.array([len(ids[i]) for i in part])
+        real = np.arange(int(lengths[0])) < lengths[:, None]
+        blocks.append((lengths, real, np.concatenate([ids[i] for i in part]), np.concatenate([tags[i] for i in part]).astype(float)))
     params = np.concatenate([np.zeros(n_features), [-3.0], np.zeros(3)])
     mean, square = np.zeros_like(params), np.zeros_like(params)
-    pair_truth = np.array([((1 - truth[:, :-1]) * truth[:, 1:] * real[:, 1:]).sum(), (truth[:, :-1] * (1 - truth[:, 1:]) * real[:, 1:]).sum(), (truth[:, :-1] * truth[:, 1:] * real[:, 1:]).sum()])
-    total = real.sum()
+    total = sum(len(b[3]) for b in blocks)
     for step in range(1, steps + 1):
-        w = params[:n_features].copy()
-        w[0] = 0
-        emission = np.full(real.shape, -30.0)
-        emission[real] = params[n_features] + w[flat].sum(axis=1)
-        ahead, behind, e = messages(emission, lengths, params[-3:])
-        odds = ahead * behind
-        p = odds / (1 + odds)
-        up, down, stay = np.exp(params[-3:])
-        # joint of neighbours, over the four pairs of states, from the messages on either side
-        r, x = ahead[:, :-1], e[:, 1:] * behind[:, 1:]
-        z = 1 + up * x + r * down + r * stay * x
-        pairs = np.array([(k / z * real[:, 1:]).sum() for k in (up * x, r * down, r * stay * x)])
-        gap = (truth - p)[real]
-        grad = np.zeros_like(params)
-        for c in range(flat.shape[1]):
-            grad[:n_features] += np.bincount(flat[:, c], weights=gap, minlength=n_features)
-        grad[n_features] = gap.sum()
-        grad[-3:] = pair_truth - pairs
-        grad = grad - ridge * params
+        grad = -ridge * params
+        for b in blocks:
+            _add_gradient(grad, params, n_features, *b)
         mean = 0.9 * mean + 0.1 * grad
         square = 0.99 * square + 0.01 * grad * grad
         params = params + rate * (mean / (1 - 0.9 ** step)) / (np.sqrt(square / (1 - 0.99 ** step)) + 1e-6 * total)
@@ -127,6 +110,29 @@ def fit_chain(words: list[list[int]], tags: list[np.ndarray], n_features: int, s
     return params[:n_features], params[n_features], params[-3:]
 
 
+def _add_gradient(grad: np.ndarray, params: np.ndarray, n_features: int, lengths: np.ndarray, real: np.ndarray, flat: np.ndarray, tags: np.ndarray) -> None:
+    """Adds the log-likelihood's gradient of one block: true counts less expected ones."""
+    w = params[:n_features].copy()
+    w[0] = 0
+    truth, emission = np.zeros(real.shape), np.full(real.shape, -30.0)
+    truth[real] = tags
+    emission[real] = params[n_features] + w[flat].sum(axis=1)
+    ahead, behind, e = messages(emission, lengths, params[-3:])
+    odds = ahead * behind
+    gap = (truth - odds / (1 + odds))[real]
+    for c in range(flat.shape[1]):
+        grad[:n_features] += np.bincount(flat[:, c], weights=gap, minlength=n_features)
+    grad[n_features] += gap.sum()
+    # joint of neighbours, over the pairs of states, from the messages on either side
+    up, down, stay = np.exp(params[-3:])
+    r, x, both = ahead[:, :-1], e[:, 1:] * behind[:, 1:], real[:, 1:]
+    z = 1 + up * x + r * down + r * stay * x
+    before, after = truth[:, :-1], truth[:, 1:]
+    true = ((1 - before) * after, before * (1 - after), before * after)
+    for k, (t, q) in enumerate(zip(true, (up * x, r * down, r * stay * x))):
+        grad[n_features + 1 + k] += ((t - q / z) * both).sum()
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> np.ndarray:
     """Intercept and slopes of a ridge logistic regression, by damped Newton steps."""
     x = np.column_stack([np.ones(len(x)), x])
@@ -217,21 +223,28 @@ def _one_of_copies(rows: DataFrame, size: int = 3) -> DataFrame:
     return rows.groupBy(sketch.alias("sketch")).agg(F.min("text").alias("text")).select("text")
 
 
-def _windows(rows: DataFrame, rates: tuple[float, float], seed: int) -> DataFrame:
-    """``(label, words)``: windows of the texts, drawn by hash at the rate of their label."""
+def _windows(rows: DataFrame, rates: tuple[float, float], seed: int, number: dict[str, int], evidence: set[str]) -> DataFrame:
+    """``(ids, tags)``: windows of the texts, drawn by hash at the rate of their label.
+
+    ``ids`` has the feature numbers of every word, as many for each, 0 where there is none;
+    ``tags`` is 1 for the words of toxic texts that have a feature of the ``evidence``.
+    """
+    width = 1 + len(PREFIXES)
+
     def run(batches):
         for batch in batches:
-            labels, words = [], []
+            ids, tags = [], []
             for text, label in zip(column_texts(batch.column(0)), batch.column(1).to_pylist()):
-                found = WORD.findall(text)
                 base = zlib.crc32(text.encode("utf-8", "surrogatepass"), seed)
+                found = WORD.findall(text)
                 for i in range(0, len(found), WINDOW):
                     if zlib.crc32(i.to_bytes(8, "little"), base) < rates[label] * 2 ** 32:
-                        labels.append(label)
-                        words.append(found[i:i + WINDOW])
-            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(words, pa.list_(pa.string()))], names=["label", "words"])
+                        names = [features(w) for w in found[i:i + WINDOW]]
+                        ids.append([n for fs in names for n in [number.get(f, 0) for f in fs] + [0] * (width - len(fs))])
+                        tags.append([int(label and not evidence.isdisjoint(fs)) for fs in names])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(tags, pa.list_(pa.int8()))], names=["ids", "tags"])
 
-    return rows.mapInArrow(run, "label int, words array<string>")
+    return rows.mapInArrow(run, "ids array<int>, tags array<tinyint>")
 
 
 def fit(rows: DataFrame, support: float = 0.01, ratio: float = 20.0, fit_windows: int = 3000, fit_rows: int = 20_000, seed: int = 7) -> Tagger:
@@ -260,12 +273,9 @@ def fit(rows: DataFrame, support: float = 0.01, ratio: float = 20.0, fit_windows
     number = {f: i for i, f in enumerate(sorted(toxic), 1)}
 
     rates = tuple(min(1.0, fit_windows / max(1.0, sizes[k][1])) for k in (0, 1))
-    sample = _windows(rows, rates, seed).toPandas()
-    ids, tags = [], []
-    for label, words in zip(sample["label"], sample["words"]):
-        found = [features(w) for w in words]
-        ids.append(np.array([[number.get(f, 0) for f in fs] + [0] * (1 + len(PREFIXES) - len(fs)) for fs in found]))
-        tags.append(np.array([float(label and any(f in evidence for f in fs)) for fs in found]))
+    sample = _windows(rows, rates, seed, number, evidence).toArrow()
+    ids = [np.asarray(x.values).reshape(-1, 1 + len(PREFIXES)) for x in sample.column("ids")]
+    tags = [np.asarray(x.values) for x in sample.column("tags")]
     if not ids:
         return fit(rows.limit(0))
     weights, bias, moves = fit_chain(ids, tags, len(number) + 1)
