@@ -379,7 +379,7 @@ def platform_forecast(t):
     prices = made["prices"].groupBy(day).agg(F.count_if((F.col("p10") <= F.col("p50")) & (F.col("p50") <= F.col("p90"))).alias("ordered_quantiles"))
     summary = made["summary"].select("delivery_date", F.col("period_count").alias("periods_of_day"))
     risks = made["risk"].select("delivery_date", (F.col("expected_shortfall") >= F.col("scenario_var") - 1e-9).alias("tail_beyond_var"),
-                                (F.col("worst_loss") >= -F.col("best_profit")).alias("extremes_in_order"))
+                                ((F.col("worst_loss") >= F.col("expected_shortfall") - 1e-9) & (F.col("worst_loss") >= -F.col("best_profit"))).alias("extremes_in_order"))
     return out(points.join(prices, "delivery_date").join(summary, "delivery_date").join(risks, "delivery_date"))
 
 
