@@ -54,21 +54,22 @@ def raked(table: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
     category without a target gets weight 0.
     """
     total = table.agg(F.sum("tokens")).first()[0] or 0.0
-    goals = {d: durable(t) for d, t in targets.items()}
+    columns = [*table.columns, "weight"]
+    for dim, goal in targets.items():  # each cell keeps its targets: a round then joins sums alone
+        table = table.join(goal.withColumnRenamed("target", f"target_{dim}"), dim, "left")
     table = durable(table.withColumn("weight", F.col("tokens")))
     for _ in range(rounds):
         now = table.withColumn("off", F.lit(0.0))
-        for dim, goal in goals.items():
-            sums = now.groupBy(F.col(dim).alias("k")).agg(F.sum("weight").alias("s"))
-            factors = sums.join(goal.withColumnRenamed(dim, "k"), "k", "left").select(
-                F.col("k").alias(dim), F.coalesce(F.try_divide(F.col("target") * total, F.col("s")), F.lit(0.0)).alias("f"))
-            now = now.join(factors, dim).withColumns({"weight": F.col("weight") * F.col("f"), "off": F.greatest("off", F.abs(F.col("f") - 1))}).drop("f")
+        for dim in targets:
+            sums = now.groupBy(dim).agg(F.sum("weight").alias("s"))
+            f = F.coalesce(F.try_divide(F.col(f"target_{dim}") * total, F.col("s")), F.lit(0.0))
+            now = now.join(sums, dim).withColumns({"weight": F.col("weight") * f, "off": F.greatest("off", F.abs(f - 1))}).drop("s")
         done = durable(now)
         off = done.agg(F.max("off")).first()[0] or 0.0
         table = done.drop("off")
         if off <= tolerance:
             break
-    return table
+    return table.select(*columns)
 
 
 def rates(table: DataFrame) -> DataFrame:

@@ -276,17 +276,20 @@ def fit(rows: DataFrame, support: float = 0.01, ratio: float = 20.0, fit_windows
     sample = _windows(rows, rates, seed, number, evidence).toArrow()
     ids = [np.asarray(x.values).reshape(-1, 1 + len(PREFIXES)) for x in sample.column("ids")]
     tags = [np.asarray(x.values) for x in sample.column("tags")]
+    del sample
     if not ids:
         return fit(rows.limit(0))
     weights, bias, moves = fit_chain(ids, tags, len(number) + 1)
     tagger = Tagger({f: float(weights[i]) for f, i in number.items() if abs(weights[i]) > 1e-9}, float(bias), moves)
 
     drawn = rows.where(F.abs(F.xxhash64("text", F.lit(seed)) % 1_000_000) < int(1e6 * min(1.0, fit_rows / (n0 + sizes[1][0]))))
+    del ids, tags
     points = drawn.select(_measure(tagger)("text").alias("m"), "label").select("m.*", "label").toPandas()
     if points["label"].nunique() == 2:
         tagger.calibration = fit_logistic(points[["most", "total", "mean"]].to_numpy(float), points["label"].to_numpy(float))
     else:
         tagger.calibration = np.array([-4.0, 8.0, 0.0, 0.0])
+    pa.default_memory_pool().release_unused()
     return tagger
 
 
