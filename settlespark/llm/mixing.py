@@ -5,6 +5,8 @@ Only DataFrame functions are used.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from settlespark.llm.common import broadcast_if_small, fresh
@@ -14,6 +16,8 @@ DIMENSIONS = ("source", "lang", "topic")
 #: Targets are shares of tokens to these powers: below 1 small categories gain.
 POWERS = {"source": 0.7, "lang": 0.9, "topic": 0.95}
 ROUNDS, TOLERANCE = 25, 1e-9
+#: Share of the tokens that is drawn at least, and the misfit from which on it is reported.
+BUDGET, MISFIT = 0.5, 1e-3
 
 
 def tokens(text: Column) -> Column:
@@ -45,8 +49,8 @@ def tempered(table: DataFrame, dim: str, power: float) -> DataFrame:
     return sums.select(dim, (F.col("t") / total).alias("target"))
 
 
-def raked(table: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """``table`` with ``weight``: token totals scaled in turn to each dimension's target shares, until they fit.
+def raked(table: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[DataFrame, float]:
+    """``table`` with ``weight``, and the misfit that the last round met: token totals scaled in turn to each dimension's target shares, until they fit.
 
     A round scales by every dimension once and is written to the shared folder; sums are folded
     before the shuffle, so a category with most of the cells costs no more than others. It ends
@@ -57,7 +61,7 @@ def raked(table: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
     columns = [*table.columns, "weight"]
     for dim, goal in targets.items():  # each cell keeps its targets: a round then joins sums alone
         table = table.join(goal.withColumnRenamed("target", f"target_{dim}"), dim, "left")
-    table = durable(table.withColumn("weight", F.col("tokens")))
+    table, off = durable(table.withColumn("weight", F.col("tokens"))), 0.0
     for _ in range(rounds):
         now = table.withColumn("off", F.lit(0.0))
         for dim in targets:
@@ -69,7 +73,7 @@ def raked(table: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
         table = done.drop("off")
         if off <= tolerance:
             break
-    return table.select(*columns)
+    return table.select(*columns), off
 
 
 def rates(table: DataFrame) -> DataFrame:
@@ -79,6 +83,59 @@ def rates(table: DataFrame) -> DataFrame:
     return table.withColumn("rate", ratio / most)
 
 
+def attainable(table: DataFrame, dim: str, target: DataFrame, drawn: float) -> DataFrame:
+    """``(dim, goal)``: ``drawn`` tokens by target shares. A category with fewer gives all it has, the others share the rest."""
+    sums = durable(table.groupBy(dim).agg(F.sum("tokens").alias("cap")).join(target, dim))
+    level, before = drawn, 0
+    while True:
+        spent = F.col("target") * level >= F.col("cap")
+        got = sums.agg(F.count_if(spent).alias("n"), F.sum(F.when(spent, F.col("cap"))).alias("cap"), F.sum(F.when(~spent, F.col("target"))).alias("rest")).first()
+        if got.n == before or not got.rest:
+            return sums.select(dim, F.least("cap", F.col("target") * level).alias("goal"))
+        before, level = got.n, (drawn - got.cap) / got.rest
+
+
+def filled(table: DataFrame, goals: dict[str, DataFrame], rate: float, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[DataFrame, float]:
+    """``table`` with ``rate`` of at most 1, and the misfit that the last round met: drawn tokens raked to each dimension's goals.
+
+    A category that lacks tokens raises its cells that are not yet drawn whole; one that has too
+    many lowers all of its cells.
+    """
+    columns = [*table.columns, "rate"]
+    for dim, goal in goals.items():
+        table = table.join(goal.withColumnRenamed("goal", f"goal_{dim}"), dim)
+    table, off = durable(table.withColumn("rate", F.lit(rate))), 0.0
+    for _ in range(rounds):
+        now = table.withColumn("off", F.lit(0.0))
+        for dim in goals:
+            part, goal = F.col("tokens") * F.col("rate"), F.col(f"goal_{dim}")
+            sums = now.groupBy(dim).agg(F.sum(part).alias("s"), F.sum(F.when(F.col("rate") < 1, part).otherwise(0.0)).alias("u"))
+            up = F.when((F.col("u") > 0) & (F.col("rate") < 1), (goal - F.col("s") + F.col("u")) / F.col("u")).otherwise(1.0)
+            f = F.when(goal > F.col("s"), up).otherwise(goal / F.col("s"))
+            now = now.join(sums, dim).withColumns({"rate": F.least(F.col("rate") * f, F.lit(1.0)), "off": F.greatest("off", F.abs(F.col("s") / goal - 1))}).drop("s", "u")
+        done = durable(now)
+        off = done.agg(F.max("off")).first()[0] or 0.0
+        table = done.drop("off")
+        if off <= tolerance:
+            break
+    return table.select(*columns), off
+
+
+def fitted(table: DataFrame, targets: dict[str, DataFrame], budget: float = BUDGET) -> DataFrame:
+    """``rate`` of each cell. Where exact shares would draw less than ``budget`` of the tokens, scarce categories fall short of theirs.
+
+    Targets that contradict each other are reported by a warning with the largest misfit left.
+    """
+    weights, off = raked(table, targets)
+    out = rates(weights)
+    facts = out.agg(F.sum("tokens").alias("tokens"), F.sum(F.col("tokens") * F.col("rate")).alias("drawn")).first()
+    if facts.tokens and facts.drawn < budget * facts.tokens:
+        out, off = filled(table, {d: attainable(table, d, t, budget * facts.tokens) for d, t in targets.items()}, budget)
+    if off > MISFIT:
+        warnings.warn(f"mixing: after {ROUNDS} rounds a category is off its goal by {off:.2%} of it", stacklevel=2)
+    return out
+
+
 def draw(id_col: Column, seed: int) -> Column:
     """A number from 0 to 1 (exclusive) from the hash of seed and id."""
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(id_col.cast("string"), F.lit(""))).cast("binary"))
@@ -86,11 +143,12 @@ def draw(id_col: Column, seed: int) -> Column:
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
-          powers: dict[str, float] | None = None, seed: int = 97) -> DataFrame:
+          powers: dict[str, float] | None = None, seed: int = 97, budget: float = BUDGET) -> DataFrame:
     """``(doc_id, source, lang, topic, tokens, rate, selected)``, one row per document.
 
     Rows drawn at these rates have, in expectation, the target shares of tokens by source,
-    language and topic; nothing is drawn twice. The draw is a hash of seed and id, the same in
+    language and topic; nothing is drawn twice. If that would leave less than ``budget`` of the
+    tokens, so much is drawn, and categories too scarce for their share are drawn whole. The draw is a hash of seed and id, the same in
     every run; rows that repeat an id share it. Null categories count as one category, null and
     empty texts as one token. An empty table gives no rows.
     """
@@ -99,8 +157,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
                        F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), tokens(F.col(text_col)).alias("tokens"), F.col(text_col).alias("text"))
     rows = durable(rows.withColumn("topic", topic(F.col("text"), F.col("tokens"))).drop("text"))
     table = durable(cells(rows, "tokens"))
-    fitted = rates(raked(table, {d: tempered(table, d, powers[d]) for d in DIMENSIONS})).select(*DIMENSIONS, "rate")
-    joined = rows.join(broadcast_if_small(fitted, table.count()), list(DIMENSIONS))
+    rate = fitted(table, {d: tempered(table, d, powers[d]) for d in DIMENSIONS}, budget).select(*DIMENSIONS, "rate")
+    joined = rows.join(broadcast_if_small(rate, table.count()), list(DIMENSIONS))
     return joined.select("doc_id", *DIMENSIONS, "tokens", "rate", (draw(F.col("doc_id"), seed) < F.col("rate")).alias("selected"))
 
 

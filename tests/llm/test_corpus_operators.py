@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import warnings
 
 import pytest
 from pyspark.sql import functions as F
@@ -400,3 +401,25 @@ def test_raking_meets_the_targets(spark, odd, empty):
     picked = mixing.sampled(docs.unionByName(odd))
     assert picked.columns == docs.columns and 0 < picked.count() <= docs.count() + odd.count()
     assert mixing.mixed(empty).count() == 0 and mixing.sampled(empty).count() == 0
+
+
+def test_a_scarce_category_does_not_thin_the_others(spark):
+    texts = [("word " * (5 + i % 90)).strip() for i in range(200)]
+    docs = spark.createDataFrame([(i, t, "en" if i % 5 else "fr", f"s{i % 3 * (i % 2)}", 0, "x", "y", "z", 1) for i, t in enumerate(texts)], SCHEMA)
+    stray = spark.createDataFrame([(1000, "only three words", "xx", "own", 0, "x", "y", "z", 1)], SCHEMA)
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        got = mixing.mixed(docs.unionByName(stray)).toPandas()
+    drawn = got.tokens * got.rate
+    assert abs(drawn.sum() / got.tokens.sum() - 0.5) < 1e-6 and got.rate.max() <= 1
+    assert got[got.source == "own"].rate.item() > 1 - 1e-6
+    for dim, own in (("source", "own"), ("lang", "xx")):  # the others keep their shares among each other
+        rest = got[got[dim] != own]
+        now, want = (rest.tokens * rest.rate).groupby(rest[dim]).sum(), rest.groupby(dim).tokens.sum() ** mixing.POWERS[dim]
+        assert abs(now / now.sum() - want / want.sum()).max() < 1e-3
+
+
+def test_targets_that_contradict_each_other_are_reported(spark):
+    docs = spark.createDataFrame([(0, "a b c", "en", "p", 0, "x", "y", "z", 1), (1, "a " * 40, "fr", "q", 0, "x", "y", "z", 1)], SCHEMA)
+    with pytest.warns(UserWarning, match="off its goal"):
+        mixing.mixed(docs, powers={"source": 0.2, "lang": 1.0, "topic": 1.0}, budget=0.0)
