@@ -21,6 +21,12 @@ KINDS = {
     "card": ("(?<![0-9])[0-9](?:[\\x20-]?[0-9])++", "[0-9][\\x20-]?[0-9]"),
     "phone": ("\\+[0-9][\\x20().0-9-]+[0-9]", "\\+[0-9]"),
 }
+DIGITS = "regexp_replace(x.v, '[^0-9]', '')"
+#: What a datum shares with others: the mail domain, the network, the card's issuer, the number without its last four digits.
+WIDER = {"email": "concat('domain:', lower(substring_index(x.v, '@', -1)))", "ip": "concat('net:', substring_index(x.v, '.', 3))",
+         "card": f"concat('issuer:', left({DIGITS}, 6))", "phone": f"concat('area:', left({DIGITS}, length({DIGITS}) - 4))"}
+#: Square of the normal quantile behind the lower bound of a share.
+Z2 = 1.96 ** 2
 TERM = "\\p{L}{3,}+"
 SPAN = "array<struct<s:int,e:int,v:string>>"
 BLOCK = 256
@@ -68,11 +74,12 @@ def detected(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def with_terms(rows: DataFrame, reach: int) -> DataFrame:
     """Adds ``near``: for each datum, the words of three letters or more within ``reach`` characters that are no personal data themselves.
 
-    Entries are ``(c, t, s, e)``: the datum with its kind, the lower-cased word, and its place. A
-    word that the window cuts is left out.
+    Entries are ``(c, t, s, e)``: the datum with its kind, the lower-cased word, and its place; and
+    the same again for what the datum shares with others (``WIDER``). A word that the window cuts
+    is left out.
     """
-    every = "concat(" + ", ".join(
-        f"transform({k}, x -> named_struct('s', x.s, 'e', x.e, 'c', concat('{k}:', {'lower(x.v)' if k in ('email', 'ip') else _digits()})))" for k in KINDS) + ")"
+    own = {k: f"concat('{k}:', {'lower(x.v)' if k in ('email', 'ip') else _digits()})" for k in KINDS}
+    every = "concat(" + ", ".join(f"transform({k}, x -> named_struct('s', x.s, 'e', x.e, 'c', {c}))" for k in KINDS for c in (own[k], WIDER[k])) + ")"
     rows = rows.withColumn("data", F.expr(every))
     rows = rows.withColumn("windows", F.expr(
         f"transform(data, d -> named_struct('c', d.c, 'at', greatest(d.s - {reach}, 0), 'w', substr(text, greatest(d.s - {reach}, 0) + 1, d.e + {reach} - greatest(d.s - {reach}, 0))))"))
@@ -88,39 +95,50 @@ def with_terms(rows: DataFrame, reach: int) -> DataFrame:
 
 
 def _digits() -> str:
-    return "regexp_replace(x.v, '[^0-9]', '')"
+    return DIGITS
 
 
-def disclosures(rows: DataFrame, docs: DataFrame, text_col: str, support: int, generalise_at: float) -> DataFrame:
-    """``(c, t, ratio)`` of the words that disclose a datum, from document counts over the whole corpus.
+def at_least(hits: Column, n: Column) -> Column:
+    """Wilson's lower bound of a share seen as ``hits`` of ``n``."""
+    p = hits / n
+    return (p + Z2 / 2 / n - F.sqrt(F.lit(Z2) * (p * (1 - p) + Z2 / 4 / n) / n)) / (1 + Z2 / n)
 
-    With N documents, ``ratio`` is log(N n(c,t) / (n(c) n(t))) over log(N / n(c)): 1 if the word
-    occurs with the datum alone, 0 if it is no commoner there than elsewhere. A pair counts from
-    ``support`` documents on. Counts of words run over all texts, for words that pass that.
+
+def disclosures(rows: DataFrame, docs: DataFrame, text_col: str, generalise_at: float) -> DataFrame:
+    """``(c, t, ratio)`` of the words that disclose a datum, or what it shares with others, from counts of distinct texts.
+
+    With N texts and p the lower bound of n(c,t) / n(t), ``ratio`` is log(N p / n(c)) over
+    log(N / n(c)): near 1 if the word is often seen, and with the datum alone, 0 if it is no
+    commoner there than elsewhere. Every pair that occurs is scored; little evidence lowers the
+    bound.
     """
-    total = rows.count()
-    single = rows.where(F.size("data") > 0).select(F.explode(F.array_distinct(F.transform("data", lambda d: d["c"]))).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n_c"))
-    pairs = rows.where(F.size("near") > 0).select(F.explode(F.array_distinct(F.transform("near", lambda n: F.struct(n["c"].alias("c"), n["t"].alias("t"))))).alias("p")).groupBy("p.c", "p.t").agg(
-        F.count(F.lit(1)).alias("n_ct")).where(F.col("n_ct") >= support)
+    total = rows.select("h").distinct().count()
+    once = durable(rows.where(F.size("data") > 0).groupBy("h").agg(F.first("data").alias("data"), F.first("near").alias("near")))
+    single = once.select(F.explode(F.array_distinct(F.transform("data", lambda d: d["c"]))).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n_c"))
+    pairs = once.select(F.explode(F.array_distinct(F.transform("near", lambda n: F.struct(n["c"].alias("c"), n["t"].alias("t"))))).alias("p")).groupBy("p.c", "p.t").agg(F.count(F.lit(1)).alias("n_ct"))
     pairs = durable(pairs)
     wanted = durable(pairs.select("t").distinct())
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), "[^\\p{L}]+"))).alias("t"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(text.alias("text")).groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
+    words = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), "[^\\p{L}]+"))).alias("t"))
     # Counted first: common words meet the wanted ones as one row each, not once a document.
     counts = words.groupBy("t").agg(F.count(F.lit(1)).alias("n_t")).join(broadcast_if_small(wanted, wanted.count()), "t")
-    ratio = F.try_divide(F.log(F.lit(float(total)) * F.col("n_ct") / (F.col("n_c") * F.col("n_t"))), F.log(F.lit(float(max(total, 1))) / F.col("n_c")))
+    # lower-casing and splitting may part a word otherwise than its pair: n_t is then the smaller
+    share = at_least(F.col("n_ct"), F.greatest("n_t", "n_ct"))
+    ratio = F.try_divide(F.log(F.lit(float(total)) * share / F.col("n_c")), F.log(F.lit(float(max(total, 1))) / F.col("n_c")))
     return pairs.join(single, "c").join(counts, "t").select("c", "t", ratio.alias("ratio")).where(F.col("ratio") >= generalise_at)
 
 
-def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 40, support: int = 3,
+def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 40,
           generalise_at: float = 0.6, remove_at: float = 0.9) -> DataFrame:
     """``(row, doc_id, email, ip, card, phone, terms)``, one row per document.
 
     Personal data by kind as arrays of ``(s, e, v)``, and ``terms`` as ``(s, e, action)``: words
     near a datum that disclose it, to be generalised, or removed from ``remove_at`` on. Null and
-    empty texts have none; repeated rows are judged alike and count each.
+    empty texts have none; repeated rows are judged alike, and equal texts count once.
     """
-    rows = durable(with_terms(detected(docs, id_col, text_col), reach).drop("text").withColumn("row", F.monotonically_increasing_id()))
-    known = durable(disclosures(rows, docs, text_col, support, generalise_at))
+    rows = durable(with_terms(detected(docs, id_col, text_col), reach).withColumn("h", F.xxhash64("text")).drop("text").withColumn("row", F.monotonically_increasing_id()))
+    known = durable(disclosures(rows, docs, text_col, generalise_at))
     places = rows.where(F.size("near") > 0).select("row", F.explode("near").alias("n")).select("row", "n.*")
     hits = places.join(broadcast_if_small(known, known.count(), 50_000), ["c", "t"]).groupBy("row", "s", "e").agg(F.max("ratio").alias("ratio"))
     action = F.when(F.col("ratio") >= remove_at, "remove").otherwise("generalise")

@@ -356,6 +356,19 @@ def test_disclosing_words_are_removed_and_common_ones_stay(spark):
     assert sanitise.report(docs).where("doc_id > 6 AND spans <> ''").count() == 0
 
 
+def test_unique_data_have_disclosing_words_and_copies_count_once(spark):
+    plain = [f"number {i} says the end of it" for i in range(100)]
+    texts = ["says the end Zebulon at z@corp.org the end"] + [f"says the end {'Initech' if i else 'Initech now'} at p{i}@initech.org" for i in range(4)]
+    docs = spark.createDataFrame(rows_of(texts + plain), SCHEMA)
+    got = {r.doc_id: r for r in sanitise.found(docs).collect()}
+    for i, word in enumerate(["Zebulon"] + 4 * ["Initech"]):
+        terms, at = [(x.s, x.e) for x in got[i + 1].terms], texts[i].index(word)
+        assert (at, at + 7) in terms and not any(texts[i][s:e] in ("the", "end", "says") for s, e in terms)
+    copies = spark.createDataFrame(rows_of(texts[:1] * 8 + texts[1:] + plain), SCHEMA)
+    again = {r.doc_id: r.terms for r in sanitise.found(copies).collect()}
+    assert all(again[i] == got[1].terms for i in range(1, 9))
+
+
 # --- pages ------------------------------------------------------------------------------------------
 
 PAGES = [
