@@ -248,6 +248,34 @@ def log_forecast_day(log: LogTable, rows: DataFrame, reuse: bool = False) -> str
     return "appended_new_immutable_day"
 
 
+def log_forecast_days(log: LogTable, rows: DataFrame, reuse: bool = False) -> DataFrame:
+    """``log_forecast_day`` for all models and days of ``rows`` at once: ``(model_version, delivery_date, status, action)``.
+
+    All is checked before anything is written; days that are stored are refused, or with
+    ``reuse`` kept if they hold the same periods.
+    """
+    late = rows.where(clock.instant("delivery_time_utc") <= clock.instant("issue_time_utc"))
+    if not late.isEmpty():
+        raise GuardError("delivery periods must lie after the issue time")
+    on, day = ["model_version", "delivery_date"], clock.delivery_date("delivery_time_utc")
+    old = log.stored()
+    if old is None:
+        found = rows.select("model_version", day.alias("delivery_date")).distinct().withColumn("status", F.lit("absent"))
+    else:
+        found = stored_day_status(old, rows).select(*on, "status")
+    found = durable(found)
+    bad = found.where(F.col("status") == "misaligned" if reuse else F.col("status") != "absent").first()
+    if bad is not None:
+        what = "stored with other periods" if reuse else "already stored"
+        raise GuardError(f"a forecast of {bad.model_version} for {bad.delivery_date} is {what}")
+    absent = found.where("status = 'absent'")
+    if not absent.isEmpty():
+        fresh = rows.withColumn("delivery_date", day).join(absent.select(*on), on, "left_semi")
+        append_forecast_batch(log, fresh.select(*rows.columns))
+    action = F.when(F.col("status") == "absent", "appended_new_immutable_day").otherwise("reused_existing_immutable_day")
+    return found.withColumn("action", action)
+
+
 def append_actuals(log: LogTable, prices: DataFrame, first: str, end: str, revision: str) -> DataFrame:
     """Append a window of actual prices of one revision; every period must be present."""
     a, z = clock.day_start(F.lit(first)), clock.day_start(F.lit(end))

@@ -169,16 +169,15 @@ def graded_in_spans(t):
 WITH {FORECASTS}, k AS (SELECT *, {day('delivery_time_utc')} AS d FROM forecasts WHERE model_version = (SELECT min(model_version) FROM forecasts))
 SELECT forecast_id, delivery_time_utc, {rounded(['p50'])} FROM k WHERE d IN (SELECT DISTINCT d FROM k ORDER BY d LIMIT 3)""")
 def appended_forecast_days(t):
-    """Three days of one model, each appended on its own and then offered again for reuse."""
-    f = forecasts(t)
-    first = f.agg(F.min("model_version")).first()[0]
-    rows = f.where(F.col("model_version") == first).withColumn("d", clock.delivery_date("delivery_time_utc"))
+    """All days of all models, appended at once and then offered again for reuse. The twin shows three days of one model."""
+    f = durable(forecasts(t))
     log = logs.forecast_log(t.spark, shared_path(t.spark, "days"))
-    for r in rows.select("d").distinct().orderBy("d").limit(3).collect():
-        one = rows.where(F.col("d") == r.d).drop("d")
-        logs.log_forecast_day(log, one)
-        logs.log_forecast_day(log, one, reuse=True)
-    return out(log.read().select("forecast_id", "delivery_time_utc", "p50"))
+    logs.log_forecast_days(log, f)
+    logs.log_forecast_days(log, f, reuse=True)
+    stored = log.read().withColumn("d", clock.delivery_date("delivery_time_utc"))
+    shown = stored.where(F.col("model_version") == stored.agg(F.min("model_version")).first()[0])
+    days = shown.select("d").distinct().orderBy("d").limit(3)
+    return out(shown.join(days, "d", "left_semi").select("forecast_id", "delivery_time_utc", "p50"))
 
 
 @query("risk_log", f"""

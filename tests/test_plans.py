@@ -329,3 +329,28 @@ def test_charge_keeps_long_payloads_exact_and_blocks_do_not_matter(frame):
     got = [sorted(map(tuple, series.state_of_charge(df, ["k"], "t", "p", 1.0, 5.0, block_s=b).select("t", "n", "battery_soc_mwh").collect())) for b in (1, 86400)]
     assert [x[:2] for x in got[0]] == [x[:2] for x in got[1]] and all(abs(a[2] - b[2]) < 1e-9 for a, b in zip(*got))
     assert {x[1] for x in got[0]} == {None, 2 ** 53 + 1}
+
+
+def test_forecast_days_of_many_models_are_logged_at_once(spark, tmp_path):
+    log = logs.forecast_log(spark, str(tmp_path / "f"))
+    first = forecast_day(spark).unionByName(forecast_day(spark, model="n"))
+    rows = first.unionByName(forecast_day(spark, "2026-08-02", "2026-08-01 12:00:00"))
+    assert {r.action for r in logs.log_forecast_days(log, first).collect()} == {"appended_new_immutable_day"}
+    with pytest.raises(GuardError, match="already stored"):
+        logs.log_forecast_days(log, rows)
+    got = {(r.model_version, str(r.delivery_date)): r.action for r in logs.log_forecast_days(log, rows, reuse=True).collect()}
+    kept, new = "reused_existing_immutable_day", "appended_new_immutable_day"
+    assert got == {("m", "2026-08-01"): kept, ("n", "2026-08-01"): kept, ("m", "2026-08-02"): new} and log.read().count() == 144
+    with pytest.raises(GuardError, match="other periods"):
+        logs.log_forecast_days(log, rows.where("delivery_time_utc < '2026-08-02 12:00:00'"), reuse=True)
+    with pytest.raises(GuardError, match="after the issue"):
+        logs.log_forecast_days(log, forecast_day(spark, "2026-08-03", "2026-08-03 12:00:00"))
+
+
+def test_the_forecast_query_stores_all_days_of_all_models(spark, monkeypatch):
+    from settlespark.workload import load, plan_queries
+    made = []
+    monkeypatch.setattr(plan_queries.logs, "forecast_log", lambda *a, f=logs.forecast_log: made.append(f(*a)) or made[-1])
+    load().QUERIES["appended_forecast_days"](spark, "/root/testdata/sf0.001").count()
+    stored = made[0].read().withColumn("d", clock.delivery_date("delivery_time_utc"))
+    assert stored.select("model_version").distinct().count() > 1 and stored.select("d").distinct().count() > 3
