@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from settlespark.llm.dialogue import CUT, DAMAGE, DELETE, INSERT, LEGAL, NAMES, REROLE, WANTED
 from settlespark.llm.sharding import PRIME, Permutation
 from settlespark.llm.warc import ALPHABET
 
@@ -123,3 +124,93 @@ best AS (SELECT stratum, rule, max_by(cut, (br - gr) * 1000 + cut) AS cut FROM s
 bad AS (SELECT k, string_agg(rule, ',' ORDER BY rule) AS failed FROM m JOIN v USING (k) JOIN best USING (stratum, rule) WHERE value > cut GROUP BY k)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed IS NULL AS kept, coalesce(failed, '') AS failed_rules
 FROM m LEFT JOIN bad USING (k)"""
+
+
+def _crc_table() -> str:
+    table = "range(0, 256)"
+    for _ in range(8):
+        table = f"list_transform({table}, lambda x: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+    return table
+
+
+def _crc(text: str) -> str:
+    """CRC-32 of a text's UTF-8; the byte table is column ``tab``."""
+    return (f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(regexp_extract_all(hex(encode({text})), '..'),"
+            " lambda y: CAST((instr('0123456789ABCDEF', y[1]) - 1) * 16 + instr('0123456789ABCDEF', y[2]) - 1 AS BIGINT))),"
+            " lambda s, y: xor(s >> 8, CAST(tab[CAST(xor(s, y) & 255 AS INTEGER) + 1] AS BIGINT))), 4294967295)")
+
+
+VARIANTS = f"""
+WITH RECURSIVE t AS (SELECT {_crc_table()} AS tab),
+runs AS (SELECT k, run, count(*) AS n FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS k,
+    unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[a-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= 5 GROUP BY k, run),
+marked AS (SELECT run, n, {_crc("k || ':' || run")} AS h FROM runs, t),
+heard AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM marked),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM heard WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cut AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+holed AS (SELECT word, n, substr(word, 1, i - 1) || '_' || substr(word, i + 1) AS hole, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM cut),
+pairs AS (SELECT a.word AS a, a.n AS na, b.word AS b, b.n AS nb FROM holed a JOIN holed b USING (hole) WHERE a.word <> b.word
+  UNION SELECT a.word, a.n, v.word, v.n FROM holed a JOIN v ON a.less = v.word UNION SELECT v.word, v.n, a.word, a.n FROM holed a JOIN v ON a.less = v.word),
+best AS (SELECT a AS word, na AS n, count(*) AS n_near, max(nb) AS top FROM pairs GROUP BY a, na),
+forms AS (SELECT word, n_near, min(CASE WHEN nb = top AND top >= 2 * n THEN b END) AS form, CASE WHEN top >= 2 * n THEN top END AS form_n
+  FROM best JOIN pairs ON a = word GROUP BY word, n_near, top, n),
+r AS (SELECT word, word AS root FROM v UNION ALL SELECT r.word, f.form FROM r JOIN forms f ON r.root = f.word WHERE f.form IS NOT NULL)
+SELECT v.word, forms.form, r.root, v.n, coalesce(n_near, 0) AS n_near, form_n FROM v LEFT JOIN forms USING (word)
+JOIN (SELECT r.word, r.root FROM r LEFT JOIN forms f ON f.word = r.root WHERE f.form IS NULL) r USING (word)"""
+
+JACCARD = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, doc_id,
+  list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT DISTINCT k, array_to_string(w[i : i + least(4, len(w)) - 1], ' ') AS s FROM (SELECT k, w, unnest(range(1, len(w) - least(4, len(w)) + 2)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT k, count(*) AS n FROM g GROUP BY k),
+c AS (SELECT a.k AS a, b.k AS b, count(*) AS c FROM g a JOIN g b USING (s) WHERE a.k < b.k GROUP BY ALL),
+e AS (SELECT a, b FROM c JOIN n x ON a = x.k JOIN n y ON b = y.k WHERE 100 * c >= 85 * (x.n + y.n - c)),
+ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT k, k AS m FROM d UNION SELECT r.k, ways.b FROM r JOIN ways ON r.m = ways.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, l.component_id FROM d LEFT JOIN n USING (k)
+JOIN (SELECT r.k, min(x.doc_id) AS component_id FROM r JOIN d x ON r.m = x.k GROUP BY r.k) l USING (k)"""
+
+
+def dialogue() -> str:
+    """All ways of a conversation, of which the best to each state is kept row by row."""
+    steps = []
+    for g in range(4):
+        for role in "suax":
+            for fault in "kbdt":
+                state, inserted = g, []
+                for _ in range(4):
+                    ways = [("D", DELETE, state, "")]
+                    if fault in "kt":
+                        cut = CUT if fault == "t" else 0
+                        ways += [("K", cut, LEGAL[state, role], "")] if (state, role) in LEGAL else []
+                        ways.append(("R", REROLE + cut, WANTED[state], NAMES[WANTED[state]]))
+                    steps += [f"({g}, '{role}', '{fault}', {to}, {INSERT * len(inserted) + cost}, '{'I' * len(inserted)}{name}', {inserted}::VARCHAR[], '{head}')"
+                              for name, cost, to, head in ways]
+                    state = WANTED[state]
+                    inserted = [*inserted, f"{NAMES[state]}:"]
+    ends = "(0, 0, '', []::VARCHAR[]), (1, 4, 'II', ['user:', 'assistant:']), (2, 2, 'I', ['assistant:']), (3, 0, '', []::VARCHAR[])"
+    return f"""
+WITH RECURSIVE t AS (SELECT {_crc_table()} AS tab),
+o AS (SELECT coalesce('v' || conv_id, 'n') AS key, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  {_crc("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % {DAMAGE} AS d FROM conversations, t),
+dm AS (SELECT key, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(CASE WHEN d = 3 THEN [1, 2] ELSE [1] END) AS copy FROM o WHERE d <> 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY turn NULLS FIRST, role, md5(text)) AS pos FROM dm),
+f AS (SELECT key, turn, pos, role, text, CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE 'x' END AS initial, role[1] AS first_letter,
+  CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY key, role, text ORDER BY pos) > 1 THEN 'd'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE 'k' END AS fault FROM p),
+counts AS (SELECT key, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+  count(*) FILTER (fault = 't') AS truncated, count(*) AS n FROM f GROUP BY key),
+odd AS (SELECT key, count(*) AS illegal FROM (SELECT key, lag(first_letter) OVER (PARTITION BY key ORDER BY pos) || first_letter AS pair FROM f) WHERE pair NOT IN ('su', 'ua', 'au') GROUP BY key),
+steps(g, initial, fault, h, price, name, before, head) AS (VALUES {', '.join(steps)}),
+ends(h, price, name, after) AS (VALUES {ends}),
+w AS (SELECT key, CAST(0 AS BIGINT) AS pos, 0 AS h, CAST(0 AS BIGINT) AS cost, '' AS audit, []::VARCHAR[] AS lines FROM counts
+  UNION ALL SELECT w.key, f.pos, steps.h, CAST(w.cost + price AS BIGINT), w.audit || name,
+    list_concat(w.lines, before, CASE WHEN name LIKE '%D' THEN []::VARCHAR[] WHEN head <> '' THEN [head || ':' || f.text] ELSE [f.role || ':' || f.text] END)
+  FROM w JOIN f ON f.key = w.key AND f.pos = w.pos + 1 JOIN steps ON steps.g = w.h AND steps.initial = f.initial AND steps.fault = f.fault
+  QUALIFY row_number() OVER (PARTITION BY w.key, steps.h ORDER BY w.cost + price, w.audit || name) = 1),
+done AS (SELECT w.key, w.cost + price AS cost, w.audit || name AS audit, array_to_string(list_concat(lines, after), chr(10)) AS lines
+  FROM w JOIN counts ON counts.key = w.key AND counts.n = w.pos JOIN ends USING (h) QUALIFY row_number() OVER (PARTITION BY w.key ORDER BY w.cost + price, w.audit || name) = 1)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT key, conv_id FROM o) a LEFT JOIN counts USING (key) LEFT JOIN odd USING (key) LEFT JOIN done USING (key)"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from settlespark.llm import content, decontaminate, mixing, nbsvm, oracles, quality_rules, sanitise, sharding, simhash, toxicity, warc
+from settlespark.llm import content, decontaminate, dialogue, jaccard, mixing, nbsvm, oracles, quality_rules, sanitise, sharding, simhash, toxicity, variants, warc
 from settlespark.llm.common import table
 
 
@@ -56,7 +56,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"), seed=DRAW_SEED).withColumn("rate", F.round("rate", 6))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.grouped(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.repair(table(spark, sf_dir, "conversations"))
+
+
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_sharding, op4_decontamination, op5_sanitisation,
-                                   op6_simhash, op7_warc, op8_quality_classifier, op9_html_extraction, op10_mixing)}
+                                   op6_simhash, op7_warc, op8_quality_classifier, op9_html_extraction, op10_mixing,
+                                   op11_spelling_variants, op12_conversation_repair, op13_jaccard_join)}
 ORACLES = {"op2_quality_rules": oracles.quality_rules(quality_rules.RULES), "op3_sharding": oracles.sharding(SHARD_SEED),
-           "op4_decontamination": oracles.DECONTAMINATION, "op7_warc": oracles.WARC, "op10_mixing": oracles.mixing(mixing.POWERS, DRAW_SEED)}
+           "op4_decontamination": oracles.DECONTAMINATION, "op7_warc": oracles.WARC, "op10_mixing": oracles.mixing(mixing.POWERS, DRAW_SEED),
+           "op11_spelling_variants": oracles.VARIANTS, "op12_conversation_repair": oracles.dialogue(), "op13_jaccard_join": oracles.JACCARD}
