@@ -1,15 +1,15 @@
 """Log tables on plain Parquet: immutable appends, skip-known appends and upserts.
 
-A log is partitioned by local delivery date. Every write first lands its rows as a durable
-table, so guards and the write read the same data, and a plan never overwrites a path it
-reads. Guards read only the stored dates between the first and last of the batch, and upserts
-replace only the date partitions they touch.
+A log is partitioned by local delivery date and written in versions (``commits``): guards look at
+one version, and the write takes effect only if no other has come between. Then guards and write
+are repeated once on the new version. Guards read only the stored dates between the first and last
+of the batch, and upserts replace only the dates they touch.
 """
 
 from __future__ import annotations
 
 import datetime
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -20,43 +20,26 @@ from settlespark.operators import scoring
 from settlespark.operators.point_in_time import last_by
 from settlespark.operators.relations import duplicate_keys, require_unique
 from settlespark.operators.timeline import clock_difference, period_completeness, settlement_spine
+from settlespark.plans.commits import DAY, Version, Versions
 from settlespark.session import durable
-from settlespark.sources.tables import read_if_present
-
-DAY = "log_date"
 
 
 class LogTable:
-    """A keyed log. ``day`` gives each row's partition date from its own columns.
-
-    Later writes may add columns. File schemas are merged once; from then on the log knows its
-    own, and so it does from the start where a ``schema`` is declared.
-    """
+    """A keyed log. ``day`` gives each row's partition date from its own columns. Later writes may add columns."""
 
-    def __init__(self, spark: SparkSession, path: str, key: Sequence[str], day: Column | None = None, schema=None):
-        self.spark, self.path, self.key, self.schema = spark, path, list(key), schema
+    def __init__(self, spark: SparkSession, path: str, key: Sequence[str], day: Column | None = None):
+        self.spark, self.path, self.key = spark, path, list(key)
         self.day = day if day is not None else clock.delivery_date("delivery_time_utc")
+        self.versions = Versions(spark, path)
 
     def stored(self) -> DataFrame | None:
-        rows = read_if_present(self.spark, self.path, self.schema, merge=self.schema is None)
-        if rows is not None and self.schema is None:
-            self.schema = rows.schema
-        return rows
+        """All rows of the last version, or None before the first. Later writes don't change what it reads."""
+        return self.stored_between(None, None)
 
     def stored_between(self, first, last) -> DataFrame | None:
-        """Stored rows of the dates from ``first`` to ``last``; other partitions are not listed among the files to read."""
-        rows = self.stored()
-        return None if rows is None else rows.where(F.col(DAY).between(F.lit(first).cast("date"), F.lit(last).cast("date")))
-
-    def _prior(self, batch: DataFrame) -> DataFrame | None:
-        """Stored rows of the dates that the batch spans."""
-        span = batch.agg(F.min(DAY).alias("a"), F.max(DAY).alias("z")).first()
-        return self.stored_between(span.a, span.z)
-
-    def _written(self, rows: DataFrame) -> None:
-        if self.schema is not None:
-            known = {f.name for f in self.schema.fields}
-            self.schema = T.StructType([*self.schema.fields, *[f for f in rows.schema.fields if f.name not in known]])
+        """Stored rows of the dates from ``first`` to ``last``; files of other dates are not listed."""
+        version = self.versions.latest()
+        return self.versions.read(version, first, last) if version.number else None
 
     def read(self) -> DataFrame:
         rows = self.stored()
@@ -64,6 +47,13 @@ class LogTable:
             raise GuardError(f"log {self.path} is empty")
         return rows.drop(DAY)
 
+    def _prior(self, version: Version, batch: DataFrame) -> DataFrame | None:
+        """Rows of a version on the dates that the batch spans."""
+        if not version.number:
+            return None
+        span = batch.agg(F.min(DAY).alias("a"), F.max(DAY).alias("z")).first()
+        return self.versions.read(version, span.a, span.z)
+
     def _landed(self, rows: DataFrame) -> DataFrame:
         need_columns(rows, self.key, "log rows")
         times = {c: clock.instant(c) for c in rows.columns if c.endswith("_utc")}
@@ -77,15 +67,25 @@ class LogTable:
             raise GuardError(f"the batch repeats key {clash.asDict()}")
         return batch
 
-    def _append(self, rows: DataFrame) -> DataFrame:
-        self._by_day(rows).write.mode("append").partitionBy(DAY).parquet(self.path)
-        self._written(rows)
-        return rows.drop(DAY)
+    def _committed(self, work: Callable[[Version], tuple[DataFrame, DataFrame | None]], replace: bool) -> DataFrame:
+        """Run ``work`` on the last version and store the rows it gives; once more if another write came first.
 
-    @staticmethod
-    def _by_day(rows: DataFrame) -> DataFrame:
-        # Few files per date; a large date is still split over tasks by size.
-        return rows.hint("rebalance", F.col(DAY))
+        ``work`` returns its result and the rows to store, or None for nothing. It raises what its
+        guards find, before anything is visible.
+        """
+        for _ in range(2):
+            version = self.versions.latest()
+            result, rows = work(version)
+            if rows is None:
+                return result
+            # Few files per date; a large date is still split over tasks by size.
+            commit = self.versions.stage(rows.hint("rebalance", F.col(DAY)))
+            known = version.schema.names if version.schema else []
+            schema = T.StructType([*(version.schema or ()), *[f for f in rows.schema if f.name not in known]])
+            if self.versions.publish(version, schema, commit, replace):
+                return result
+            self.versions.discard(commit)
+        raise GuardError(f"log {self.path} is being written by others")
 
     @property
     def _join_key(self) -> list[str]:
@@ -95,14 +95,18 @@ class LogTable:
     def append_unique(self, rows: DataFrame) -> DataFrame:
         """Append rows; any key already stored, or repeated in the batch, is an error."""
         batch = self._landed(rows)
-        old = self._prior(batch)
-        repeated = duplicate_keys(batch, self.key).select(*self.key)
-        if old is not None:
-            repeated = repeated.unionByName(batch.join(old.select(*self._join_key), self._join_key, "left_semi").select(*self.key))
-        clash = repeated.first()
-        if clash is not None:
-            raise GuardError(f"refusing to overwrite immutable row {clash.asDict()}")
-        return self._append(batch)
+
+        def work(version):
+            old = self._prior(version, batch)
+            repeated = duplicate_keys(batch, self.key).select(*self.key)
+            if old is not None:
+                repeated = repeated.unionByName(batch.join(old.select(*self._join_key), self._join_key, "left_semi").select(*self.key))
+            clash = repeated.first()
+            if clash is not None:
+                raise GuardError(f"refusing to overwrite immutable row {clash.asDict()}")
+            return batch.drop(DAY), batch
+
+        return self._committed(work, replace=False)
 
     def append_new(self, rows: DataFrame, order: Sequence[str] = (), drop: Sequence[str] = ()) -> DataFrame:
         """Append rows with unseen keys; known keys are skipped.
@@ -111,12 +115,16 @@ class LogTable:
         ``drop`` are not stored.
         """
         batch = self._landed(rows)
-        old = self._prior(batch)
         rest = [c for c in rows.columns if c not in self.key]
-        fresh = last_by(batch, self.key, list(order) or rest or self.key)
-        if old is not None:
-            fresh = fresh.join(old.select(*self._join_key), self._join_key, "left_anti")
-        return self._append(durable(fresh.drop(*drop)))
+        last = last_by(batch, self.key, list(order) or rest or self.key)
+
+        def work(version):
+            old = self._prior(version, batch)
+            fresh = last if old is None else last.join(old.select(*self._join_key), self._join_key, "left_anti")
+            fresh = durable(fresh.drop(*drop))
+            return fresh.drop(DAY), None if version.number and fresh.isEmpty() else fresh
+
+        return self._committed(work, replace=False)
 
     def _changed(self, batch: DataFrame, old: DataFrame, ignore: Sequence[str]) -> DataFrame:
         compared = [(c, t) for c, t in batch.dtypes if c not in {*self._join_key, *ignore}]
@@ -128,61 +136,60 @@ class LogTable:
         joined = batch.join(known, self._join_key, "left")
         return joined.where(differs).select(*batch.columns, "_known")
 
-    def _replace(self, rows: DataFrame, old: DataFrame | None) -> None:
-        """Write ``rows`` over stored rows of the same key, touching only their dates."""
-        if old is not None:
-            days = rows.select(DAY).distinct()
-            kept = old.join(days, DAY, "left_semi").join(rows.select(*self._join_key), self._join_key, "left_anti")
-            rows = durable(kept.unionByName(rows, allowMissingColumns=True))
-        (self._by_day(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(DAY).parquet(self.path))
-        self._written(rows)
+    def _over(self, rows: DataFrame, old: DataFrame | None) -> DataFrame:
+        """``rows`` and the stored rows of other keys, on the dates of ``rows``: what these dates hold from now on."""
+        if old is None:
+            return rows
+        days = rows.select(DAY).distinct()
+        kept = old.join(days, DAY, "left_semi").join(rows.select(*self._join_key), self._join_key, "left_anti")
+        return kept.unionByName(rows, allowMissingColumns=True)
 
     def upsert(self, rows: DataFrame, ignore: Sequence[str] = ("graded_at_utc",)) -> DataFrame:
         """Store new and materially changed rows and return them.
 
         Doubles are compared with a tolerance; ``ignore`` columns do not count as a change.
         """
-        batch = self._landed_once(rows)
-        old = self._prior(batch)
-        changed = batch if old is None else durable(self._changed(batch, old, ignore).drop("_known"))
-        if not changed.isEmpty():
-            self._replace(changed, old)
-        return changed.drop(DAY)
+        return self._merged(rows, ignore, lambda changed: None)
 
     def keep_history(self, rows: DataFrame, replace: bool = False) -> DataFrame:
         """Add history rows: an equal row is a no-op, a differing one an error or a replacement."""
-        batch = self._landed_once(rows)
-        old = self._prior(batch)
-        if old is None:
-            self._replace(batch, None)
-            return batch.drop(DAY)
-        changed = durable(self._changed(batch, old, ()))
-        if not replace:
-            clash = changed.where("_known").select(*self.key).first()
+        def refuse(changed):
+            clash = None if replace else changed.where("_known").select(*self.key).first()
             if clash is not None:
                 raise GuardError(f"conflicting immutable history row {clash.asDict()}")
-        changed = changed.drop("_known")
-        if not changed.isEmpty():
-            self._replace(changed, old)
-        return changed.drop(DAY)
+        return self._merged(rows, (), refuse)
+
+    def _merged(self, rows: DataFrame, ignore: Sequence[str], guard: Callable[[DataFrame], None]) -> DataFrame:
+        batch = self._landed_once(rows)
+
+        def work(version):
+            old = self._prior(version, batch)
+            if old is None:
+                return batch.drop(DAY), batch
+            changed = durable(self._changed(batch, old, ignore))
+            guard(changed)
+            changed = changed.drop("_known")
+            return changed.drop(DAY), None if changed.isEmpty() else self._over(changed, old)
+
+        return self._committed(work, replace=True)
 
     def merge_columns(self, rows: DataFrame) -> DataFrame:
         """Column-wise merge: a given value wins, an absent one leaves the stored value."""
         batch = self._landed_once(rows)
-        old = self._prior(batch)
-        if old is None:
-            self._replace(batch, None)
-            return batch.drop(DAY)
         extra = [c for c in batch.columns if c not in self._join_key]
-        prior = old.select(*self._join_key, *[F.col(c).alias(f"_old_{c}") for c in old.columns if c not in self._join_key])
-        merged = batch.join(prior, self._join_key, "left")
-        stored = [c for c in old.columns if c not in self._join_key]
-        cells = [F.coalesce(c, f"_old_{c}").alias(c) if c in stored else F.col(c) for c in extra]
-        cells += [F.col(f"_old_{c}").alias(c) for c in stored if c not in extra]
-        whole = durable(merged.select(*self._join_key, *cells))
-        self._replace(whole, old)
-        return whole.drop(DAY)
+
+        def work(version):
+            old = self._prior(version, batch)
+            if old is None:
+                return batch.drop(DAY), batch
+            stored = [c for c in old.columns if c not in self._join_key]
+            prior = old.select(*self._join_key, *[F.col(c).alias(f"_old_{c}") for c in stored])
+            cells = [F.coalesce(c, f"_old_{c}").alias(c) if c in stored else F.col(c) for c in extra]
+            cells += [F.col(f"_old_{c}").alias(c) for c in stored if c not in extra]
+            whole = durable(batch.join(prior, self._join_key, "left").select(*self._join_key, *cells))
+            return whole.drop(DAY), self._over(whole, old)
+
+        return self._committed(work, replace=True)
 
 
 def forecast_log(spark, path) -> LogTable:
@@ -205,8 +212,8 @@ def append_forecasts(log: LogTable, rows: DataFrame) -> DataFrame:
     ).first()
     if facts.m0 != facts.m1 or facts.d0 != facts.d1:
         raise GuardError("a forecast append holds one model version and one delivery day")
-    old = log.stored()
-    if old is not None and not old.where((F.col(DAY) == F.lit(facts.d0)) & (F.col("model_version") == facts.m0)).isEmpty():
+    old = log.stored_between(facts.d0, facts.d0)
+    if old is not None and not old.where(F.col("model_version") == facts.m0).isEmpty():
         raise GuardError(f"a forecast of {facts.m0} for {facts.d0} is already stored")
     return append_forecast_batch(log, rows)
 
@@ -230,14 +237,21 @@ def stored_day_status(stored: DataFrame, wanted: DataFrame) -> DataFrame:
     return out.withColumn("status", status).withColumn("stored_periods", F.coalesce("stored_periods", F.lit(0))).drop("_faults")
 
 
+def _stored_beside(log: LogTable, rows: DataFrame) -> DataFrame | None:
+    """Stored rows of the delivery dates that ``rows`` span; one day is looked up in a long store without reading the rest."""
+    day = clock.delivery_date("delivery_time_utc")
+    span = rows.agg(F.min(day), F.max(day)).first()
+    return log.stored_between(*span)
+
+
 def log_forecast_day(log: LogTable, rows: DataFrame, reuse: bool = False) -> str:
     """Append a forecast day, or keep an exact stored one when ``reuse`` is set."""
     late = rows.where(clock.instant("delivery_time_utc") <= clock.instant("issue_time_utc"))
     if not late.isEmpty():
         raise GuardError("delivery periods must lie after the issue time")
-    old = log.stored()
-    if reuse and old is not None:
-        found = stored_day_status(old, rows).collect()
+    old = _stored_beside(log, rows) if reuse else None
+    if old is not None:
+        found = stored_day_status(old, rows).limit(2).collect()
         if len(found) != 1:
             raise GuardError("a repair run holds exactly one delivery day")
         if found[0].status == "misaligned":
@@ -258,7 +272,7 @@ def log_forecast_days(log: LogTable, rows: DataFrame, reuse: bool = False) -> Da
     if not late.isEmpty():
         raise GuardError("delivery periods must lie after the issue time")
     on, day = ["model_version", "delivery_date"], clock.delivery_date("delivery_time_utc")
-    old = log.stored()
+    old = _stored_beside(log, rows)
     if old is None:
         found = rows.select("model_version", day.alias("delivery_date")).distinct().withColumn("status", F.lit("absent"))
     else:
