@@ -14,9 +14,8 @@ from math import comb, exp, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from settlespark.llm.common import batches_of, column_texts
 from settlespark.llm.components import components
 from settlespark.llm.decontaminate import gram_hashes, membership, word_hashes
 from settlespark.session import durable
@@ -24,11 +23,15 @@ from settlespark.session import durable
 GRAM, SHARE = 4, (85, 100)
 WIDTH = 1.25  # greatest by least size of a band
 #: Differences left in a part and pieces of a part: dearer ones later, each with longer projections.
-CHOICES = ((1, 3), (1, 4), (1, 6), (2, 5), (2, 7), (3, 7), (3, 8), (4, 9), (5, 11))
-MEETINGS = 4.0  # unlike sets of a band that may share an empty projection
-FLUSH = 1 << 20  # signatures a task holds before it hands them on
-SLOT = 1 << 21  # signatures that are sorted together
-CROSS = 4  # open pairs for each row of the groups, below which they are all compared
+CHOICES = ((1, 3), (1, 4), (2, 5), (2, 7), (3, 7), (3, 8), (4, 9), (5, 11))
+MEETINGS = 24.0  # unlike sets of a band that may share an empty projection
+FLUSH = 1 << 19  # signatures a task holds before it hands them on
+SLOT = 1 << 19  # signatures that are sorted together
+TOGETHER = 1 << 21  # shingles of the sets that a task holds at a time
+CROSS = 8  # open pairs for each row of the groups, below which they are all compared
+SHORT = (1 << 48) - 1
+HEAD = 16  # numbers of 64 parities that travel with a set
+PIVOTS = 8  # nodes of a signature that the others are compared with in one round
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -40,6 +43,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def texts_of(column):
+    """Values of an Arrow text column, one by one; a null counts as an empty text."""
+    for value in column:
+        yield value.as_py() or ""
+
+
 def shingle_set(text: str, gram: int = GRAM) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles of a text; of fewer words, one of them all."""
     data = text.encode("utf-8", "surrogatepass").lower()
@@ -92,43 +101,63 @@ def bands_for(size: int, share: tuple[int, int] = SHARE) -> range:
     return range(band_of(size), band_of(size * share[1] // share[0]) + 1)
 
 
-def signatures(shingles: np.ndarray, plan: dict[int, tuple[int, int, int]], share: tuple[int, int] = SHARE) -> np.ndarray:
-    """All signatures of a set; none for an empty set."""
-    out = []
-    for band in bands_for(len(shingles), share) if len(shingles) else ():
-        parts, pieces, left = plan[band]
-        cell = ((_mixed(shingles * _ODD + np.uint64(band)) >> np.uint64(32)) * np.uint64(parts * pieces)) >> np.uint64(32)
-        sums = np.zeros(parts * pieces, np.uint64)
-        np.add.at(sums, cell.astype(np.int64), _mixed(shingles + _ODD))
-        sums = sums.reshape(parts, pieces)
-        total, places = sums.sum(axis=1, dtype=np.uint64), np.arange(parts, dtype=np.uint64)
-        for nth, gone in enumerate(combinations(range(pieces), left)):
-            rest = total - sums[:, list(gone)].sum(axis=1, dtype=np.uint64)
-            spot = (places * np.uint64(comb(pieces, left)) + np.uint64(nth)) * np.uint64(256) + np.uint64(band + 1)
-            out.append(_mixed(_mixed(rest + _ODD) + spot * _MIX))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+class Signer:
+    """Signatures of sets under the layouts of all bands."""
+
+    def __init__(self, plan: dict[int, tuple[int, int, int]], share: tuple[int, int] = SHARE):
+        self.share, self.bands = share, {}
+        for band, (parts, pieces, left) in plan.items():
+            gone = np.array(list(combinations(range(pieces), left)), np.int64).reshape(comb(pieces, left), left)
+            spot = np.arange(parts * len(gone), dtype=np.uint64).reshape(parts, len(gone)) * np.uint64(256) + np.uint64(band + 1)
+            self.bands[band] = parts, pieces, gone, spot * _MIX
+
+    def __call__(self, shingles: np.ndarray) -> np.ndarray:
+        """All signatures of a set; none for an empty set."""
+        out = []
+        values = _mixed(shingles + _ODD)
+        for band in bands_for(len(shingles), self.share) if len(shingles) else ():
+            parts, pieces, gone, spot = self.bands[band]
+            cell = ((_mixed(shingles + np.uint64(band * int(_ODD) % 2 ** 64)) >> np.uint64(32)) * np.uint64(parts * pieces)) >> np.uint64(32)
+            sums = np.zeros(parts * pieces, np.uint64)
+            np.add.at(sums, cell.astype(np.int64), values)
+            sums = sums.reshape(parts, pieces)
+            rest = sums.sum(axis=1, dtype=np.uint64)[:, None] - sums[:, gone].sum(axis=2, dtype=np.uint64)
+            out.append(_mixed(_mixed(rest + _ODD) + spot).ravel())
+        return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 # --- Spark jobs -------------------------------------------------------------------------------------
 
 
 def sized(docs: DataFrame, id_col: str, text_col: str, gram: int = GRAM) -> DataFrame:
-    """``(id, set, short, n)`` for every row: the digest of its shingle set, the first half of that as a number, and its size."""
+    """``(id, set, short, n)`` for every row: the digest of its shingle set, the first 48 bits of that, and its size."""
     def run(batches):
         for batch in batches:
-            sets = [shingle_set(t, gram) for t in column_texts(batch.column(1))]
-            digests = [digest(s) for s in sets]
-            short = np.frombuffer(b"".join(digests), np.int64)[::2]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(short), pa.array([len(s) for s in sets], pa.int64())],
-                                             names=["id", "set", "short", "n"])
+            digests, sizes = [], []
+            for text in texts_of(batch.column(1)):
+                shingles = shingle_set(text, gram)
+                digests.append(digest(shingles))
+                sizes.append(len(shingles))
+            short = np.frombuffer(b"".join(digests), np.int64)[::2] & SHORT
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(short), pa.array(sizes, pa.int64())], names=["id", "set", "short", "n"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, set binary, short bigint, n bigint")
 
 
+def classes_of(marked: DataFrame) -> DataFrame:
+    """``(node, set, short, n, first)``: one row for each set that is not empty, with a number of its own and the least id.
+
+    The number is the short digest; where sets share that, the further ones are told apart in its upper bits.
+    """
+    found = marked.where("n > 0").groupBy("set", "short", "n").agg(F.min("id").alias("first"))
+    nth = F.row_number().over(Window.partitionBy("short").orderBy("set")) - 1
+    return found.select((F.col("short") + nth.cast("long") * (SHORT + 1)).alias("node"), "set", "short", "n", "first")
+
+
 def band_plan(sets: DataFrame, share: tuple[int, int] = SHARE) -> tuple[dict[int, tuple[int, int, int]], int]:
-    """The layout of every band in use, and how many signatures all sets have. One row for each size reaches the driver in bands."""
-    rows = sets.where("n > 0").select(F.ceil(F.log("n") / F.lit(log(WIDTH)) * 4).alias("step"), "n").groupBy("step").agg(
+    """The layout of every band in use, and how many signatures all sets have. Four rows for each band reach the driver."""
+    rows = sets.select(F.ceil(F.log("n") / F.lit(log(WIDTH)) * 4).alias("step"), "n").groupBy("step").agg(
         F.count(F.lit(1)).alias("rows"), F.min("n").alias("least"), F.max("n").alias("most")).collect()
     population: dict[int, int] = {}
     for r in rows:
@@ -139,147 +168,209 @@ def band_plan(sets: DataFrame, share: tuple[int, int] = SHARE) -> tuple[dict[int
     return plan, total
 
 
-def _pairs_of(sigs: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (signature, set) entries, in order."""
-    order = np.lexsort((sets, sigs))
-    sigs, sets = sigs[order], sets[order]
-    keep = np.ones(len(sigs), bool)
-    keep[1:] = (sigs[1:] != sigs[:-1]) | (sets[1:] != sets[:-1])
-    return sigs[keep], sets[keep]
+def _packed(numbers: np.ndarray, width: int) -> bytes:
+    return np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
-def _shared(sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of sorted signatures: which are the first of their kind, and which occur more than once."""
-    first = np.ones(len(sigs), bool)
-    first[1:] = sigs[1:] != sigs[:-1]
-    again = ~first
-    again[:-1] |= ~first[1:]
-    return first, again
+def _unpacked(parts: list[bytes], width: int) -> np.ndarray:
+    data = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, width)
+    return np.pad(data, ((0, 0), (0, 8 - width))).view("<u8").ravel()
+
+
+def _repeats(sigs: np.ndarray) -> np.ndarray:
+    """Of sorted signatures, those that are not the first of their kind."""
+    out = np.zeros(len(sigs), bool)
+    out[1:] = sigs[1:] == sigs[:-1]
+    return out
 
 
 def groups(docs: DataFrame, text_col: str, plan: dict[int, tuple[int, int, int]], total: int, gram: int = GRAM, share: tuple[int, int] = SHARE) -> DataFrame:
-    """``(sig, short)``: sets, by the first half of the digest, whose signature another set has as well.
+    """``(sig, short)``: sets, by their short digest, whose signature another set has as well; at times a row twice.
 
-    A task sends one set of each signature it holds to the slot of the signature; further sets of
-    the same signature go elsewhere, spread evenly, since it is known already that they share it. So
-    however many near copies there are, a slot gets at most one entry from each load of a task.
+    A signature becomes a slot and 40 bits within it. A task sends one set of each signature it holds
+    to the slot; further sets of the same signature go elsewhere, spread evenly, since it is known
+    already that they share it. So however many near copies there are, a slot gets at most one entry
+    of a signature from each load of a task. A chance meeting of two signatures costs a comparison.
     """
     slots = max(1, -(-total // SLOT), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches):
         from pyspark import TaskContext
 
-        sigs, sets, held, load = [], [], 0, TaskContext.get().partitionId() * 7919
+        signed, load = Signer(plan, share), TaskContext.get().partitionId() * 7919
+        sigs, sets, held = [], {}, 0
 
         def handed():
-            s, d = _pairs_of(np.concatenate(sigs), np.concatenate(sets))
-            first, again = _shared(s)
-            slot = (s % np.uint64(slots)).astype(np.int64)
-            order = np.argsort(slot[first], kind="stable")
-            s1, d1, slot = s[first][order], d[first][order], slot[first][order]
+            d = np.repeat(np.fromiter(sets, np.uint64, len(sets)), [len(s) for s in sigs])
+            s = np.concatenate(sigs)
+            slot = s % np.uint64(slots)
+            s = (slot << np.uint64(40)) | ((s // np.uint64(slots)) & np.uint64((1 << 40) - 1))
+            order = np.argsort(s)
+            s, d = s[order], d[order]
+            later = _repeats(s)
+            slot, rest, own = (s >> np.uint64(40))[~later], s[~later], d[~later]
             cuts = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1], [True])))
-            rows = [(int(slot[a]), s1[a:b].tobytes(), d1[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])]
-            if again.any():
-                rows.append((slots + load % slots, s[again].tobytes(), d[again].tobytes()))
+            rows = [(int(slot[a]), _packed(rest[a:b], 5), _packed(own[a:b], 6)) for a, b in zip(cuts, cuts[1:])]
+            if later.any():
+                both = later.copy()
+                both[:-1] |= later[1:]
+                rows.append((slots + load % slots, s[both].tobytes(), _packed(d[both], 6)))
             cols = list(zip(*rows))
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["slot", "sigs", "sets"])
 
         for batch in batches:
-            for text in column_texts(batch.column(0)):
+            for text in texts_of(batch.column(0)):
                 shingles = shingle_set(text, gram)
-                own = signatures(shingles, plan, share)
-                if len(own):
-                    sigs.append(own)
-                    sets.append(np.full(len(own), np.frombuffer(digest(shingles), np.int64)[0]))
-                    held += len(own)
+                key = int.from_bytes(digest(shingles)[:6], "little")
+                if len(shingles) and key not in sets:
+                    sets[key] = None
+                    sigs.append(signed(shingles))
+                    held += len(sigs[-1])
                 if held > FLUSH:
                     yield handed()
-                    sigs, sets, held, load = [], [], 0, load + 1
+                    sigs, sets, held, load = [], {}, 0, load + 1
         if held:
             yield handed()
 
     def found(table: pa.Table) -> pa.Table:
-        sigs, sets = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("sigs", np.uint64), ("sets", np.int64)))
-        if table.column("slot")[0].as_py() < slots:
-            sigs, sets = _pairs_of(sigs, sets)
-            keep = _shared(sigs)[1]
-            sigs, sets = sigs[keep], sets[keep]
-        return pa.table({"sig": pa.array(sigs.view(np.int64)), "short": pa.array(sets)})
+        slot, sigs, sets = table.column("slot")[0].as_py(), table.column("sigs").to_pylist(), _unpacked(table.column("sets").to_pylist(), 6)
+        if slot >= slots:
+            sigs = np.frombuffer(b"".join(sigs), np.int64)
+        else:
+            sigs = _unpacked(sigs, 5)
+            order = np.lexsort((sets, sigs))
+            sigs, sets = sigs[order], sets[order]
+            fresh = np.ones(len(sigs), bool)
+            fresh[1:] = (sigs[1:] != sigs[:-1]) | (sets[1:] != sets[:-1])
+            sigs, sets = sigs[fresh], sets[fresh]
+            keep = _repeats(sigs)
+            keep[:-1] |= keep[1:]
+            sigs, sets = (sigs[keep] | np.uint64(slot << 40)).view(np.int64), sets[keep]
+        return pa.table({"sig": pa.array(sigs), "short": pa.array(sets.view(np.int64))})
 
     dealt = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "slot int, sigs binary, sets binary")
     return dealt.groupBy("slot").applyInArrow(lambda table: found(table), "sig bigint, short bigint")
 
 
+def parities(shingles: np.ndarray, bits: int) -> np.ndarray:
+    """Parities of the counts in ``bits`` cells, packed: sets differ in at least as many shingles as parities."""
+    counts = np.zeros(bits, np.uint8)
+    np.add.at(counts, (_mixed(shingles ^ _MIX) & np.uint64(bits - 1)).astype(np.int64), 1)
+    return np.packbits(counts & 1, bitorder="little")
+
+
+def sketch(shingles: np.ndarray) -> bytes:
+    """Parities in four times as many cells as shingles, or more."""
+    return parities(shingles, max(64, 1 << (4 * len(shingles) - 1).bit_length())).tobytes()
+
+
+def parities_apart(a: bytes, b: bytes) -> int:
+    """Parities in which two sketches differ; the longer is folded to the length of the other."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) != len(y):
+        x, y = (x, y) if len(x) < len(y) else (y, x)
+        y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def sets_of(docs: DataFrame, text_col: str, wanted: DataFrame, gram: int = GRAM) -> DataFrame:
-    """``(set, shingles)``: the hashes of the sets in ``wanted``, once each. A bitmap of bounded size thins the scan."""
-    rows = wanted.count()
-    bits = min(28, max(20, int(rows * 16).bit_length()))
+    """``(node, n, head, sketch, shingles)`` of the sets in ``wanted``, once each. A bitmap of bounded size thins the scan."""
+    bits = min(28, max(20, int(wanted.count() * 16).bit_length()))
     shared = docs.sparkSession.sparkContext.broadcast(membership(wanted.select(F.col("short").alias("fp")), bits))
 
     def run(batches):
-        held, low = np.frombuffer(shared.value, np.uint8), (1 << bits) - 1
+        held, low, found, size = np.frombuffer(shared.value, np.uint8), (1 << bits) - 1, {}, 0
+
+        def handed():
+            sets = found.values()
+            return pa.RecordBatch.from_arrays([
+                pa.array(list(found), pa.binary()), pa.array([parities(x, 64 * HEAD).view(np.int64) for x in sets], pa.list_(pa.int64())),
+                pa.array([sketch(x) for x in sets], pa.binary()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))],
+                names=["set", "head", "sketch", "shingles"])
+
         for batch in batches:
-            found = {}
-            for text in column_texts(batch.column(0)):
+            for text in texts_of(batch.column(0)):
                 shingles = shingle_set(text, gram)
                 key = digest(shingles)
-                bit = int.from_bytes(key[:8], "little") & low
-                if held[bit >> 3] >> (bit & 7) & 1:
-                    found[key] = shingles.view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.list_(pa.int64()))], names=["set", "shingles"])
+                bit = int.from_bytes(key[:6], "little") & low
+                if held[bit >> 3] >> (bit & 7) & 1 and key not in found:
+                    found[key] = shingles
+                    size += len(shingles)
+                if size > TOGETHER:
+                    yield handed()
+                    found, size = {}, 0
+        yield handed()
 
-    kept = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "set binary, shingles array<bigint>")
-    return kept.join(wanted.select("set"), "set", "left_semi").groupBy("set").agg(F.first("shingles").alias("shingles"))
+    kept = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "set binary, head array<bigint>, sketch binary, shingles array<bigint>")
+    return kept.join(wanted.select("set", "node", "n"), "set").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "head", "sketch", "shingles")])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
-    """Of the pairs ``(a, b)`` of sets, those that are similar enough, by their whole sets."""
-    left = sets.select(F.col("set").alias("a"), F.col("shingles").alias("of_a"))
-    right = sets.select(F.col("set").alias("b"), F.col("shingles").alias("of_b"))
-    both = F.size(F.array_intersect("of_a", "of_b"))
-    near = share[1] * both >= share[0] * (F.size("of_a") + F.size("of_b") - both)
-    return pairs.join(left, "a").join(right, "b").where(near).select("a", "b")
-
-
-def _labelled(groups: DataFrame, links: DataFrame | None) -> DataFrame:
-    """``(sig, set, label)`` of the groups that still hold more than one component, and one open set of each as pivot."""
-    if links is None:
-        rows = groups.withColumn("label", F.col("set"))
-    else:
-        known = components(links)
-        rows = groups.join(known, groups["set"] == known["node"], "left").select("sig", "set", F.coalesce("component", "set").alias("label"))
-    rows = durable(rows)
-    mixed = rows.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("sig")
-    return durable(rows.join(mixed, "sig", "left_semi"))
-
-
-def joined(groups: DataFrame, sets: DataFrame, share: tuple[int, int] = SHARE, max_rounds: int = 50) -> DataFrame:
-    """Links ``(a, b)`` of sets that leave every pair of similar sets in one component.
-
-    In each round every set is compared with one set of another component that shares a signature
-    with it, so copies of one text melt into a component without meeting in pairs. Once few pairs of
-    unlike components are left, or a round finds nothing, all of them are compared: after that no link
-    can be missing.
+    """Of the pairs ``(a, b)`` of nodes those that are similar enough: sketches rule most others out, whole sets decide."""
+    def beside(found, column):
+        for side in "ab":
+            own = sets.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", column)])
+            found = found.join(own, side)
+        return found
+
+    def run(batches):
+        for batch in batches:
+            n, m, x, y = (batch.column(i).to_pylist() for i in (2, 3, 4, 5))
+            apart = [parities_apart(p, q) for p, q in zip(x, y)]
+            near = [(share[1] + share[0]) * d <= (share[1] - share[0]) * (i + j) for d, i, j in zip(apart, n, m)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(near)), batch.column(1).filter(pa.array(near))], names=["a", "b"])
+
+    likely = durable(beside(pairs, "sketch").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a bigint, b bigint"))
+    both = F.size(F.array_intersect("shingles_a", "shingles_b"))
+    return beside(likely, "shingles").where(share[1] * both >= share[0] * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
+
+
+def distinct_lists(groups: DataFrame) -> DataFrame:
+    """``(sig, node, n)`` for one signature of each list of nodes: near copies share most of their signatures."""
+    lists = groups.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("s"))
+    kept = lists.where("c > 1").groupBy("c", "x", "s").agg(F.min("sig").alias("sig")).select("sig")
+    return groups.join(kept, "sig", "left_semi")
+
+
+def _perhaps(share: tuple[int, int]):
+    """Whether the rows ``a`` and ``b`` of a join may be similar, by sizes and by the parities of 1,024 cells. It runs within the join."""
+    apart = sum((F.bit_count(F.col(f"a.w{i}").bitwiseXOR(F.col(f"b.w{i}"))) for i in range(HEAD)), F.lit(0))
+    n, m = F.col("a.n"), F.col("b.n")
+    return (share[1] * F.least(n, m) >= share[0] * F.greatest(n, m)) & ((share[1] + share[0]) * apart <= (share[1] - share[0]) * (n + m))
+
+
+def _met(left: DataFrame, right: DataFrame, unlike, share: tuple[int, int]) -> DataFrame:
+    """Distinct pairs ``(a, b)`` of nodes that share a signature, differ in label and may be similar."""
+    found = left.alias("a").join(right.alias("b"), (F.col("a.sig") == F.col("b.sig")) & unlike & _perhaps(share))
+    return found.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
+
+
+def joined(groups: DataFrame, sets: DataFrame, share: tuple[int, int] = SHARE, rounds: int = 6) -> DataFrame:
+    """Links ``(a, b)`` of nodes that leave every pair of similar sets in one component.
+
+    While many pairs of unlike components share a signature, the nodes of each signature are compared
+    with a few of them only, so copies of one text melt into a component without meeting in pairs.
+    Once few pairs are open, or such a round links nothing more, all open pairs are compared: after that
+    no link can be missing. Pairs that parities of their sets rule out never leave the join.
     """
+    heads = sets.select("node", *[F.col("head")[i].alias(f"w{i}") for i in range(HEAD)])
     links, size = None, groups.count()
-    for turn in range(max_rounds):
-        rows = _labelled(groups, links)
-        counts = rows.groupBy("sig", "label").agg(F.count(F.lit(1)).cast("double").alias("n")).groupBy("sig").agg((F.pow(F.sum("n"), 2) - F.sum(F.col("n") * F.col("n"))).alias("open"))
-        left = (counts.agg(F.sum("open")).first()[0] or 0) / 2
-        if left == 0 or left <= CROSS * size:
-            break
-        # The pivot of a signature is a set that comes early in this round's order of all sets, so that few pivots serve many signatures.
-        order = F.xxhash64("label", F.lit(turn)), F.xxhash64("set", F.lit(turn))
-        pivots = rows.groupBy("sig").agg(F.min(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.col("set").alias("a"), F.col("label").alias("of"))).alias("p"))
-        met = rows.join(pivots, "sig").where(F.col("label") != F.col("p.of"))
-        pairs = met.groupBy(F.col("set").alias("b")).agg(F.min("p").alias("p")).select(F.col("p.a").alias("a"), "b")
-        found = durable(verified(pairs, sets, share))
-        if found.isEmpty():
+    for turn in range(rounds + 1):
+        rows = groups.withColumn("label", F.col("node"))
+        if links is not None:
+            known = components(links)
+            rows = groups.join(known, "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("label"))
+        counts = rows.groupBy("sig", "label").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("sig").agg(((F.pow(F.sum("c"), 2) - F.sum(F.col("c") * F.col("c"))) / 2).alias("open"))
+        mixed = durable(counts.where("open > 0"))
+        left = mixed.agg(F.sum("open")).first()[0] or 0
+        rows = durable(rows.join(mixed.select("sig"), "sig", "left_semi").join(heads, "node"))
+        if left <= CROSS * size or turn == rounds or links is not None and found.isEmpty():
             break
+        few = [F.min_by(F.struct("node", "n", "label"), F.xxhash64("node", F.lit(PIVOTS * turn + i))) for i in range(PIVOTS)]
+        pivots = rows.groupBy("sig").agg(F.array_distinct(F.array(*few)).alias("p")).select("sig", F.explode("p").alias("p")).select("sig", "p.*").join(heads, "node")
+        found = durable(verified(_met(rows, pivots, F.col("a.label") != F.col("b.label"), share), sets, share))
         links = found if links is None else links.unionByName(found)
-    one, two = rows.select("sig", F.col("set").alias("a"), F.col("label").alias("la")), rows.select("sig", F.col("set").alias("b"), F.col("label").alias("lb"))
-    rest = one.join(two, (one["sig"] == two["sig"]) & (F.col("la") < F.col("lb"))).select("a", "b").distinct()
-    found = durable(verified(rest, sets, share))
+    found = durable(verified(_met(rows, rows, F.col("a.label") < F.col("b.label"), share), sets, share))
     return found if links is None else links.unionByName(found)
 
 
@@ -295,13 +386,14 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gra
     an empty table gives no rows.
     """
     marked = durable(sized(docs, id_col, text_col, gram))
-    classes = durable(marked.where("n > 0").groupBy("set", "short", "n").agg(F.min("id").alias("first")))
+    classes = durable(classes_of(marked))
     plan, total = band_plan(classes, share)
-    held = durable(groups(docs, text_col, plan, total, gram, share))
-    members = durable(held.join(classes.select("short", "set"), "short").select("sig", "set", "short"))
-    sets = durable(sets_of(docs, text_col, members.select("set", "short").distinct(), gram))
-    found = components(joined(members.select("sig", "set"), sets, share))
-    labels = classes.join(found, classes["set"] == found["node"], "left").select("set", "first", F.coalesce("component", "set").alias("label"))
+    held = durable(groups(docs, text_col, plan, total, gram, share).distinct())
+    members = durable(distinct_lists(held.join(classes.select("short", "node", "n"), "short").select("sig", "node", "n")))
+    wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select("set", "short", "node", "n")
+    sets = durable(sets_of(docs, text_col, durable(wanted), gram))
+    found = components(joined(members, sets, share))
+    labels = classes.join(found, "node", "left").select("set", "first", F.coalesce("component", "node").alias("label"))
     least = labels.groupBy("label").agg(F.min("first").alias("component_id"))
     named = labels.join(least, "label").select("set", "component_id")
     return marked.join(named, "set", "left").select("id", F.col("n").alias("n_shingles"),
