@@ -41,12 +41,18 @@ def calendar_features(df: DataFrame, ts: str = "timestamp") -> DataFrame:
     })
 
 
+# Base temperatures of heating and cooling degrees.
+HEATING_BASE_C, COOLING_BASE_C = 15.5, 22.0
+# Nominal grid frequency, the level that warns, and the drop in Hz for each GW that response leaves uncovered.
+NOMINAL_HZ, WARNING_HZ, HZ_PER_GW = 50.0, 49.2, 0.02
+
+
 def weather_features(df: DataFrame) -> DataFrame:
     """Heating and cooling degrees and cubed wind speed, for the columns present."""
     new = {}
     if "temperature_c" in df.columns:
-        new["hdd"] = F.greatest(F.lit(15.5) - F.col("temperature_c"), F.lit(0.0))
-        new["cdd"] = F.greatest(F.col("temperature_c") - F.lit(22.0), F.lit(0.0))
+        new["hdd"] = F.greatest(F.lit(HEATING_BASE_C) - F.col("temperature_c"), F.lit(0.0))
+        new["cdd"] = F.greatest(F.col("temperature_c") - F.lit(COOLING_BASE_C), F.lit(0.0))
         for name in ("hdd", "cdd"):
             new[name] = F.when(F.col("temperature_c").isNotNull(), new[name])
     if "wind_speed_ms" in df.columns:
@@ -107,13 +113,13 @@ def numeric_features(df: DataFrame, exclude=None, keep_realised: bool = False) -
 
 def frequency_screen(
     inertia, largest_loss_mw: float, response_mw: float, delivery_s: float = 1.0,
-    nominal_hz: float = 50.0, warning_hz: float = 49.2,
+    nominal_hz: float = NOMINAL_HZ, warning_hz: float = WARNING_HZ,
 ) -> dict[str, Column]:
     """Rate of change of frequency, nadir estimate and low-frequency warning."""
     stored = F.when(col(inertia).isNotNull(), F.greatest(col(inertia).cast("double"), F.lit(1.0)))
     shortfall_gw = max(largest_loss_mw - response_mw, 0.0) / 1000.0
     rocof = F.lit(-nominal_hz * largest_loss_mw / 1000.0) / (F.lit(2.0) * stored)
-    nadir = F.lit(nominal_hz) - F.abs(rocof) * F.lit(delivery_s) - F.lit(0.02 * shortfall_gw)
+    nadir = F.lit(nominal_hz) - F.abs(rocof) * F.lit(delivery_s) - F.lit(HZ_PER_GW * shortfall_gw)
     return {
         "initial_rocof_hz_per_s": rocof,
         "estimated_nadir_hz": nadir,

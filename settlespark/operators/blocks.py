@@ -3,13 +3,15 @@
 A series may hold a third of all rows, so ``Window.partitionBy(series)`` is not safe.
 Each series is cut into time blocks. Work inside a block uses an ordinary window on
 ``(series, block)``; what crosses a block border (row offsets, last known value) travels
-in a summary with one row per block, which is tiny and grows with the calendar, not with
-the rows. Keys must not be null; a null time sorts last.
+in a summary with one row per block. The summary is scanned in a tree of fixed fan-in, so
+that no window spans a series however narrow its blocks are. Keys must not be null; a null
+time sorts last.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil, log
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -21,6 +23,50 @@ GRID_BLOCK = 28 * 86400
 WIDTHS = [28 * 86400, 7 * 86400, 86400, 6 * 3600, 3600, 600, 60, 10, 1]
 LAST_BLOCK = 2**62
 
+FAN = 4096
+"""Blocks, or groups of them, that one window of a border scan may hold."""
+
+CALENDAR_S = 200 * 366 * 86400
+"""Times of a series lie within two centuries; with wider ones windows only grow in proportion."""
+
+
+def levels_of(block_s: int, fan: int = FAN) -> int:
+    """Levels of a tree of this fan-in over all blocks of the calendar: one for blocks of weeks, three for seconds."""
+    return max(1, ceil(log(max(2, CALENDAR_S / block_s)) / log(fan)))
+
+
+def scan_borders(
+    nodes: DataFrame, keys: Sequence[str], at: str, kinds: dict[str, str], levels: int, fan: int = FAN,
+) -> DataFrame:
+    """What the other blocks of its series hand to each block, under the same column names.
+
+    ``kinds`` says how a column is handed on: ``sum`` of all earlier blocks, ``last`` known value
+    of an earlier one, or ``next`` known value of a later one. Groups of ``fan`` consecutive block
+    numbers are folded to one, these again, and what reaches a group is passed down to its
+    members. A window sees the members of one group.
+    """
+    keys, up = list(keys), "_up"
+    grouped = nodes.withColumn(up, F.floor(F.col(at) / fan)) if levels > 1 else nodes
+    inside = [*keys, *([up] if levels > 1 else [])]
+    before = W.partitionBy(*inside).orderBy(at).rowsBetween(W.unboundedPreceding, -1)
+    after = W.partitionBy(*inside).orderBy(F.col(at).desc()).rowsBetween(W.unboundedPreceding, -1)
+
+    def near(name, kind):
+        if kind == "sum":
+            return F.coalesce(F.sum(name).over(before), F.lit(0))
+        return F.last(name, ignorenulls=True).over(before if kind == "last" else after)
+
+    near_by = grouped.select(*inside, at, *[near(n, k).alias(n) for n, k in kinds.items()])
+    if levels == 1:
+        return near_by
+    known = {n: F.when(F.col(n).isNotNull(), F.col(at)) for n in kinds}
+    fold = {"sum": lambda n: F.sum(n), "last": lambda n: F.max_by(n, known[n]), "next": lambda n: F.min_by(n, known[n])}
+    upper = grouped.groupBy(*inside).agg(*[fold[k](n).alias(n) for n, k in kinds.items()]).withColumnRenamed(up, "_at")
+    handed = scan_borders(upper, keys, "_at", kinds, levels - 1, fan).select(
+        *keys, F.col("_at").alias(up), *[F.col(n).alias(f"_far_{n}") for n in kinds])
+    both = {n: F.col(n) + F.col(f"_far_{n}") if k == "sum" else F.coalesce(n, f"_far_{n}") for n, k in kinds.items()}
+    return near_by.join(handed, inside).select(*keys, at, *[c.alias(n) for n, c in both.items()])
+
 
 def block_of(ts: str | Column, width_s: int) -> Column:
     return F.coalesce(F.floor(F.unix_seconds(instant(ts)) / F.lit(width_s)), F.lit(LAST_BLOCK))
@@ -51,15 +97,15 @@ def number_rows(
     """Zero-based position of each row in its series, and the series length."""
     keys = list(keys)
     rows = df.withColumn("_blk", block_of(ts, block_s))
-    earlier = W.partitionBy(*keys).orderBy("_blk").rowsBetween(W.unboundedPreceding, -1)
-    sizes = (
-        rows.groupBy(*keys, "_blk").agg(F.count(F.lit(1)).alias("_size"))
-        .select(
-            *keys, "_blk",
-            F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"),
-            F.sum("_size").over(W.partitionBy(*keys)).alias(total),
-        )
-    )
+    counted = rows.groupBy(*keys, "_blk").agg(F.count(F.lit(1)).alias("_size"))
+    levels = levels_of(block_s)
+    if levels == 1:
+        earlier = W.partitionBy(*keys).orderBy("_blk").rowsBetween(W.unboundedPreceding, -1)
+        sizes = counted.select(*keys, "_blk", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"), F.sum("_size").over(W.partitionBy(*keys)).alias(total))
+    else:
+        whole = counted.groupBy(*keys).agg(F.sum("_size").alias(total))
+        sizes = scan_borders(counted, keys, "_blk", {"_size": "sum"}, levels).withColumnRenamed("_size", "_before")
+        sizes = sizes.join(whole, keys) if keys else sizes.crossJoin(whole)
     inside = W.partitionBy(*keys, "_blk").orderBy(F.col(ts).asc_nulls_last(), *tie)
     return (
         rows.withColumn("_in", F.row_number().over(inside))
@@ -109,20 +155,18 @@ def nearest_known(
     reverse = [F.col(ts).desc_nulls_first(), *[F.col(t).desc() for t in tie]]
     fore = W.partitionBy(*keys, "_blk").orderBy(*reverse).rowsBetween(W.unboundedPreceding, 0)
 
-    summary, found, carried = [], {}, []
-    before = W.partitionBy(*keys).orderBy("_blk").rowsBetween(W.unboundedPreceding, -1)
-    after = W.partitionBy(*keys).orderBy(F.col("_blk").desc()).rowsBetween(W.unboundedPreceding, -1)
+    summary, found, kinds = [], {}, {}
     for n in values:
         v = F.col(f"_v_{n}")
         known = F.when(v.isNotNull(), rank)
-        summary.append(F.max_by(v, known).alias(f"_l_{n}"))
+        summary.append(F.max_by(v, known).alias(f"_cp_{n}"))
         found[f"prev_{n}"] = F.last(v, ignorenulls=True).over(back)
-        carried.append(F.last(f"_l_{n}", ignorenulls=True).over(before).alias(f"_cp_{n}"))
+        kinds[f"_cp_{n}"] = "last"
         if ahead:
-            summary.append(F.min_by(v, known).alias(f"_f_{n}"))
+            summary.append(F.min_by(v, known).alias(f"_cn_{n}"))
             found[f"next_{n}"] = F.last(v, ignorenulls=True).over(fore)
-            carried.append(F.last(f"_f_{n}", ignorenulls=True).over(after).alias(f"_cn_{n}"))
-    borders = rows.groupBy(*keys, "_blk").agg(*summary).select(*keys, "_blk", *carried)
+            kinds[f"_cn_{n}"] = "next"
+    borders = scan_borders(rows.groupBy(*keys, "_blk").agg(*summary), keys, "_blk", kinds, levels_of(block_s))
     joined = rows.withColumns(found).join(borders, [*keys, "_blk"])
     filled = {f"prev_{n}": F.coalesce(f"prev_{n}", f"_cp_{n}") for n in values}
     if ahead:

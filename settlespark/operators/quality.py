@@ -2,36 +2,47 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
+from multiprocessing import TimeoutError
+from multiprocessing.pool import ThreadPool
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from settlespark import constants as K
 from settlespark.errors import GuardError, MissingColumns, need_columns
 from settlespark.functions import clock
-from settlespark.functions.values import non_negative
+from settlespark.functions.values import non_negative, redacted
 
 
-def window_counts(df: DataFrame, ts: str, start: Column, end: Column, tolerance_s: int = 86400, keys: Sequence[str] = ()) -> DataFrame:
-    """Rows inside ``[start, end)``, spilled within the tolerance, far outside, and untimed."""
+def window_count_columns(ts: str, start: Column, end: Column, tolerance_s: int = 86400) -> list[Column]:
+    """Counts of rows inside ``[start, end)``, spilled within the tolerance, far outside, and untimed."""
     t = clock.instant(ts)
     inside = (t >= start) & (t < end)
     far = (t < clock.add_seconds(start, -tolerance_s)) | (t >= clock.add_seconds(end, tolerance_s))
-    return df.groupBy(*keys).agg(
-        F.count_if(inside).alias("inside_rows"), F.count_if(~inside & ~far).alias("spilled_rows"),
-        F.count_if(far).alias("far_rows"), F.count_if(t.isNull()).alias("untimed_rows"),
-    )
+    return [F.count_if(inside).alias("inside_rows"), F.count_if(~inside & ~far).alias("spilled_rows"),
+            F.count_if(far).alias("far_rows"), F.count_if(t.isNull()).alias("untimed_rows")]
+
+
+def window_counts(df: DataFrame, ts: str, start: Column, end: Column, tolerance_s: int = 86400, keys: Sequence[str] = ()) -> DataFrame:
+    """Rows inside ``[start, end)``, spilled within the tolerance, far outside, and untimed."""
+    return df.groupBy(*keys).agg(*window_count_columns(ts, start, end, tolerance_s))
+
+
+def judge_window(counts: dict, label: str) -> None:
+    """Rows far outside a window, unreadable times and an empty window are errors."""
+    if counts["untimed_rows"]:
+        raise GuardError(f"{label} has {counts['untimed_rows']} invalid times")
+    if counts["far_rows"]:
+        raise GuardError(f"{label} has {counts['far_rows']} rows far outside the requested window")
+    if not counts["inside_rows"]:
+        raise GuardError(f"{label} has no rows inside the requested window")
 
 
 def trim_window(df: DataFrame, ts: str, start: Column, end: Column, tolerance_s: int = 86400, label: str = "table") -> DataFrame:
     """Keep ``[start, end)``. Rows far outside, unreadable times and an empty result fail."""
-    n = window_counts(df, ts, start, end, tolerance_s).first()
-    if n.untimed_rows:
-        raise GuardError(f"{label} has {n.untimed_rows} invalid times")
-    if n.far_rows:
-        raise GuardError(f"{label} has {n.far_rows} rows far outside the requested window")
-    if not n.inside_rows:
-        raise GuardError(f"{label} has no rows inside the requested window")
+    judge_window(window_counts(df, ts, start, end, tolerance_s).first().asDict(), label)
     t = clock.instant(ts)
     return df.where((t >= start) & (t < end))
 
@@ -120,37 +131,52 @@ def mapped(columns: dict, key: str) -> str:
 TIME_KEYS = ["timestamp", "delivery_time_utc", "published_at_utc", "settlement_date"]
 
 
-def duplicate_row_count(df: DataFrame) -> DataFrame:
-    """Rows beyond the first of each group of equal rows.
+def _row_digest(df: DataFrame) -> list[Column]:
+    """Two 64-bit hashes of a whole row; nulls count by their place."""
+    kinds = dict(df.dtypes)
+    cells = [F.to_json(F.struct(c)) if "map<" in kinds[c] or kinds[c] == "variant" else F.col(c) for c in df.columns]
+    nulls = F.array(*[F.col(c).isNull() for c in df.columns])
+    return [F.xxhash64(nulls, *cells), F.xxhash64(F.lit(1), *cells, nulls)]
 
-    Groups on a 256-bit digest, so wide text is hashed where it lies and not shuffled.
-    """
-    digest = F.sha2(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}), 256)
-    return df.groupBy(digest.alias("_h")).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("duplicate_rows"))
 
+def table_profile(df: DataFrame, name: str, time_column: str | None = None, sample: int = 2) -> DataFrame:
+    """A table in one row: rows, columns with types and null counts, duplicates, time range and first rows.
 
-def table_profile(df: DataFrame, name: str, time_column: str | None = None) -> DataFrame:
-    """Rows, columns, duplicates, null cells and time range of a table, as one row."""
+    One scan: every row becomes an entry of its digest and one of its time, the first rows also one
+    of their text, and a single aggregation folds equal entries. Rows with one digest have the same
+    nulls, so null counts need no second pass. Wide values are hashed where they lie.
+    """
     ts = time_column or next((c for c in TIME_KEYS if c in df.columns), None)
-    cells = sum((F.count_if(F.col(c).isNull()) for c in df.columns), F.lit(0).cast("long"))
-    parts = [F.count(F.lit(1)).alias("row_count"), cells.alias("null_cells")]
-    if ts:
-        t = clock.parse_instant(ts) if dict(df.dtypes)[ts] == "string" else clock.instant(ts)
-        parts += [F.count_if(t.isNull()).alias("invalid_timestamps"), F.min(t).alias("timestamp_min"), F.max(t).alias("timestamp_max")]
-        times = df.select(t.alias("_t")).where("_t is not null").groupBy("_t").count()
-        repeats = times.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("duplicate_timestamps"))
-    out = df.agg(*parts).withColumn("duplicate_rows", duplicate_row_count(df).scalar())
-    if ts:
-        out = out.withColumn("duplicate_timestamps", repeats.scalar())
-    else:
-        out = out.withColumns({
-            "invalid_timestamps": F.lit(None).cast("long"), "timestamp_min": F.lit(None).cast("timestamp"),
-            "timestamp_max": F.lit(None).cast("timestamp"), "duplicate_timestamps": F.lit(None).cast("long"),
-        })
+    t = F.lit(None).cast("timestamp") if ts is None else clock.parse_instant(ts) if dict(df.dtypes)[ts] == "string" else clock.instant(ts)
+    a, b = _row_digest(df)
+    nulls, none = F.array(*[F.col(c).isNull() for c in df.columns]), F.lit(None).cast("bigint")
+    text = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+    row = F.struct(F.lit("row").alias("kind"), a.alias("a"), b.alias("b"), nulls.alias("nulls"), F.lit(None).cast("timestamp").alias("t"), F.lit(None).cast("string").alias("text"))
+    time = F.struct(F.lit("time").alias("kind"), F.unix_micros(t).alias("a"), none.alias("b"), F.array().cast("array<boolean>").alias("nulls"), t.alias("t"), F.lit(None).cast("string").alias("text"))
+    first = F.struct(F.lit("text").alias("kind"), F.col("_place").alias("a"), none.alias("b"), F.array().cast("array<boolean>").alias("nulls"), F.lit(None).cast("timestamp").alias("t"), text.alias("text"))
+    entries = [row] + ([time] if ts else []) + [F.when(F.col("_place") < sample, first)]
+    spread = df.withColumn("_place", F.monotonically_increasing_id()).select(F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.*")
+    folded = spread.groupBy("kind", "a", "b").agg(F.count(F.lit(1)).alias("n"), F.first("nulls").alias("nulls"), F.min("t").alias("t"), F.min("text").alias("text"))
+
+    def of(kind, value):
+        return F.sum(F.when(F.col("kind") == kind, value))
+
+    known = F.col("t").isNotNull()
+    missing = [F.coalesce(of("row", F.when(F.col("nulls")[i], F.col("n")).otherwise(0)), F.lit(0)).alias(f"_n{i}") for i in range(len(df.columns))]
+    out = folded.agg(
+        F.coalesce(of("row", F.col("n")), F.lit(0)).alias("row_count"), F.coalesce(of("row", F.col("n") - 1), F.lit(0)).alias("duplicate_rows"), *missing,
+        (F.coalesce(of("time", F.when(known, 0).otherwise(F.col("n"))), F.lit(0)) if ts else none).alias("invalid_timestamps"),
+        F.min("t").alias("timestamp_min"), F.max("t").alias("timestamp_max"),
+        (F.coalesce(of("time", F.when(known, F.col("n") - 1)), F.lit(0)) if ts else none).alias("duplicate_timestamps"),
+        F.array_sort(F.collect_list(F.when(F.col("kind") == "text", F.struct("a", "text")))).alias("_first"),
+    )
+    counts = F.array(*[F.struct(F.lit(c).alias("key"), F.col(f"_n{i}").alias("value")) for i, c in enumerate(df.columns)])
     return out.select(
         F.lit(name).alias("table_name"), "row_count", F.lit(len(df.columns)).cast("long").alias("column_count"),
-        "null_cells", "duplicate_rows", F.lit(ts).alias("timestamp_column"), "invalid_timestamps",
-        "timestamp_min", "timestamp_max", "duplicate_timestamps",
+        sum((F.col(f"_n{i}") for i in range(len(df.columns))), F.lit(0).cast("long")).alias("null_cells"),
+        "duplicate_rows", F.lit(ts).alias("timestamp_column"), "invalid_timestamps", "timestamp_min", "timestamp_max", "duplicate_timestamps",
+        F.map_from_entries(F.filter(counts, lambda x: x["value"] > 0)).alias("null_counts"),
+        F.create_map(*[F.lit(x) for c, kind in df.dtypes for x in (c, kind)]).alias("data_types"), F.col("_first.text").alias("sample"),
     )
 
 
@@ -167,27 +193,35 @@ def sample_rows(df: DataFrame, n: int = 2) -> DataFrame:
     return df.limit(n).select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("sample"))
 
 
-def audit_tables(tables: dict[str, DataFrame | Exception]) -> DataFrame:
-    """Profiles of many tables; one that could not be opened becomes an error row.
+PROFILE = ("table_name string, row_count bigint, column_count bigint, null_cells bigint, duplicate_rows bigint, timestamp_column string, invalid_timestamps bigint, "
+           "timestamp_min timestamp, timestamp_max timestamp, duplicate_timestamps bigint, null_counts map<string,bigint>, data_types map<string,string>, sample array<string>")
+
+
+def audit_tables(spark: SparkSession, tables: dict[str, DataFrame | Exception | Callable[[], DataFrame]], parallelism: int = 4, seconds: float | None = None) -> DataFrame:
+    """Profiles of many tables, in a row each; one that cannot be opened or read becomes a row with its error.
 
-    Each table is profiled by its own small plan and the rows are united. The number of
-    tables is a directory listing, not data.
+    Every table is profiled by jobs of its own, several side by side, so a corrupt file ends the
+    profile of its table only. With ``seconds`` a profile that takes longer is cancelled. A value may be
+    a function that opens the table. The number of tables is a directory listing, not data.
     """
-    from settlespark.functions.values import redacted
-
-    parts, failed, spark = [], [], None
-    for name, t in sorted(tables.items()):
-        if isinstance(t, DataFrame):
-            spark = t.sparkSession
-            parts.append(table_profile(t, name).withColumn("error", F.lit(None).cast("string")))
-        else:
-            failed.append((name, f"{type(t).__name__}: {t}"))
-    if not parts:
-        raise GuardError("no readable table to audit")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    if failed:
-        errors = spark.createDataFrame(failed, "table_name string, error string").withColumn("error", redacted("error"))
-        out = out.unionByName(errors, allowMissingColumns=True)
-    return out
+    context = spark.sparkContext
+
+    def profiled(name, source, group):
+        context.setJobGroup(group, f"profile of {name}", interruptOnCancel=True)
+        if isinstance(source, Exception):
+            raise source
+        return table_profile(source if isinstance(source, DataFrame) else source(), name).first()
+
+    rows = []
+    with ThreadPool(parallelism) as pool:
+        run = inheritable_thread_target(spark)(profiled)
+        started = [(name, group, pool.apply_async(run, (name, source, group))) for name, source in sorted(tables.items()) for group in [f"audit-{uuid.uuid4().hex}"]]
+        for name, group, job in started:
+            try:
+                rows.append((*job.get(seconds), None))
+            except TimeoutError:
+                context.cancelJobGroup(group)
+                rows.append((name, *[None] * 12, f"profile cancelled after {seconds:g} s"))
+            except Exception as error:
+                rows.append((name, *[None] * 12, f"{type(error).__name__}: {error}"))
+    return spark.createDataFrame(rows, f"{PROFILE}, error string").withColumn("error", redacted("error"))

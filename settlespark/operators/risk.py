@@ -138,6 +138,45 @@ def error_scenarios(
     return long.join(pool, "_idx", "left").withColumns({c: moved(c) for c in components}).drop("_idx", "_n", *[f"_e_{c}" for c in components])
 
 
+def daily_error_scenarios(
+    points: DataFrame, errors: DataFrame, components: Sequence[str], scenarios: int = 1000, seed: int = 42,
+    ts: str = "timestamp", error_ts: str = "timestamp", draw: Callable[[Column, Column, Column], Column] | None = None,
+    signed=frozenset(K.SIGNED_COMPONENTS), day: str = "error_date",
+) -> DataFrame:
+    """Block bootstrap by day: each path takes all its errors of a local day from one observed day.
+
+    Errors of neighbouring periods stay together, which single draws lose. Only days whose
+    periods are all complete are drawn from. A day of 46, 48 or 50 periods is laid over one of
+    another length in proportion, so every period has an error and their order is kept. ``day``
+    names the drawn date of each row. The day is drawn by hash of scenario and date, so the paths
+    do not depend on partitions or retries.
+    """
+    if scenarios <= 0:
+        raise ValueError("scenarios must be positive")
+    known = errors.dropna(subset=list(components)).select(
+        clock.delivery_date(error_ts).alias("_ed"), clock.settlement_period(error_ts).alias("_ep"),
+        *[F.col(c).cast("double").alias(f"_e_{c}") for c in components])
+    whole = known.groupBy("_ed").agg(F.count_distinct("_ep").alias("_have"), F.count(F.lit(1)).alias("_rows")).where(
+        (F.col("_have") == clock.periods_in_day("_ed")) & (F.col("_rows") == F.col("_have")))
+    days = number_rows(whole.select("_ed", F.col("_have").cast("int").alias("_en"), F.lit(0).alias("_all")), ["_all"], "_ed", position="_idx").select("_ed", "_en", "_idx")
+    size = whole.select(F.count(F.lit(1))).scalar()
+    dated = points.withColumns({"_d": clock.delivery_date(ts), "_p": clock.settlement_period(ts)})
+    # The draw is made once for each path and date, on a table of dates.
+    wanted = dated.select("_d").distinct().withColumn("scenario", F.explode(F.sequence(F.lit(0), F.lit(scenarios - 1)))).withColumn("_n", size)
+    pick = (draw or hashed_draw(seed))(F.col("scenario"), F.col("_d"), F.col("_n"))
+    drawn = wanted.withColumn("_idx", F.when(F.col("_n") > 0, pick)).join(days, "_idx", "left").select("_d", "scenario", "_ed", "_en")
+    place = F.floor((F.col("_p") - 1) * F.col("_en") / clock.periods_in_day("_d")).cast("int") + 1
+    long = dated.join(drawn, "_d").withColumn("_ep", place)
+    none = F.raise_error(F.lit("no complete error days")).cast("double")
+
+    def moved(c):
+        value = F.col(c) + F.coalesce(F.col(f"_e_{c}"), none)
+        return value if c in signed else non_negative(value)
+
+    return long.join(known, ["_ed", "_ep"], "left").withColumns({c: moved(c) for c in components}).withColumnRenamed("_ed", day).drop(
+        "_d", "_p", "_en", "_ep", *[f"_e_{c}" for c in components])
+
+
 def energy_and_peaks(
     df: DataFrame, keys: Sequence[str], ts: str, energy: Sequence[str] = (), highs: Sequence[str] = (), lows: Sequence[str] = (),
 ) -> DataFrame:

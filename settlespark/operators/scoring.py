@@ -10,7 +10,7 @@ from settlespark import constants as K
 from settlespark.errors import need_columns
 from settlespark.functions import clock, values
 from settlespark.operators.point_in_time import last_by, timestamp_lags
-from settlespark.operators.timeline import missing_dates
+from settlespark.operators.timeline import missing_dates, period_completeness
 
 
 def actuals_with_persistence(actuals: DataFrame, lag_s: int = 86400) -> DataFrame:
@@ -27,19 +27,24 @@ def grade(forecasts: DataFrame, actuals: DataFrame, graded_at: Column | None = N
     baseline = actuals_with_persistence(actuals).select("delivery_time_utc", "actual_revision", "persistence_price")
     truth = actuals.select("delivery_time_utc", F.col("actual_revision").cast("string"), values.number("actual_price").alias("actual_price"))
     joined = forecasts.join(truth, "delivery_time_utc").join(baseline, ["delivery_time_utc", "actual_revision"], "left")
+    return joined.select(*score_columns(forecasts.columns, graded_at))
+
+
+def score_columns(forecast_columns: Sequence[str], graded_at: Column | None = None) -> list[Column]:
+    """The columns of a score row, from a forecast beside its actual price and baseline."""
     error = F.col("p50") - F.col("actual_price")
-    chance = F.col("negative_probability") if "negative_probability" in forecasts.columns else F.lit(None).cast("double")
+    chance = F.col("negative_probability") if "negative_probability" in forecast_columns else F.lit(None).cast("double")
     covered = F.coalesce(F.col("actual_price").between(F.col("p10"), F.col("p90")), F.lit(False))
-    return joined.select(
-        "forecast_id", F.col("model_version").cast("string").alias("model_version"), "issue_time_utc",
-        "actual_revision", "delivery_time_utc", "actual_price", F.col("p50").alias("forecast_p50"),
+    return [
+        F.col("forecast_id"), F.col("model_version").cast("string").alias("model_version"), F.col("issue_time_utc"),
+        F.col("actual_revision"), F.col("delivery_time_utc"), F.col("actual_price"), F.col("p50").alias("forecast_p50"),
         error.alias("error"), F.abs(error).alias("absolute_error"), (error * error).alias("squared_error"),
         covered.alias("p10_p90_covered"),
         F.coalesce(F.col("actual_price") < 0, F.lit(False)).alias("actual_negative"),
-        chance.alias("predicted_negative_probability"), "persistence_price",
+        chance.alias("predicted_negative_probability"), F.col("persistence_price"),
         F.abs(F.col("persistence_price") - F.col("actual_price")).alias("persistence_absolute_error"),
         (graded_at if graded_at is not None else F.current_timestamp()).alias("graded_at_utc"),
-    )
+    ]
 
 
 def daily_grading(scores: DataFrame, comparable_only: bool = False) -> DataFrame:
@@ -81,7 +86,7 @@ def holdout_score(df: DataFrame, actual: str, prediction: str, baseline: str, ke
 
 
 def deployment_gate(
-    scores: DataFrame, models: DataFrame | None = None, revision: str | None = None,
+    scores: DataFrame, models: DataFrame | None = None, revision: str | None = None, latest: Sequence[str] = (),
     min_days: int = K.GATE_MIN_DAYS, min_improvement: float = K.GATE_MIN_IMPROVEMENT,
     coverage: tuple[float, float] = K.GATE_COVERAGE, min_lead_hours: float = K.GATE_MIN_LEAD_HOURS,
 ) -> DataFrame:
@@ -89,11 +94,14 @@ def deployment_gate(
 
     Three aggregation levels (delivery, day, model) keep every shuffle key fine until the
     last. ``models`` lists versions to report even without scores. ``revision`` restricts
-    the scores to one actual revision; by default all count.
+    the scores to one actual revision; ``latest``, revisions from the first to the last, keeps the
+    last one that each forecast has been graded with. By default all revisions count.
     """
     need_columns(scores, ["model_version", "issue_time_utc", "delivery_time_utc", "absolute_error",
                           "persistence_absolute_error", "p10_p90_covered"], "scores")
     rows = scores if revision is None else scores.where(F.col("actual_revision") == revision)
+    if latest:
+        rows = last_revision(rows, latest)
     model, base = values.number("absolute_error"), values.number("persistence_absolute_error")
     both = model.isNotNull() & base.isNotNull()
     covered = values.boolean("p10_p90_covered")
@@ -146,11 +154,25 @@ def deployment_gate(
     )
 
 
+def last_revision(scores: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Of the scores of each forecast that with the revision which comes last in ``order``; an unlisted revision is an error."""
+    place = F.array_position(F.array(*[F.lit(r) for r in order]), F.col("actual_revision"))
+    unknown = F.raise_error(F.concat(F.lit("revision not among the listed: "), F.coalesce("actual_revision", F.lit("null")))).cast("bigint")
+    ranked = scores.withColumn("_place", F.when(place > 0, place).otherwise(unknown))
+    return last_by(ranked, ["model_version", "issue_time_utc", "delivery_time_utc"], ["_place"]).select(*scores.columns)
+
+
 def gate_missing_dates(scores: DataFrame) -> DataFrame:
     """The dates behind a failed consecutive-days rule."""
     return missing_dates(scores.withColumn("delivery_date", clock.delivery_date("delivery_time_utc")), ["model_version"], "delivery_date")
 
 
+def gate_missing_periods(scores: DataFrame) -> DataFrame:
+    """``model_version, delivery_date, missing_periods``: the days behind a failed complete-periods rule."""
+    short = period_completeness(scores, ["model_version"], "delivery_time_utc").where("missing_periods <> 0")
+    return short.select("model_version", "delivery_date", "missing_periods")
+
+
 def gate_evidence(gate: DataFrame, min_days: int = K.GATE_MIN_DAYS, min_improvement: float = K.GATE_MIN_IMPROVEMENT,
                   coverage: tuple[float, float] = K.GATE_COVERAGE, min_lead_hours: float = K.GATE_MIN_LEAD_HOURS) -> DataFrame:
     """``model_version, rule, required, observed, passed``: a row for each rule, with what it asked for and what it saw."""
@@ -167,26 +189,31 @@ def gate_evidence(gate: DataFrame, min_days: int = K.GATE_MIN_DAYS, min_improvem
     return gate.select("model_version", F.explode(rows).alias("e")).select("model_version", "e.*")
 
 
-def gate_report(gate: DataFrame, missing: DataFrame | None = None, **thresholds) -> DataFrame:
-    """One JSON report per model: metrics, rules with their evidence, missing dates, verdict and warning.
+def gate_report(gate: DataFrame, missing: DataFrame | None = None, periods: DataFrame | None = None, **thresholds) -> DataFrame:
+    """One JSON report per model: metrics, rules with their evidence, missing dates and periods, verdict and warning.
 
-    ``missing`` is the table of ``gate_missing_dates``; its dates, as many as the calendar of the
-    scores has, are listed per model.
+    ``missing`` is the table of ``gate_missing_dates``, ``periods`` that of ``gate_missing_periods``;
+    their dates, as many as the calendar of the scores has, are listed per model.
     """
     evidence = gate_evidence(gate, **thresholds)
     rules = evidence.groupBy("model_version").agg(F.array_sort(F.collect_list(F.struct("rule", "required", "observed", "passed"))).alias("gates"))
     names = {"minimum_shadow_days", "consecutive_delivery_days", "complete_periods", "pre_delivery_issue_time", "beats_persistence", "interval_coverage"}
     metrics = [c for c in gate.columns if c not in {*names, "deployment_ready", "mode", "model_version"}]
     joined = gate.join(rules, "model_version")
+    dates, days = F.lit(None).cast("array<string>"), F.lit(None).cast("map<string,bigint>")
     if missing is not None:
-        dates = missing.groupBy("model_version").agg(F.array_sort(F.collect_set(clock.date_text("delivery_date"))).alias("missing_dates"))
-        joined = joined.join(dates, "model_version", "left")
-    else:
-        joined = joined.withColumn("missing_dates", F.lit(None).cast("array<string>"))
+        listed = missing.groupBy("model_version").agg(F.array_sort(F.collect_set(clock.date_text("missing_date"))).alias("_dates"))
+        joined, dates = joined.join(listed, "model_version", "left"), F.col("_dates")
+    if periods is not None:
+        short = periods.groupBy("model_version").agg(F.map_from_entries(F.array_sort(F.collect_list(
+            F.struct(clock.date_text("delivery_date"), F.col("missing_periods").cast("bigint"))))).alias("_short"))
+        joined, days = joined.join(short, "model_version", "left"), F.col("_short")
     warning = F.when(~F.col("deployment_ready"), "not ready for operational use; forecasts stay in shadow mode")
     body = F.to_json(F.struct(
         F.lit(K.GATE_REVISION).alias("workflow_revision"), "deployment_ready", "mode", warning.alias("warning"),
-        F.struct("model_version", *metrics).alias("metrics"), "gates", F.coalesce("missing_dates", F.array().cast("array<string>")).alias("missing_dates"),
+        F.struct("model_version", *metrics).alias("metrics"), "gates",
+        F.coalesce(dates, F.array().cast("array<string>")).alias("missing_dates"),
+        F.coalesce(days, F.create_map().cast("map<string,bigint>")).alias("missing_periods"),
     ), {"ignoreNullFields": "false"})
     return joined.select("model_version", body.alias("report"))
 

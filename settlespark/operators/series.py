@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from settlespark.errors import GuardError
 from settlespark.functions import clock
 from settlespark.operators.blocks import (
-    GRID_BLOCK, block_of, fit_block, nearest_known, number_rows, row_lags,
+    FAN, GRID_BLOCK, block_of, fit_block, levels_of, nearest_known, number_rows, row_lags,
 )
 from settlespark.session import durable
 
@@ -161,28 +161,38 @@ def to_half_hourly(
     ).otherwise(F.array(clock.instant(ts)))
     rest = [c for c in df.columns if c not in {ts, value, resolution, *domains}]
     grid = df.select(*domains, res.alias("_res"), F.col(value), *rest, F.explode(starts).alias(ts))
-    # Whole and doubled rows pass the same aggregation: they are alone in their group
-    # unless the source repeats them, in which case the last one wins.
+    # One aggregation holds all steps side by side: the mean of quarter-hours, and the last whole or
+    # doubled row; these are alone in their group unless the source repeats them. Labels are columns of
+    # their own, so those that nobody reads are dropped before the shuffle.
     rank = F.struct(*[F.col(c) for c in (order or rest)], F.col(value))
-    merged = grid.groupBy(ts, *domains, "_res").agg(
-        F.avg(value).alias("_mean"),
-        F.max_by(value, rank).alias("_last"),
-        F.max_by(F.struct(*rest) if rest else F.lit(1), rank).alias("_rest"),
-        F.max(rank).alias("_rank"),
-    )
-    best = F.struct(*( [F.col("_rank")] if order else []), F.col("_res"))
-    chosen = merged.groupBy(ts, *domains).agg(
-        F.max_by(
-            F.struct(F.when(F.col("_res") == 15, F.col("_mean")).otherwise(F.col("_last")).alias("v"),
-                     F.col("_rest").alias("r")), best,
-        ).alias("_x")
-    )
-    return chosen.select(
-        ts, *domains, F.col("_x.v").alias(value), F.lit(30).alias(resolution),
-        *[F.col(f"_x.r.{c}").alias(c) for c in rest],
+    ranks = {m: F.when(F.col("_res") == m, rank) for m in (15, 30, 60)}
+    held = [F.avg(F.when(F.col("_res") == 15, F.col(value))).alias("_v15")]
+    held += [F.max_by(value, ranks[m]).alias(f"_v{m}") for m in (30, 60)]
+    held += [F.count_if(F.col("_res") == m).alias(f"_n{m}") for m in (15, 30, 60)]
+    held += [F.max_by(c, ranks[m]).alias(f"_{i}_{m}") for i, c in enumerate(rest) for m in (15, 30, 60)]
+    if order:
+        held += [F.max(ranks[m]).alias(f"_r{m}") for m in (15, 30, 60)]
+    merged = grid.groupBy(ts, *domains).agg(*held)
+
+    def chosen(name):
+        if not order:
+            return F.when(F.col("_n60") > 0, F.col(f"{name}60")).when(F.col("_n30") > 0, F.col(f"{name}30")).otherwise(F.col(f"{name}15"))
+        return F.when(_wins("_r60", "_r30", "_r15"), F.col(f"{name}60")).when(_wins("_r30", "_r15"), F.col(f"{name}30")).otherwise(F.col(f"{name}15"))
+
+    return merged.select(
+        ts, *domains, chosen("_v").alias(value), F.lit(30).alias(resolution),
+        *[chosen(f"_{i}_").alias(c) for i, c in enumerate(rest)],
     )
 
 
+def _wins(first: str, *others: str) -> Column:
+    """Whether the rank is known and not below the others that are; of equal ranks the coarser step wins."""
+    out = F.col(first).isNotNull()
+    for other in others:
+        out = out & (F.col(other).isNull() | (F.col(first) >= F.col(other)))
+    return out
+
+
 # --- battery state of charge ------------------------------------------------------------
 
 def _compose_runs(runs: np.ndarray, shift: np.ndarray, low: np.ndarray, high: np.ndarray):
@@ -240,6 +250,25 @@ def _running_maps(df: DataFrame, run: Sequence[str], order: Sequence[str]) -> Da
     return placed.mapInArrow(scan, placed.schema)
 
 
+def _opening_states(ends: DataFrame, keys: Sequence[str], at: str, start: Column, levels: int, fan: int = FAN) -> DataFrame:
+    """The state ``_x0`` at the start of each block, from the maps of whole blocks.
+
+    Maps are composed within groups of ``fan`` consecutive block numbers, groups again within
+    groups; the state at the start of a group then passes through the maps before a block in it.
+    """
+    inside = [*keys, "_up"] if levels > 1 else list(keys)
+    grouped = ends.withColumn("_up", F.floor(F.col(at) / fan)) if levels > 1 else ends
+    running = _running_maps(grouped, inside, [at])
+    if levels > 1:
+        running = durable(running)
+        tops = running.groupBy(*inside).agg(F.max_by(F.struct("_a", "_lo", "_hi"), at).alias("m")).select(*keys, F.col("_up").alias("_at"), "m.*")
+        above = _opening_states(tops, keys, "_at", start, levels - 1, fan).select(*keys, F.col("_at").alias("_up"), F.col("_x0").alias("_start"))
+        running, start = running.join(above, inside), F.col("_start")
+    closing = F.least(F.col("_hi"), F.greatest(F.col("_lo"), start + F.col("_a")))
+    through = W.partitionBy(*inside).orderBy(at)
+    return running.select(*keys, at, F.coalesce(F.lag(closing).over(through), start).alias("_x0"))
+
+
 def state_of_charge(
     df: DataFrame, keys: Sequence[str], ts: str, power: str, initial_mwh: float, capacity_mwh: float,
     charge_efficiency: float = 0.93, discharge_efficiency: float = 0.93,
@@ -266,11 +295,7 @@ def state_of_charge(
         F.max_by(F.struct("_a", "_lo", "_hi"), F.struct(*order)).alias("m")
     ).select(*keys, "_blk", "m.*")
     start = F.lit(float(min(max(initial_mwh, 0.0), cap)))
-    closing = F.least(F.col("_hi"), F.greatest(F.col("_lo"), start + F.col("_a")))
-    through = W.partitionBy(*keys).orderBy("_blk")
-    opening = _running_maps(ends, keys, ["_blk"]).select(
-        *keys, "_blk", F.coalesce(F.lag(closing).over(through), start).alias("_x0")
-    )
+    opening = _opening_states(ends, keys, "_blk", start, levels_of(width))
     soc = F.least(F.col("_hi"), F.greatest(F.col("_lo"), F.col("_x0") + F.col("_a")))
     return scanned.join(opening, [*keys, "_blk"]).withColumn(out, soc).drop("_blk", "_a", "_lo", "_hi", "_x0")
 

@@ -4,6 +4,7 @@ reads all landed chunks in one scan, so nothing loops over files on the driver."
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -11,11 +12,11 @@ from settlespark.errors import GuardError
 from settlespark.functions import clock
 from settlespark.functions.values import row_sum
 from settlespark.operators.point_in_time import last_by
-from settlespark.operators.quality import require_no_nulls, trim_window
+from settlespark.operators.quality import judge_window, require_no_nulls, trim_window, window_count_columns
 from settlespark.operators.relations import listed_only
-from settlespark.session import durable
+from settlespark.session import durable, shared_path, side_by_side
 from settlespark.sources import documents, records as src
-from settlespark.sources.tables import write_table
+from settlespark.sources.tables import write_checked, write_table
 
 
 def combined(df: DataFrame, key: Sequence[str], order: Sequence[str], first: str, end: str, label: str) -> DataFrame:
@@ -25,6 +26,23 @@ def combined(df: DataFrame, key: Sequence[str], order: Sequence[str], first: str
     return trim_window(kept, "timestamp", clock.day_start(F.lit(first)), clock.day_start(F.lit(end)), label=label)
 
 
+def staged_records(landed: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Records of all landed sources, unwrapped in one scan and written by source; a reader of one source reads its folder."""
+    spark = landed.sparkSession
+    rows = src.records(landed, keep=["source", *keep])
+    path = shared_path(spark, "records")
+    rows.write.partitionBy("source").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def _published(df: DataFrame, key: Sequence[str], order: Sequence[str], first: str, end: str, label: str, path: str) -> str:
+    """Write the last row per key inside the window, which is checked while the rows are written."""
+    a, z, t = clock.day_start(F.lit(first)), clock.day_start(F.lit(end)), clock.instant("timestamp")
+    counts = window_count_columns("timestamp", a, z)
+    write_checked(last_by(df, key, order), path, counts, lambda n: judge_window(n, label), (t >= a) & (t < z), order)
+    return path
+
+
 def core_sources(
     landed: DataFrame, first: str, end: str, output: str, fuels: Sequence[str], links: Sequence[str],
 ) -> dict[str, str]:
@@ -33,30 +51,36 @@ def core_sources(
     ``landed`` has ``source``, ``landed_date`` and ``payload``, and may have ``chunk``. Records
     of one fuel or link are summed within a chunk; of chunks that hold the same time, the
     last by landing date and then by ``chunk``, or a hash of the payload, gives all its columns.
+    Payloads are read and parsed once; each table is written once.
     """
     order = ["landed_date", "chunk"]
     if "chunk" not in landed.columns:
         landed = landed.withColumn("chunk", F.xxhash64("payload"))
+    staged = staged_records(landed.where(F.col("source").isin("price", "demand", "fuel", "interconnectors")), order)
+
     def recs(name):
-        return src.records(landed.where(F.col("source") == name), keep=order)
+        return staged.where(F.col("source") == name).drop("source")
+
     parsed = {
         "price": src.market_index(recs("price"), order), "demand": src.demand(recs("demand"), order),
         "fuel": src.fuel_mix(recs("fuel"), fuels, order), "interconnectors": src.interconnectors(recs("interconnectors"), links, order),
     }
-    tables = {name: combined(df, ["timestamp"], order, first, end, name).drop(*order) for name, df in parsed.items()}
-    return {n: write_table(df, f"{output}/{n}", refuse_empty=False) for n, df in tables.items()}
+    return side_by_side(landed.sparkSession, {n: partial(_published, df, ["timestamp"], order, first, end, n, f"{output}/{n}") for n, df in parsed.items()})
 
 
 def unit_sources(landed: DataFrame, first: str, end: str, output: str) -> dict[str, str]:
-    """Unit generation and unit reference tables from landed payloads."""
+    """Unit generation and unit reference tables from landed payloads, which are read and parsed once."""
     order = ["landed_date"]
+    staged = staged_records(landed.where(F.col("source").isin("unit_generation", "units")), order)
+
     def recs(name):
-        return src.records(landed.where(F.col("source") == name), keep=order)
-    gen = combined(src.unit_generation(recs("unit_generation"), order), ["timestamp", "bm_unit"], order, first, end, "units").drop(*order)
-    return {
-        "unit_generation": write_table(gen, f"{output}/unit_generation", refuse_empty=False),
-        "units": write_table(src.unit_reference(recs("units"), order), f"{output}/units"),
-    }
+        return staged.where(F.col("source") == name).drop("source")
+
+    made = src.unit_generation(recs("unit_generation"), order)
+    return side_by_side(landed.sparkSession, {
+        "unit_generation": partial(_published, made, ["timestamp", "bm_unit"], order, first, end, "units", f"{output}/unit_generation"),
+        "units": partial(write_table, src.unit_reference(recs("units"), order), f"{output}/units"),
+    })
 
 
 def weather_source(landed: DataFrame, sites: Sequence[str], variables: Sequence[str], first: str, end: str) -> DataFrame:
@@ -77,13 +101,18 @@ def preset_source(recs: DataFrame, name: str, first: str | None = None, end: str
     return out
 
 
+def _read(docs: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Parsed documents; those that are parsed already are taken as they are."""
+    return docs if "d" in docs.columns else documents.parsed(docs, keep=keep)
+
+
 def neighbour_prices(docs: DataFrame, borders: Sequence[str], border: str = "border") -> DataFrame:
     """Day-ahead price and publication time per border, one row per half-hour.
 
     A document that refuses or fails yields no rows; see ``item_status``. A border that is not
     listed is an error.
     """
-    points = documents.timeseries_points(docs, "price.amount", "price_eur_mwh", keep=[border], strict=False)
+    points = documents.points_of(_read(docs, [border]), "price.amount", "price_eur_mwh", [border], strict=False)
     half = documents.to_half_hourly(points, "price_eur_mwh", domains=[border], order=["published_at_utc"])
     cells = [
         cell for b in borders for cell in (
@@ -103,7 +132,7 @@ def border_flows(
     ``direction`` is ``in`` or ``out``. All borders and directions pass one scan and one
     aggregation.
     """
-    points = documents.timeseries_points(docs, "quantity", "flow_mw", keep=[border, direction], strict=False)
+    points = documents.points_of(_read(docs, [border, direction]), "quantity", "flow_mw", [border, direction], strict=False)
     half = documents.to_half_hourly(points, "flow_mw", domains=[border, direction], order=["published_at_utc"])
     def cell(b, d):
         return F.coalesce(listed_only(border, borders, F.max(F.when((F.col(border) == b) & (F.col(direction) == d), F.col("flow_mw")))), F.lit(0.0))
@@ -115,19 +144,14 @@ def border_flows(
 
 def item_status(docs: DataFrame, keys: Sequence[str], value_field: str) -> DataFrame:
     """Status and parsed rows of each collected item; a failed item hides no other one."""
-    keys = list(keys)
-    seen = documents.document_status(docs)
-    rows = documents.timeseries_points(docs, value_field, "v", keep=keys, strict=False).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    per = seen.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("documents"),
-        F.bool_or(F.col("status") == "failed").alias("_f"), F.bool_or(F.col("status") == "unavailable").alias("_u"),
-        F.bool_or(F.col("status") == "success").alias("_s"),
-    ).join(rows, keys, "left")
-    n = F.coalesce("_rows", F.lit(0))
+    keys, d = list(keys), F.col("d")
+    seen = _read(docs, keys).select(*keys, documents.status_of(d, F.col("acknowledged")).alias("_s"), documents.point_count(d, value_field).alias("_n"))
+    n = F.sum("_n").cast("long")
     status = (
-        F.when(F.col("_f"), "failed").when(F.col("_u"), "unavailable").when(n > 0, "success").otherwise("no_rows")
+        F.when(F.bool_or(F.col("_s") == "failed"), "failed").when(F.bool_or(F.col("_s") == "unavailable"), "unavailable")
+        .when(n > 0, "success").otherwise("no_rows")
     )
-    return per.select(*keys, status.alias("status"), "documents", n.alias("row_count"))
+    return seen.groupBy(*keys).agg(status.alias("status"), F.count(F.lit(1)).alias("documents"), n.alias("row_count"))
 
 
 def overall_status(items: DataFrame) -> DataFrame:
@@ -145,22 +169,24 @@ def market_collection(docs: DataFrame, borders: Sequence[str], output: str) -> d
     """Prices, physical flows and scheduled exchanges of all borders, with a status table.
 
     ``docs`` has ``product``, ``border``, ``direction`` and ``xml``. Partial success is
-    kept; only a run without any usable document fails.
+    kept; only a run without any usable document fails. Documents are read and parsed once, into a
+    table by product that the statuses and the three tables read.
     """
-    items = item_status(docs.where("product = 'price'"), ["product", "border"], "price.amount").unionByName(
-        item_status(docs.where("product <> 'price'"), ["product", "border"], "quantity"))
+    spark, path = docs.sparkSession, shared_path(docs.sparkSession, "documents")
+    read = documents.parsed(docs, keep=["product", "border", "direction"])
+    read.write.partitionBy("product").parquet(path)
+    staged = spark.read.schema(read.schema).parquet(path)
+    items = item_status(staged.where("product = 'price'"), ["product", "border"], "price.amount").unionByName(
+        item_status(staged.where("product <> 'price'"), ["product", "border"], "quantity"))
     saved = {"status": write_table(items, f"{output}/status")}
-    spark = docs.sparkSession
     if spark.read.parquet(saved["status"]).where("status = 'success'").isEmpty():
         raise GuardError("no usable document; see the status table")
     jobs = {
-        "prices": neighbour_prices(docs.where("product = 'price'"), borders),
-        "physical_flows": border_flows(docs.where("product = 'flow'"), borders),
-        "scheduled_exchanges": border_flows(docs.where("product = 'schedule'"), borders, out="scheduled_net_import_mw", suffix="_scheduled"),
+        "prices": neighbour_prices(staged.where("product = 'price'"), borders),
+        "physical_flows": border_flows(staged.where("product = 'flow'"), borders),
+        "scheduled_exchanges": border_flows(staged.where("product = 'schedule'"), borders, out="scheduled_net_import_mw", suffix="_scheduled"),
     }
-    for name, df in jobs.items():
-        saved[name] = write_table(df, f"{output}/{name}", refuse_empty=False)
-    return saved
+    return saved | side_by_side(spark, {n: partial(write_table, df, f"{output}/{n}", refuse_empty=False) for n, df in jobs.items()})
 
 
 def fallback_profile(history: DataFrame, spine: DataFrame, columns: Sequence[str], ts: str = "timestamp") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from settlespark import constants as K
-from settlespark.errors import MissingColumns, need_columns
+from settlespark.errors import GuardError, MissingColumns, need_columns
 from settlespark.functions import clock
 from settlespark.operators.point_in_time import last_by, latest_revision
 from settlespark.operators.quality import mapped, require_components, require_no_nulls
@@ -56,11 +56,17 @@ def modelling_table(tables: dict[str, DataFrame], config: dict, check: bool = Tr
     inertia = t["inertia"].select(clock.instant(when).alias("timestamp"), F.col(gva).alias("inertia_gvas"))
     base = join_many_to_one(base, last_by(inertia, ["timestamp"], ["inertia_gvas"]), ["timestamp"], check=False)
 
+    # All weather lies on one hourly axis, which is interpolated once.
+    hourly, values = None, []
     for group in WEATHER:
         numeric = [c for c, k in t[group].dtypes if k in ("double", "float", "int", "bigint") and c != "timestamp"]
-        hourly = t[group].select("timestamp", *numeric)
-        aligned = interpolate_to(hourly, base.select("timestamp"), [], "timestamp", numeric)
-        base = join_many_to_one(base, aligned, ["timestamp"], check=False)
+        clash = set(numeric) & set(values)
+        if clash:
+            raise GuardError(f"weather tables share columns {sorted(clash)}")
+        part = t[group].select("timestamp", *numeric)
+        hourly, values = part if hourly is None else hourly.unionByName(part, allowMissingColumns=True), values + numeric
+    aligned = interpolate_to(hourly, base.select("timestamp"), [], "timestamp", values)
+    base = join_many_to_one(base, aligned, ["timestamp"], check=False)
 
     for target in OPTIONAL_TARGETS:
         source = optional.get(target)

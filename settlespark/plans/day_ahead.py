@@ -16,37 +16,39 @@ from settlespark.operators.risk import energy_and_peaks, single_sources
 from settlespark.operators.series import carry_to_boundary, interpolate_to
 from settlespark.operators.timeline import settlement_spine
 from settlespark.plans.collect import fallback_profile
+from settlespark.session import durable
 
 
-def weather_on_spine(hourly: DataFrame, group: str, spine: DataFrame) -> DataFrame:
-    """Hourly weather on the half-hours of the spine; gaps are an error.
+def weather_on_spine(weather: dict[str, DataFrame], spine: DataFrame) -> DataFrame:
+    """Hourly weather of all groups on the half-hours of the spine; gaps are an error.
 
-    The last hour is carried to the end of the span, as the final half-hour lies after it.
+    The last hour is carried to the end of the span, as the final half-hour lies after it. All
+    groups lie on one axis, which is interpolated once.
     """
-    values = [c for c in hourly.columns if c != "timestamp"]
     edge = spine.agg(clock.add_seconds(F.max("timestamp"), 1800)).first()[0]
-    known = hourly.where(F.col("timestamp") <= F.lit(edge)).withColumn("_all", F.lit(0))
-    whole = carry_to_boundary(known, ["_all"], "timestamp", F.lit(edge)).drop("_all")
-    aligned = interpolate_to(whole, spine.select("timestamp"), [], "timestamp", values)
-    require_no_nulls(aligned, values, f"weather {group}")
-    return prefixed(aligned, f"weather_{group}_", ["timestamp"])
-
-
-def day_features(
-    spark, day: str, issue_utc: str, weather: dict[str, DataFrame], profile: str, features: Sequence[str],
+    hourly, values = None, []
+    for group, rows in weather.items():
+        known = prefixed(rows.where(F.col("timestamp") <= F.lit(edge)), f"weather_{group}_", ["timestamp"])
+        whole = carry_to_boundary(known.withColumn("_all", F.lit(0)), ["_all"], "timestamp", F.lit(edge)).drop("_all")
+        hourly = whole if hourly is None else hourly.unionByName(whole, allowMissingColumns=True)
+        values += [c for c in known.columns if c != "timestamp"]
+    aligned = durable(interpolate_to(hourly, spine.select("timestamp"), [], "timestamp", values))
+    return require_no_nulls(aligned, values, "weather")
+
+
+def features_of_days(
+    days: DataFrame, weather: dict[str, DataFrame], profile: str, features: Sequence[str],
     history: DataFrame | None = None, fallbacks: Sequence[str] = (),
 ) -> DataFrame:
-    """Leakage-safe features of one delivery day: 46, 48 or 50 rows.
+    """Leakage-safe features of all ``days``, which have ``delivery_date`` and ``issue_time_utc``: 46, 48 or 50 rows each.
 
     ``history`` supplies the seven-day profile of the ``fallbacks`` components.
     """
-    days = spark.range(1).select(F.lit(day).cast("date").alias("delivery_date"), F.lit(issue_utc).cast("timestamp").alias("issue_time_utc"))
     if not issue_window_faults(days, "issue_time_utc", "delivery_date").isEmpty():
         raise GuardError("the issue time must lie in the two days before the delivery day")
-    spine = settlement_spine(days).drop("settlement_period")
-    out = spine
-    for group, hourly in weather.items():
-        out = join_many_to_one(out, weather_on_spine(hourly, group, spine), ["timestamp"], check=False)
+    out = spine = settlement_spine(days).drop("settlement_period")
+    if weather:
+        out = join_many_to_one(out, weather_on_spine(weather, spine), ["timestamp"], check=False)
     if fallbacks:
         if history is None:
             raise GuardError("the fallback components need recent history")
@@ -55,6 +57,15 @@ def day_features(
     return require_no_nulls(out, features, "day features")
 
 
+def day_features(
+    spark, day: str, issue_utc: str, weather: dict[str, DataFrame], profile: str, features: Sequence[str],
+    history: DataFrame | None = None, fallbacks: Sequence[str] = (),
+) -> DataFrame:
+    """``features_of_days`` for one delivery day."""
+    days = spark.range(1).select(F.lit(day).cast("date").alias("delivery_date"), F.lit(issue_utc).cast("timestamp").alias("issue_time_utc"))
+    return features_of_days(days, weather, profile, features, history, fallbacks)
+
+
 # Columns of the half-hourly report and their source.
 REPORT_COLUMNS = {
     "demand_mw": "demand_mw", "embedded_wind_mw": "embedded_wind_mw", "transmission_wind_mw": "transmission_wind_mw",

@@ -8,19 +8,20 @@ An archive is a collection window. Tables of all archives come as one DataFrame
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from settlespark.constants import ARCHIVE_REVISION, MERGE_REVISION
 from settlespark.errors import GuardError
 from settlespark.functions import clock
 from settlespark.functions.values import prefixed
-from settlespark.operators.point_in_time import last_by, latest_revision, require_no_future_information
-from settlespark.operators.relations import require_no_conflicts
-from settlespark.operators.series import carry_to_boundary, require_contiguous
+from settlespark.operators.point_in_time import latest_revision, require_no_future_information
+from settlespark.operators.series import require_contiguous
 from settlespark.operators.timeline import clock_difference, require_seam_days_only, seam_days, window_clock
-from settlespark.session import durable
-from settlespark.sources.tables import write_table
+from settlespark.session import durable, side_by_side
+from settlespark.sources.tables import write_checked
+
 
 def checked_windows(windows: DataFrame, first: str, end: str) -> DataFrame:
     """Archives that passed collection and together span ``[first, end)`` without gaps."""
@@ -34,14 +35,41 @@ def checked_windows(windows: DataFrame, first: str, end: str) -> DataFrame:
     return windows
 
 
+def clocked(df: DataFrame, expected: DataFrame) -> DataFrame:
+    """One row per time of a source or of the expected clock, with what is wrong: conflicting repeats and gaps.
+
+    One aggregation over both sides tells repeats, their conflicts and missing times together.
+    """
+    columns = [c for c in df.columns if c not in ("archive", "timestamp")]
+    # Rows of one time conflict if they differ in any column; nulls are equal.
+    mark = F.xxhash64(F.array(*[F.col(c).isNull() for c in columns]), *columns)
+    body = df.select("timestamp", *columns, mark.alias("_mark"), F.lit(False).alias("_asked"))
+    asked = expected.select("timestamp", F.lit(True).alias("_asked"))
+    return body.unionByName(asked, allowMissingColumns=True).groupBy("timestamp").agg(
+        *[F.first(c, ignorenulls=True).alias(c) for c in columns], F.bool_or("_asked").alias("_asked"),
+        F.min("_mark").alias("_low"), F.max("_mark").alias("_high"))
+
+
+CLOCK_SCRATCH = ["_asked", "_low", "_high"]
+
+
+def clock_faults() -> list[Column]:
+    found = {"conflicts": "_asked AND _low <> _high", "missing": "_asked AND _low IS NULL", "rows": "_asked AND _low IS NOT NULL"}
+    return [F.count_if(F.expr(c)).alias(n) for n, c in found.items()]
+
+
+def judge_clock(counts: dict, label: str, exact: bool = True) -> None:
+    if counts["conflicts"]:
+        raise GuardError(f"{label} has {counts['conflicts']} times with conflicting rows")
+    if exact and counts["missing"]:
+        raise GuardError(f"{label} does not match the expected clock: {counts['missing']} times are missing")
+
+
 def on_clock(df: DataFrame, expected: DataFrame, label: str, exact: bool = True) -> DataFrame:
     """Rows on the expected clock, one per time; conflicting repeats and gaps fail."""
-    body = df.drop("archive").join(expected.select("timestamp"), "timestamp", "left_semi")
-    require_no_conflicts(body, ["timestamp"], label)
-    kept = last_by(body, ["timestamp"], [c for c in body.columns if c != "timestamp"] or ["timestamp"])
-    if exact and not clock_difference(expected, kept, ["timestamp"]).isEmpty():
-        raise GuardError(f"{label} does not match the expected clock")
-    return kept
+    rows = durable(clocked(df, expected))
+    judge_clock(rows.agg(*clock_faults()).first().asDict(), label, exact)
+    return rows.where("_asked AND _low IS NOT NULL").drop(*CLOCK_SCRATCH)
 
 
 def point_in_time_embedded(
@@ -65,11 +93,11 @@ def point_in_time_embedded(
     return chosen, excluded
 
 
-def hourly_weather_group(df: DataFrame, group: str, expected: DataFrame, end: str) -> DataFrame:
-    """Hourly weather on the exact clock, prefixed, with the last hour carried to the end."""
-    kept = on_clock(df, expected, f"weather {group}")
-    wide = prefixed(kept, f"weather_{group}_", ["timestamp"])
-    return carry_to_boundary(wide.withColumn("_all", F.lit(0)), ["_all"], "timestamp", clock.day_start(F.lit(end))).drop("_all")
+def hourly_weather_group(rows: DataFrame, group: str, end: str) -> DataFrame:
+    """Hourly rows of the clock, prefixed, with the last hour carried to the exclusive end."""
+    edge = clock.day_start(F.lit(end))
+    twice = F.when(F.col("timestamp") == clock.add_seconds(edge, -3600), F.array(F.col("timestamp"), edge)).otherwise(F.array("timestamp"))
+    return prefixed(rows.withColumn("timestamp", F.explode(twice)), f"weather_{group}_", ["timestamp", *CLOCK_SCRATCH])
 
 
 def merge_archives(
@@ -89,19 +117,18 @@ def merge_archives(
     embedded, excluded = point_in_time_embedded(tables["embedded"], windows, full, hour, minute)
     excluded = durable(excluded)
     training = durable(full.join(excluded, "delivery_date", "left_anti"))
-    rows = {}
 
-    def save(name, df):
-        path = write_table(df, f"{output}/{name}", refuse_empty=False)
-        rows[name] = spark.read.parquet(path).select(F.count(F.lit(1))).scalar()
+    def save(name, shape=lambda rows: rows, clock_rows=training, exact=True):
+        counts = write_checked(shape(clocked(tables[name], clock_rows)), f"{output}/{name}", clock_faults(),
+                               lambda n: judge_clock(n, name, exact), F.expr("_asked AND _low IS NOT NULL"), CLOCK_SCRATCH)
+        return counts["rows"]
 
-    for name in half_hourly:
-        save(name, on_clock(tables[name], training, name))
-    save("embedded", embedded)
-    for group in weather:
-        save(f"weather_{group}", hourly_weather_group(tables[f"weather_{group}"], group, hours, end))
+    jobs = {name: partial(save, name) for name in half_hourly}
+    jobs |= {f"weather_{g}": partial(save, f"weather_{g}", lambda rows, g=g: hourly_weather_group(rows, g, end), hours) for g in weather}
     if "neighbour_prices" in tables:
-        save("neighbour_prices", on_clock(tables["neighbour_prices"], training, "neighbour prices", exact=False))
+        jobs["neighbour_prices"] = partial(save, "neighbour_prices", exact=False)
+    jobs["embedded"] = lambda: write_checked(embedded, f"{output}/embedded", [F.count(F.lit(1)).alias("rows")], lambda n: None)["rows"]
+    rows = side_by_side(spark, jobs)
     return spark.range(1).select(
         F.lit(MERGE_REVISION).alias("workflow_revision"),
         F.lit(first).alias("start_date_inclusive"), F.lit(end).alias("end_date_exclusive"),
@@ -110,5 +137,5 @@ def merge_archives(
         hours.select(F.count(F.lit(1))).scalar().alias("expected_hour_rows"),
         tables["embedded"].select(F.count(F.lit(1))).scalar().alias("embedded_raw_revision_rows"),
         excluded.select(F.sort_array(F.collect_list(clock.date_text("delivery_date")))).scalar().alias("excluded_settlement_dates_local"),
-        F.create_map(*[x for n, c in rows.items() for x in (F.lit(n), c)]).alias("source_rows"),
+        F.create_map(*[F.lit(x) for n, c in sorted(rows.items()) for x in (n, c)]).alias("source_rows"),
     )

@@ -1,20 +1,16 @@
-"""Model training and forecasting on Spark ML. Tree ensembles are trained distributed;
-their numbers differ from other libraries, so they are judged by metrics, not by value."""
+"""Model training and forecasting. Boosted trees of all folds and targets are trained together
+(``operators.boosting``); their numbers differ from other libraries, so they are judged by metrics, not by value."""
 
 from __future__ import annotations
 
 import json
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from settlespark import constants as K
@@ -22,12 +18,12 @@ from settlespark.errors import GuardError
 from settlespark.functions.features import arcsinh_price, balance_layers, numeric_features, price_from_arcsinh
 from settlespark.functions.values import number
 from settlespark.operators import risk, scoring
+from settlespark.operators.boosting import Ensemble, boost, predicted
 from settlespark.operators.point_in_time import timestamp_lags
 from settlespark.operators.quality import clip_counts, component_profile, physical_bounds
 from settlespark.operators.series import expanding_folds, holdout_split
 from settlespark.session import durable
 
-TREES = {"maxIter": 60, "stepSize": 0.1, "maxDepth": 5, "subsamplingRate": 0.85, "seed": 42}
 PRICE = "price_gbp_mwh"
 TS = "timestamp"
 
@@ -47,28 +43,23 @@ def complete_rows(df: DataFrame, columns: Sequence[str], label: str) -> DataFram
 class Regressor:
     """A fitted tree ensemble with its feature list and target transform."""
 
-    pipeline: PipelineModel
+    ensemble: Ensemble
     features: list[str]
     target: str
     transform: str = "identity"
     scale: float = 50.0
 
     def predict(self, df: DataFrame, out: str) -> DataFrame:
-        scored = self.pipeline.transform(df)
-        raw = F.col("_prediction")
-        value = price_from_arcsinh(raw, self.scale) if self.transform == "arcsinh" else raw
-        return scored.withColumn(out, value).drop("_features", "_prediction")
+        value = predicted({"": self.ensemble}, self.features, F.lit(""))
+        return df.withColumn(out, price_from_arcsinh(value, self.scale) if self.transform == "arcsinh" else value)
 
     def save(self, path: str) -> None:
-        spark = SparkSession.active()
-        self.pipeline.write().overwrite().save(f"{path}/pipeline")
-        facts = {"features": self.features, "target": self.target, "transform": self.transform, "scale": self.scale}
-        save_json(spark, facts, f"{path}/facts")
+        save_json(SparkSession.active(), vars(self) | {"ensemble": self.ensemble.facts()}, path)
 
     @staticmethod
     def load(path: str) -> "Regressor":
-        facts = load_json(SparkSession.active(), f"{path}/facts")
-        return Regressor(PipelineModel.load(f"{path}/pipeline"), **facts)
+        facts = load_json(SparkSession.active(), path)
+        return Regressor(Ensemble(**facts.pop("ensemble")), **facts)
 
 
 def save_json(spark: SparkSession, value: dict, path: str) -> None:
@@ -80,71 +71,110 @@ def load_json(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(path).first()[0])
 
 
+def _label(value, transform: str, scale: float):
+    if transform not in ("identity", "arcsinh"):
+        raise ValueError(f"unknown transform {transform}")
+    return arcsinh_price(value, scale) if transform == "arcsinh" else F.col(value).cast("double")
+
+
 def fit_regressor(
     df: DataFrame, features: Sequence[str], target: str, transform: str = "identity", scale: float = 50.0, params: dict | None = None,
 ) -> Regressor:
     """Fit on rows complete in features and target, optionally on the arcsinh of the target."""
-    if transform not in ("identity", "arcsinh"):
-        raise ValueError(f"unknown transform {transform}")
+    label = _label(target, transform, scale)
     clean = complete_rows(df, [*features, target], target)
-    label = arcsinh_price(target, scale) if transform == "arcsinh" else F.col(target).cast("double")
-    trees = GBTRegressor(featuresCol="_features", labelCol="_label", predictionCol="_prediction", **(params or TREES))
-    rows = clean.select(*features, label.alias("_label"))
-    return Regressor(Pipeline(stages=[_assembled(features), trees]).fit(rows), list(features), target, transform, scale)
+    rows = clean.select(*features, F.lit(target).alias("model_group"), label.alias("label"), F.array(F.lit(True)).alias("use"))
+    return Regressor(boost(rows, features, 1, params=params)[target, 0], list(features), target, transform, scale)
 
 
-def _ordered(df: DataFrame, features: Sequence[str], target: str, splits: int | None = None, holdout_rows: int | None = None) -> DataFrame:
-    """Rows complete in features and target, with fold, holdout flag and 24 h baseline.
+@dataclass
+class Study:
+    """Rows of several targets in one table, with the models each row trains, and the models trained.
 
-    Written once: every fit and score of the target reads this table.
+    Model 0 is scored on the holdout, the next ones belong to the folds, the last one has seen all rows.
     """
-    clean = complete_rows(df, [*features, target], target).select(TS, *features, number(target).alias(target)).withColumn("_all", F.lit(0))
-    if splits is not None:
-        clean = expanding_folds(clean, ["_all"], TS, splits)
-    if holdout_rows is not None:
-        clean = timestamp_lags(holdout_split(clean, ["_all"], TS, holdout_rows), ["_all"], TS, target, {"_baseline": 86400})
-    return durable(clean)
-
-
-def _holdout(rows: DataFrame, features, target, transform, scale, params) -> dict:
-    model = fit_regressor(rows.where("not is_test"), features, target, transform, scale, params)
-    row = scoring.holdout_score(model.predict(rows.where("is_test"), "_model"), target, "_model", "_baseline").first()
-    if not row.comparison_rows:
-        raise GuardError(f"no comparable rows for {target}")
-    return row.asDict()
 
-
-def _out_of_fold(rows: DataFrame, features, target, splits, transform, scale, params) -> DataFrame:
-    parts = []
-    for k in range(splits):
-        model = fit_regressor(rows.where(F.col("fold").isNull() | (F.col("fold") < k)), features, target, transform, scale, params)
-        parts.append(model.predict(rows.where(F.col("fold") == k), f"oof_{target}").select(TS, f"oof_{target}"))
-    return reduce(DataFrame.unionByName, parts)
+    rows: DataFrame
+    features: list[str]
+    targets: list[str]
+    splits: int
+    transform: str
+    scale: float
+    models: dict
+
+    def _predicted(self, rows: DataFrame, model, out: str) -> DataFrame:
+        named = {f"{t}:{m}": e for (t, m), e in self.models.items()}
+        value = predicted(named, self.features, F.concat_ws(":", "target", model.cast("string")))
+        return rows.withColumn(out, price_from_arcsinh(value, self.scale) if self.transform == "arcsinh" else value)
+
+    def scores(self) -> dict[str, dict]:
+        """Metrics of each target on its last rows, against the value 24 hours before."""
+        tested = self._predicted(self.rows.where("is_test"), F.lit(0), "_model")
+        found = {r.target: r.asDict() for r in scoring.holdout_score(tested, "value", "_model", "_baseline", ["target"]).collect()}
+        for t in self.targets:
+            if t not in found or not found[t]["comparison_rows"]:
+                raise GuardError(f"no comparable rows for {t}")
+            del found[t]["target"]
+        return found
+
+    def out_of_fold(self) -> DataFrame:
+        """``(timestamp, oof_<target> ...)``: a prediction for each row by the model that has seen the rows before its fold."""
+        rows = self._predicted(self.rows.where("fold IS NOT NULL"), F.col("fold") + 1, "_model")
+        wide = rows.groupBy(TS).pivot("target", self.targets).agg(F.max("_model"))
+        return wide.withColumnsRenamed({t: f"oof_{t}" for t in self.targets})
+
+    def final(self, target: str) -> Regressor:
+        return Regressor(self.models[target, self.splits + 1], self.features, target, self.transform, self.scale)
+
+
+def study(
+    df: DataFrame, features: Sequence[str], targets: Sequence[str], splits: int = 0, holdout_rows: int | None = None, transform: str = "identity",
+    scale: float = 50.0, params: dict | None = None, full: bool = True,
+) -> Study:
+    """Train, for all targets at once, a holdout model, a model for each expanding fold, and a model of all rows.
+
+    A row counts for a target if the target and all features are known. The rows are written once;
+    every model of every target reads this table.
+    """
+    features, targets = list(features), list(targets)
+    known = df.select(TS, *features, *[number(t).alias(f"_t{i}") for i, t in enumerate(targets)]).dropna(subset=features)
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(f"_t{i}").alias("value")) for i, t in enumerate(targets)]))
+    rows = known.select(TS, *features, each.alias("_x")).select(TS, *features, "_x.*").where("value IS NOT NULL")
+    rows = rows.withColumn("label", _label("value", transform, scale))
+    found = {r.target for r in rows.select("target").distinct().collect()}
+    for t in targets:
+        if t not in found:
+            raise GuardError(f"no complete rows for {t}")
+    rows = expanding_folds(rows, ["target"], TS, splits) if splits else rows.withColumn("fold", F.lit(None).cast("int"))
+    if holdout_rows is None:
+        rows = rows.withColumn("is_test", F.lit(False))
+    else:
+        rows = timestamp_lags(holdout_split(rows, ["target"], TS, holdout_rows), ["target"], TS, "value", {"_baseline": 86400})
+    uses = [~F.col("is_test") & F.lit(holdout_rows is not None), *[F.col("fold").isNull() | (F.col("fold") < k) for k in range(splits)], F.lit(full)]
+    wanted = [i for i in range(splits + 2) if (i > 0 or holdout_rows is not None) and (i <= splits or full)]
+    rows = durable(rows.withColumn("use", F.array(*[uses[i] for i in wanted])))
+    made = boost(rows, features, len(wanted), group="target", params=params)
+    return Study(rows, features, targets, splits, transform, scale, {(t, wanted[m]): e for (t, m), e in made.items()})
 
 
 def holdout(
     df: DataFrame, features: Sequence[str], target: str, rows: int, transform: str = "identity", scale: float = 50.0, params: dict | None = None,
 ) -> dict:
     """Score the last ``rows`` complete rows against the value exactly 24 hours earlier."""
-    return _holdout(_ordered(df, features, target, holdout_rows=rows), features, target, transform, scale, params)
+    return study(df, features, [target], holdout_rows=rows, transform=transform, scale=scale, params=params, full=False).scores()[target]
 
 
 def out_of_fold(
     df: DataFrame, features: Sequence[str], target: str, splits: int = 5, transform: str = "identity", scale: float = 50.0, params: dict | None = None,
 ) -> DataFrame:
-    """``timestamp`` and an honest prediction per row; the first block has none.
-
-    The loop runs over the fold count, a parameter; each fold trains on all rows before it.
-    """
-    return _out_of_fold(_ordered(df, features, target, splits), features, target, splits, transform, scale, params)
+    """``timestamp`` and an honest prediction per row; the first block has none. Each fold trains on all rows before it."""
+    return study(df, features, [target], splits, transform=transform, scale=scale, params=params, full=False).out_of_fold()
 
 
-def train(
-    df: DataFrame, model_dir: str, holdout_rows: int = 4320, splits: int = 5, params: dict | None = None, parallelism: int = 4,
-) -> dict:
+def train(df: DataFrame, model_dir: str, holdout_rows: int = 4320, splits: int = 5, params: dict | None = None) -> dict:
     """Train component models, then the price model on their out-of-fold predictions.
 
-    Components do not depend on each other, so their Spark jobs are submitted side by side.
+    The models of all components and folds grow side by side, so the jobs are those of two models.
     Writes models, the component error table and metadata; returns the holdout metrics.
     """
     spark = df.sparkSession
@@ -153,26 +183,19 @@ def train(
     if not features:
         raise GuardError("no model features")
     df = durable(df)
-
-    def component(target: str) -> tuple[dict, DataFrame]:
-        rows = _ordered(df, features, target, splits, holdout_rows)
-        score = _holdout(rows, features, target, "identity", 50.0, params)
-        oof = durable(_out_of_fold(rows, features, target, splits, "identity", 50.0, params))
-        fit_regressor(rows, features, target, params=params).save(f"{model_dir}/{target}")
-        return score, oof
-
-    with ThreadPool(parallelism) as pool:
-        trained = dict(zip(targets, pool.map(inheritable_thread_target(spark)(component), targets)))
-    metrics, stacked, errors = {}, df.drop(*targets), df.select(TS, *targets)
-    for target, (score, oof) in trained.items():
-        metrics[target] = score
-        stacked = stacked.join(oof.withColumnRenamed(f"oof_{target}", target), TS, "left")
-        errors = errors.join(oof, TS, "left").withColumn(target, F.col(target) - F.col(f"oof_{target}")).drop(f"oof_{target}")
+    parts = study(df, features, targets, splits, holdout_rows, params=params)
+    metrics = parts.scores()
+    for target in targets:
+        parts.final(target).save(f"{model_dir}/{target}")
+    oof = durable(parts.out_of_fold())
+    stacked = df.drop(*targets).join(oof.withColumnsRenamed({f"oof_{t}": t for t in targets}), TS, "left")
+    errors = df.select(TS, *targets).join(oof, TS, "left").select(TS, *[(F.col(t) - F.col(f"oof_{t}")).alias(t) for t in targets])
 
     pricing = durable(balance_layers(stacked))
     price_features = [*features, *targets, *K.BALANCE_LAYERS]
-    metrics[PRICE] = holdout(pricing, price_features, PRICE, holdout_rows, "arcsinh", params=params)
-    fit_regressor(pricing, price_features, PRICE, "arcsinh", params=params).save(f"{model_dir}/{PRICE}")
+    prices = study(pricing, price_features, [PRICE], holdout_rows=holdout_rows, transform="arcsinh", params=params)
+    metrics |= prices.scores()
+    prices.final(PRICE).save(f"{model_dir}/{PRICE}")
     if "marginal_technology" in df.columns:
         labelled = pricing.dropna(subset=[*price_features, "marginal_technology"])
         if not labelled.isEmpty():
@@ -181,6 +204,8 @@ def train(
     save_json(spark, {
         "model_profile": profile, "component_targets": targets, "features": features, "price_features": price_features,
         "metrics": metrics, "stacking": "expanding_window_out_of_fold", "time_series_splits": splits,
+        "training_rows": df.count(), "price_training_rows": prices.rows.count(),
+        "baseline_definition": "value exactly 24 hours before delivery",
     }, f"{model_dir}/metadata")
     return metrics
 
@@ -207,7 +232,8 @@ def prepare_bundle(df: DataFrame, model_dir: str, holdout_rows: int = 4320, min_
     if count < min_rows:
         raise GuardError(f"operational error history has only {count} complete rows")
     whole.write.mode("overwrite").parquet(f"{model_dir}/operational_errors")
-    meta |= {"operational_bundle_ready": True, "operational_component_strategy": strategy, "component_error_table": "operational_errors"}
+    meta |= {"operational_bundle_ready": True, "operational_component_strategy": strategy, "component_error_table": "operational_errors",
+             "operational_error_rows": count, "fallback_policy": "the value 168 hours before delivery, where its holdout error is below the model's"}
     save_json(spark, meta, f"{model_dir}/bundle")
     return {"model_profile": meta["model_profile"], "component_strategy": strategy, "operational_error_rows": count}
 
@@ -267,24 +293,25 @@ def forecast(
     }
 
 
-def fit_curtailment(df: DataFrame, features: Sequence[str], curtailed: str, params: dict | None = None) -> tuple[PipelineModel, Regressor]:
-    """Event classifier and conditional volume model."""
+def fit_curtailment(df: DataFrame, features: Sequence[str], curtailed: str, params: dict | None = None) -> tuple[Regressor, Regressor]:
+    """Event classifier and conditional volume model, grown side by side."""
     clean = complete_rows(df, [*features, curtailed], curtailed)
     seen = clean.agg(F.count_if(F.col(curtailed) > 0).alias("event"), F.count_if(F.col(curtailed) <= 0).alias("none")).first()
     if not seen.event or not seen.none:
         raise GuardError("curtailment needs both event and non-event rows")
-    rows = clean.withColumn("_label", (F.col(curtailed) > 0).cast("double"))
-    events = GBTClassifier(featuresCol="_features", labelCol="_label", predictionCol="_class", **(params or TREES))
-    events.setProbabilityCol("_probability").setRawPredictionCol("_raw")
-    classifier = Pipeline(stages=[_assembled(features), events]).fit(rows)
-    return classifier, fit_regressor(clean.where(F.col(curtailed) > 0), features, curtailed, params=params)
+    happened = F.col(curtailed) > 0
+    cases = F.array(F.struct(F.lit("event").alias("model_group"), happened.cast("double").alias("label")),
+                    F.when(happened, F.struct(F.lit("volume").alias("model_group"), F.col(curtailed).cast("double").alias("label"))))
+    rows = clean.select(*features, F.explode(F.array_compact(cases)).alias("_c")).select(*features, "_c.*", F.array(F.lit(True)).alias("use"))
+    made = boost(rows, features, 1, params=params, loss={"event": "log"})
+    return Regressor(made["event", 0], list(features), curtailed), Regressor(made["volume", 0], list(features), curtailed)
 
 
-def predict_curtailment(models: tuple[PipelineModel, Regressor], df: DataFrame) -> DataFrame:
+def predict_curtailment(models: tuple[Regressor, Regressor], df: DataFrame) -> DataFrame:
     """Probability, conditional volume and their product."""
     classifier, volume = models
-    chance = classifier.transform(df).withColumn("curtailment_probability", vector_to_array("_probability")[1]).drop("_features", "_probability", "_class", "_raw")
-    out = volume.predict(chance, "_volume").withColumn("conditional_curtailed_mw", F.greatest(F.lit(0.0), "_volume")).drop("_volume")
+    out = volume.predict(classifier.predict(df, "curtailment_probability"), "_volume")
+    out = out.withColumn("conditional_curtailed_mw", F.greatest(F.lit(0.0), "_volume")).drop("_volume")
     return out.withColumn("expected_curtailed_mw", F.col("curtailment_probability") * F.col("conditional_curtailed_mw"))
 
 

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -65,3 +68,10 @@ def durable(df: DataFrame) -> DataFrame:
     path = shared_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def side_by_side(spark: SparkSession, jobs: dict[str, Callable[[], object]], parallelism: int = 4) -> dict:
+    """Run independent Spark jobs together: small ones do not wait for each other's last task. Results by name."""
+    with ThreadPool(parallelism) as pool:
+        run = inheritable_thread_target(spark)(lambda job: job())
+        return dict(zip(jobs, pool.map(run, jobs.values())))

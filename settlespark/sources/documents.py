@@ -49,17 +49,39 @@ def _fault(doc: Column) -> Column:
         F.size(places) > 0, F.concat(F.lit("unreadable position "), places[0]["position"]))
 
 
+def parsed(docs: DataFrame, xml: str = "xml", keep: Sequence[str] = ()) -> DataFrame:
+    """``keep`` columns, the document ``d`` and whether it is an acknowledgement; each text is parsed once.
+
+    The parse is a generator: filters on what it gives are not pushed below it, where they would parse
+    the text again.
+    """
+    return docs.select(*keep, _acknowledged(xml).alias("acknowledged"), F.explode_outer(F.array(_doc(xml))).alias("d"))
+
+
+def _state(d: Column, acknowledged: Column) -> tuple[Column, Column]:
+    """Status and message of a parsed document."""
+    series = F.coalesce(F.size(d["TimeSeries"]), F.lit(0))
+    blank, fault = d["createdDateTime"].isNull() & (series <= 0) & d["Reason"].isNull(), _fault(d)
+    status = F.when(acknowledged, "unavailable").when(blank | fault.isNotNull(), "failed").when(series <= 0, "no_rows").otherwise("success")
+    return status, F.when(acknowledged, values.redacted(_reason(d))).otherwise(values.redacted(fault))
+
+
+def status_of(d: Column, acknowledged: Column) -> Column:
+    return _state(d, acknowledged)[0]
+
+
+def point_count(d: Column, value_field: str) -> Column:
+    """How many rows ``timeseries_points`` makes of a parsed document; none where it has a fault."""
+    periods = F.flatten(F.transform(d["TimeSeries"], lambda s: s["Period"]))
+    read = F.filter(periods, lambda p: clock.parse_instant(p["timeInterval"]["start"]).isNotNull() & p["resolution"].isNotNull())
+    points = F.filter(F.flatten(F.transform(read, lambda p: p["Point"])), lambda x: x["position"].isNotNull() & values.number(x[value_field]).isNotNull())
+    return F.when(_fault(d).isNull(), F.greatest(F.size(points), F.lit(0))).otherwise(0)
+
+
 def document_status(docs: DataFrame, xml: str = "xml") -> DataFrame:
     """Classify documents without failing: success, no_rows, unavailable or failed."""
-    d = docs.withColumn("_d", _doc(xml)).withColumn("_f", _fault(F.col("_d")))
-    series = F.coalesce(F.size(F.col("_d.TimeSeries")), F.lit(0))
-    blank = F.col("_d.createdDateTime").isNull() & (series <= 0) & F.col("_d.Reason").isNull()
-    status = (
-        F.when(_acknowledged(xml), "unavailable").when(blank | F.col("_f").isNotNull(), "failed")
-        .when(series <= 0, "no_rows").otherwise("success")
-    )
-    message = F.when(_acknowledged(xml), values.redacted(_reason(F.col("_d")))).otherwise(values.redacted("_f"))
-    return d.withColumns({"status": status, "message": message}).drop("_d", "_f")
+    status, message = _state(F.col("d"), F.col("acknowledged"))
+    return parsed(docs, xml, docs.columns).withColumns({"status": status, "message": message}).drop("d", "acknowledged")
 
 
 def timeseries_points(
@@ -71,13 +93,16 @@ def timeseries_points(
     document is an error that carries its reason, and so is an odd step or position;
     otherwise such a document yields no rows and hides no other one, see ``document_status``.
     """
-    d = docs.select(*keep, F.col(xml), _doc(xml).alias("d"))
+    return points_of(parsed(docs, xml, keep), value_field, out, keep, strict)
+
+
+def points_of(read: DataFrame, value_field: str, out: str, keep: Sequence[str] = (), strict: bool = True) -> DataFrame:
+    """``timeseries_points`` of documents that are ``parsed`` already."""
     if strict:
         refusal = F.raise_error(F.concat(F.lit("source refused: "), _reason(F.col("d")))).cast("boolean")
-        d = d.where(F.when(_acknowledged(xml), refusal).otherwise(True))
+        d = read.where(F.when(F.col("acknowledged"), refusal).otherwise(True))
     else:
-        d = d.where(_fault(F.col("d")).isNull())
-    # An outer explode: the inner one would add a size filter that parses every text twice.
+        d = read.where(_fault(F.col("d")).isNull())
     series = d.select(
         *keep, F.col("d.createdDateTime").alias("_made"), F.explode_outer("d.TimeSeries").alias("s")
     ).where("s is not null")

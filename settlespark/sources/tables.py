@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable, Sequence
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from settlespark.errors import GuardError, need_columns
 from settlespark.functions import clock
@@ -69,6 +72,28 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by=
     return path
 
 
+def write_checked(df: DataFrame, path: str, counts: Sequence[Column], judge: Callable[[dict], None], keep: Column | None = None, drop: Sequence[str] = ()) -> dict:
+    """Write the rows of ``df`` that ``keep`` once, and give the table its place when ``judge`` has passed the counts.
+
+    ``counts`` are aggregates over all rows, taken while these are written; they are returned. A judge
+    that raises leaves the table that was there.
+    """
+    spark, seen, draft = df.sparkSession, Observation(f"counts of {path}"), f"{path.rstrip('/')}.draft-{uuid.uuid4().hex}"
+    rows = df.observe(seen, *counts)
+    (rows if keep is None else rows.where(keep)).drop(*drop).write.parquet(draft)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    place, made = hadoop.Path(path), hadoop.Path(draft)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        judge(seen.get)
+        fs.delete(place, True)
+        fs.mkdirs(place.getParent())
+        fs.rename(made, place)
+    finally:
+        fs.delete(made, True)
+    return seen.get
+
+
 def land_payloads(df: DataFrame, path: str, source: str = "source", day: str = "landed_date") -> str:
     """Raw payloads as JSON lines, laid out by source and date for later pruning."""
     need_columns(df, [source, day, "payload"], "payloads")

@@ -123,6 +123,23 @@ def date_window_records(t):
     return out(kept.select("event_id", F.col("rec")["value"].cast("double").alias("value")))
 
 
+@query("indexed_landing", f"""
+SELECT count(*) AS records, round(sum(value), 6) AS total, true AS only_files_of_the_window FROM ({SLOT}) WHERE d >= DATE '2024-01-05' AND d < DATE '2024-01-25'""")
+def indexed_landing(t):
+    """A delivery window read from a landing whose files are known by their dates; files of other dates are not opened."""
+    from settlespark.session import shared_path
+    from settlespark.sources import landing, tables
+    path, index = shared_path(t.spark, "landing"), shared_path(t.spark, "index")
+    first = slots(t).select(payload(dated(value=F.col("value")), "data").alias("payload"), F.col("event_type").alias("source"), F.col("d").alias("landed_date"))
+    tables.land_payloads(first.repartition("landed_date"), path)
+    landing.index_landing(t.spark, path, index)
+    found = landing.read_window(t.spark, path, index, "2024-01-05", "2024-01-25")
+    days = {f.split("landed_date=")[1][:10] for f in found.inputFiles()}
+    recs = src.in_date_window(src.records(found), "2024-01-05", "2024-01-25")
+    return out(recs.agg(F.count(F.lit(1)).alias("records"), F.sum(F.col("rec")["value"].cast("double")).alias("total")).withColumn(
+        "only_files_of_the_window", F.lit(bool(days) and min(days) >= "2024-01-05" and max(days) < "2024-01-25")))
+
+
 @query("absent_fields", """SELECT 'published' AS absent_field FROM events HAVING count(*) > 0""")
 def absent_fields(t):
     rec = dated(price=F.col("value"), dataProvider=F.col("event_type"))
@@ -233,6 +250,58 @@ def collected_units(t):
     return out(collect.combined(src.unit_generation(src.records(chunks, keep=["chunk"]), keep=["chunk"]), ["timestamp", "bm_unit"], ["chunk"], "2024-01-01", "2024-02-01", "units").select("timestamp", "bm_unit", "generation_mw"))
 
 
+@query("unit_sources", f"""
+WITH g AS (SELECT timestamp, 'U' || user_id AS unit, value * 2 AS mw FROM ({SLOT}) QUALIFY row_number() OVER (PARTITION BY timestamp, user_id ORDER BY event_id % 3 DESC, event_id DESC) = 1),
+u AS (SELECT DISTINCT 'U' || user_id AS unit, 'Party' || (user_id % 3) AS party FROM events)
+SELECT 'unit_generation' AS table_name, timestamp, unit, CASE WHEN true THEN NULL END::VARCHAR AS lead_party, count(*) OVER (PARTITION BY timestamp, unit) > 0 AS present FROM g UNION ALL SELECT 'units', NULL, unit, party, true FROM u""")
+def unit_sources(t):
+    """Unit generation and unit reference from one landing, parsed once: which units and periods there are, and whose."""
+    from settlespark.session import shared_path
+    unit, landed = F.concat(F.lit("U"), F.col("user_id").cast("string")), F.date_add(F.lit("2024-03-01").cast("date"), (F.col("event_id") % 3).cast("int"))
+    gen = slots(t).select(F.lit("unit_generation").alias("source"), landed.alias("landed_date"), payload(dated(bmUnit=unit, quantity=F.col("value")), "data").alias("payload"))
+    ref = t.events.select(F.lit("units").alias("source"), F.lit("2024-03-01").cast("date").alias("landed_date"),
+                          payload(F.struct(unit.alias("bmUnit"), F.concat(F.lit("Party"), (F.col("user_id") % 3).cast("string")).alias("leadPartyName")), "data").alias("payload"))
+    saved = collect.unit_sources(gen.unionByName(ref), "2024-01-01", "2024-02-01", shared_path(t.spark, "units"))
+    made, units = (t.spark.read.parquet(saved[n]) for n in ("unit_generation", "units"))
+    none = F.lit(None)
+    party = next(c for c in units.columns if "party" in c)
+    return out(made.select(F.lit("unit_generation").alias("table_name"), "timestamp", F.col("bm_unit").alias("unit"), none.cast("string").alias("lead_party"), F.col("generation_mw").isNotNull().alias("present")).unionByName(
+        units.select(F.lit("units").alias("table_name"), none.cast("timestamp").alias("timestamp"), F.col("bm_unit").alias("unit"), F.col(party).alias("lead_party"), F.lit(True).alias("present"))))
+
+
+@query("weather_source", f"""
+WITH {HOURS} SELECT timestamp, {', '.join(f"max({v}) FILTER (site = '{s}') AS {s}_{v}" for s in KINDS for v in ('temperature_2m', 'cloud_cover'))} FROM h WHERE timestamp >= TIMESTAMP '2024-01-01' AND timestamp < TIMESTAMP '2024-01-31' GROUP BY 1""")
+def weather_source(t):
+    """The weather job: all sites on the settlement window; the hour that spills over its end is trimmed."""
+    return out(collect.weather_source(weather_payloads(t), KINDS, ["temperature_2m", "cloud_cover"], "2024-01-01", "2024-01-31"))
+
+
+@query("preset_source", f"""
+SELECT timestamp, pub AS published_at_utc, w AS embedded_wind_mw, s AS embedded_solar_mw FROM (SELECT timestamp, d, date_trunc('second', ts) - INTERVAL '2 days' AS pub, value AS w, value / 2 AS s FROM ({SLOT})) WHERE d >= DATE '2024-01-05' AND d < DATE '2024-01-25'""")
+def preset_source(t):
+    """A named reference dataset of embedded forecasts, for a window of delivery dates."""
+    pub = F.date_format(clock.add_seconds("ts", -2 * 86400), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    rec = dated(forecast_datetime=pub, embedded_wind_forecast=F.col("value"), embedded_solar_forecast=F.col("value") / 2)
+    found = collect.preset_source(src.records(slots(t).select(payload(rec, "data").alias("payload"))), "embedded_forecasts", "2024-01-05", "2024-01-25")
+    return out(found.select("timestamp", "published_at_utc", "embedded_wind_mw", "embedded_solar_mw"))
+
+
+@query("market_collection", """
+WITH p AS (SELECT product, event_type AS border, date_trunc('hour', ts) + h * INTERVAL '30 minutes' AS timestamp FROM events, (VALUES (0), (1), (4), (5)) AS x(h), (VALUES ('prices'), ('physical_flows'), ('scheduled_exchanges')) AS n(product) WHERE event_type <> 'error')
+SELECT product AS table_name, count(DISTINCT timestamp) AS row_count FROM p GROUP BY 1 UNION ALL SELECT 'status', 15 FROM events HAVING count(*) > 0
+UNION ALL SELECT 'successful_items', 12 FROM events HAVING count(*) > 0""")
+def market_collection(t):
+    """Three products over all borders from one pass over the documents, one border of which refuses."""
+    from settlespark.session import shared_path
+    side = F.when(F.col("user_id") % 2 == 0, "in").otherwise("out")
+    docs = xml_documents(t).join(t.events.select("event_id", F.col("event_type").alias("border"), side.alias("direction")), "event_id").drop("event_id")
+    every = docs.withColumn("product", F.explode(F.array(F.lit("price"), F.lit("flow"), F.lit("schedule"))))
+    saved = collect.market_collection(every, KINDS, shared_path(t.spark, "markets"))
+    counts = [t.spark.read.parquet(p).agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(n).alias("table_name"), "row_count") for n, p in saved.items()]
+    overall = collect.overall_status(t.spark.read.parquet(saved["status"])).select(F.lit("successful_items").alias("table_name"), F.col("successful_items").alias("row_count"))
+    return out(counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3]).unionByName(overall))
+
+
 @query("border_status", """
 SELECT event_type AS border, CASE event_type WHEN 'error' THEN 'unavailable' ELSE 'success' END AS status, count(*) AS documents, CASE event_type WHEN 'error' THEN 0 ELSE count(*) * 2 END AS row_count FROM events GROUP BY 1""")
 def border_status(t):

@@ -1,5 +1,7 @@
 """Log tables, jobs, models and streams over the shared tables."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from settlespark import constants as K
@@ -12,6 +14,9 @@ from settlespark.workload.registry import COMPONENTS, HH, day, day_length, day_s
 from settlespark.workload.score_queries import FORECASTS, RISK, SCORES, actuals, forecasts, rounded, scenario_risks, scores
 
 MIDDLE = "2024-01-16"
+GRID = f"""{COMPONENTS}, span AS (SELECT {day('min(timestamp)')} AS a, {day('max(timestamp)')} + 1 AS z FROM components),
+grid AS (SELECT unnest(generate_series({day_start('a')}, {day_start('z')} - INTERVAL '30 minutes', INTERVAL '30 minutes')) AS timestamp FROM span),
+train AS (SELECT timestamp FROM grid WHERE {day('timestamp')} <> {day('TIMESTAMP ' + chr(39) + MIDDLE + chr(39))})"""
 
 
 @query("store_append", f"""
@@ -166,18 +171,29 @@ def graded_in_spans(t):
 
 
 @query("appended_forecast_days", f"""
-WITH {FORECASTS}, k AS (SELECT *, {day('delivery_time_utc')} AS d FROM forecasts WHERE model_version = (SELECT min(model_version) FROM forecasts))
-SELECT forecast_id, delivery_time_utc, {rounded(['p50'])} FROM k WHERE d IN (SELECT DISTINCT d FROM k ORDER BY d LIMIT 3)""")
+WITH {FORECASTS} SELECT model_version, forecast_id, delivery_time_utc, {rounded(['p50'])} FROM forecasts""")
 def appended_forecast_days(t):
-    """All days of all models, appended at once and then offered again for reuse. The twin shows three days of one model."""
+    """All days of all models, appended at once and then offered again for reuse."""
     f = durable(forecasts(t))
     log = logs.forecast_log(t.spark, shared_path(t.spark, "days"))
     logs.log_forecast_days(log, f)
     logs.log_forecast_days(log, f, reuse=True)
-    stored = log.read().withColumn("d", clock.delivery_date("delivery_time_utc"))
-    shown = stored.where(F.col("model_version") == stored.agg(F.min("model_version")).first()[0])
-    days = shown.select("d").distinct().orderBy("d").limit(3)
-    return out(shown.join(days, "d", "left_semi").select("forecast_id", "delivery_time_utc", "p50"))
+    return out(log.read().select("model_version", "forecast_id", "delivery_time_utc", "p50"))
+
+
+@query("appended_actuals", f"""
+WITH {GRID}, p AS (SELECT time_bucket(INTERVAL '30 minutes', ts) AS timestamp, round(avg(value), 6) AS price FROM events GROUP BY 1)
+SELECT timestamp AS delivery_time_utc, 'initial' AS actual_revision, coalesce(price, 0) AS actual_price FROM grid LEFT JOIN p USING (timestamp)""")
+def appended_actuals(t):
+    """Prices of whole days appended in two windows that overlap; what is known already is skipped."""
+    grid = t.events.agg(clock.delivery_date(F.min("ts")).alias("a"), F.date_add(clock.delivery_date(F.max("ts")), 1).alias("z"))
+    a, z = grid.first()
+    prices = t.events.groupBy(clock.half_hour("ts").alias("timestamp")).agg(F.round(F.avg("value"), 6).alias("price_gbp_mwh"))
+    whole = timeline.settlement_spine(timeline.dates_between(grid, "a", "z")).select("timestamp").join(prices, "timestamp", "left").fillna(0.0)
+    log = logs.actual_log(t.spark, shared_path(t.spark, "actuals"))
+    logs.append_actuals(log, whole, str(a), MIDDLE, "initial")
+    logs.append_actuals(log, whole.withColumn("price_gbp_mwh", F.when(F.col("timestamp") < F.lit(MIDDLE).cast("timestamp"), -1.0).otherwise(F.col("price_gbp_mwh"))), str(a), str(z), "initial")
+    return out(log.read())
 
 
 @query("risk_log", f"""
@@ -207,13 +223,13 @@ def history_index(t):
 # --- datasets and reports ---------------------------------------------------------------
 
 def source_tables(t):
-    c = t.components
+    # Periods of which a forecast was published two days before; the last weather hour is carried.
+    shifted = clock.add_seconds(clock.half_hour("ts"), 2 * 86400)
+    c = t.components.join(t.events.select(shifted.alias("timestamp")).distinct(), "timestamp", "left_semi")
     hourly = t.events.groupBy(clock.floor_to("ts", 3600).alias("timestamp")).agg(F.round(F.avg("value"), 4).alias("temp"))
-    shifted = clock.add_seconds(clock.half_hour("ts"), 86400)
     return {
         "price": c.select("timestamp", F.col("inertia_gvas").alias("p")), "demand": c.select("timestamp", F.col("demand_mw").alias("d")),
         "fuel": c.select("timestamp", F.col("transmission_wind_mw").alias("fuel_wind_mw"), F.col("nuclear_mw").alias("fuel_nuclear_mw"), "net_import_mw"),
-        # Publications of the next day's period, made through the day before.
         "embedded": t.events.select(shifted.alias("timestamp"), F.col("ts").alias("pub"), F.col("value").alias("w"), (F.col("value") / 2).alias("s")),
         "inertia": c.select("timestamp", F.col("inertia_gvas").alias("gva")),
         "weather_demand": hourly, "weather_wind": hourly.withColumnRenamed("temp", "wind"), "weather_solar": hourly.withColumnRenamed("temp", "sun"),
@@ -228,18 +244,16 @@ MAPPING = {
 
 
 @query("modelling_table", f"""
-WITH {COMPONENTS}, e AS (SELECT time_bucket(INTERVAL '30 minutes', ts) + INTERVAL '24 hours' AS timestamp, ts AS pub, value AS w, value / 2 AS s FROM events),
+WITH {COMPONENTS}, e AS (SELECT time_bucket(INTERVAL '30 minutes', ts) + INTERVAL '48 hours' AS timestamp, ts AS pub, value AS w, value / 2 AS s FROM events),
 emb AS (SELECT * FROM e WHERE pub <= {day_start(day('timestamp'))} - INTERVAL '11 hours' QUALIFY row_number() OVER (PARTITION BY timestamp ORDER BY pub DESC) = 1),
 h AS (SELECT date_trunc('hour', ts) AS t, round(avg(value), 4) AS v FROM events GROUP BY 1),
 wx AS (SELECT c.timestamp, CASE WHEN b.t IS NULL OR b.t = a.t THEN a.v ELSE a.v + (b.v - a.v) * (epoch(c.timestamp) - epoch(a.t)) / (epoch(b.t) - epoch(a.t)) END AS temp
   FROM components c ASOF LEFT JOIN h a ON c.timestamp >= a.t ASOF LEFT JOIN h b ON c.timestamp <= b.t)
 SELECT c.timestamp, c.timestamp AS delivery_time_utc, c.inertia_gvas AS price_gbp_mwh, c.demand_mw, c.transmission_wind_mw, c.nuclear_mw, {day_start(day('c.timestamp'))} - INTERVAL '11 hours' AS issue_time_utc,
   emb.w AS embedded_wind_mw, emb.s AS embedded_solar_mw, c.inertia_gvas, round(temp, 10) AS temp, round(temp, 10) AS wind, round(temp, 10) AS sun, round(c.net_import_mw, 6) + 0.0 AS net_import_mw, 'core_without_battery' AS model_profile
-FROM components c LEFT JOIN emb USING (timestamp) LEFT JOIN wx USING (timestamp)""")
+FROM components c JOIN emb USING (timestamp) LEFT JOIN wx USING (timestamp)""")
 def modelling_table(t):
-    # Afternoon periods have no publication before the issue time in this stand-in, so the
-    # completeness guard is off and they keep null.
-    return out(dataset.modelling_table(source_tables(t), MAPPING, check=False), 10)
+    return out(dataset.modelling_table(source_tables(t), MAPPING), 10)
 
 
 @query("merged_archives", f"""
@@ -248,6 +262,13 @@ SELECT 'history-artifact-merge-v2' AS workflow_revision, CAST((epoch({day_start(
   CAST((epoch({day_start('z')}) - epoch({day_start('a')})) / 1800 AS BIGINT) - 48 AS training_half_hour_rows, CAST((epoch({day_start('z')}) - epoch({day_start('a')})) / 3600 AS BIGINT) AS expected_hour_rows,
   CAST({day('TIMESTAMP ' + chr(39) + MIDDLE + chr(39))} AS VARCHAR) AS excluded FROM span""")
 def merged_archives(t):
+    summary, _ = merged(t)
+    return out(summary.select("workflow_revision", "full_calendar_half_hour_rows", "training_half_hour_rows", "expected_hour_rows",
+                              F.array_join("excluded_settlement_dates_local", ",").alias("excluded")))
+
+
+def merged(t):
+    """Two archives of all sources, cut at the middle of the month: the summary and the folder of the merged tables."""
     grid = t.events.agg(clock.delivery_date(F.min("ts")).alias("a"), F.date_add(clock.delivery_date(F.max("ts")), 1).alias("z"))
     a, z = grid.first()
     spine = timeline.settlement_spine(timeline.dates_between(grid, "a", "z")).select("timestamp")
@@ -267,9 +288,41 @@ def merged_archives(t):
     windows = t.spark.createDataFrame(bounds, "archive string, s string, e string").select(
         "archive", F.to_date("s").alias("start_date"), F.to_date("e").alias("end_date"), F.lit(history.ARCHIVE_REVISION).alias("revision"),
         F.lit(0).alias("failed_steps"), F.lit(0).alias("audit_errors"))
-    summary = history.merge_archives(windows, tables, str(a), str(z), shared_path(t.spark, "merged"))
-    return out(summary.select("workflow_revision", "full_calendar_half_hour_rows", "training_half_hour_rows", "expected_hour_rows",
-                              F.array_join("excluded_settlement_dates_local", ",").alias("excluded")))
+    path = shared_path(t.spark, "merged")
+    return history.merge_archives(windows, tables, str(a), str(z), path), path
+
+
+@query("merged_sources", f"""
+WITH {GRID}, n AS (SELECT timestamp, coalesce(inertia_gvas, 0) AS inertia_gvas, coalesce(demand_mw, 0) AS demand_mw, coalesce(nuclear_mw, 0) AS nuclear_mw, coalesce(net_import_mw, 0) AS net_import_mw FROM train LEFT JOIN components USING (timestamp))
+{' UNION ALL '.join(f"SELECT '{n}' AS table_name, timestamp, round({c}, 6) + 0.0 AS value FROM n" for n, c in (('price', 'inertia_gvas'), ('demand', 'demand_mw'), ('fuel', 'nuclear_mw'), ('interconnectors', 'net_import_mw'), ('inertia', 'inertia_gvas')))}""")
+def merged_sources(t):
+    """Every row of the five half-hourly tables that a merge of two archives leaves."""
+    _, path = merged(t)
+    columns = (("price", "inertia_gvas"), ("demand", "demand_mw"), ("fuel", "nuclear_mw"), ("interconnectors", "net_import_mw"), ("inertia", "inertia_gvas"))
+    parts = [t.spark.read.parquet(f"{path}/{n}").select(F.lit(n).alias("table_name"), "timestamp", F.col(c).alias("value")) for n, c in columns]
+    return out(reduce(lambda x, y: x.unionByName(y), parts))
+
+
+@query("merged_revisions", f"""
+WITH {GRID} SELECT timestamp, coalesce(embedded_wind_mw, 0) AS embedded_wind_mw, coalesce(embedded_solar_mw, 0) AS embedded_solar_mw, {day_start(day('timestamp'))} - INTERVAL '12 hours' AS published_at_utc,
+  {day_start(day('timestamp'))} - INTERVAL '11 hours' AS selected_issue_time_utc FROM train LEFT JOIN components USING (timestamp)""")
+def merged_revisions(t):
+    """The revisions that were known at each period's issue time; the seam day, published too late, has none."""
+    _, path = merged(t)
+    return out(t.spark.read.parquet(f"{path}/embedded"))
+
+
+@query("merged_weather", f"""
+WITH {GRID}, h AS (SELECT date_trunc('hour', ts) AS timestamp, avg(value) AS temp FROM events GROUP BY 1),
+hours AS (SELECT unnest(generate_series({day_start('a')}, {day_start('z')} - INTERVAL '1 hour', INTERVAL '1 hour')) AS timestamp FROM span),
+w AS (SELECT timestamp, round(coalesce(temp, 0), 6) AS temp FROM hours LEFT JOIN h USING (timestamp)),
+e AS (SELECT * FROM w UNION ALL SELECT timestamp + INTERVAL '1 hour', temp FROM w WHERE timestamp = (SELECT max(timestamp) FROM w))
+SELECT g AS weather, timestamp, temp FROM e, (VALUES ('demand'), ('wind'), ('solar')) AS x(g)""")
+def merged_weather(t):
+    """Hourly weather of three groups on the exact clock, with the last hour carried to the end."""
+    _, path = merged(t)
+    parts = [t.spark.read.parquet(f"{path}/weather_{g}").select(F.lit(g).alias("weather"), "timestamp", F.col(f"weather_{g}_temp").alias("temp")) for g in ("demand", "wind", "solar")]
+    return out(reduce(lambda x, y: x.unionByName(y), parts))
 
 
 @query("half_hourly_report", f"""
@@ -295,17 +348,94 @@ WITH {COMPONENTS} SELECT {day('timestamp')} AS delivery_date, min(inertia_gvas)
   max((inertia_gvas < 60)::DOUBLE) AS maximum_negative_price_probability FROM components GROUP BY 1""", dates=["delivery_date"])
 def report_price_summary(t):
     system, price = report_inputs(t)
-    risks = system.select(clock.delivery_date("timestamp").alias("delivery_date")).distinct().withColumns({"scenario_var": F.lit(1.0), "expected_shortfall": F.lit(1.0)})
-    return out(day_ahead.daily_market_report(system, price, risks)["price_summary"])
+    return out(day_ahead.daily_market_report(system, price, scenario_risks(t))["price_summary"])
 
 
-# --- models: the twins state what holds of any fit ---------------------------------------
+ENERGY = (("demand_mw", "demand_mw"), ("total_wind_mw", "embedded_wind_mw + transmission_wind_mw"), ("embedded_solar_mw", "embedded_solar_mw"), ("nuclear_mw", "nuclear_mw"), ("net_import_mw", "net_import_mw"))
+LAYERS = f"""{COMPONENTS}, s AS (SELECT timestamp, {day('timestamp')} AS delivery_date, demand_mw, embedded_wind_mw + transmission_wind_mw AS total_wind_mw, embedded_solar_mw, nuclear_mw, net_import_mw, inertia_gvas,
+  demand_mw - (embedded_wind_mw + transmission_wind_mw + embedded_solar_mw) - nuclear_mw AS residual_after_nuclear_mw, demand_mw - (embedded_wind_mw + transmission_wind_mw + embedded_solar_mw) - nuclear_mw - net_import_mw AS net_system_short_mw FROM components)"""
+
 
-# Two boosting rounds of depth 3: the library's 60 of depth 5 take minutes for each of the 36
-# fits of a bundle. Folds, scenarios and holdout are as the library has them.
-QUICK = {"maxIter": 2, "maxDepth": 3, "seed": 42}
+def _extreme(name, column, worst="max"):
+    return f"round({worst}({column}), 6) + 0.0 AS {name}, arg_{worst}(timestamp, round({column}, 6) {'-' if worst == 'max' else '+'} epoch(timestamp) / 1e13) AS {name}_at"
+
+
+@query("report_energy_and_peaks", f"""
+WITH {LAYERS} SELECT delivery_date, {', '.join(f"round(sum(round({c}, 6)) * 0.5, 6) + 0.0 AS {c}_energy_mwh" for c, _ in ENERGY)},
+  {', '.join(_extreme(f'peak_{c}', c) for c in ('demand_mw', 'total_wind_mw', 'embedded_solar_mw'))}, {_extreme('minimum_nuclear_mw', 'nuclear_mw', 'min')} FROM s GROUP BY 1""", dates=["delivery_date"])
+def report_energy_and_peaks(t):
+    system, price = report_inputs(t)
+    rounded_system = system.withColumns({c: F.round(c, 6) for c in ("demand_mw", "total_wind_mw", "embedded_solar_mw", "nuclear_mw", "net_import_mw")})
+    found = day_ahead.daily_market_report(rounded_system, price, scenario_risks(t))["energy_and_peaks"]
+    return out(found.select("delivery_date", *[f"{c}_energy_mwh" for c, _ in ENERGY],
+                            *[f"{n}{e}" for n in ("peak_demand_mw", "peak_total_wind_mw", "peak_embedded_solar_mw", "minimum_nuclear_mw") for e in ("", "_at")]))
 
 
+@query("report_price_extremes", f"""
+WITH {COMPONENTS} SELECT {day('timestamp')} AS delivery_date, {_extreme('peak_p50', 'inertia_gvas')}, {_extreme('minimum_p50', 'inertia_gvas', 'min')} FROM components GROUP BY 1""", dates=["delivery_date"])
+def report_price_extremes(t):
+    system, price = report_inputs(t)
+    return out(day_ahead.daily_market_report(system, price.withColumn("p50", F.round("p50", 6)), scenario_risks(t))["price_extremes"])
+
+
+@query("report_position_limits", f"""
+WITH {RISK} SELECT delivery_date, {rounded(['scenario_var', 'expected_shortfall', 'worst_loss', 'best_profit'])}, 10000.0 AS daily_risk_budget_gbp, round(least(1000000 / scenario_var, 1000000 / expected_shortfall), 6) AS maximum_volume_binding_mwh
+FROM risk WHERE scenario_var > 0 AND expected_shortfall > 0""", dates=["delivery_date"])
+def report_position_limits(t):
+    system, price = report_inputs(t)
+    losing = scenario_risks(t).where("scenario_var > 0 and expected_shortfall > 0")
+    return out(day_ahead.daily_market_report(system, price, losing)["position_limits"].select(
+        "delivery_date", "scenario_var", "expected_shortfall", "worst_loss", "best_profit", "daily_risk_budget_gbp", "maximum_volume_binding_mwh"))
+
+
+@query("report_component_sources", f"""
+WITH {COMPONENTS}, d AS (SELECT {day('timestamp')} AS delivery_date, 'model' AS demand_mw, CASE WHEN {period('timestamp')} > 24 THEN 'fallback_d7' ELSE 'model' END AS nuclear_mw FROM components)
+SELECT delivery_date, component, CASE WHEN min(source) = max(source) THEN min(source) ELSE 'mixed' END AS source FROM (SELECT delivery_date, 'demand_mw' AS component, demand_mw AS source FROM d UNION ALL SELECT delivery_date, 'nuclear_mw', nuclear_mw FROM d) GROUP BY 1, 2""", dates=["delivery_date"])
+def report_component_sources(t):
+    system, price = report_inputs(t)
+    late = clock.settlement_period("timestamp") > 24
+    marked = system.withColumns({"component_source_demand_mw": F.lit("model"), "component_source_nuclear_mw": F.when(late, "fallback_d7").otherwise("model")})
+    return out(day_ahead.daily_market_report(marked, price, scenario_risks(t))["component_sources"])
+
+
+# --- features of delivery days ------------------------------------------------------------
+
+@query("features_of_days", f"""
+WITH {GRID}, h AS (SELECT date_trunc('hour', ts) AS t, avg(value) AS v FROM events GROUP BY 1),
+hours AS (SELECT unnest(generate_series({day_start('a')}, {day_start('z')}, INTERVAL '1 hour')) AS t FROM span),
+w AS (SELECT hours.t, round(coalesce(v, 0), 4) AS v FROM hours LEFT JOIN h USING (t)),
+n AS (SELECT timestamp, coalesce(demand_mw, 0) AS demand_mw FROM grid LEFT JOIN components USING (timestamp)),
+d AS (SELECT g.timestamp, {day('g.timestamp')} AS delivery_date, {day_start(day('g.timestamp'))} - INTERVAL '11 hours' AS issue_time_utc, p.demand_mw AS fallback_d7_demand_mw FROM grid g JOIN n p ON p.timestamp = g.timestamp - INTERVAL '168 hours')
+SELECT d.timestamp, delivery_date, issue_time_utc, round(fallback_d7_demand_mw, 6) AS fallback_d7_demand_mw, round(a.v + (b.v - a.v) * (epoch(d.timestamp) - epoch(a.t)) / 3600, 6) AS weather_demand_temp,
+  round(2 * (a.v + (b.v - a.v) * (epoch(d.timestamp) - epoch(a.t)) / 3600), 6) AS weather_wind_temp, (isodow(timezone('Europe/London', timezone('UTC', d.timestamp))) > 5)::BIGINT AS is_weekend, 'core_without_battery' AS model_profile
+FROM d JOIN w a ON a.t = date_trunc('hour', d.timestamp) JOIN w b ON b.t = date_trunc('hour', d.timestamp) + INTERVAL '1 hour'""", dates=["delivery_date"])
+def features_of_days(t):
+    """Features of every delivery day that has a week of history before it."""
+    grid = t.events.agg(clock.delivery_date(F.min("ts")).alias("a"), F.date_add(clock.delivery_date(F.max("ts")), 1).alias("z"))
+    days = timeline.dates_between(grid, "a", "z")
+    history = timeline.settlement_spine(days).select("timestamp").join(t.components.select("timestamp", "demand_mw"), "timestamp", "left").fillna(0.0)
+    hours = timeline.settlement_spine(timeline.dates_between(grid.withColumn("z", F.date_add("z", 1)), "a", "z"), step_s=3600).select("timestamp")
+    measured = t.events.groupBy(clock.floor_to("ts", 3600).alias("timestamp")).agg(F.round(F.avg("value"), 4).alias("temp"))
+    weather = hours.join(measured, "timestamp", "left").fillna(0.0)
+    wanted = timeline.dates_between(grid.withColumn("a", F.date_add("a", 7)), "a", "z").select("delivery_date", clock.issue_instant(clock.day_start("delivery_date")).alias("issue_time_utc"))
+    found = day_ahead.features_of_days(wanted, {"demand": weather, "wind": weather.withColumn("temp", F.col("temp") * 2)}, K.PROFILE_CORE,
+                                       ["hh_sin", "weather_demand_temp", "weather_wind_temp", "fallback_d7_demand_mw"], history, ["demand_mw"])
+    return out(found.select("timestamp", "delivery_date", "issue_time_utc", "fallback_d7_demand_mw", "weather_demand_temp", "weather_wind_temp", "is_weekend", "model_profile"))
+
+
+@query("prepared_features", f"""
+WITH {COMPONENTS} SELECT timestamp, round(greatest(15.5 - demand_mw / 100, 0), 6) AS hdd, round(greatest(demand_mw / 100 - 22, 0), 6) AS cdd, round(pow(inertia_gvas / 50, 3), 6) AS wind_speed_cubed,
+  CAST(month(timezone('Europe/London', timezone('UTC', timestamp))) AS BIGINT) AS month, round(sin(2 * pi() * ({period('timestamp')} - 1) / 48), 6) + 0.0 AS hh_sin,
+  round(embedded_wind_mw + transmission_wind_mw, 6) AS total_wind_mw, round(demand_mw - (embedded_wind_mw + transmission_wind_mw + embedded_solar_mw) - nuclear_mw - net_import_mw - 1, 6) + 0.0 AS net_system_short_mw,
+  round(greatest(50 - nuclear_mw, 0), 6) AS nuclear_modulation_mw FROM components""")
+def prepared_features(t):
+    from settlespark.functions.features import prepare_features
+    c = t.components.withColumns({"temperature_c": F.col("demand_mw") / 100, "wind_speed_ms": F.col("inertia_gvas") / 50, "battery_net_mw": F.lit(1.0), "nuclear_available_mw": F.lit(50.0)})
+    return out(prepare_features(c).select("timestamp", "hdd", "cdd", "wind_speed_cubed", "month", "hh_sin", "total_wind_mw", "net_system_short_mw", "nuclear_modulation_mw"))
+
+
+# --- models: the twins state what holds of any fit ---------------------------------------
+
 def training_rows(t):
     from settlespark.functions.features import calendar_features, weather_features
     c = t.components.withColumn("price_gbp_mwh", F.col("inertia_gvas") - 40).withColumn("temperature_c", F.col("demand_mw") / 100)
@@ -318,7 +448,7 @@ def fitted_price_model(t):
     """Predictions lie within the range of the target, and a saved model predicts the same."""
     df = durable(training_rows(t))
     features = ["hh_sin", "hh_cos", "temperature_c", "demand_mw"]
-    model = models.fit_regressor(df, features, "price_gbp_mwh", "arcsinh", params=QUICK)
+    model = models.fit_regressor(df, features, "price_gbp_mwh", "arcsinh")
     path = shared_path(t.spark, "price")
     model.save(path)
     both = models.Regressor.load(path).predict(model.predict(df, "prediction"), "again")
@@ -333,7 +463,7 @@ def out_of_fold_predictions(t):
     """Five folds: the last five of six equal blocks have a prediction, the first has none."""
     df = training_rows(t)
     low, high = df.agg(F.min("demand_mw"), F.max("demand_mw")).first()
-    folds = models.out_of_fold(df, ["hh_sin", "hh_cos", "temperature_c"], "demand_mw", params=QUICK)
+    folds = models.out_of_fold(df, ["hh_sin", "hh_cos", "temperature_c"], "demand_mw")
     return out(folds.select("timestamp", F.col("oof_demand_mw").between(low - 1e-6, high + 1e-6).alias("in_range")))
 
 
@@ -341,7 +471,7 @@ def out_of_fold_predictions(t):
 WITH {COMPONENTS} SELECT timestamp, true AS probability_in_range, true AS volume_not_negative, true AS expected_is_product FROM components""")
 def curtailment_forecast(t):
     df = training_rows(t).withColumn("curtailed", F.greatest(F.col("embedded_wind_mw") - 20, F.lit(0.0)))
-    fitted = models.fit_curtailment(df, ["hh_sin", "temperature_c", "embedded_wind_mw"], "curtailed", QUICK)
+    fitted = models.fit_curtailment(df, ["hh_sin", "temperature_c", "embedded_wind_mw"], "curtailed")
     p, v, e = (F.col(c) for c in ("curtailment_probability", "conditional_curtailed_mw", "expected_curtailed_mw"))
     return out(models.predict_curtailment(fitted, df).select("timestamp", p.between(0, 1).alias("probability_in_range"), (v >= 0).alias("volume_not_negative"), (F.abs(e - p * v) < 1e-9).alias("expected_is_product")))
 
@@ -350,7 +480,7 @@ def curtailment_forecast(t):
 WITH {COMPONENTS} SELECT timestamp, true AS in_range, 1.0 AS total FROM components""")
 def marginal_technology(t):
     df = training_rows(t).withColumn("label", F.when(F.col("nuclear_mw") > 30, "nuclear").when(F.col("embedded_wind_mw") > 20, "wind").otherwise("gas"))
-    model = models.fit_classes(df, ["nuclear_mw", "embedded_wind_mw", "hh_sin"], "label", trees=5)
+    model = models.fit_classes(df, ["nuclear_mw", "embedded_wind_mw", "hh_sin"], "label")
     names = [F.col(f"probability_{c}") for c in ("gas", "nuclear", "wind")]
     ok = names[0].between(0, 1) & names[1].between(0, 1) & names[2].between(0, 1)
     return out(models.class_probabilities(model, df).select("timestamp", ok.alias("in_range"), F.round(names[0] + names[1] + names[2], 9).alias("total")))
@@ -367,8 +497,8 @@ def platform_forecast(t):
     from settlespark.operators.point_in_time import timestamp_lags
     df, path = durable(training_rows(t)), shared_path(t.spark, "models")
     rows = df.count()
-    models.train(df, path, holdout_rows=max(2, rows // 5), params=QUICK)
-    models.prepare_bundle(df, path, holdout_rows=max(2, rows // 5), min_rows=K.MIN_OPERATIONAL_ERROR_ROWS if rows > 1000 else 50)
+    models.train(df, path, holdout_rows=max(2, rows // 5))
+    models.prepare_bundle(df, path, holdout_rows=max(2, rows // 5))
     live = df.withColumn("_k", F.lit(0))
     for c in ("demand_mw", "nuclear_mw"):
         live = timestamp_lags(live, ["_k"], "timestamp", c, {f"fallback_d7_{c}": K.FALLBACK_LAG_S})
@@ -402,14 +532,54 @@ def hashed_scenarios(t):
     return out(one.join(other, "timestamp").select("timestamp", "scenarios", "found_in_the_pool", (F.col("h") == F.col("h2")).alias("same_when_dealt_anew")))
 
 
+@query("daily_block_scenarios", f"""
+WITH {COMPONENTS} SELECT {day('timestamp')} AS delivery_date, count(*) * 1000 AS paths_rows, CAST(1000 AS BIGINT) AS scenarios, true AS one_error_day_a_path, true AS errors_of_that_day, true AS same_when_dealt_anew
+FROM components GROUP BY 1""", dates=["delivery_date"])
+def daily_block_scenarios(t):
+    """Every path of a day takes its errors from one observed day, the same however the points are partitioned."""
+    from settlespark.workload.score_queries import error_rows
+    points, errors, targets = error_rows(t)
+    points, errors = durable(points), durable(errors)
+    base = points.select("timestamp", F.col("net_import_mw").alias("base"))
+    pool = errors.dropna(subset=targets).select(clock.delivery_date("timestamp").alias("error_date"), F.round("net_import_mw", 6).alias("e")).distinct()
+
+    def digests(rows):
+        paths = risk.daily_error_scenarios(rows, errors, targets).withColumn("delivery_date", clock.delivery_date("timestamp"))
+        moved = paths.join(base, "timestamp").withColumn("e", F.round(F.round(F.col("net_import_mw") - F.col("base"), 9), 6))
+        met = moved.join(pool.withColumn("hit", F.lit(1)), ["error_date", "e"], "left")
+        per_path = met.groupBy("delivery_date", "scenario").agg(
+            F.count(F.lit(1)).alias("n"), F.count_distinct("error_date").alias("days"), F.count("hit").alias("hits"),
+            F.sum(F.xxhash64("timestamp", "scenario", *targets).cast("decimal(38,0)")).alias("h"))
+        return per_path.groupBy("delivery_date").agg(
+            F.sum("n").alias("paths_rows"), F.count(F.lit(1)).alias("scenarios"), (F.max("days") == 1).alias("one_error_day_a_path"),
+            (F.sum("hits") == F.sum("n")).alias("errors_of_that_day"), F.sum("h").alias("h"))
+
+    one, other = digests(points.repartition(2)), digests(points.repartition(7)).select("delivery_date", F.col("h").alias("h2"))
+    return out(one.join(other, "delivery_date").withColumn("same_when_dealt_anew", F.col("h") == F.col("h2")).drop("h", "h2"))
+
+
 @query("gate_evidence", f"""
-WITH {SCORES}, m AS (SELECT model_version, count(DISTINCT {day('delivery_time_utc')}) AS days, count(DISTINCT {day('delivery_time_utc')}) >= 30 AS enough,
-  date_diff('day', min({day('delivery_time_utc')}), max({day('delivery_time_utc')})) + 1 - count(DISTINCT {day('delivery_time_utc')}) AS gaps FROM scores GROUP BY 1)
+WITH {SCORES}, d AS (SELECT model_version, {day('delivery_time_utc')} AS d, count(DISTINCT delivery_time_utc) AS n FROM scores GROUP BY 1, 2),
+c AS (SELECT model_version, count(*) AS days, date_diff('day', min(d), max(d)) + 1 - count(*) AS gaps, count(*) FILTER ({day_length('d')} <> n) AS odd, CAST(sum({day_length('d')} - n) AS BIGINT) AS lost FROM d GROUP BY 1),
+e AS (SELECT model_version, avg(absolute_error) FILTER (persistence_absolute_error IS NOT NULL) AS mm, avg(persistence_absolute_error) AS pm, avg(p10_p90_covered::INT) AS cov,
+  min(epoch(delivery_time_utc) - epoch(issue_time_utc)) / 3600 AS lead FROM scores GROUP BY 1),
+m AS (SELECT *, days >= 30 AS enough, 100 * (pm - mm) / nullif(pm, 0) AS gain FROM c JOIN e USING (model_version))
 SELECT model_version, 'minimum_shadow_days' AS rule, 'at least 30 days' AS required, CAST(days AS VARCHAR) AS observed, enough AS passed FROM m
-UNION ALL SELECT model_version, 'consecutive_delivery_days', 'no missing date', gaps || ' missing dates', enough AND gaps = 0 FROM m""")
+UNION ALL SELECT model_version, 'consecutive_delivery_days', 'no missing date', gaps || ' missing dates', enough AND gaps = 0 FROM m
+UNION ALL SELECT model_version, 'complete_periods', 'no incomplete day', odd || ' incomplete days, ' || lost || ' missing periods', enough AND odd = 0 FROM m
+UNION ALL SELECT model_version, 'pre_delivery_issue_time', 'at least 8 h', CAST(round(lead, 4) AS VARCHAR), lead >= 8 FROM m
+UNION ALL SELECT model_version, 'beats_persistence', 'at least 5 %', coalesce(CAST(round(gain, 4) AS VARCHAR), 'none'), coalesce(gain >= 5, false) FROM m
+UNION ALL SELECT model_version, 'interval_coverage', '0.7 to 0.9', CAST(round(cov, 4) AS VARCHAR), cov BETWEEN 0.7 AND 0.9 FROM m""")
 def gate_evidence(t):
-    rows = scoring.gate_evidence(scoring.deployment_gate(scores(t)))
-    return out(rows.where("rule IN ('minimum_shadow_days', 'consecutive_delivery_days')"))
+    return out(scoring.gate_evidence(scoring.deployment_gate(scores(t))))
+
+
+@query("gate_latest_revision", f"""
+WITH {SCORES}, l AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY model_version, issue_time_utc, delivery_time_utc ORDER BY (actual_revision = 'final')::INT DESC) = 1)
+SELECT model_version, count(*) AS graded_periods, round(avg(absolute_error) FILTER (persistence_absolute_error IS NOT NULL), 6) AS model_mae_gbp_mwh, round(avg(persistence_absolute_error), 6) AS persistence_mae_gbp_mwh FROM l GROUP BY 1""")
+def gate_latest_revision(t):
+    gate = scoring.deployment_gate(scores(t), latest=["initial", "final"])
+    return out(gate.select("model_version", "graded_periods", "model_mae_gbp_mwh", "persistence_mae_gbp_mwh"))
 
 
 # --- tables of other kinds -----------------------------------------------------------------
@@ -446,10 +616,10 @@ def seven_day_profile(t):
 
 
 @query("refusals", """
-SELECT guard, true AS refused, n AS row_count FROM (SELECT count(*) AS n FROM events), (SELECT unnest(['empty_table', 'far_rows', 'gaps', 'repeated_key', 'unlisted_category', 'repeated_time']) AS guard)""")
+SELECT guard, true AS refused, n AS row_count FROM (SELECT count(*) AS n FROM events), (SELECT unnest(['empty_table', 'far_rows', 'gaps', 'repeated_key', 'unlisted_category', 'repeated_time', 'unknown_component', 'unmapped_column', 'absent_column', 'late_issue', 'unbalanced_profile']) AS guard)""")
 def refusals(t):
     """Guards over the whole events table, each given something to refuse."""
-    from settlespark.errors import GuardError
+    from settlespark.errors import GuardError, MissingColumns, need_columns
     from settlespark.operators import point_in_time, quality, relations
     from settlespark.sources import tables
     events, n = t.events, t.events.count()
@@ -459,6 +629,11 @@ def refusals(t):
         "gaps": lambda: quality.require_no_nulls(events.withColumn("value", F.nullif("value", F.lit(0.0))).withColumn("gap", F.when(F.col("event_type") != "error", 1)), ["value", "gap"]),
         "repeated_key": lambda: relations.require_unique(events, ["event_type"]),
         "unlisted_category": lambda: relations.sum_by_category(events, ["user_id"], "event_type", "value", ["click"]).write.format("noop").mode("overwrite").save(),
+        "unknown_component": lambda: quality.require_components([*K.CORE_COMPONENTS, *sorted({r.event_type for r in events.select("event_type").distinct().collect()})]),
+        "unmapped_column": lambda: quality.mapped({c: "REQUIRED_" + c for c in events.columns}, "value"),
+        "absent_column": lambda: need_columns(events, ["event_id", "price_gbp_mwh"], "events"),
+        "late_issue": lambda: quality.require_after_issue(events, F.col("ts"), "ts"),
+        "unbalanced_profile": lambda: quality.component_profile(events.withColumn("model_profile", F.when(F.col("event_type") == "error", K.PROFILE_FULL).otherwise(K.PROFILE_CORE))),
         "repeated_time": lambda: point_in_time.timestamp_lags(events.withColumn("ts", F.date_trunc("day", "ts")), ["event_type"], "ts", "value", {"x": 60}).write.format("noop").mode("overwrite").save(),
     }
     rows = []
@@ -467,7 +642,7 @@ def refusals(t):
             case()
             rows.append((name, False, n))
         except (GuardError, Exception) as error:
-            known = isinstance(error, GuardError) or "not among the listed" in str(error) or "repeated ts" in str(error)
+            known = isinstance(error, (GuardError, MissingColumns)) or "not among the listed" in str(error) or "repeated ts" in str(error)
             rows.append((name, known, n))
     return t.spark.createDataFrame(rows, "guard string, refused boolean, row_count long")
 
@@ -538,3 +713,19 @@ def stream_grading(t):
     arriving = jobs.file_stream(t.spark, f"{path}/in", t.spark.read.parquet(f"{path}/in").schema, files_per_trigger=1)
     finished(jobs.grade_on_arrival(arriving, f, a, s, f"{path}/state"))
     return out(s.read().select("forecast_id", "actual_revision", "error", "persistence_price"))
+
+
+@query("stream_state_grading", f"""
+WITH {SCORES} SELECT forecast_id, actual_revision, {rounded(['error', 'persistence_price', 'persistence_absolute_error'])}, p10_p90_covered FROM scores""")
+def stream_state_grading(t):
+    """Forecasts and prices arrive in any order, and half of the prices twice; the score log ends as batch grading has it."""
+    from settlespark.streaming import grading
+    path = shared_path(t.spark, "stream")
+    early = F.pmod(F.xxhash64("delivery_time_utc"), F.lit(2)) == 0
+    forecasts(t).repartition(2, F.xxhash64("forecast_id")).write.parquet(f"{path}/f")
+    for part in (actuals(t).where(early), actuals(t), actuals(t).where(early)):
+        part.coalesce(1).write.mode("append").parquet(f"{path}/a")
+    f, a = (jobs.file_stream(t.spark, f"{path}/{n}", t.spark.read.parquet(f"{path}/{n}").schema, files_per_trigger=1) for n in ("f", "a"))
+    log = logs.score_log(t.spark, f"{path}/scores")
+    finished(grading.grade_statefully(f, a, log, f"{path}/state", horizon_s=60 * 86400))
+    return out(log.read().select("forecast_id", "actual_revision", "error", "persistence_price", "persistence_absolute_error", "p10_p90_covered"))

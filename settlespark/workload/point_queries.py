@@ -212,11 +212,45 @@ UNION ALL SELECT 'orders', count(*), 6, CAST(sum((o_orderkey IS NULL)::INT + (o_
 def table_profile(t):
     tables = {"customer": t.customer, "documents": t.documents, "events": t.events.withColumnRenamed("ts", "timestamp"),
               "orders": t.orders.withColumnRenamed("o_orderdate", "settlement_date")}
-    audit = quality.audit_tables(tables).drop("error")
+    audit = quality.audit_tables(t.spark, tables).drop("error", "null_counts", "data_types", "sample")
     # Counts that may be absent are doubles in both engines.
     return out(audit.withColumns({c: F.col(c).cast("double") for c in ("invalid_timestamps", "duplicate_timestamps")}))
 
 
+@query("sampled_rows", """
+SELECT '{"region":"' || r_name || '"}' AS sample FROM region WHERE r_regionkey < 2""")
+def sampled_rows(t):
+    """The first two rows of a table in file order."""
+    return out(quality.sample_rows(t.region.select(F.col("r_name").alias("region"))))
+
+
+@query("full_profile", """
+SELECT 'customer' AS table_name, 'c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string' AS types, n AS null_counts, s AS sample FROM
+  (SELECT string_agg(k || '=' || v, ',' ORDER BY k) AS n FROM (SELECT unnest(['c_acctbal', 'c_mktsegment']) AS k, unnest([count(*) FILTER (c_acctbal < 0), count(*) FILTER (c_mktsegment = 'BUILDING')]) AS v FROM customer) WHERE v > 0),
+  (SELECT string_agg('{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","c_nationkey":' || c_nationkey || ',"c_acctbal":' || CASE WHEN c_acctbal < 0 THEN 'null' ELSE c_acctbal END
+    || ',"c_mktsegment":' || CASE WHEN c_mktsegment = 'BUILDING' THEN 'null' ELSE '"' || c_mktsegment || '"' END || '}', ';' ORDER BY c_custkey) AS s FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 2))""")
+def full_profile(t):
+    """Types, null counts and first rows of customers, with debts and one segment blanked."""
+    rows = t.customer.withColumns({"c_acctbal": F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")), "c_mktsegment": F.nullif("c_mktsegment", F.lit("BUILDING"))})
+    p = quality.table_profile(rows, "customer")
+    listed = F.transform(F.array_sort(F.map_entries("null_counts")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
+    types = F.transform(F.array(*[F.lit(c) for c in rows.columns]), lambda c: F.concat_ws(" ", c, F.col("data_types")[c]))
+    return out(p.select("table_name", F.array_join(types, ", ").alias("types"), F.array_join(listed, ",").alias("null_counts"), F.array_join("sample", ";").alias("sample")))
+
+
+@query("audited_with_a_bad_table", """
+SELECT 'customer' AS table_name, count(*)::DOUBLE AS row_count, false AS failed FROM customer UNION ALL SELECT 'nothing', NULL, true
+UNION ALL SELECT 'orders', count(*), false FROM orders UNION ALL SELECT 'supplier', count(*), false FROM supplier UNION ALL SELECT 'truncated', NULL, true""")
+def audited_with_a_bad_table(t):
+    """Good tables, one whose files turn out to be no Parquet while they are read, and one that is not there."""
+    from settlespark.session import shared_path
+    broken = shared_path(t.spark, "truncated")
+    t.orders.select(F.to_json(F.struct("*"))).write.text(broken)
+    tables = {"customer": t.customer, "orders": t.orders, "supplier": t.supplier, "truncated": t.spark.read.schema(t.orders.schema).parquet(broken),
+              "nothing": lambda: t.spark.read.parquet(f"{broken}/nothing")}
+    return out(quality.audit_tables(t.spark, tables).select("table_name", F.col("row_count").cast("double").alias("row_count"), F.col("error").isNotNull().alias("failed")))
+
+
 @query("column_profile", """
 SELECT 'lineitem' AS table_name, column_name, null_rows, data_type FROM (
   SELECT unnest(['l_orderkey', 'l_partkey', 'l_suppkey', 'l_linenumber', 'l_quantity', 'l_extendedprice', 'l_discount', 'l_tax', 'l_returnflag', 'l_linestatus', 'l_shipdate']) AS column_name,

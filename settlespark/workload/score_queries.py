@@ -103,12 +103,20 @@ def gate_missing_dates(t):
 
 
 @query("gate_reports", f"""
-WITH {SCORES} SELECT model_version, 'deployment-gate-v1' AS revision, count(*) AS graded_periods, 'shadow_only' AS mode FROM scores GROUP BY 1""")
+WITH {SCORES}, s AS (SELECT * FROM scores WHERE {day('delivery_time_utc')} <> DATE '2024-01-10' AND delivery_time_utc <> TIMESTAMP '2024-01-20 12:00:00'),
+d AS (SELECT model_version, {day('delivery_time_utc')} AS d, count(DISTINCT delivery_time_utc) AS n FROM s GROUP BY 1, 2),
+e AS (SELECT model_version, CAST(unnest(generate_series(min(d), max(d), INTERVAL '1 day')) AS DATE) AS d FROM d GROUP BY 1),
+g AS (SELECT model_version, string_agg('"' || CAST(d AS VARCHAR) || '"', ',' ORDER BY d) AS dates FROM e ANTI JOIN d USING (model_version, d) GROUP BY 1),
+p AS (SELECT model_version, string_agg('"' || CAST(d AS VARCHAR) || '":' || ({day_length('d')} - n), ',' ORDER BY d) AS short FROM d WHERE {day_length('d')} <> n GROUP BY 1)
+SELECT model_version, 'deployment-gate-v1' AS revision, count(*) AS graded_periods, 'shadow_only' AS mode, '[' || coalesce(any_value(dates), '') || ']' AS missing_dates, '{{' || coalesce(any_value(short), '') || '}}' AS missing_periods
+FROM s LEFT JOIN g USING (model_version) LEFT JOIN p USING (model_version) GROUP BY 1""")
 def gate_reports(t):
-    r = scoring.gate_report(scoring.deployment_gate(scores(t), min_improvement=1000.0))
-    return out(r.select("model_version", F.get_json_object("report", "$.workflow_revision").alias("revision"),
-                        F.get_json_object("report", "$.metrics.graded_periods").cast("long").alias("graded_periods"),
-                        F.get_json_object("report", "$.mode").alias("mode")))
+    """Reports on scores that lack a day and a period."""
+    s = scores(t).where((clock.delivery_date("delivery_time_utc") != F.lit("2024-01-10").cast("date")) & (F.col("delivery_time_utc") != F.lit("2024-01-20 12:00:00").cast("timestamp")))
+    r = scoring.gate_report(scoring.deployment_gate(s, min_improvement=1000.0), scoring.gate_missing_dates(s), scoring.gate_missing_periods(s))
+    found = {n: F.get_json_object("report", f"$.{p}") for n, p in (("revision", "workflow_revision"), ("graded_periods", "metrics.graded_periods"), ("mode", "mode"),
+                                                                  ("missing_dates", "missing_dates"), ("missing_periods", "missing_periods"))}
+    return out(r.select("model_version", *[(c.cast("long") if n == "graded_periods" else c).alias(n) for n, c in found.items()]))
 
 
 @query("holdout_score", f"""
@@ -162,9 +170,9 @@ def historical_var(t):
     return out(risk.historical_var(t.hh, ["series"], "ts", "price", 100.0))
 
 
-# Scenarios: every half-hour gets 40 joint draws from the hourly error rows. The draw is a
+# Scenarios: every half-hour gets 1,000 joint draws, the default, from the error rows. The draw is a
 # plain remainder here because the hash used by default has no SQL twin.
-N_DRAWS = 40
+N_DRAWS = 1000
 ERRORS = f"""{COMPONENTS}, e0 AS (SELECT a.timestamp, a.demand_mw - b.demand_mw AS demand_mw, a.net_import_mw - b.net_import_mw AS net_import_mw, a.nuclear_mw - b.nuclear_mw AS nuclear_mw
     FROM components a LEFT JOIN components b ON b.timestamp = a.timestamp - INTERVAL '24 hours'),
   errors AS (SELECT *, row_number() OVER (ORDER BY timestamp) - 1 AS idx FROM e0 WHERE demand_mw IS NOT NULL),
@@ -197,7 +205,7 @@ def priced_paths(t):
 
 
 @query("error_scenarios", f"""
-WITH {ERRORS} SELECT timestamp, scenario, {rounded(['demand_mw', 'net_import_mw', 'nuclear_mw'])} FROM paths""")
+WITH {ERRORS} SELECT timestamp, scenario, round(demand_mw, 6) + 0.0 AS demand_mw, round(net_import_mw, 6) + 0.0 AS net_import_mw, round(nuclear_mw, 6) + 0.0 AS nuclear_mw FROM paths""")
 def error_scenarios(t):
     return out(priced_paths(t).select("timestamp", "scenario", "demand_mw", "net_import_mw", "nuclear_mw"))
 

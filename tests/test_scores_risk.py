@@ -47,6 +47,27 @@ def test_gate_without_scores_and_with_revisions(spark):
     assert '"deployment_ready":true' in scoring.gate_report(scoring.deployment_gate(scores)).first().report
 
 
+def test_gate_report_lists_missing_dates_and_periods(spark):
+    import json
+    scores = gate_scores(spark, days=31).where("date(delivery_time_utc) <> '2026-01-10' and delivery_time_utc not in ('2026-01-12 05:00:00', '2026-01-12 05:30:00')")
+    scores = scores.unionByName(gate_scores(spark).withColumn("model_version", F.lit("whole")))
+    report = scoring.gate_report(scoring.deployment_gate(scores), scoring.gate_missing_dates(scores), scoring.gate_missing_periods(scores))
+    found = {r.model_version: json.loads(r.report) for r in report.collect()}
+    assert found["m"]["missing_dates"] == ["2026-01-10"] and found["m"]["missing_periods"] == {"2026-01-12": 2}
+    assert found["whole"]["missing_dates"] == [] and found["whole"]["missing_periods"] == {} and found["whole"]["deployment_ready"]
+    assert {g["rule"]: g["passed"] for g in found["m"]["gates"]}["complete_periods"] is False and len(found["m"]["gates"]) == 6
+
+
+def test_gate_of_the_last_revision(spark):
+    scores = gate_scores(spark)
+    later = scores.where("delivery_time_utc < '2026-01-02'").withColumns({"actual_revision": F.lit("final"), "absolute_error": F.lit(0.0)})
+    both = scores.unionByName(later)
+    row = scoring.deployment_gate(both, latest=["initial", "final"]).first()
+    assert row.graded_periods == 1440 and row.model_mae_gbp_mwh == pytest.approx(8.0 * 29 / 30)
+    with pytest.raises(Exception, match="not among the listed"):
+        scoring.deployment_gate(both, latest=["initial"]).collect()
+
+
 def test_grading_one_row(frame):
     f = frame([("m", "2026-07-31 12:00:00", "2026-08-01 00:00:00", 20.0, 30.0, 40.0, 0.1, "id")],
               "model_version string, issue_time_utc string, delivery_time_utc string, p10 double, p50 double, p90 double, negative_probability double, forecast_id string",

@@ -222,15 +222,43 @@ def test_bounds_profiles_and_guards(frame):
         quality.mapped({"a": "REQUIRED_X"}, "a")
 
 
-def test_audit_isolates_a_broken_table(frame):
+def test_audit_isolates_tables_that_fail_when_opened_or_read(spark, frame, tmp_path):
     df = frame([("2026-01-01", 1.0), ("2026-01-01", 1.0), (None, None)], "timestamp string, v double")
-    rows = {r.table_name: r for r in quality.audit_tables({"good": df, "bad": ValueError("token=secret  broken")}).collect()}
-    g = rows["good"]
-    assert (g.row_count, g.duplicate_rows, g.null_cells, g.invalid_timestamps, g.duplicate_timestamps) == (3, 1, 2, 1, 1)
-    assert "secret" not in rows["bad"].error and rows["bad"].row_count is None
+    for name in ("whole", "cut"):
+        df.coalesce(1).write.parquet(str(tmp_path / name))
+    part = next((tmp_path / "cut").glob("part-*.parquet"))
+    part.write_bytes(part.read_bytes()[:-40])
+    for crc in (tmp_path / "cut").glob(".part-*.crc"):
+        crc.write_bytes(b"")  # the checksum file is not what must catch it
+    tables_of = {"good": df, "whole": lambda: spark.read.parquet(str(tmp_path / "whole")), "cut": spark.read.schema(df.schema).parquet(str(tmp_path / "cut")),
+                 "absent": lambda: spark.read.parquet(str(tmp_path / "absent")), "bad": ValueError("token=secret  broken")}
+    rows = {r.table_name: r for r in quality.audit_tables(spark, tables_of).collect()}
+    for name in ("good", "whole"):
+        g = rows[name]
+        assert (g.row_count, g.duplicate_rows, g.null_cells, g.invalid_timestamps, g.duplicate_timestamps) == (3, 1, 2, 1, 1) and g.error is None
+    assert g.null_counts == {"timestamp": 1, "v": 1} and g.data_types == {"timestamp": "string", "v": "double"} and len(g.sample) == 2
+    assert rows["good"].sample[0] == '{"timestamp":"2026-01-01","v":1.0}'
+    assert "secret" not in rows["bad"].error and all(rows[n].row_count is None and rows[n].error for n in ("bad", "cut", "absent"))
     assert quality.sample_rows(df).first().sample == '{"timestamp":"2026-01-01","v":1.0}'
 
 
+def test_audit_cancels_what_takes_too_long(spark):
+    import time
+    slow = spark.range(8, numPartitions=8).mapInPandas(lambda it: (time.sleep(8) or x for x in it), "id long")
+    rows = {r.table_name: r for r in quality.audit_tables(spark, {"slow": slow, "quick": spark.range(5)}, seconds=4.0).collect()}
+    assert rows["quick"].row_count == 5 and "cancelled" in rows["slow"].error
+
+
+def test_profile_is_one_scan_and_tells_rows_apart(frame):
+    df = frame([(None, 1, "x"), (1, None, "x"), (1, None, "x")], "a int, b int, c string")
+    p = quality.table_profile(df, "t")
+    row = p.first()
+    assert (row.row_count, row.duplicate_rows, row.null_cells, row.timestamp_column) == (3, 1, 3, None)
+    assert quality.table_profile(df.limit(0), "t").first().row_count == 0
+    nested = df.selectExpr("map('k', a) AS m", "struct(b, c) AS s", "array(a) AS l")
+    assert quality.table_profile(nested, "t").first().duplicate_rows == 1
+
+
 def test_join_guards(frame):
     a, b = frame([(1, 1.0), (1, 2.0)], "k int, v double"), frame([(1, 1.0)], "k int, w double")
     with pytest.raises(GuardError):
