@@ -302,7 +302,8 @@ def sets_of(docs: DataFrame, text_col: str, wanted: DataFrame, gram: int = GRAM)
         yield handed()
 
     kept = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "set binary, head array<bigint>, sketch binary, shingles array<bigint>")
-    return kept.join(wanted.select("set", "node", "n"), "set").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "head", "sketch", "shingles")])
+    once = kept.groupBy("set").agg(*[F.first(c).alias(c) for c in ("head", "sketch", "shingles")])
+    return once.join(wanted.select("set", "node", "n"), "set").drop("set")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:

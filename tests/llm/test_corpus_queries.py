@@ -27,8 +27,9 @@ def test_query(spark, db, name):
     ours = QUERIES[name](spark, PATH).toPandas()
     if name in ORACLES:
         assert compare(name, ours, db.execute(ORACLES[name]).df()).startswith("ok")
-    table = "pages" if name.startswith(("op7", "op9")) else "documents"
-    assert len(ours) == db.execute(f"SELECT count(*) FROM {table}").fetchone()[0]
+    table = {"op7": "pages", "op9": "pages", "op12": "(SELECT DISTINCT conv_id FROM conversations)"}.get(name.split("_")[0], "documents")
+    if not name.startswith("op11"):  # a row for each word
+        assert len(ours) == db.execute(f"SELECT count(*) FROM {table}").fetchone()[0]
 
 
 def test_pipeline_keeps_columns_and_takes_out_what_each_stage_finds(spark):
