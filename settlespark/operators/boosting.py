@@ -145,7 +145,8 @@ def boost(rows: DataFrame, features: Sequence[str], models: int, group: str = "m
 
     ``use`` is an array of booleans that says which models a row trains; ``label`` must not be null.
     ``loss`` names groups with the log loss of a 0/1 label. Null features are allowed. A model that no row
-    trains is an error. Rounds, depth, step, sampling rate and seed come from ``params``.
+    trains is an error. Rounds, depth, step, sampling rate and seed come from ``params``; the first
+    tree of a squared loss takes a whole step.
     """
     p = PARAMS | (params or {})
     features, loss = list(features), loss or {}
@@ -195,7 +196,8 @@ def boost(rows: DataFrame, features: Sequence[str], models: int, group: str = "m
                     value = np.divide(sums[:, 0], sums[:, 1], out=np.zeros(len(sums)), where=sums[:, 1] > 1e-9)
                     out[key].features.append(open_nodes[key][0].tolist())
                     out[key].cuts.append(open_nodes[key][1].tolist())
-                    out[key].leaves.append((p["stepSize"] * value).tolist())
+                    step = 1.0 if turn == 0 and out[key].loss == "squared" else p["stepSize"]
+                    out[key].leaves.append((step * value).tolist())
         if (turn + 1) % MARGINS_EVERY == 0 and turn + 1 < p["maxIter"]:
             blocks, written = durable(_with_margins(blocks, matrices, out, written)), turn + 1
             held.unpersist()

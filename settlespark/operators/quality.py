@@ -154,7 +154,7 @@ def table_profile(df: DataFrame, name: str, time_column: str | None = None, samp
     row = F.struct(F.lit("row").alias("kind"), a.alias("a"), b.alias("b"), nulls.alias("nulls"), F.lit(None).cast("timestamp").alias("t"), F.lit(None).cast("string").alias("text"))
     time = F.struct(F.lit("time").alias("kind"), F.unix_micros(t).alias("a"), none.alias("b"), F.array().cast("array<boolean>").alias("nulls"), t.alias("t"), F.lit(None).cast("string").alias("text"))
     first = F.struct(F.lit("text").alias("kind"), F.col("_place").alias("a"), none.alias("b"), F.array().cast("array<boolean>").alias("nulls"), F.lit(None).cast("timestamp").alias("t"), text.alias("text"))
-    entries = [row] + ([time] if ts else []) + [F.when(F.col("_place") < sample, first)]
+    entries = [row] + ([time] if ts else []) + [F.when(F.col("_place").bitwiseAND((1 << 33) - 1) < sample, first)]
     spread = df.withColumn("_place", F.monotonically_increasing_id()).select(F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.*")
     folded = spread.groupBy("kind", "a", "b").agg(F.count(F.lit(1)).alias("n"), F.first("nulls").alias("nulls"), F.min("t").alias("t"), F.min("text").alias("text"))
 
@@ -168,7 +168,8 @@ def table_profile(df: DataFrame, name: str, time_column: str | None = None, samp
         (F.coalesce(of("time", F.when(known, 0).otherwise(F.col("n"))), F.lit(0)) if ts else none).alias("invalid_timestamps"),
         F.min("t").alias("timestamp_min"), F.max("t").alias("timestamp_max"),
         (F.coalesce(of("time", F.when(known, F.col("n") - 1)), F.lit(0)) if ts else none).alias("duplicate_timestamps"),
-        F.array_sort(F.collect_list(F.when(F.col("kind") == "text", F.struct("a", "text")))).alias("_first"),
+        # The first rows of each partition are offered, the first of all are kept.
+        F.slice(F.array_sort(F.collect_list(F.when(F.col("kind") == "text", F.struct("a", "text")))), 1, sample).alias("_first"),
     )
     counts = F.array(*[F.struct(F.lit(c).alias("key"), F.col(f"_n{i}").alias("value")) for i, c in enumerate(df.columns)])
     return out.select(

@@ -244,8 +244,8 @@ def test_audit_isolates_tables_that_fail_when_opened_or_read(spark, frame, tmp_p
 
 def test_audit_cancels_what_takes_too_long(spark):
     import time
-    slow = spark.range(8, numPartitions=8).mapInPandas(lambda it: (time.sleep(8) or x for x in it), "id long")
-    rows = {r.table_name: r for r in quality.audit_tables(spark, {"slow": slow, "quick": spark.range(5)}, seconds=4.0).collect()}
+    slow = spark.range(8, numPartitions=2).mapInPandas(lambda it: (time.sleep(15) or x for x in it), "id long")
+    rows = {r.table_name: r for r in quality.audit_tables(spark, {"slow": slow, "quick": spark.range(5)}, seconds=6.0).collect()}
     assert rows["quick"].row_count == 5 and "cancelled" in rows["slow"].error
 
 
