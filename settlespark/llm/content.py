@@ -25,6 +25,10 @@ NAMES = set("ad ads advert adverts advertisement advertisements sponsor sponsore
             "breadcrumb breadcrumbs pagination pager sidebar aside widget widgets rail related recommended recommendations trending share "
             "sharing social toolbar footer copyright legal cookie cookies consent gdpr notice notices banner alert popup modal overlay "
             "newsletter subscribe subscription signup login search comment comments disqus reply replies responses respond discussion".split())
+# Words that stand beside such a name in one class and say nothing of their own.
+GENERIC = set("area bar block box btn button buttons card container content group holder inner item items link links list outer panel post posts row "
+              "section slot tag text title top unit wrap wrapper zone".split())
+COMMENT_IDS = set("comments disqus_thread respond".split())
 HEADERS = set("header masthead topbar".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _PART = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
@@ -136,8 +140,12 @@ class Lines(HTMLParser):
             return True
         if tag in ("html", "body", "main"):
             return False
+        if article:
+            # What an article is about may use the same words: only whole classes count in it, and no id but a comment list's.
+            classes = [{p.lower() for p in _PART.findall(c)} for c in (attrs.get("class") or "").split()]
+            return any(c & NAMES and c <= NAMES | GENERIC for c in classes) or (attrs.get("id") or "").lower() in COMMENT_IDS
         names = {p.lower() for key in ("class", "id") for p in _PART.findall(attrs.get(key) or "")}
-        return bool(names & NAMES) or not article and bool(names & HEADERS)
+        return bool(names & NAMES or names & HEADERS)
 
 
 def lines_of(html: str) -> list[Line]:
@@ -177,8 +185,9 @@ def extract(html: str | None) -> str:
     A line's ratio is its characters over its tags; markup that declares a line boilerplate
     makes it 0, markup that declares an article multiplies it. Smoothed logs of the ratios
     fall into two clusters. A region is content if lines of the upper cluster hold half of its
-    text, and is then taken whole, short lines included; articles go before other regions. If
-    none is, the one with most weighted text is taken.
+    text; if none is, the one with most weighted text is taken. All from the first to the last line
+    of these regions is kept, short lines included. A page that declares articles leaves nothing
+    to decide: all of them are kept whole, but for what is set apart in them.
     """
     lines = lines_of(html or "")
     ratios = np.array([line.weight * len(line.text) / max(1, line.tags) for line in lines])
@@ -194,9 +203,12 @@ def extract(html: str | None) -> str:
             size[1] += len(line.text) * is_upper
             size[2] += len(line.text) * line.weight
     articles = {line.region for line in lines if line.weight > 1}
-    chosen = {r for r, (n, inside, _) in sizes.items() if 2 * inside >= n}
-    chosen = chosen & articles or articles or chosen or {max(sizes, key=lambda r: sizes[r][2])}
-    return "\n".join(line.text for line in lines if line.weight and line.region in chosen)
+    if articles:
+        return "\n".join(line.text for line in lines if line.weight and line.region in articles)
+    chosen = {r for r, (n, inside, _) in sizes.items() if 2 * inside >= n} or {max(sizes, key=lambda r: sizes[r][2])}
+    # A bare page may cut its article into many regions: what lies between two of them belongs to it.
+    places = [i for i, line in enumerate(lines) if line.weight and line.region in chosen]
+    return "\n".join(line.text for line in lines[places[0]:places[-1] + 1] if line.weight)
 
 
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -1,8 +1,9 @@
 """Personal data, and the words that give it away.
 
-Patterns find personal data. What the corpus says about the words near it decides which of
-them reveal it: pointwise mutual information between a datum and a word, as a share of the
-information that the datum itself carries. Only DataFrame functions are used.
+Patterns find personal data. What the corpus says about the words of the same texts decides which
+of them reveal it: the probability of the datum, or of what it shares with others, given the word;
+its negative logarithm is the uncertainty that is left to who reads the word. Only DataFrame
+functions are used.
 """
 
 from __future__ import annotations
@@ -68,30 +69,25 @@ def detected(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(row, doc_id, text, email, ip, card, phone)``; ``row`` tells rows apart."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("*", *[matches("text", pattern, guard).alias(f"{kind}_all") for kind, (pattern, guard) in KINDS.items()])
-    return rows.select("doc_id", "text", *[_valid(kind, f"{kind}_all").alias(kind) for kind in KINDS])
+    return rows.select("doc_id", "text", "email_all", *[_valid(kind, f"{kind}_all").alias(kind) for kind in KINDS])
 
 
-def with_terms(rows: DataFrame, reach: int) -> DataFrame:
-    """Adds ``near``: for each datum, the words of three letters or more within ``reach`` characters that are no personal data themselves.
+def with_terms(rows: DataFrame) -> DataFrame:
+    """Adds, for texts with personal data, their entities and the places of their words.
 
-    Entries are ``(c, t, s, e)``: the datum with its kind, the lower-cased word, and its place; and
-    the same again for what the datum shares with others (``WIDER``). A word that the window cuts
-    is left out.
+    ``own`` lists each datum with its kind, ``wider`` what it shares with others (``WIDER``), once each;
+    ``places`` has ``(t, s, e)`` of every word of three letters or more outside mail addresses, the
+    only data with letters, which are blanked out before words are looked for.
     """
     own = {k: f"concat('{k}:', {'lower(x.v)' if k in ('email', 'ip') else _digits()})" for k in KINDS}
-    every = "concat(" + ", ".join(f"transform({k}, x -> named_struct('s', x.s, 'e', x.e, 'c', {c}))" for k in KINDS for c in (own[k], WIDER[k])) + ")"
-    rows = rows.withColumn("data", F.expr(every))
-    rows = rows.withColumn("windows", F.expr(
-        f"transform(data, d -> named_struct('c', d.c, 'at', greatest(d.s - {reach}, 0), 'w', substr(text, greatest(d.s - {reach}, 0) + 1, d.e + {reach} - greatest(d.s - {reach}, 0))))"))
-    words = f"transform(regexp_extract_all(x.w, r'{TERM}', 0), (t, i) -> t)"
-    # a word's place: the lengths of the words and of the gaps before it
-    gaps = f"split(x.w, r'{TERM}', -1)"
-    place = f"aggregate(slice({gaps}, 1, i + 1), 0, (a, g) -> a + char_length(g)) + aggregate(slice({words}, 1, i), 0, (a, g) -> a + char_length(g))"
-    near = (f"flatten(transform(windows, x -> transform({words}, (t, i) -> named_struct('c', x.c, 't', lower(t), 's', x.at + {place}, 'e', x.at + {place} + char_length(t)))))")
-    rows = rows.withColumn("near", F.when(F.size("data") > 0, F.expr(near)))
-    inside = "exists(data, d -> d.s < n.e AND n.s < d.e)"
-    cut = "exists(windows, x -> (n.s = x.at AND n.s > 0 AND x.c = n.c) OR (n.e = x.at + char_length(x.w) AND n.e < char_length(text) AND x.c = n.c))"
-    return rows.withColumn("near", F.expr(f"filter(near, n -> NOT {inside} AND NOT {cut})")).drop("windows")
+    for name, of in (("own", own), ("wider", WIDER)):
+        rows = rows.withColumn(name, F.expr("array_distinct(concat(" + ", ".join(f"transform({k}, x -> {of[k]})" for k in KINDS) + "))"))
+    pattern = KINDS["email"][0]
+    blanks = f"transform(regexp_extract_all(text, r'{pattern}', 0), x -> repeat(' ', char_length(x)))"
+    blanked = f"array_join(transform(arrays_zip(split(text, r'{pattern}', -1), {blanks}), x -> concat(x.`0`, coalesce(x.`1`, ''))), '')"
+    rows = rows.withColumn("blank", F.expr(f"if(size(own) = 0, '', if(size(email_all) = 0, text, {blanked}))"))
+    rows = rows.withColumn("found", matches("blank", TERM, "\\p{L}"))
+    return rows.withColumn("places", F.expr("transform(found, x -> named_struct('t', lower(x.v), 's', x.s, 'e', x.e))")).drop("blank", "found")
 
 
 def _digits() -> str:
@@ -105,18 +101,26 @@ def at_least(hits: Column, n: Column) -> Column:
 
 
 def disclosures(rows: DataFrame, docs: DataFrame, text_col: str, generalise_at: float) -> DataFrame:
-    """``(c, t, ratio)`` of the words that disclose a datum, or what it shares with others, from counts of distinct texts.
+    """``(c, t, ratio)`` of the words that disclose an entity: a datum, or what it shares with others.
 
-    With N texts and p the lower bound of n(c,t) / n(t), ``ratio`` is log(N p / n(c)) over
-    log(N / n(c)): near 1 if the word is often seen, and with the datum alone, 0 if it is no
-    commoner there than elsewhere. Every pair that occurs is scored; little evidence lowers the
-    bound.
+    ``ratio`` is the lower bound of the probability that a text with the word concerns the entity.
+    A text that holds k entities of a family concerns each with 1/k; n texts with the word give the
+    mean of that and, by Wilson's bound, what it is at least. The bound asks for the same evidence
+    at every size of the corpus. Counts run over whole distinct texts.
+
+    A word can only reach the threshold with an entity if some text with both holds at most
+    1/threshold entities, so pairs come from such texts, and texts with more add to pairs that
+    are known: no text gives the product of its entities and words.
     """
-    total = rows.select("h").distinct().count()
-    once = durable(rows.where(F.size("data") > 0).groupBy("h").agg(F.first("data").alias("data"), F.first("near").alias("near")))
-    single = once.select(F.explode(F.array_distinct(F.transform("data", lambda d: d["c"]))).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n_c"))
-    pairs = once.select(F.explode(F.array_distinct(F.transform("near", lambda n: F.struct(n["c"].alias("c"), n["t"].alias("t"))))).alias("p")).groupBy("p.c", "p.t").agg(F.count(F.lit(1)).alias("n_ct"))
-    pairs = durable(pairs)
+    least = int(1 / generalise_at + 1e-9)
+    once = rows.where(F.size("own") > 0).groupBy("h").agg(F.first("own").alias("own"), F.first("wider").alias("wider"), F.first(F.array_distinct(F.transform("places", lambda p: p["t"]))).alias("words"))
+    once = durable(once.select("h", "words", F.explode(F.array(F.struct(F.lit("own").alias("f"), F.col("own").alias("cs")), F.struct(F.lit("wider").alias("f"), F.col("wider").alias("cs")))).alias("x"))
+                   .select("h", "words", "x.*").withColumn("w", 1 / F.size("cs").cast("double")))
+    light, heavy = once.where(F.size("cs") <= least), once.where(F.size("cs") > least)
+    pairs = durable(light.select(F.explode("cs").alias("c"), "words", "w").select("c", F.explode("words").alias("t"), "w").groupBy("c", "t").agg(F.sum("w").alias("hits")))
+    named = pairs.select("c", "t").join(heavy.select("h", "f", F.explode("cs").alias("c"), "w"), "c")
+    more = named.join(heavy.select("h", "f", F.explode("words").alias("t")), ["h", "f", "t"]).groupBy("c", "t").agg(F.sum("w").alias("hits"))
+    both = pairs.unionByName(more).groupBy("c", "t").agg(F.sum("hits").alias("hits"))
     wanted = durable(pairs.select("t").distinct())
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(text.alias("text")).groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
@@ -124,26 +128,30 @@ def disclosures(rows: DataFrame, docs: DataFrame, text_col: str, generalise_at:
     # Counted first: common words meet the wanted ones as one row each, not once a document.
     counts = words.groupBy("t").agg(F.count(F.lit(1)).alias("n_t")).join(broadcast_if_small(wanted, wanted.count()), "t")
     # lower-casing and splitting may part a word otherwise than its pair: n_t is then the smaller
-    share = at_least(F.col("n_ct"), F.greatest("n_t", "n_ct"))
-    ratio = F.try_divide(F.log(F.lit(float(total)) * share / F.col("n_c")), F.log(F.lit(float(max(total, 1))) / F.col("n_c")))
-    return pairs.join(single, "c").join(counts, "t").select("c", "t", ratio.alias("ratio")).where(F.col("ratio") >= generalise_at)
+    n = F.greatest("n_t", F.ceil(F.col("hits") - 1e-9))
+    return both.join(counts, "t").select("c", "t", at_least(F.col("hits"), n).alias("ratio")).where(F.col("ratio") >= generalise_at)
 
 
-def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 40,
-          generalise_at: float = 0.6, remove_at: float = 0.9) -> DataFrame:
-    """``(row, doc_id, email, ip, card, phone, terms)``, one row per document.
+def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise_at: float = 0.2, remove_at: float = 0.5) -> DataFrame:
+    """``(row, h, doc_id, email, ip, card, phone, terms)``, one row per document.
 
-    Personal data by kind as arrays of ``(s, e, v)``, and ``terms`` as ``(s, e, action)``: words
-    near a datum that disclose it, to be generalised, or removed from ``remove_at`` on. Null and
-    empty texts have none; repeated rows are judged alike, and equal texts count once.
+    Personal data by kind as arrays of ``(s, e, v)``, and ``terms`` as ``(s, e, action)``: every
+    occurrence, in a text with personal data, of a word that discloses one of its entities, to be
+    generalised, or removed from ``remove_at`` on. A word seen once, with a datum alone, has a bound of
+    0.207; four of four texts give 0.51. Null and empty texts have none; repeated rows are judged
+    alike, and equal texts count once. ``h`` is a hash of the text.
     """
-    rows = durable(with_terms(detected(docs, id_col, text_col), reach).withColumn("h", F.xxhash64("text")).drop("text").withColumn("row", F.monotonically_increasing_id()))
+    rows = durable(with_terms(detected(docs, id_col, text_col)).withColumn("h", F.xxhash64("text")).drop("text", "email_all").withColumn("row", F.monotonically_increasing_id()))
     known = durable(disclosures(rows, docs, text_col, generalise_at))
-    places = rows.where(F.size("near") > 0).select("row", F.explode("near").alias("n")).select("row", "n.*")
-    hits = places.join(broadcast_if_small(known, known.count(), 50_000), ["c", "t"]).groupBy("row", "s", "e").agg(F.max("ratio").alias("ratio"))
+    concerned = rows.where(F.size("own") > 0)
+    # A word discloses few entities, as their probabilities add up; so words meet entities before texts do.
+    words = concerned.select("row", F.explode(F.array_distinct(F.transform("places", lambda p: p["t"]))).alias("t")).join(broadcast_if_small(known, known.count(), 50_000), "t")
+    entities = concerned.select("row", F.explode(F.concat("own", "wider")).alias("c"))
+    told = words.join(entities, ["row", "c"]).groupBy("row", "t").agg(F.max("ratio").alias("ratio"))
+    hits = concerned.select("row", F.explode("places").alias("p")).select("row", "p.*").join(told, ["row", "t"])
     action = F.when(F.col("ratio") >= remove_at, "remove").otherwise("generalise")
     terms = hits.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("s", "e", action.alias("action")))).alias("terms"))
-    out = rows.select("row", "doc_id", *KINDS).join(terms, "row", "left")
+    out = rows.select("row", "h", "doc_id", *KINDS).join(terms, "row", "left")
     return out.withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<s:int,e:int,action:string>>")))
 
 
@@ -166,8 +174,9 @@ def report(docs: DataFrame, **options) -> DataFrame:
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``(doc_id, text)``: personal data replaced by its kind in brackets, words generalised to ``[word]`` or removed.
 
-    Overlapping spans are cut from the left: the first, and of those the longest, stays whole and
-    what it covers is dropped. Rows that repeat an id and a text come back once each.
+    Of overlapping spans the first, and of those the longest, gives the replacement, which stands for
+    all they cover together. Rows are told apart by id and text, so rows that repeat an id, or have
+    none, keep their own spans; other columns are not returned.
     """
     rows = found(docs, id_col, text_col, **options)
 
@@ -175,9 +184,9 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
         return F.transform(kind, lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), F.lit(f"[{kind}]").alias("r")))
 
     marks = F.concat(*map(marked, KINDS), F.transform("terms", lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), F.when(x["action"] == "remove", "").otherwise("[word]").alias("r"))))
-    spans = rows.select(F.col("doc_id").alias("__id"), F.array_sort(marks).alias("m")).where("size(m) > 0").distinct()
+    spans = rows.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.array_sort(marks).alias("m")).where("size(m) > 0").dropDuplicates(["__id", "__h"])
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    joined = base.join(spans, base["doc_id"] == spans["__id"], "left")
-    step = ("if(x.s < a.n, a, named_struct('n', -x.e, 'o', array_append(a.o, concat(substr(text, a.n + 1, x.s - a.n), x.r))))")
+    joined = base.join(spans, base["doc_id"].eqNullSafe(spans["__id"]) & (F.xxhash64(F.coalesce("text", F.lit(""))) == spans["__h"]), "left")
+    step = ("if(x.s < a.n, named_struct('n', greatest(a.n, -x.e), 'o', a.o), named_struct('n', -x.e, 'o', array_append(a.o, concat(substr(text, a.n + 1, x.s - a.n), x.r))))")
     pieces = F.expr(f"aggregate(m, named_struct('n', 0, 'o', CAST(array() AS array<string>)), (a, x) -> {step}, a -> concat(array_join(a.o, ''), substr(text, a.n + 1)))")
     return joined.select("doc_id", F.when(F.col("m").isNull(), F.col("text")).otherwise(pieces).alias("text"))

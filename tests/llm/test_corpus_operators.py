@@ -369,6 +369,69 @@ def test_unique_data_have_disclosing_words_and_copies_count_once(spark):
     assert all(again[i] == got[1].terms for i in range(1, 9))
 
 
+def slow_terms(texts, generalise_at=0.2):
+    """Term spans of each text, from the definition: entities and words of whole distinct texts."""
+    z2, facts = 1.96 ** 2, {}
+    for text in set(texts):
+        data = [(x.split(":")[0], int(x.split(":")[1]), int(x.split(":")[2])) for x in slow_spans(text)]
+        own, wider, blank = set(), set(), text
+        for kind, s, e in data:
+            v, d = text[s:e], re.sub("[^0-9]", "", text[s:e])
+            own.add(f"{kind}:{v.lower() if kind in ('email', 'ip') else d}")
+            wider.add({"email": f"domain:{v.rsplit('@', 1)[-1].lower()}", "ip": f"net:{'.'.join(v.split('.')[:3])}", "card": f"issuer:{d[:6]}", "phone": f"area:{d[:-4]}"}[kind])
+        for m in re.finditer(PATTERNS["email"], text):
+            blank = blank[:m.start()] + " " * (m.end() - m.start()) + blank[m.end():]
+        places = [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"[^\W\d_]{3,}", blank)]
+        facts[text] = (own, wider, places, {m.lower() for m in re.findall(r"[^\W\d_]+", text)})
+    n_t, hits = collections.Counter(), collections.Counter()
+    for own, wider, places, words in facts.values():
+        n_t.update(words)
+        for family in (own, wider):
+            for c in family:
+                for t in {t for t, _, _ in places}:
+                    hits[c, t] += 1 / len(family)
+
+    def bound(c, t):
+        p, n = hits[c, t] / n_t[t], n_t[t]
+        return (p + z2 / 2 / n - (z2 * (p * (1 - p) + z2 / 4 / n) / n) ** 0.5) / (1 + z2 / n)
+
+    return [sorted((s, e) for t, s, e in facts[x][2] if any(bound(c, t) >= generalise_at for c in facts[x][0] | facts[x][1])) for x in texts]
+
+
+def test_disclosing_words_equal_brute_force(spark):
+    import random
+    rng, texts = random.Random(8), []
+    words = [f"word{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}" for i in range(100)]
+    for i in range(150):
+        text = rng.choices(words, k=20) + [f"rare{'abcdefghij'[i % 10]}{'klmnopqrstuvwxy'[i // 10]}"]
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 4, 9])):
+            text.insert(rng.randrange(len(text)), rng.choice([f"p{rng.randrange(12)}@mail{rng.randrange(3)}.org", f"10.0.{rng.randrange(3)}.{rng.randrange(5)}", f"+44 20 7946 0{rng.randrange(100):03d}", f"Wordak{'q' * rng.randrange(2)}"]))
+        texts.append(" ".join(text))
+    texts += texts[:20]
+    got = {r.doc_id: [(x.s, x.e) for x in r.terms] for r in sanitise.found(spark.createDataFrame(rows_of(texts), SCHEMA).repartition(4)).collect()}
+    expected = slow_terms(texts)
+    assert sum(map(bool, expected)) > 50 and all(got[i + 1] == x for i, x in enumerate(expected))
+
+
+def test_evidence_does_not_depend_on_the_size_of_the_corpus(spark):
+    texts = ["says the end Zebulon at z@corp.org the end"] + [f"ask the helper at q{i}@desk.org" for i in range(3)]
+    terms = []
+    for n in (60, 3000):
+        docs = spark.createDataFrame(rows_of(texts + [f"number says the end ask the helper {i}" for i in range(n)]), SCHEMA)
+        terms.append([r.terms for r in sanitise.found(docs).where("doc_id <= 4").orderBy("doc_id").collect()])
+    assert terms[0] == terms[1] and terms[0][0]
+
+
+def test_sanitised_rows_are_told_apart_by_id_and_text(spark):
+    texts = [(1, "write to a@b.co today"), (1, "another text of length here and x"), (None, "mine is n@b.com"), (None, "none here"), (2, "call +1 499 555 6503@x.org 4111 1111 1111 1111"), (2, None), (3, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 0, "x", "y", "z", 9) for d, t in texts + texts[:1]], SCHEMA)
+    got = sorted(((r.doc_id, r.text) for r in sanitise.sanitised(docs, generalise_at=0.99, remove_at=0.995).collect()), key=str)
+    assert len(got) == 8 and got.count((1, "write to [email] today")) == 2
+    assert (1, "another text of length here and x") in got and (None, "mine is [email]") in got and (None, "none here") in got and (2, None) in got and (3, "") in got
+    mixed = next(t for d, t in got if d == 2 and t)
+    assert "6503" not in mixed and "x.org" not in mixed and "1111" not in mixed
+
+
 # --- pages ------------------------------------------------------------------------------------------
 
 PAGES = [
@@ -436,3 +499,16 @@ def test_targets_that_contradict_each_other_are_reported(spark):
     docs = spark.createDataFrame([(0, "a b c", "en", "p", 0, "x", "y", "z", 1), (1, "a " * 40, "fr", "q", 0, "x", "y", "z", 1)], SCHEMA)
     with pytest.warns(UserWarning, match="off its goal"):
         mixing.mixed(docs, powers={"source": 0.2, "lang": 1.0, "topic": 1.0}, budget=0.0)
+
+
+def test_articles_are_kept_whole():
+    page = ("<body><nav>Home</nav><article><h2 id='legal-aspects'>Legal aspects</h2><section id='related-work'><p>Work text.</p></section><p class='share-price'>Price up.</p>"
+            "<div class='share-buttons'>Tweet</div><div id='comments'>Nice!</div></article><article><ul>" + "".join(f"<li><a href=x>item {i}</a>" for i in range(10)) + "</ul></article><footer>End</footer></body>")
+    assert content.extract(page).split("\n") == ["Legal aspects", "Work text.", "Price up."] + [f"item {i}" for i in range(10)]
+
+
+def test_clusters_decide_bare_pages():
+    long = "A sentence of some length that an article would hold, with words enough to count. " * 3
+    menu = "".join(f"<li><a href=/{i}>m{i}</a></li>" for i in range(12))
+    page = f"<body><ul>{menu}</ul><div>{long}</div><div>Short one.</div><div>{long}</div><ul>{menu}</ul></body>"
+    assert content.extract(page).split("\n") == [long.strip(), "Short one.", long.strip()]
