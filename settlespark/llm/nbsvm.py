@@ -87,29 +87,29 @@ def scaled(ids: np.ndarray, ratios: np.ndarray) -> np.ndarray:
     return x / size if size > 0 else x
 
 
-def dual_coordinate_descent(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, cost: float = 1.0, epochs: int = 12, seed: int = 5) -> np.ndarray:
-    """Weights of the linear squared-hinge machine, the constant's in the last place.
+def dual_coordinate_descent(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, cost: float = 1.0, epochs: int = 12, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the linear hinge-loss machine, the constant's in the last place, and the dual variables.
 
-    One dual variable at a time takes its exact minimum, kept at 0 or more, and moves the
-    weights with it. Labels are 0 or 1; each class weighs half.
+    One dual variable at a time takes its exact minimum, kept between 0 and the cost of its row,
+    and moves the weights with it. Labels are 0 or 1; each class weighs half.
     """
     w = np.zeros(1 << BITS)
     y = np.where(labels > 0, 1.0, -1.0)
     share = np.array([max(1, (y < 0).sum()), max(1, (y > 0).sum())]) * 2 / len(y)
-    slack = 1 / (2 * cost / share[(y > 0).astype(int)])
+    most = cost / share[(y > 0).astype(int)]
     alpha, order = np.zeros(len(y)), np.random.default_rng(seed)
     norms = np.array([x @ x + 1 for _, x in rows])
     for _ in range(epochs):
         for i in order.permutation(len(y)):
             ids, x = rows[i]
-            gradient = y[i] * (w[ids] @ x + w[-1]) - 1 + slack[i] * alpha[i]
-            new = max(0.0, alpha[i] - gradient / (norms[i] + slack[i]))
+            gradient = y[i] * (w[ids] @ x + w[-1]) - 1
+            new = min(most[i], max(0.0, alpha[i] - gradient / norms[i]))
             if new != alpha[i]:
                 step = (new - alpha[i]) * y[i]
                 w[ids] += step * x
                 w[-1] += step
                 alpha[i] = new
-    return w
+    return w, alpha
 
 
 @dataclass
@@ -145,7 +145,7 @@ def fit(rows: DataFrame, fit_rows: int = 16_000, check_rows: int = 8_000) -> Jud
     rate = min(0.7, fit_rows / total)
     train = codes.where(F.col("draw") < rate).select("label", "ids").toPandas()
     check = codes.where((F.col("draw") >= rate) & (F.col("draw") < rate + min(1 - rate, check_rows / total))).select("label", "ids").toPandas()
-    weights = dual_coordinate_descent([(ids, scaled(ids, ratios)) for ids in train["ids"]], train["label"].to_numpy(float))
+    weights, _ = dual_coordinate_descent([(ids, scaled(ids, ratios)) for ids in train["ids"]], train["label"].to_numpy(float))
     judge = Judge(ratios, weights, np.array([0.0, 3.0]))
     if check["label"].nunique() == 2:
         margins = np.array([[judge.margin(ids)] for ids in check["ids"]])

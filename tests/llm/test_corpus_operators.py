@@ -265,7 +265,7 @@ def test_quality_classifier(spark, odd, empty):
 def test_dual_coordinate_descent_separates():
     import numpy as np
     rows = [(np.array([i % 2], np.int32), np.array([1.0])) for i in range(40)]
-    w = nbsvm.dual_coordinate_descent(rows, np.array([i % 2 for i in range(40)], float))
+    w, _ = nbsvm.dual_coordinate_descent(rows, np.array([i % 2 for i in range(40)], float))
     assert w[1] + w[-1] > 0.5 and w[0] + w[-1] < -0.5
 
 
@@ -512,3 +512,26 @@ def test_clusters_decide_bare_pages():
     menu = "".join(f"<li><a href=/{i}>m{i}</a></li>" for i in range(12))
     page = f"<body><ul>{menu}</ul><div>{long}</div><div>Short one.</div><div>{long}</div><ul>{menu}</ul></body>"
     assert content.extract(page).split("\n") == [long.strip(), "Short one.", long.strip()]
+
+
+def test_hinge_machine_reaches_the_optimum_of_its_dual():
+    import numpy as np
+    rng, n, d = np.random.default_rng(3), 40, 6
+    dense = rng.normal(size=(n, d))
+    labels = (dense @ rng.normal(size=d) + rng.normal(0, 0.8, n) > 0.3).astype(float)
+    rows = [(np.arange(d), x) for x in dense]
+    w, alpha = nbsvm.dual_coordinate_descent(rows, labels, epochs=800)
+    y = np.where(labels > 0, 1.0, -1.0)
+    most = np.where(labels > 0, n / (2 * labels.sum()), n / (2 * (n - labels.sum())))
+    x = np.hstack([dense, np.ones((n, 1))])
+    full = np.append(w[:d], w[-1])
+    assert np.allclose(full, (alpha * y) @ x) and (alpha >= 0).all() and (alpha <= most + 1e-12).all()
+    primal = full @ full / 2 + (most * np.maximum(0, 1 - y * (x @ full))).sum()
+    dual = alpha.sum() - full @ full / 2
+    assert abs(primal - dual) < 1e-3 * primal
+    # The dual by brute force: projected gradient from many steps.
+    q, other = (y[:, None] * x) @ (y[:, None] * x).T, np.zeros(n)
+    step = 1 / np.linalg.eigvalsh(q)[-1]
+    for _ in range(60_000):
+        other = np.clip(other + step * (1 - q @ other), 0, most)
+    assert abs(other.sum() - other @ q @ other / 2 - dual) < 1e-3 * dual
