@@ -29,6 +29,7 @@ FLUSH = 1 << 19  # signatures a task holds before it hands them on
 SLOT = 1 << 19  # signatures that are sorted together
 TOGETHER = 1 << 21  # shingles of the sets that a task holds at a time
 CROSS = 8  # open pairs for each row of the groups, below which they are all compared
+FEW = 0.01  # links for each row of the groups, below which a round was not worth another
 SHORT = (1 << 48) - 1
 HEAD = 16  # numbers of 64 parities that travel with a set
 PIVOTS = 8  # nodes of a signature that the others are compared with in one round
@@ -351,11 +352,11 @@ def joined(groups: DataFrame, sets: DataFrame, share: tuple[int, int] = SHARE, r
 
     While many pairs of unlike components share a signature, the nodes of each signature are compared
     with a few of them only, so copies of one text melt into a component without meeting in pairs.
-    Once few pairs are open, or such a round links nothing more, all open pairs are compared: after that
+    Once few pairs are open, or such a round links little, all open pairs are compared: after that
     no link can be missing. Pairs that parities of their sets rule out never leave the join.
     """
     heads = sets.select("node", *[F.col("head")[i].alias(f"w{i}") for i in range(HEAD)])
-    links, size = None, groups.count()
+    links, size, linked = None, groups.count(), 0
     for turn in range(rounds + 1):
         rows = groups.withColumn("label", F.col("node"))
         if links is not None:
@@ -365,12 +366,12 @@ def joined(groups: DataFrame, sets: DataFrame, share: tuple[int, int] = SHARE, r
         mixed = durable(counts.where("open > 0"))
         left = mixed.agg(F.sum("open")).first()[0] or 0
         rows = durable(rows.join(mixed.select("sig"), "sig", "left_semi").join(heads, "node"))
-        if left <= CROSS * size or turn == rounds or links is not None and found.isEmpty():
+        if left <= CROSS * size or turn == rounds or links is not None and linked <= FEW * size:
             break
         few = [F.min_by(F.struct("node", "n", "label"), F.xxhash64("node", F.lit(PIVOTS * turn + i))) for i in range(PIVOTS)]
         pivots = rows.groupBy("sig").agg(F.array_distinct(F.array(*few)).alias("p")).select("sig", F.explode("p").alias("p")).select("sig", "p.*").join(heads, "node")
         found = durable(verified(_met(rows, pivots, F.col("a.label") != F.col("b.label"), share), sets, share))
-        links = found if links is None else links.unionByName(found)
+        links, linked = found if links is None else links.unionByName(found), found.count()
     found = durable(verified(_met(rows, rows, F.col("a.label") < F.col("b.label"), share), sets, share))
     return found if links is None else links.unionByName(found)
 
