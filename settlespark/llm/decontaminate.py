@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from settlespark.llm.common import broadcast_if_small, column_texts
+from settlespark.llm.common import ascii_lower, broadcast_if_small, column_texts
 from settlespark.session import durable
 
 SPAN, GRAM = 13, 5
@@ -145,7 +145,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, bitmap: bytes, short
                         a, b = (max(0, p - (span - k)), min(n, p + span)) if whole else (p, p - size)
                         words = [data[x:y].decode("utf-8", "replace") for x, y in zip(starts[a:b], ends[a:b])]
                         seeds.append({"fp": int(fps[i:i + 1].view(np.int64)[0]), "size": span if whole else -size, "start": a, "words": words})
-                digests.append(hashlib.blake2b(data, digest_size=16).digest())
+                digests.append(hashlib.md5(data).digest())
                 counts.append(n)
                 found.append(seeds)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(counts, pa.int64()), pa.array(found, kind)],
@@ -202,7 +202,9 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The columns and rows of ``docs`` without contaminated documents.
 
-    Rows that share an id with a contaminated text go together with it; rows without an id stay.
+    Rows are told apart by id and lower-cased text: of rows that repeat an id, or have none, those
+    with a contaminated text go.
     """
-    bad = contamination(docs, items, id_col, text_col, **options).where("contaminated").select(F.col("id").alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col] == bad["__bad"], "left_anti")
+    bad = contamination(docs, items, id_col, text_col, **options).where("contaminated").select(F.col("id").alias("__bad"), F.col("digest").alias("__digest")).distinct()
+    own = F.unhex(F.md5(ascii_lower(F.coalesce(F.col(text_col), F.lit("")))))
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["__bad"]) & (own == bad["__digest"]), "left_anti")

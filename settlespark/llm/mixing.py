@@ -162,8 +162,23 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     return joined.select("doc_id", *DIMENSIONS, "tokens", "rate", (draw(F.col("doc_id"), seed) < F.col("rate")).alias("selected"))
 
 
-def sampled(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The columns of ``docs``, rows whose id is drawn. Rows without an id share one draw with each other."""
-    name = fresh(docs.columns, "drawn_id")
-    drawn = mixed(docs, id_col, **options).where("selected").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(drawn, docs[id_col].eqNullSafe(drawn[name]), "left_semi")
+def sampled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
+            powers: dict[str, float] | None = None, seed: int = 97, budget: float = BUDGET) -> DataFrame:
+    """The columns of ``docs``, rows drawn as ``mixed`` draws them, each by the rate of its own cell."""
+    powers = powers or POWERS
+    names = {d: fresh(docs.columns, f"cell_{d}") for d in DIMENSIONS}
+    count = fresh(docs.columns, "token_count")
+    cell = {names["source"]: F.coalesce(F.col(source_col).cast("string"), F.lit("")), names["lang"]: F.coalesce(F.col(lang_col).cast("string"), F.lit(""))}
+    rows = docs.withColumns(cell | {count: tokens(F.col(text_col))})
+    rows = rows.withColumn(names["topic"], topic(F.col(text_col), F.col(count)))
+    facts = durable(rows.select(*[F.col(n).alias(d) for d, n in names.items()], F.col(count).alias("tokens")))
+    table = durable(cells(facts, "tokens"))
+    rate = fitted(table, {d: tempered(table, d, powers[d]) for d in DIMENSIONS}, budget)
+    share = fresh(docs.columns, "draw_rate")
+    rate = rate.select(*[F.col(d).alias(f"__{d}") for d in DIMENSIONS], F.col("rate").alias(share))
+    on = None
+    for d, n in names.items():
+        same = rows[n] == rate[f"__{d}"]
+        on = same if on is None else on & same
+    drawn = rows.join(broadcast_if_small(rate, table.count()), on)
+    return drawn.where(draw(F.col(id_col), seed) < F.col(share)).select(*[docs[c] for c in docs.columns])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
 from settlespark.llm.common import column_texts, fresh
@@ -37,15 +37,22 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > total, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, fp)`` for every row; other columns are not read."""
+def text_digest(text: Column) -> Column:
+    """What tells rows of one id apart: the MD5 of the text, a null one counting as empty."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
+    """``(id, fp)`` for every row, with ``digests`` also ``digest``; other columns are not read."""
     def run(batches):
         for batch in batches:
-            fps = [fingerprint(t) for t in column_texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["id", "fp"])
+            fps = pa.array([fingerprint(t) for t in column_texts(batch.column(1))], pa.int64())
+            rest = [batch.column(2)] if digests else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), fps, *rest], names=["id", "fp", "digest"][:2 + digests])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
+    extra = [text_digest(F.col(text_col)).alias("digest")] if digests else []
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *extra).mapInArrow(run, f"id {kind}, fp bigint{', digest binary' if digests else ''}")
 
 
 def embedding(fp: Column) -> Column:
@@ -109,24 +116,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     it: where no member has an id, ``component_id`` is null. An empty table gives no rows.
     """
     marked = durable(fingerprints(docs, id_col, text_col))
-    fps = durable(marked.groupBy("fp").agg(F.min("id").alias("first")))
-    found = components(links(fps, distance))
-    labels = fps.join(found, fps["fp"] == found["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("label"))
+    labels = _labels(marked, distance)
     least = labels.groupBy("label").agg(F.min("first").alias("component_id"))
     return marked.join(labels.join(least, "label").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
 
 
+def _labels(marked: DataFrame, distance: int) -> DataFrame:
+    """``(fp, first, label)``: each fingerprint with its least id and the fingerprint that names its component."""
+    fps = durable(marked.groupBy("fp").agg(F.min("id").alias("first")))
+    found = components(links(fps, distance))
+    return fps.join(found, fps["fp"] == found["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("label"))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3) -> DataFrame:
-    """The columns of ``docs``, one document of each near-duplicate component: the one with the least id.
+    """The columns of ``docs``, one row of each near-duplicate component: that with the least id, of those the one with the least text digest.
 
-    Rows that repeat an id count as one document, of which the row with the least text hash
-    stays. Rows without an id cannot be told apart and all stay.
+    Rows are told apart by id and text, so rows that repeat an id are judged each by their own
+    text, and rows without an id, which come last, are judged too. Of rows that repeat both, any one stays.
     """
-    chosen = near_duplicates(docs, id_col, text_col, distance).where("id = component_id").select(F.col("id").alias("__id")).distinct()
-    rank = fresh(docs.columns, "row_rank")
-    rows = docs.join(chosen, docs[id_col] == chosen["__id"], "left_semi").withColumn(
-        rank, F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))))
-    return rows.where(F.col(rank) == 1).drop(rank).unionByName(docs.where(F.col(id_col).isNull()))
+    marked = durable(fingerprints(docs, id_col, text_col, digests=True))
+    labels = _labels(marked, distance).select("fp", "label")
+    order = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("__id"), F.col("digest").alias("__digest"))
+    # Rows of a fingerprint are folded before they meet their component.
+    chosen = marked.groupBy("fp").agg(F.min(order).alias("o")).join(labels, "fp").groupBy("label").agg(F.min("o").alias("o")).select("o.*")
+    name = fresh(docs.columns, "text_digest")
+    rows = docs.withColumn(name, text_digest(F.col(text_col)))
+    kept = rows.join(chosen, rows[id_col].eqNullSafe(chosen["__id"]) & (rows[name] == chosen["__digest"]), "left_semi")
+    return kept.dropDuplicates([id_col, name]).drop(name)
 
 
 def hex_fingerprint(fp: Column) -> Column:
