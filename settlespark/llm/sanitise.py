@@ -108,28 +108,34 @@ def disclosures(rows: DataFrame, docs: DataFrame, text_col: str, generalise_at:
     mean of that and, by Wilson's bound, what it is at least. The bound asks for the same evidence
     at every size of the corpus. Counts run over whole distinct texts.
 
-    A word can only reach the threshold with an entity if some text with both holds at most
-    1/threshold entities, so pairs come from such texts, and texts with more add to pairs that
-    are known: no text gives the product of its entities and words.
+    A word that too few of its texts share with any personal data cannot reach the threshold, which
+    leaves out the common ones before they meet entities. And a word can only reach it with an
+    entity if some text with both holds at most 1/threshold entities, so pairs come from such
+    texts, and texts with more add to pairs that are known: no text gives the product of its
+    entities and words.
     """
     least = int(1 / generalise_at + 1e-9)
-    once = rows.where(F.size("own") > 0).groupBy("h").agg(F.first("own").alias("own"), F.first("wider").alias("wider"), F.first(F.array_distinct(F.transform("places", lambda p: p["t"]))).alias("words"))
-    once = durable(once.select("h", "words", F.explode(F.array(F.struct(F.lit("own").alias("f"), F.col("own").alias("cs")), F.struct(F.lit("wider").alias("f"), F.col("wider").alias("cs")))).alias("x"))
-                   .select("h", "words", "x.*").withColumn("w", 1 / F.size("cs").cast("double")))
-    light, heavy = once.where(F.size("cs") <= least), once.where(F.size("cs") > least)
-    pairs = durable(light.select(F.explode("cs").alias("c"), "words", "w").select("c", F.explode("words").alias("t"), "w").groupBy("c", "t").agg(F.sum("w").alias("hits")))
-    named = pairs.select("c", "t").join(heavy.select("h", "f", F.explode("cs").alias("c"), "w"), "c")
-    more = named.join(heavy.select("h", "f", F.explode("words").alias("t")), ["h", "f", "t"]).groupBy("c", "t").agg(F.sum("w").alias("hits"))
-    both = pairs.unionByName(more).groupBy("c", "t").agg(F.sum("hits").alias("hits"))
-    wanted = durable(pairs.select("t").distinct())
+    once = durable(rows.where(F.size("own") > 0).groupBy("h").agg(
+        F.first("own").alias("own"), F.first("wider").alias("wider"), F.first(F.array_distinct(F.transform("places", lambda p: p["t"]))).alias("words")))
+    families = F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("cs")) for f in ("own", "wider")])
+    entities = once.select("h", F.explode(families).alias("x")).select("h", "x.*").withColumn("w", 1 / F.size("cs").cast("double"))
+    terms = once.select("h", F.explode("words").alias("t"))
+    # Copies of a text share the weight of one; those without copies are not looked up.
+    copies = durable(rows.groupBy("h").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    texts = docs.select(text.alias("text")).groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
-    words = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), "[^\\p{L}]+"))).alias("t"))
-    # Counted first: common words meet the wanted ones as one row each, not once a document.
-    counts = words.groupBy("t").agg(F.count(F.lit(1)).alias("n_t")).join(broadcast_if_small(wanted, wanted.count()), "t")
-    # lower-casing and splitting may part a word otherwise than its pair: n_t is then the smaller
-    n = F.greatest("n_t", F.ceil(F.col("hits") - 1e-9))
-    return both.join(counts, "t").select("c", "t", at_least(F.col("hits"), n).alias("ratio")).where(F.col("ratio") >= generalise_at)
+    every = docs.select(text.alias("text"), F.xxhash64(text).alias("h")).join(broadcast_if_small(copies, copies.count()), "h", "left")
+    spoken = every.select(F.explode(F.array_distinct(F.split(F.lower("text"), "[^\\p{L}]+"))).alias("t"), (1 / F.coalesce("copies", F.lit(1)).cast("double")).alias("w"))
+    # Counted first: common words meet the others as one row each, not once a document.
+    counts = spoken.groupBy("t").agg(F.round(F.sum("w")).alias("n")).join(terms.groupBy("t").agg(F.count(F.lit(1)).cast("double").alias("n_d")), "t")
+    # lower-casing and splitting may part a word otherwise than its place: the count is then the smaller
+    counts = counts.select("t", F.greatest("n", "n_d").alias("n_t"), "n_d")
+    viable = durable(counts.where(at_least(F.col("n_d"), F.col("n_t")) >= generalise_at).select("t", "n_t"))
+    kept = durable(terms.join(broadcast_if_small(viable, viable.count()), "t").select("h", "t"))
+    light, heavy = entities.where(F.size("cs") <= least), entities.where(F.size("cs") > least)
+    pairs = durable(light.select("h", F.explode("cs").alias("c"), "w").join(kept, "h").groupBy("c", "t").agg(F.sum("w").alias("hits")))
+    more = pairs.select("c", "t").join(heavy.select("h", F.explode("cs").alias("c"), "w"), "c").join(kept, ["h", "t"]).groupBy("c", "t").agg(F.sum("w").alias("hits"))
+    both = pairs.unionByName(more).groupBy("c", "t").agg(F.sum("hits").alias("hits")).join(viable, "t")
+    return both.select("c", "t", at_least(F.least("hits", "n_t"), F.col("n_t")).alias("ratio")).where(F.col("ratio") >= generalise_at)
 
 
 def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise_at: float = 0.2, remove_at: float = 0.5) -> DataFrame:
