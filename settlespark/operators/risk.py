@@ -57,9 +57,13 @@ def scenario_risk(
     paths: DataFrame, keys: Sequence[str], price: str, reference: str, position_mwh: float,
     confidence: float = 0.95, scenario: str = "scenario",
 ) -> DataFrame:
-    """Whole-horizon VaR, shortfall, worst loss and best profit over scenarios."""
+    """Whole-horizon VaR, shortfall, worst loss and best profit over scenarios.
+
+    Losses are rounded to a millionth, so that of equal losses at the VaR none leaves the tail by
+    the order of its sum.
+    """
     leg = (F.col(price) - F.col(reference)) * F.lit(position_mwh * 0.5)
-    losses = paths.groupBy(*keys, scenario).agg((-F.sum(leg)).alias("loss"))
+    losses = paths.groupBy(*keys, scenario).agg(F.round(-F.sum(leg), 6).alias("loss"))
     extra = {"worst_loss": F.max("loss"), "best_profit": F.max(-F.col("loss"))}
     return tail_losses(losses, keys, "loss", confidence, extra).withColumnRenamed("var", "scenario_var")
 

@@ -539,7 +539,10 @@ def daily_block_scenarios(t):
     """Every path of a day takes its errors from one observed day, the same however the points are partitioned."""
     from settlespark.workload.score_queries import error_rows
     points, errors, targets = error_rows(t)
-    points, errors = durable(points), durable(errors)
+    # A period without an error gets none, so that whole days can be drawn.
+    grid = t.events.agg(clock.delivery_date(F.min("ts")).alias("a"), F.date_add(clock.delivery_date(F.max("ts")), 1).alias("z"))
+    spine = timeline.settlement_spine(timeline.dates_between(grid, "a", "z")).select("timestamp")
+    points, errors = durable(points), durable(spine.join(errors, "timestamp", "left").fillna(0.0, targets))
     base = points.select("timestamp", F.col("net_import_mw").alias("base"))
     pool = errors.dropna(subset=targets).select(clock.delivery_date("timestamp").alias("error_date"), F.round("net_import_mw", 6).alias("e")).distinct()
 

@@ -232,7 +232,7 @@ def daily_distribution(t):
 
 
 RISK = f"""{ERRORS}, points AS (SELECT timestamp, 0.05 * (demand_mw - 4 * nuclear_mw - 3 * net_import_mw) - 20 AS reference FROM components),
-  loss AS (SELECT delivery_date, scenario, -sum((price - reference) * 50) AS loss FROM priced JOIN points USING (timestamp) GROUP BY 1, 2),
+  loss AS (SELECT delivery_date, scenario, round(-sum((price - reference) * 50), 6) AS loss FROM priced JOIN points USING (timestamp) GROUP BY 1, 2),
   v AS (SELECT delivery_date, quantile_cont(loss, 0.95) AS var FROM loss GROUP BY 1),
   risk AS (SELECT delivery_date, any_value(var) AS scenario_var, avg(loss) FILTER (loss >= var) AS expected_shortfall, max(loss) AS worst_loss, max(-loss) AS best_profit
     FROM loss JOIN v USING (delivery_date) GROUP BY 1)"""

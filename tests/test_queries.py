@@ -30,14 +30,11 @@ def test_runs_without_sql_twin(spark, name):
     assert QUERIES[name](spark, PATH).count() > 0
 
 
-def test_platform_forecast_end_to_end(spark):
+def test_platform_forecast_end_to_end(spark, db):
     # The query folds worst loss >= shortfall >= VaR, and the order of quantiles, to facts of each day.
-    # The smallest tables hold less than the 500 error rows that a bundle needs.
-    from settlespark.errors import GuardError
-    with pytest.raises(GuardError, match="operational error history"):
-        QUERIES["platform_forecast"](spark, PATH)
-    rows = QUERIES["platform_forecast"](spark, "/root/testdata/sf0.01").collect()
-    assert rows and all(r.extremes_in_order and r.tail_beyond_var and r.ordered_quantiles == r.periods for r in rows)
+    rows = QUERIES["platform_forecast"](spark, PATH).toPandas()
+    assert compare("platform_forecast", rows, db.execute(ORACLES["platform_forecast"]).df()).startswith("ok")
+    assert len(rows) and (rows.extremes_in_order & rows.tail_beyond_var & (rows.ordered_quantiles == rows.periods)).all()
 
 
 def test_entry_has_a_stable_schema(spark):
