@@ -151,22 +151,27 @@ def table_profile(df: DataFrame, name: str, time_column: str | None = None, samp
     a, b = _row_digest(df)
     nulls, none = F.array(*[F.col(c).isNull() for c in df.columns]), F.lit(None).cast("bigint")
     text = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
-    row = F.struct(F.lit("row").alias("kind"), a.alias("a"), b.alias("b"), nulls.alias("nulls"), F.lit(None).cast("timestamp").alias("t"), F.lit(None).cast("string").alias("text"))
-    time = F.struct(F.lit("time").alias("kind"), F.unix_micros(t).alias("a"), none.alias("b"), F.array().cast("array<boolean>").alias("nulls"), t.alias("t"), F.lit(None).cast("string").alias("text"))
-    first = F.struct(F.lit("text").alias("kind"), F.col("_place").alias("a"), none.alias("b"), F.array().cast("array<boolean>").alias("nulls"), F.lit(None).cast("timestamp").alias("t"), text.alias("text"))
-    entries = [row] + ([time] if ts else []) + [F.when(F.col("_place").bitwiseAND((1 << 33) - 1) < sample, first)]
+    empty, blank = F.array().cast("array<boolean>"), F.lit(None).cast("string")
+
+    def entry(kind, x, y=none, mask=empty, body=blank):
+        return F.struct(F.lit(kind).alias("kind"), x.alias("a"), y.alias("b"), mask.alias("nulls"), body.alias("text"))
+
+    first = F.when(F.col("_place").bitwiseAND((1 << 33) - 1) < sample, entry("text", F.col("_place"), body=text))
+    entries = [entry("row", a, b, nulls), *([entry("time", F.unix_micros(t))] if ts else []), first]
     spread = df.withColumn("_place", F.monotonically_increasing_id()).select(F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.*")
-    folded = spread.groupBy("kind", "a", "b").agg(F.count(F.lit(1)).alias("n"), F.first("nulls").alias("nulls"), F.min("t").alias("t"), F.min("text").alias("text"))
+    # All of an entry is its key and only a count is added up, which a hash table holds without sorting.
+    folded = spread.groupBy("kind", "a", "b", "nulls", "text").agg(F.count(F.lit(1)).alias("n"))
 
     def of(kind, value):
         return F.sum(F.when(F.col("kind") == kind, value))
 
-    known = F.col("t").isNotNull()
+    known = F.col("a").isNotNull()
     missing = [F.coalesce(of("row", F.when(F.col("nulls")[i], F.col("n")).otherwise(0)), F.lit(0)).alias(f"_n{i}") for i in range(len(df.columns))]
     out = folded.agg(
         F.coalesce(of("row", F.col("n")), F.lit(0)).alias("row_count"), F.coalesce(of("row", F.col("n") - 1), F.lit(0)).alias("duplicate_rows"), *missing,
         (F.coalesce(of("time", F.when(known, 0).otherwise(F.col("n"))), F.lit(0)) if ts else none).alias("invalid_timestamps"),
-        F.min("t").alias("timestamp_min"), F.max("t").alias("timestamp_max"),
+        F.timestamp_micros(F.min(F.when(F.col("kind") == "time", F.col("a")))).alias("timestamp_min"),
+        F.timestamp_micros(F.max(F.when(F.col("kind") == "time", F.col("a")))).alias("timestamp_max"),
         (F.coalesce(of("time", F.when(known, F.col("n") - 1)), F.lit(0)) if ts else none).alias("duplicate_timestamps"),
         # The first rows of each partition are offered, the first of all are kept.
         F.slice(F.array_sort(F.collect_list(F.when(F.col("kind") == "text", F.struct("a", "text")))), 1, sample).alias("_first"),
