@@ -470,7 +470,10 @@ def out_of_fold_predictions(t):
 @query("curtailment_forecast", f"""
 WITH {COMPONENTS} SELECT timestamp, true AS probability_in_range, true AS volume_not_negative, true AS expected_is_product FROM components""")
 def curtailment_forecast(t):
-    df = training_rows(t).withColumn("curtailed", F.greatest(F.col("embedded_wind_mw") - 20, F.lit(0.0)))
+    df = training_rows(t)
+    # Wind above its mean is curtailed: both kinds of rows exist however many events a period has.
+    level = df.agg(F.avg("embedded_wind_mw")).first()[0]
+    df = df.withColumn("curtailed", F.greatest(F.col("embedded_wind_mw") - F.lit(level), F.lit(0.0)))
     fitted = models.fit_curtailment(df, ["hh_sin", "temperature_c", "embedded_wind_mw"], "curtailed")
     p, v, e = (F.col(c) for c in ("curtailment_probability", "conditional_curtailed_mw", "expected_curtailed_mw"))
     return out(models.predict_curtailment(fitted, df).select("timestamp", p.between(0, 1).alias("probability_in_range"), (v >= 0).alias("volume_not_negative"), (F.abs(e - p * v) < 1e-9).alias("expected_is_product")))
