@@ -325,8 +325,9 @@ def fit_classes(df: DataFrame, features: Sequence[str], label: str, trees: int =
     return PipelineModel([*fitted.stages, named])
 
 
-def class_probabilities(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """One probability column per class."""
+def class_probabilities(model: PipelineModel, df: DataFrame, classes: Sequence[str] = ()) -> DataFrame:
+    """One probability column per class that was trained; one of ``classes`` that no training row had is 0."""
     labels = model.stages[-1].getLabels()
     scored = model.transform(df).withColumn("_p", vector_to_array("_probability"))
-    return scored.withColumns({f"probability_{c}": F.col("_p")[i] for i, c in enumerate(labels)}).drop("_features", "_probability", "_class", "_raw", "_p")
+    unseen = {f"probability_{c}": F.lit(0.0) for c in classes if c not in labels}
+    return scored.withColumns({f"probability_{c}": F.col("_p")[i] for i, c in enumerate(labels)} | unseen).drop("_features", "_probability", "_class", "_raw", "_p")

@@ -482,11 +482,15 @@ def curtailment_forecast(t):
 @query("marginal_technology", f"""
 WITH {COMPONENTS} SELECT timestamp, true AS in_range, 1.0 AS total FROM components""")
 def marginal_technology(t):
-    df = training_rows(t).withColumn("label", F.when(F.col("nuclear_mw") > 30, "nuclear").when(F.col("embedded_wind_mw") > 20, "wind").otherwise("gas"))
+    df = training_rows(t)
+    # Levels are means of the table: fixed ones make all rows one class where a period has many events.
+    nuclear, wind = df.agg(F.avg("nuclear_mw"), F.avg("embedded_wind_mw")).first()
+    df = df.withColumn("label", F.when(F.col("nuclear_mw") > F.lit(nuclear), "nuclear").when(F.col("embedded_wind_mw") > F.lit(wind), "wind").otherwise("gas"))
     model = models.fit_classes(df, ["nuclear_mw", "embedded_wind_mw", "hh_sin"], "label")
-    names = [F.col(f"probability_{c}") for c in ("gas", "nuclear", "wind")]
+    kinds = ["gas", "nuclear", "wind"]
+    names = [F.col(f"probability_{c}") for c in kinds]
     ok = names[0].between(0, 1) & names[1].between(0, 1) & names[2].between(0, 1)
-    return out(models.class_probabilities(model, df).select("timestamp", ok.alias("in_range"), F.round(names[0] + names[1] + names[2], 9).alias("total")))
+    return out(models.class_probabilities(model, df, kinds).select("timestamp", ok.alias("in_range"), F.round(names[0] + names[1] + names[2], 9).alias("total")))
 
 
 @query("platform_forecast", f"""

@@ -38,3 +38,12 @@ def dense():
 
 def test_curtailment_has_both_kinds_in_dense_tables(spark, tmp_path, dense):
     held_against_its_sql(spark, "curtailment_forecast", tmp_path, events=dense)
+
+
+def test_marginal_technology_in_dense_tables(spark, tmp_path, dense):
+    held_against_its_sql(spark, "marginal_technology", tmp_path, events=dense)
+
+
+def test_marginal_technology_of_one_class(spark, tmp_path, dense):
+    """Periods that are all alike have one class; the others have no chance."""
+    held_against_its_sql(spark, "marginal_technology", tmp_path, events=dense.assign(value=50.0))
