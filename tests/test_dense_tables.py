@@ -47,3 +47,7 @@ def test_marginal_technology_in_dense_tables(spark, tmp_path, dense):
 def test_marginal_technology_of_one_class(spark, tmp_path, dense):
     """Periods that are all alike have one class; the others have no chance."""
     held_against_its_sql(spark, "marginal_technology", tmp_path, events=dense.assign(value=50.0))
+
+
+def test_collected_core_with_several_rows_of_one_time_in_a_chunk(spark, tmp_path, dense):
+    held_against_its_sql(spark, "collected_core", tmp_path, events=dense)
