@@ -67,8 +67,10 @@ def redacted(message, max_chars: int = 500) -> Column:
 
 
 def figure(c, decimals: int = 2, suffix: str = "") -> Column:
-    """Number with thousands separators, or a dash for null."""
-    text = F.format_number(col(c).cast("double"), decimals)
+    """Number with thousands separators, or a dash for null; ``nan``, ``inf`` and ``-inf`` as such."""
+    number = col(c).cast("double")
+    odd = F.isnan(number) | (F.abs(number) == float("inf"))
+    text = F.when(odd, F.lower(F.replace(number.cast("string"), F.lit("Infinity"), F.lit("inf")))).otherwise(F.format_number(number, decimals))
     return F.coalesce(F.concat(text, F.lit(suffix)), F.lit("—"))
 
 

@@ -11,6 +11,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 import __spark_entry__ as entry  # noqa: E402
 from check_queries import compare  # noqa: E402
+from settlespark.functions import values  # noqa: E402
 
 
 def held_against_its_sql(spark, name, folder, **tables):
@@ -51,3 +52,11 @@ def test_marginal_technology_of_one_class(spark, tmp_path, dense):
 
 def test_collected_core_with_several_rows_of_one_time_in_a_chunk(spark, tmp_path, dense):
     held_against_its_sql(spark, "collected_core", tmp_path, events=dense)
+
+
+def test_figures_of_odd_balances(spark, tmp_path):
+    odd = pd.Series([-0.0, 0.0, -0.004, 0.25, 2.675, 1234567.891, None, np.inf, -np.inf], dtype="float64")
+    customers = pd.DataFrame({"c_custkey": np.arange(9), "c_acctbal": odd})
+    held_against_its_sql(spark, "number_figures", tmp_path, customer=customers)
+    not_a_number = spark.sql("SELECT double('NaN') AS x")
+    assert not_a_number.select(values.figure("x", 0, "%")).first()[0] == "nan%"
