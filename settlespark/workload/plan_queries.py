@@ -223,9 +223,8 @@ def history_index(t):
 # --- datasets and reports ---------------------------------------------------------------
 
 def source_tables(t):
-    # Periods of which a forecast was published two days before; the last weather hour is carried.
-    shifted = clock.add_seconds(clock.half_hour("ts"), 2 * 86400)
-    c = t.components.join(t.events.select(shifted.alias("timestamp")).distinct(), "timestamp", "left_semi")
+    # Forecasts are published two days before; the last weather hour is carried.
+    shifted, c = clock.add_seconds(clock.half_hour("ts"), 2 * 86400), t.components
     hourly = t.events.groupBy(clock.floor_to("ts", 3600).alias("timestamp")).agg(F.round(F.avg("value"), 4).alias("temp"))
     return {
         "price": c.select("timestamp", F.col("inertia_gvas").alias("p")), "demand": c.select("timestamp", F.col("demand_mw").alias("d")),
@@ -251,9 +250,10 @@ wx AS (SELECT c.timestamp, CASE WHEN b.t IS NULL OR b.t = a.t THEN a.v ELSE a.v
   FROM components c ASOF LEFT JOIN h a ON c.timestamp >= a.t ASOF LEFT JOIN h b ON c.timestamp <= b.t)
 SELECT c.timestamp, c.timestamp AS delivery_time_utc, c.inertia_gvas AS price_gbp_mwh, c.demand_mw, c.transmission_wind_mw, c.nuclear_mw, {day_start(day('c.timestamp'))} - INTERVAL '11 hours' AS issue_time_utc,
   emb.w AS embedded_wind_mw, emb.s AS embedded_solar_mw, c.inertia_gvas, round(temp, 10) AS temp, round(temp, 10) AS wind, round(temp, 10) AS sun, round(c.net_import_mw, 6) + 0.0 AS net_import_mw, 'core_without_battery' AS model_profile
-FROM components c JOIN emb USING (timestamp) LEFT JOIN wx USING (timestamp)""")
+FROM components c LEFT JOIN emb USING (timestamp) LEFT JOIN wx USING (timestamp)""")
 def modelling_table(t):
-    return out(dataset.modelling_table(source_tables(t), MAPPING), 10)
+    """All periods; those without a forecast published two days before, as in the first two days, keep null."""
+    return out(dataset.modelling_table(source_tables(t), MAPPING, gaps=True), 10)
 
 
 @query("merged_archives", f"""

@@ -60,3 +60,9 @@ def test_figures_of_odd_balances(spark, tmp_path):
     held_against_its_sql(spark, "number_figures", tmp_path, customer=customers)
     not_a_number = spark.sql("SELECT double('NaN') AS x")
     assert not_a_number.select(values.figure("x", 0, "%")).first()[0] == "nan%"
+
+
+def test_modelling_table_keeps_periods_without_a_forecast(spark, tmp_path, dense):
+    held_against_its_sql(spark, "modelling_table", tmp_path, events=dense)
+    rows = entry.queries()["modelling_table"](spark, str(tmp_path)).toPandas()
+    assert len(rows) == 4 * 48 and rows.embedded_wind_mw.isna().sum() == 2 * 48
