@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from settlespark.constants import HALF_HOUR_S
 from settlespark.errors import GuardError
@@ -103,12 +104,17 @@ def period_completeness(df: DataFrame, keys: Sequence[str], ts: str) -> DataFram
 
 
 def missing_dates(df: DataFrame, keys: Sequence[str], day: str) -> DataFrame:
-    """Calendar dates absent between the first and last date of each series."""
+    """Calendar dates absent between the first and last date of each series.
+
+    Each date is unfolded to the absent ones before it, so only dates that are there are shuffled. A series
+    has at most as many of them as the calendar. A null key equals no other: all dates of its span are absent.
+    """
     keys = list(keys)
-    seen = df.select(*keys, F.col(day).cast("date").alias("_d")).distinct()
-    span = seen.groupBy(*keys).agg(F.min("_d").alias("_a"), F.date_add(F.max("_d"), 1).alias("_z"))
-    every = dates_between(span, "_a", "_z", "_d").drop("_a", "_z")
-    return every.join(seen, [*keys, "_d"], "left_anti").withColumnRenamed("_d", "missing_date")
+    seen = df.select(*keys, F.col(day).cast("date").alias("_d")).where("_d IS NOT NULL").distinct()
+    after = F.date_add(F.lag("_d").over(Window.partitionBy(*keys).orderBy("_d")), 1)
+    named = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    gaps = seen.select(*keys, F.when(named, after).otherwise(F.coalesce(after, "_d")).alias("_a"), F.when(named, F.date_sub("_d", 1)).otherwise(F.col("_d")).alias("_z"))
+    return gaps.where("_a <= _z").select(*keys, F.explode(F.sequence("_a", "_z")).alias("missing_date"))
 
 
 def seam_days(missing: DataFrame, seams: DataFrame, ts: str = "timestamp") -> DataFrame:

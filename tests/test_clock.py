@@ -95,3 +95,13 @@ def test_missing_dates(frame):
     df = frame([("m", "2026-01-01"), ("m", "2026-01-04"), ("n", "2026-01-02")], "k string, d string")
     got = timeline.missing_dates(df, ["k"], "d").orderBy("missing_date").collect()
     assert [(r.k, r.missing_date) for r in got] == [("m", dt.date(2026, 1, 2)), ("m", dt.date(2026, 1, 3))]
+
+
+def test_missing_dates_are_unfolded_without_a_join(frame):
+    df = frame([("m", "2026-01-01"), ("m", "2026-01-04"), ("m", "2026-01-04"), ("m", None), ("n", None), (None, "2026-01-01"), (None, "2026-01-03")], "k string, d string")
+    found = timeline.missing_dates(df, ["k"], "d")
+    got = sorted((r.k or "", r.missing_date.day) for r in found.collect())
+    assert got == [("", 1), ("", 2), ("", 3), ("m", 2), ("m", 3)]
+    # What is shuffled are the dates that are there: nothing is exchanged once they are unfolded.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.index("Generate") < plan.index("Window")
