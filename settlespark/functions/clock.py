@@ -140,6 +140,7 @@ def duration_minutes(text, strict: bool = True) -> Column:
     readable = t.rlike(r"^PT(\d+H)?(\d+M)?$") & (total > 0)
     return (
         F.when(t.isNull(), F.lit(None).cast("int"))
+        .when(t == "PT60M", 60).when(t == "PT30M", 30).when(t == "PT15M", 15)  # the usual steps need no pattern
         .when(readable, total)
         .otherwise((F.raise_error(F.concat(F.lit("unsupported duration "), t)) if strict else F.lit(None)).cast("int"))
     )

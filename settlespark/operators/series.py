@@ -161,27 +161,29 @@ def to_half_hourly(
     ).otherwise(F.array(clock.instant(ts)))
     rest = [c for c in df.columns if c not in {ts, value, resolution, *domains}]
     grid = df.select(*domains, res.alias("_res"), F.col(value), *rest, F.explode(starts).alias(ts))
-    # One aggregation holds all steps side by side: the mean of quarter-hours, and the last whole or
-    # doubled row; these are alone in their group unless the source repeats them. Labels are columns of
-    # their own, so those that nobody reads are dropped before the shuffle.
-    rank = F.struct(*[F.col(c) for c in (order or rest)], F.col(value))
-    ranks = {m: F.when(F.col("_res") == m, rank) for m in (15, 30, 60)}
-    held = [F.avg(F.when(F.col("_res") == 15, F.col(value))).alias("_v15")]
-    held += [F.max_by(value, ranks[m]).alias(f"_v{m}") for m in (30, 60)]
-    held += [F.count_if(F.col("_res") == m).alias(f"_n{m}") for m in (15, 30, 60)]
-    held += [F.max_by(c, ranks[m]).alias(f"_{i}_{m}") for i, c in enumerate(rest) for m in (15, 30, 60)]
-    if order:
-        held += [F.max(ranks[m]).alias(f"_r{m}") for m in (15, 30, 60)]
+    # One aggregation holds all steps side by side: the mean of quarter-hours, and the last row of each step as
+    # one struct of rank and value; these are alone in their group unless the source repeats them.
+    # Columns outside the rank are aggregates of their own, so those that nobody reads are not computed.
+    rank = list(order or rest)
+    row = [*[F.col(c).alias(f"k{i}") for i, c in enumerate(rank)], F.col(value).alias("v")]
+    # Without an order the coarser step comes first in the rank: whole and doubled rows share a struct.
+    steps = {m: F.when(F.col("_res") == m, F.struct(*row)) for m in (15, 30, 60)} if order else {
+        15: F.when(F.col("_res") == 15, F.struct(*row)), 60: F.when(F.col("_res") != 15, F.struct(F.col("_res").alias("res"), *row))}
+    held = [F.avg(F.when(F.col("_res") == 15, F.col(value))).alias("_v15")] + [F.max(r).alias(f"_r{m}") for m, r in steps.items()]
+    held += [F.max_by(c, r).alias(f"_{i}_{m}") for i, c in enumerate(rest) if c not in rank for m, r in steps.items()]
     merged = grid.groupBy(ts, *domains).agg(*held)
 
-    def chosen(name):
+    def chosen(part):
         if not order:
-            return F.when(F.col("_n60") > 0, F.col(f"{name}60")).when(F.col("_n30") > 0, F.col(f"{name}30")).otherwise(F.col(f"{name}15"))
-        return F.when(_wins("_r60", "_r30", "_r15"), F.col(f"{name}60")).when(_wins("_r30", "_r15"), F.col(f"{name}30")).otherwise(F.col(f"{name}15"))
+            return F.when(F.col("_r60").isNotNull(), part(60)).otherwise(part(15))
+        return F.when(_wins("_r60", "_r30", "_r15"), part(60)).when(_wins("_r30", "_r15"), part(30)).otherwise(part(15))
+
+    def label(i, c):
+        return chosen(lambda m: F.col(f"_r{m}")[f"k{rank.index(c)}"] if c in rank else F.col(f"_{i}_{m}"))
 
     return merged.select(
-        ts, *domains, chosen("_v").alias(value), F.lit(30).alias(resolution),
-        *[chosen(f"_{i}_").alias(c) for i, c in enumerate(rest)],
+        ts, *domains, chosen(lambda m: F.col("_v15") if m == 15 else F.col(f"_r{m}")["v"]).alias(value), F.lit(30).alias(resolution),
+        *[label(i, c).alias(c) for i, c in enumerate(rest)],
     )
 
 

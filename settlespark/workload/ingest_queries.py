@@ -180,12 +180,17 @@ XML = """<?xml version="1.0" encoding="UTF-8"?><Publication_MarketDocument xmlns
 REFUSAL = """<Acknowledgement_MarketDocument xmlns="urn:x:ack:7:0"><Reason><code>999</code><text>No data, token: abc%d</text></Reason></Acknowledgement_MarketDocument>"""
 
 
-def xml_documents(t):
+def xml_documents(t, **columns):
+    """Documents with their event and further ``columns`` of it.
+
+    Few tasks read the events, which are small; they are dealt to all cores before texts are made and parsed.
+    """
+    events = t.events.repartition(3 * t.spark.sparkContext.defaultParallelism)
     hour = clock.floor_to("ts", 3600)
     v = F.col("value").cast("string")
     doc = F.format_string(XML, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), "event_id", "event_type", F.date_format(hour, "yyyy-MM-dd'T'HH:mm'Z'"), v, v, v, v)
     xml = F.when(F.col("event_type") == "error", F.format_string(REFUSAL, "event_id")).otherwise(doc)
-    return t.events.select("event_id", xml.alias("xml"))
+    return events.select("event_id", xml.alias("xml"), *[c.alias(n) for n, c in columns.items()])
 
 
 @query("xml_points", """
@@ -294,7 +299,7 @@ def market_collection(t):
     """Three products over all borders from one pass over the documents, one border of which refuses."""
     from settlespark.session import shared_path
     side = F.when(F.col("user_id") % 2 == 0, "in").otherwise("out")
-    docs = xml_documents(t).join(t.events.select("event_id", F.col("event_type").alias("border"), side.alias("direction")), "event_id").drop("event_id")
+    docs = xml_documents(t, border=F.col("event_type"), direction=side).drop("event_id")
     every = docs.withColumn("product", F.explode(F.array(F.lit("price"), F.lit("flow"), F.lit("schedule"))))
     saved = collect.market_collection(every, KINDS, shared_path(t.spark, "markets"))
     counts = [t.spark.read.parquet(p).agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(n).alias("table_name"), "row_count") for n, p in saved.items()]
@@ -305,7 +310,7 @@ def market_collection(t):
 @query("border_status", """
 SELECT event_type AS border, CASE event_type WHEN 'error' THEN 'unavailable' ELSE 'success' END AS status, count(*) AS documents, CASE event_type WHEN 'error' THEN 0 ELSE count(*) * 2 END AS row_count FROM events GROUP BY 1""")
 def border_status(t):
-    docs = xml_documents(t).join(t.events.select("event_id", F.col("event_type").alias("border")), "event_id")
+    docs = xml_documents(t, border=F.col("event_type"))
     return out(collect.item_status(docs, ["border"], "price.amount"))
 
 
@@ -315,7 +320,7 @@ WITH p AS (SELECT event_type AS border, date_trunc('hour', ts) + h * INTERVAL '3
 k AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY border, timestamp ORDER BY pub DESC, v DESC) = 1)
 SELECT timestamp, """ + ", ".join(f"max(v) FILTER (border = '{k}') AS {k}_day_ahead_price_eur_mwh, max(pub) FILTER (border = '{k}') AS {k}_price_published_at_utc" for k in KINDS) + """ FROM k GROUP BY 1""")
 def border_prices(t):
-    docs = xml_documents(t).join(t.events.select("event_id", F.col("event_type").alias("border")), "event_id")
+    docs = xml_documents(t, border=F.col("event_type"))
     return out(collect.neighbour_prices(docs, KINDS))
 
 
@@ -328,7 +333,7 @@ SELECT timestamp, """ + ", ".join(f"round(coalesce(max(net) FILTER (border = '{k
   round(""" + " + ".join(f"coalesce(max(net) FILTER (border = '{k}'), 0)" for k in KINDS) + """, 6) + 0.0 AS net_import_mw FROM n GROUP BY 1""")
 def border_flows(t):
     side = F.when(F.col("user_id") % 2 == 0, "in").otherwise("out")
-    docs = xml_documents(t).join(t.events.select("event_id", F.col("event_type").alias("border"), side.alias("direction")), "event_id")
+    docs = xml_documents(t, border=F.col("event_type"), direction=side)
     return out(collect.border_flows(docs, KINDS).select("timestamp", *[f"{k}_net_import_mw" for k in KINDS], "net_import_mw"))
 
 
@@ -341,7 +346,7 @@ def odd_documents(t):
     odd = F.col("event_id") % 2 == 0
     xml = F.when(view & odd, F.replace("xml", F.lit("PT60M"), F.when(F.col("event_id") % 4 == 0, "P1D").otherwise("PT5M"))).when(
         click & odd, F.replace("xml", F.lit("<position>3<"), F.lit("<position>third<"))).otherwise(F.col("xml"))
-    return xml_documents(t).withColumn("xml", xml).join(t.events.select("event_id", F.col("event_type").alias("border")), "event_id")
+    return xml_documents(t, border=F.col("event_type")).withColumn("xml", xml)
 
 
 @query("odd_document_points", f"""

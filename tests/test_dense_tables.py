@@ -66,3 +66,14 @@ def test_modelling_table_keeps_periods_without_a_forecast(spark, tmp_path, dense
     held_against_its_sql(spark, "modelling_table", tmp_path, events=dense)
     rows = entry.queries()["modelling_table"](spark, str(tmp_path)).toPandas()
     assert len(rows) == 4 * 48 and rows.embedded_wind_mw.isna().sum() == 2 * 48
+
+
+def test_documents_are_parsed_by_all_cores_and_not_joined(spark, tmp_path, dense):
+    from settlespark.workload import ingest_queries
+    from settlespark.workload.registry import Tables
+    dense.to_parquet(tmp_path / "events.parquet", coerce_timestamps="us")
+    docs = ingest_queries.xml_documents(Tables(spark, str(tmp_path)))
+    assert docs.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    for name in ("xml_prices", "xml_flows", "xml_schedules", "border_prices"):
+        plan = entry.queries()[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "max_by" not in plan and plan.count("from_xml") <= 1
