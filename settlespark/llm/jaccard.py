@@ -4,12 +4,17 @@ The sizes of sets fall into bands. Two sets of a band that are similar enough di
 shingles, so of n1 parts of the shingle domain one holds few of the differences. That part is cut
 again into n2 pieces, and every choice that leaves some pieces out is enumerated: one choice leaves
 out all differences, and what both sets have in the rest is the same. A signature is a hash of that.
+
+With spare parts two similar sets agree in several parts. So a set may leave out the signatures of
+projections with hardly a shingle, which many unlike sets share, as long as no more parts than the
+spare ones have such: in one more part the sets agree, and there neither leaves anything out.
 """
 
 from __future__ import annotations
 
 import hashlib
-from itertools import combinations
+from collections.abc import Callable
+from itertools import combinations, product
 from math import comb, exp, log
 
 import numpy as np
@@ -23,15 +28,17 @@ from settlespark.session import durable
 GRAM, SHARE = 4, (85, 100)
 WIDTH = 1.25  # greatest by least size of a band
 #: Differences left in a part and pieces of a part: dearer ones later, each with longer projections.
-CHOICES = ((1, 3), (1, 4), (2, 5), (2, 7), (3, 7), (3, 8), (4, 9), (5, 11))
+CHOICES = ((0, 1), (1, 3), (1, 4), (2, 5), (2, 7), (3, 7), (3, 8), (4, 9), (5, 11))
+THIN = 2  # shingles below which a projection is thin; one less where that saves half of the signatures
 MEETINGS = 24.0  # unlike sets of a band that may share an empty projection
 FLUSH = 1 << 19  # signatures a task holds before it hands them on
 SLOT = 1 << 19  # signatures that are sorted together
 TOGETHER = 1 << 21  # shingles of the sets that a task holds at a time
 CROSS = 8  # open pairs for each row of the groups, below which they are all compared
-FEW = 0.01  # links for each row of the groups, below which a round was not worth another
+STILL = 0.5  # share of the open pairs that a round left, above which it was not worth another
 SHORT = (1 << 48) - 1
 HEAD = 16  # numbers of 64 parities that travel with a set
+LONG = 2 * 64 * HEAD  # shingles beyond which a set has a sketch with more parities than that
 PIVOTS = 8  # nodes of a signature that the others are compared with in one round
 
 _SPACE = np.zeros(256, bool)
@@ -84,17 +91,36 @@ def most_apart(top: int, share: tuple[int, int] = SHARE) -> int:
     return 2 * top * (share[1] - share[0]) // (share[1] + share[0])
 
 
-def layout(top: int, population: int, share: tuple[int, int] = SHARE) -> tuple[int, int, int]:
-    """``(n1, n2, left)`` for a band: the cheapest choice under which unlike sets seldom share empty projections."""
+def needed(apart: int, left: int) -> int:
+    """Parts of which one at least holds no more than ``left`` of the differences."""
+    return apart // (left + 1) + 1
+
+
+def _fewer(mean: float, n: int) -> float:
+    """Probability that a Poisson number is less than ``n``."""
+    total, term = 0.0, exp(-mean)
+    for i in range(n):
+        total, term = total + term, term * mean / (i + 1)
+    return total
+
+
+def layout(top: int, population: int, share: tuple[int, int] = SHARE) -> tuple[int, int, int, int]:
+    """``(n1, n2, left, thin)`` for a band: the cheapest choice, with spare parts, under which unlike sets seldom share empty projections."""
     apart = most_apart(top, share)
     if apart == 0:
-        return 1, 1, 0
-    for left, pieces in CHOICES:
-        parts = -(-(apart + 1) // (left + 1))
-        held = top / WIDTH / parts * (pieces - left) / pieces
-        if population * exp(-held) <= MEETINGS:
-            break
-    return parts, pieces, left
+        return 1, 1, 0, THIN
+    found = []
+    for (left, pieces), thin in product(CHOICES, (THIN, THIN - 1)):
+        least = needed(apart, left)
+        for spare in sorted({*range(min(least, 8) + 1), *(least * i // 16 for i in range(17))}):
+            parts, choices = least + spare, comb(pieces, left)
+            held = top / WIDTH / parts * (pieces - left) / pieces
+            empty = exp(-held) * (1 - _fewer(parts * min(1.0, choices * _fewer(held, thin)), spare))
+            if population * empty <= MEETINGS:
+                found.append((parts * choices * (1 + THIN - thin), parts, pieces, left, thin))
+                break
+    left, pieces = CHOICES[-1]
+    return min(found)[1:] if found else (needed(apart, left), pieces, left, THIN)
 
 
 def bands_for(size: int, share: tuple[int, int] = SHARE) -> range:
@@ -103,27 +129,38 @@ def bands_for(size: int, share: tuple[int, int] = SHARE) -> range:
 
 
 class Signer:
-    """Signatures of sets under the layouts of all bands."""
+    """Signatures of sets under the layouts of all bands.
 
-    def __init__(self, plan: dict[int, tuple[int, int, int]], share: tuple[int, int] = SHARE):
+    Those of thin projections are left out where no more parts have such than are spare: of a similar set the
+    parts that agree are more, and one of them has no thin projection in either set.
+    """
+
+    def __init__(self, plan: dict[int, tuple[int, ...]], share: tuple[int, int] = SHARE):
         self.share, self.bands = share, {}
-        for band, (parts, pieces, left) in plan.items():
+        for band, (parts, pieces, left, *thin) in plan.items():
             gone = np.array(list(combinations(range(pieces), left)), np.int64).reshape(comb(pieces, left), left)
             spot = np.arange(parts * len(gone), dtype=np.uint64).reshape(parts, len(gone)) * np.uint64(256) + np.uint64(band + 1)
-            self.bands[band] = parts, pieces, gone, spot * _MIX
+            spare = parts - needed(most_apart(band_top(band), share), left)
+            self.bands[band] = parts, pieces, gone, spot * _MIX, spare, thin[0] if thin else THIN
 
     def __call__(self, shingles: np.ndarray) -> np.ndarray:
         """All signatures of a set; none for an empty set."""
         out = []
         values = _mixed(shingles + _ODD)
         for band in bands_for(len(shingles), self.share) if len(shingles) else ():
-            parts, pieces, gone, spot = self.bands[band]
-            cell = ((_mixed(shingles + np.uint64(band * int(_ODD) % 2 ** 64)) >> np.uint64(32)) * np.uint64(parts * pieces)) >> np.uint64(32)
+            parts, pieces, gone, spot, spare, least = self.bands[band]
+            cell = (((_mixed(shingles + np.uint64(band * int(_ODD) % 2 ** 64)) >> np.uint64(32)) * np.uint64(parts * pieces)) >> np.uint64(32)).astype(np.int64)
             sums = np.zeros(parts * pieces, np.uint64)
-            np.add.at(sums, cell.astype(np.int64), values)
+            np.add.at(sums, cell, values)
             sums = sums.reshape(parts, pieces)
             rest = sums.sum(axis=1, dtype=np.uint64)[:, None] - sums[:, gone].sum(axis=2, dtype=np.uint64)
-            out.append(_mixed(_mixed(rest + _ODD) + spot).ravel())
+            sigs = _mixed(_mixed(rest + _ODD) + spot)
+            if spare > 0:
+                held = np.bincount(cell, minlength=parts * pieces).reshape(parts, pieces)
+                thin = held.sum(axis=1)[:, None] - held[:, gone].sum(axis=2) < least
+                if np.count_nonzero(thin.any(axis=1)) <= spare:
+                    sigs = sigs[~thin]
+            out.append(sigs.ravel())
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -156,7 +193,7 @@ def classes_of(marked: DataFrame) -> DataFrame:
     return found.select((F.col("short") + nth.cast("long") * (SHORT + 1)).alias("node"), "set", "short", "n", "first")
 
 
-def band_plan(sets: DataFrame, share: tuple[int, int] = SHARE) -> tuple[dict[int, tuple[int, int, int]], int]:
+def band_plan(sets: DataFrame, share: tuple[int, int] = SHARE) -> tuple[dict[int, tuple[int, ...]], int]:
     """The layout of every band in use, and how many signatures all sets have. Four rows for each band reach the driver."""
     rows = sets.select(F.ceil(F.log("n") / F.lit(log(WIDTH)) * 4).alias("step"), "n").groupBy("step").agg(
         F.count(F.lit(1)).alias("rows"), F.min("n").alias("least"), F.max("n").alias("most")).collect()
@@ -185,7 +222,7 @@ def _repeats(sigs: np.ndarray) -> np.ndarray:
     return out
 
 
-def groups(docs: DataFrame, text_col: str, plan: dict[int, tuple[int, int, int]], total: int, gram: int = GRAM, share: tuple[int, int] = SHARE) -> DataFrame:
+def groups(docs: DataFrame, text_col: str, plan: dict[int, tuple[int, ...]], total: int, gram: int = GRAM, share: tuple[int, int] = SHARE) -> DataFrame:
     """``(sig, short)``: sets, by their short digest, whose signature another set has as well; at times a row twice.
 
     A signature becomes a slot and 40 bits within it. A task sends one set of each signature it holds
@@ -261,8 +298,8 @@ def parities(shingles: np.ndarray, bits: int) -> np.ndarray:
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    """Parities in four times as many cells as shingles, or more."""
-    return parities(shingles, max(64, 1 << (4 * len(shingles) - 1).bit_length())).tobytes()
+    """Parities in half as many cells as shingles, or more: they tell most sets apart that share less than three quarters."""
+    return parities(shingles, max(64, 1 << (len(shingles) - 1).bit_length() - 1)).tobytes()
 
 
 def parities_apart(a: bytes, b: bytes) -> int:
@@ -274,23 +311,31 @@ def parities_apart(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def sets_of(docs: DataFrame, text_col: str, wanted: DataFrame, gram: int = GRAM) -> DataFrame:
-    """``(node, n, head, sketch, shingles)`` of the sets in ``wanted``, once each. A bitmap of bounded size thins the scan."""
-    bits = min(28, max(20, int(wanted.count() * 16).bit_length()))
-    shared = docs.sparkSession.sparkContext.broadcast(membership(wanted.select(F.col("short").alias("fp")), bits))
+#: What can be taken from a set, and how it is stored.
+TAKEN = {"head": (lambda x: parities(x, 64 * HEAD).view(np.int64), pa.list_(pa.int64()), "array<bigint>"),
+         "sketch": (lambda x: sketch(x) if len(x) > LONG else b"", pa.binary(), "binary"), "shingles": (lambda x: x.view(np.int64), pa.list_(pa.int64()), "array<bigint>")}
+
+
+def sets_of(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, take: tuple[str, ...], gram: int = GRAM) -> DataFrame:
+    """``(node, n, *take)`` of the sets in ``wanted``, once each.
+
+    Only rows with the least id of a wanted set can be needed. A bitmap of bounded size, with ids and sets, thins the scan.
+    """
+    bits = min(28, max(20, int(wanted.count() * 64).bit_length()))
+    marks = wanted.select(F.explode(F.array(F.xxhash64("first"), "short")).alias("fp"))
+    shared, low = docs.sparkSession.sparkContext.broadcast(membership(marks, bits)), (1 << bits) - 1
 
     def run(batches):
-        held, low, found, size = np.frombuffer(shared.value, np.uint8), (1 << bits) - 1, {}, 0
+        held, found, size = np.frombuffer(shared.value, np.uint8), {}, 0
 
         def handed():
-            sets = found.values()
-            return pa.RecordBatch.from_arrays([
-                pa.array(list(found), pa.binary()), pa.array([parities(x, 64 * HEAD).view(np.int64) for x in sets], pa.list_(pa.int64())),
-                pa.array([sketch(x) for x in sets], pa.binary()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))],
-                names=["set", "head", "sketch", "shingles"])
+            columns = [pa.array([TAKEN[t][0](x) for x in found.values()], TAKEN[t][1]) for t in take]
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), *columns], names=["set", *take])
 
         for batch in batches:
-            for text in texts_of(batch.column(0)):
+            spot = batch.column(0).to_numpy() & low
+            rows = np.flatnonzero(held[spot >> 3] >> (spot & 7).astype(np.uint8) & 1)
+            for text in texts_of(batch.column(1).take(pa.array(rows))):
                 shingles = shingle_set(text, gram)
                 key = digest(shingles)
                 bit = int.from_bytes(key[:6], "little") & low
@@ -302,19 +347,21 @@ def sets_of(docs: DataFrame, text_col: str, wanted: DataFrame, gram: int = GRAM)
                     found, size = {}, 0
         yield handed()
 
-    kept = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "set binary, head array<bigint>, sketch binary, shingles array<bigint>")
-    once = kept.groupBy("set").agg(*[F.first(c).alias(c) for c in ("head", "sketch", "shingles")])
+    rows = docs.select(F.xxhash64(F.col(id_col)).alias("row"), F.col(text_col).alias("text"))
+    kept = rows.mapInArrow(run, ", ".join(["set binary", *(f"{t} {TAKEN[t][2]}" for t in take)]))
+    once = kept.groupBy("set").agg(*[F.first(t).alias(t) for t in take])
     return once.join(wanted.select("set", "node", "n"), "set").drop("set")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
-    """Of the pairs ``(a, b)`` of nodes those that are similar enough: sketches rule most others out, whole sets decide."""
-    def beside(found, column):
-        for side in "ab":
-            own = sets.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", column)])
-            found = found.join(own, side)
-        return found
+def _beside(found: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """Pairs ``(a, b)`` with the sizes and a column of both their sets."""
+    for side in "ab":
+        found = found.join(sets.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", column)]), side)
+    return found
+
 
+def likely(pairs: DataFrame, sets: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
+    """Of the pairs ``(a, b, long)`` of nodes those that their sketches do not rule out; only two long sets have such."""
     def run(batches):
         for batch in batches:
             n, m, x, y = (batch.column(i).to_pylist() for i in (2, 3, 4, 5))
@@ -322,9 +369,34 @@ def verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int] = SHARE)
             near = [(share[1] + share[0]) * d <= (share[1] - share[0]) * (i + j) for d, i, j in zip(apart, n, m)]
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(near)), batch.column(1).filter(pa.array(near))], names=["a", "b"])
 
-    likely = durable(beside(pairs, "sketch").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a bigint, b bigint"))
-    both = F.size(F.array_intersect("shingles_a", "shingles_b"))
-    return beside(likely, "shingles").where(share[1] * both >= share[0] * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
+    long = _beside(pairs.where("long").drop("long"), sets.where(F.col("n") > LONG), "sketch")
+    return pairs.where("not long").select("a", "b").unionByName(
+        long.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a bigint, b bigint"))
+
+
+def unlinked(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """The pairs whose nodes the links do not join already."""
+    known = components(links)
+    for side in "ab":
+        pairs = pairs.join(known.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}")), side, "left")
+    return pairs.where("not coalesce(of_a, a) <=> coalesce(of_b, b)").select("a", "b")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, whole: Callable[[DataFrame], DataFrame], share: tuple[int, int] = SHARE) -> DataFrame:
+    """Links among the pairs ``(a, b, long)`` that join what all similar pairs join: sketches rule most others out, whole sets decide.
+
+    First each node is compared with the least of its partners, then the nodes of pairs that are still apart.
+    """
+    def decided(pairs):
+        both = F.size(F.array_intersect("shingles_a", "shingles_b"))
+        return durable(_beside(pairs, full, "shingles").where(share[1] * both >= share[0] * (F.col("n_a") + F.col("n_b") - both)).select("a", "b"))
+
+    maybe = durable(likely(durable(pairs), sets, share))
+    ends = maybe.select(F.col("a").alias("node"), F.col("b").alias("other")).union(maybe.select("b", "a")).groupBy("node").agg(F.min("other").alias("other"))
+    full = whole(ends.select("node"))
+    found = decided(ends.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
+    rest = durable(unlinked(maybe, found))
+    return found if rest.isEmpty() else found.unionByName(decided(rest))
 
 
 def distinct_lists(groups: DataFrame) -> DataFrame:
@@ -342,21 +414,23 @@ def _perhaps(share: tuple[int, int]):
 
 
 def _met(left: DataFrame, right: DataFrame, unlike, share: tuple[int, int]) -> DataFrame:
-    """Distinct pairs ``(a, b)`` of nodes that share a signature, differ in label and may be similar."""
+    """Distinct pairs ``(a, b, long)`` of nodes that share a signature, differ in label and may be similar, and whether both are long."""
     found = left.alias("a").join(right.alias("b"), (F.col("a.sig") == F.col("b.sig")) & unlike & _perhaps(share))
-    return found.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
+    return found.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"),
+                        (F.least("a.n", "b.n") > LONG).alias("long")).distinct()
 
 
-def joined(groups: DataFrame, sets: DataFrame, share: tuple[int, int] = SHARE, rounds: int = 6) -> DataFrame:
+def joined(groups: DataFrame, sets: DataFrame, whole: Callable[[DataFrame], DataFrame], share: tuple[int, int] = SHARE, rounds: int = 6) -> DataFrame:
     """Links ``(a, b)`` of nodes that leave every pair of similar sets in one component.
 
     While many pairs of unlike components share a signature, the nodes of each signature are compared
     with a few of them only, so copies of one text melt into a component without meeting in pairs.
-    Once few pairs are open, or such a round links little, all open pairs are compared: after that
-    no link can be missing. Pairs that parities of their sets rule out never leave the join.
+    Once few pairs are open, or a round leaves most of them open, all open pairs are compared: after that
+    no link can be missing. Pairs that parities of their sets rule out never leave the join; of the
+    others ``whole`` gives the shingles.
     """
     heads = sets.select("node", *[F.col("head")[i].alias(f"w{i}") for i in range(HEAD)])
-    links, size, linked = None, groups.count(), 0
+    links, size, before = None, groups.count(), None
     for turn in range(rounds + 1):
         rows = groups.withColumn("label", F.col("node"))
         if links is not None:
@@ -366,13 +440,13 @@ def joined(groups: DataFrame, sets: DataFrame, share: tuple[int, int] = SHARE, r
         mixed = durable(counts.where("open > 0"))
         left = mixed.agg(F.sum("open")).first()[0] or 0
         rows = durable(rows.join(mixed.select("sig"), "sig", "left_semi").join(heads, "node"))
-        if left <= CROSS * size or turn == rounds or links is not None and linked <= FEW * size:
+        if left <= CROSS * size or turn == rounds or before is not None and left > STILL * before:
             break
         few = [F.min_by(F.struct("node", "n", "label"), F.xxhash64("node", F.lit(PIVOTS * turn + i))) for i in range(PIVOTS)]
         pivots = rows.groupBy("sig").agg(F.array_distinct(F.array(*few)).alias("p")).select("sig", F.explode("p").alias("p")).select("sig", "p.*").join(heads, "node")
-        found = durable(verified(_met(rows, pivots, F.col("a.label") != F.col("b.label"), share), sets, share))
-        links, linked = found if links is None else links.unionByName(found), found.count()
-    found = durable(verified(_met(rows, rows, F.col("a.label") < F.col("b.label"), share), sets, share))
+        found = verified(_met(rows, pivots, F.col("a.label") != F.col("b.label"), share), sets, whole, share)
+        links, before = found if links is None else links.unionByName(found), left
+    found = verified(_met(rows, rows, F.col("a.label") < F.col("b.label"), share), sets, whole, share)
     return found if links is None else links.unionByName(found)
 
 
@@ -392,9 +466,12 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gra
     plan, total = band_plan(classes, share)
     held = durable(groups(docs, text_col, plan, total, gram, share).distinct())
     members = durable(distinct_lists(held.join(classes.select("short", "node", "n"), "short").select("sig", "node", "n")))
-    wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select("set", "short", "node", "n")
-    sets = durable(sets_of(docs, text_col, durable(wanted), gram))
-    found = components(joined(members, sets, share))
+
+    def taken(nodes, *take):
+        return durable(sets_of(docs, id_col, text_col, durable(classes.join(nodes, "node", "left_semi")), take, gram))
+
+    sketches = taken(members.select("node").distinct(), "head", "sketch")
+    found = components(joined(members, sketches, lambda nodes: taken(nodes, "shingles"), share))
     labels = classes.join(found, "node", "left").select("set", "first", F.coalesce("component", "node").alias("label"))
     least = labels.groupBy("label").agg(F.min("first").alias("component_id"))
     named = labels.join(least, "label").select("set", "component_id")

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -304,6 +305,44 @@ def test_sets_near_enough_share_a_signature(size):
                 assert set(sign(np.unique(a)).tolist()) & set(sign(np.unique(b)).tolist())
 
 
+@pytest.mark.parametrize("population", [1_000, 50_000, 5_000_000])
+def test_signatures_stay_few_in_large_tables(population):
+    for top in (400, 600, 1_200, 5_000, 20_000):
+        parts, pieces, left = jaccard.layout(top, population)[:3]
+        assert parts * math.comb(pieces, left) < 0.3 * top
+
+
+@pytest.mark.parametrize("size", [9, 20, 45, 100, 200, 700])
+def test_sets_near_enough_share_a_signature_that_is_not_thin(size):
+    """With spare parts, too, every pair at the least similarity shares a signature."""
+    rng = np.random.default_rng(size)
+    layouts = [(spare, pieces, left) for spare in (0, 1, 2, 5, 12) for left, pieces in ((0, 1), (1, 3), (2, 5))]
+    plans = [{b: jaccard.layout(jaccard.band_top(b), n) for b in range(60)} for n in (100, 50_000, 5_000_000)]
+    plans += [{b: (jaccard.most_apart(jaccard.band_top(b)) // (left + 1) + 1 + spare, pieces, left) for b in range(60)} for spare, pieces, left in layouts]
+    for sign in map(jaccard.Signer, plans):
+        for _ in range(30):
+            a = rng.integers(0, 2 ** 63, size, dtype=np.uint64)
+            lost = rng.integers(0, size * 15 // 100 + 1)
+            gained = rng.integers(0, max(1, (100 * (size - lost) - 85 * size) // 85 + 1))
+            b = np.concatenate([a[lost:], rng.integers(0, 2 ** 63, gained, dtype=np.uint64)])
+            if 100 * (size - lost) >= 85 * (size + gained):
+                assert set(sign(np.unique(a)).tolist()) & set(sign(np.unique(b)).tolist())
+
+
+def test_long_sets_meet_by_their_sketches(spark, monkeypatch):
+    """Only two long sets have sketches to compare; shared passages make unlike sets meet."""
+    monkeypatch.setattr(jaccard, "LONG", 100)
+    rng, rows = random.Random(7), []
+    for family in range(6):
+        base = [f"p{i}" for i in range(40)] + [f"f{family}w{i}" for i in range(rng.choice([40, 70, 160, 900]))]
+        for i in range(7):
+            text = list(base)
+            for _ in range(i * len(base) // 150):
+                text[rng.randrange(len(text))] = f"n{rng.randrange(10 ** 6)}"
+            rows.append((len(rows), " ".join(text)))
+    assert found_similar(spark, rows) == slow_similar(rows)
+
+
 def test_parities_bound_the_difference():
     rng = np.random.default_rng(0)
     for _ in range(50):
